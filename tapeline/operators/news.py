@@ -19,7 +19,7 @@ def focused(news: DataFrame, max_symbols: int = 3) -> DataFrame:
 
 def effective_day(published: Column) -> Column:
     """New York date of a UTC time; from 16:00 on, the day after."""
-    local = F.from_utc_timestamp(published.cast("timestamp"), fixed.MARKET_ZONE)
+    local = F.convert_timezone(F.lit("UTC"), F.lit(fixed.MARKET_ZONE), published.cast("timestamp_ntz"))
     return F.date_add(F.to_date(local), F.when(F.hour(local) < fixed.CLOSE_HOUR, 0).otherwise(1))
 
 

@@ -21,7 +21,7 @@ P = ("portfolio_id",)
 
 
 def _share(value: str, keys: Sequence[str]) -> Column:
-    return F.col(value) / F.sum(value).over(Window.partitionBy(*keys))
+    return F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*keys)))
 
 
 def normalise(weights: DataFrame, value: str = "weight", keys: Sequence[str] = P) -> DataFrame:

@@ -32,7 +32,7 @@ def daily_closes(spark: SparkSession, path: str, as_of: str, symbols: Sequence[s
 
 def market_minutes(bars: DataFrame) -> DataFrame:
     """Regular-hours bars (09:30 to 15:59 New York) with local time and date."""
-    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), fixed.MARKET_ZONE)
+    local = F.convert_timezone(F.lit("UTC"), F.lit(fixed.MARKET_ZONE), F.col("ts").cast("timestamp_ntz"))
     minute = F.date_format("local_ts", "HH:mm")
     return (bars.withColumn("local_ts", local).withColumn("session", F.to_date("local_ts"))
             .where(minute.between(fixed.SESSION_OPEN, fixed.SESSION_LAST_MINUTE)))
