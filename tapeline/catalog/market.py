@@ -14,8 +14,6 @@ from tapeline.operators import significance as sig
 from tapeline.operators.portfolio import basket_stats, symbol_years, year_pairs
 from tapeline.sources import market
 
-# unit prices have few decimals, some of them a 5 in the seventh: keep those clear of the rounding
-PRICES = dict.fromkeys(("close", "price", "first_close", "last_close", "highest", "lowest"), 9)
 D = "CAST({} AS DOUBLE)"
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY day)"
 
@@ -120,11 +118,11 @@ def complete_day_returns(spark, sf):
     return rounded(px.complete_returns(v.order_closes(spark, sf)))
 
 
-@query("gap_grid", with_views(f"""SELECT s.symbol, d.day, {r('c.close', 9)} AS close
+@query("gap_grid", with_views(f"""SELECT s.symbol, d.day, {r('c.close')} AS close
     FROM (SELECT DISTINCT day FROM order_closes) d CROSS JOIN (SELECT DISTINCT symbol FROM order_closes) s
     LEFT JOIN order_closes c ON c.symbol = s.symbol AND c.day = d.day""", "order_closes"))
 def gap_grid(spark, sf):
-    return rounded(px.gap_grid(v.order_closes(spark, sf)), **PRICES)
+    return rounded(px.gap_grid(v.order_closes(spark, sf)))
 
 
 @query("wide_closes", with_views(f"""SELECT day, {r("max(close) FILTER (WHERE symbol = 'click')")} AS click,
@@ -172,13 +170,13 @@ def session_summary(spark, sf):
     return rounded(px.session_summary(v.trades(spark, sf)))
 
 
-@query("period_facts", with_views(f"""SELECT symbol, {r('first_close', 9)} AS first_close,
-    {r('last_close', 9)} AS last_close, {r('highest', 9)} AS highest, {r('lowest', 9)} AS lowest,
+@query("period_facts", with_views(f"""SELECT symbol, {r('first_close')} AS first_close,
+    {r('last_close')} AS last_close, {r('highest')} AS highest, {r('lowest')} AS lowest,
     {r('(last_close / first_close - 1) * 100')} AS change_pct FROM (SELECT symbol,
     first(close ORDER BY day) AS first_close, last(close ORDER BY day) AS last_close,
     max(close) AS highest, min(close) AS lowest FROM supplier_closes GROUP BY symbol) t""", "supplier_closes"))
 def period_facts(spark, sf):
-    return rounded(px.period_facts(v.supplier_closes(spark, sf), "close", "close"), **PRICES)
+    return rounded(px.period_facts(v.supplier_closes(spark, sf), "close", "close"))
 
 
 @query("history_filter", with_views("""SELECT symbol, count(close) AS days, count(close) >= 600 AS usable
@@ -187,13 +185,13 @@ def history_filter(spark, sf):
     return rounded(px.with_history(v.supplier_closes(spark, sf), 600))
 
 
-@query("recent_moves", with_views(f"""SELECT symbol, day, {r('close', 9)} AS close,
+@query("recent_moves", with_views(f"""SELECT symbol, day, {r('close')} AS close,
     {r('(close / prev - 1) * 100')} AS day_pct, {r('(close / base - 1) * 100')} AS month_pct FROM (
     SELECT symbol, day, close, lag(close) OVER w AS prev,
     coalesce(lag(close, 21) OVER w, first(close) OVER w) AS base, lead(day) OVER w AS nxt
     FROM supplier_closes {W}) t WHERE nxt IS NULL AND prev IS NOT NULL""", "supplier_closes"))
 def recent_moves(spark, sf):
-    return rounded(px.recent_moves(v.supplier_closes(spark, sf)), **PRICES)
+    return rounded(px.recent_moves(v.supplier_closes(spark, sf)))
 
 
 @query("change_over_rows", with_views(f"""SELECT symbol, {r('close / base - 1')} AS change FROM (
@@ -306,12 +304,12 @@ def sweep_best_setting(spark, sf):
     return rounded(out.withColumns({c: F.log(F.col(c)) for c in ("best_train_100", "best_test_100")}))
 
 
-@query("latest_signal", with_views(f"""SELECT symbol, days, {r('close', 9)} AS price, {r('average')} AS average,
+@query("latest_signal", with_views(f"""SELECT symbol, days, {r('close')} AS price, {r('average')} AS average,
     coalesce(close > average, false) AS own FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS days,
     row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS k FROM ma) t WHERE k = 1""",
     "supplier_closes", ma=rule_steps("supplier_closes", 50, 0)["ma"]))
 def latest_signal(spark, sf):
-    return rounded(bt.latest_signal(v.supplier_closes(spark, sf), 50), **PRICES)
+    return rounded(bt.latest_signal(v.supplier_closes(spark, sf), 50))
 
 
 # --- risk -------------------------------------------------------------------------------------

@@ -55,8 +55,8 @@ def portfolios_without_weight(spark, sf):
 
 
 @query("positions_table", """SELECT o_orderkey AS portfolio_id, o_orderpriority AS symbol,
-    CAST(o_totalprice AS DOUBLE) AS value, (round(o_totalprice / 1000, 6) + CAST(0 AS DOUBLE)) AS profit_pct
-    FROM orders WHERE o_orderstatus = 'O'""")
+    {value} AS value, {profit} AS profit_pct
+    FROM orders WHERE o_orderstatus = 'O'""".format(value=r("o_totalprice"), profit=r("o_totalprice / 1000")))
 def positions_table(spark, sf):
     raw = v.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("portfolio_id"), F.col("o_orderpriority").alias("symbol"),
@@ -77,14 +77,15 @@ def _book(spark, sf):
     return pf.open_book(px.complete_returns(v.order_closes(spark, sf)), weights)
 
 
-@query("mix_evaluation", with_views(f"""SELECT portfolio_id, {r('100 * product(1 + r)', 4)} AS grown_100,
+@query("mix_evaluation", with_views(f"""SELECT portfolio_id, {r('ln(product(1 + r))')} AS grown_100,
     {r(f'stddev_samp(r) * {ANNUAL}')} AS volatility_pct, {r('100 * min(g / p - 1)')} AS biggest_drop_pct,
     count(*) AS days, {r('any_value(effective)')} AS effective FROM peaked
     JOIN (SELECT portfolio_id, 1 / sum(weight * weight) AS effective FROM weights GROUP BY 1) e
     USING (portfolio_id) GROUP BY portfolio_id""", "order_closes", "holdings", **BOOK,
     **path_steps("daily", "portfolio_id")))
 def mix_evaluation(spark, sf):
-    return rounded(pf.evaluate_mix(_book(spark, sf)), grown_100=4)
+    out = pf.evaluate_mix(_book(spark, sf))
+    return rounded(out.withColumn("grown_100", F.log(F.col("grown_100") / 100.0)))
 
 
 @query("risk_shares", with_views(f"""SELECT portfolio_id, symbol, {r('weight')} AS weight,
@@ -124,8 +125,8 @@ _SWAPPED = {
         product(1 + r) AS g FROM both_daily GROUP BY 1, 2, 3"""}
 
 
-@query("swap_what_if", with_views("""SELECT portfolio_id, count(*) FILTER (WHERE b.vol < a.vol) AS calmer_years,
-    count(*) FILTER (WHERE b.g > a.g) AS richer_years, count(*) AS years FROM both_years a
+@query("swap_what_if", with_views("""SELECT portfolio_id, count(*) FILTER (WHERE round(b.vol, 6) < round(a.vol, 6)) AS calmer_years,
+    count(*) FILTER (WHERE round(100 * b.g, 6) > round(100 * a.g, 6)) AS richer_years, count(*) AS years FROM both_years a
     JOIN both_years b USING (portfolio_id, year) WHERE a.mix = 'now' AND b.mix = 'if' GROUP BY portfolio_id""",
     "order_closes", "holdings", **{k: BOOK[k] for k in ("complete", "steps", "weights")}, **_SWAPPED))
 def swap_what_if(spark, sf):
@@ -326,7 +327,8 @@ _PLAN = {
     "plan": """SELECT portfolio_id, month, symbol, greatest(0, value + month * (slice * weight
         - CASE WHEN sold THEN value / 12 ELSE 0 END)) AS value, sold FROM lines
         JOIN slices USING (portfolio_id) CROSS JOIN (SELECT unnest(generate_series(0, 12)) AS month) m""",
-    "morders": """SELECT portfolio_id, symbol, round(sum(CASE month WHEN 1 THEN value ELSE -value END), 2) AS change
+    "morders": """SELECT portfolio_id, symbol, CAST(round(CAST(round(sum(CASE month WHEN 1 THEN value ELSE -value END), 6)
+        AS DECIMAL(18, 6)), 2) AS DOUBLE) AS change
         FROM plan WHERE month IN (0, 1) GROUP BY 1, 2""",
 }
 
@@ -341,9 +343,9 @@ def _plan(spark, sf):
 
 
 @query("transition_plan", with_views(f"""SELECT portfolio_id, CAST(month AS BIGINT) AS month, symbol,
-    {r('value', 3)} AS value, sold FROM plan""", "holdings", **_PLAN))
+    {r('value', 4)} AS value, sold FROM plan""", "holdings", **_PLAN))
 def transition_plan(spark, sf):
-    return rounded(_plan(spark, sf), 3)
+    return rounded(_plan(spark, sf), 4)
 
 
 @query("monthly_orders", with_views("""SELECT portfolio_id, symbol, change + CAST(0 AS DOUBLE) AS change,
@@ -520,12 +522,12 @@ def usd_against_eur_risk(spark, sf):
     return rounded(outlook.usd_against_eur(_outlook(spark, sf).mix, _outlook(spark, sf, True).mix))
 
 
-@query("euro_prices", with_views(f"""SELECT symbol, day, {r('close', 9)} AS close, {r('rate')} AS rate,
+@query("euro_prices", with_views(f"""SELECT symbol, day, {r('close')} AS close, {r('rate')} AS rate,
     {r('close / rate')} AS close_eur FROM (SELECT symbol, c.day, close, last_value(x.rate IGNORE NULLS) OVER
     (PARTITION BY symbol ORDER BY c.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate
     FROM supplier_closes c LEFT JOIN rates x ON x.day = c.day) t""", "supplier_closes", "rates"))
 def euro_prices(spark, sf):
-    return rounded(cur.to_euro_prices(v.supplier_closes(spark, sf), v.rates(spark, sf)), close=9)
+    return rounded(cur.to_euro_prices(v.supplier_closes(spark, sf), v.rates(spark, sf)))
 
 
 @query("euro_returns", with_views(f"""SELECT symbol, day, {r('r')} AS r,
@@ -644,10 +646,10 @@ def _moved(spark, sf):
 
 
 @query("holdings_moves", with_views(f"""SELECT portfolio_id, symbol, {r('value', 2)} AS value,
-    {r('share_pct')} AS share_pct, {r('close', 9)} AS close, {r('day_pct')} AS day_pct,
+    {r('share_pct')} AS share_pct, {r('close')} AS close, {r('day_pct')} AS day_pct,
     {r('month_pct')} AS month_pct FROM moved""", "supplier_closes", "supplier_holdings", **_MOVED))
 def holdings_moves(spark, sf):
-    return rounded(_moved(spark, sf), value=2, close=9)
+    return rounded(_moved(spark, sf), value=2)
 
 
 @query("portfolio_day", with_views(f"""SELECT portfolio_id,

@@ -96,10 +96,11 @@ def transition_plan(holdings: DataFrame, split: DataFrame, funds: DataFrame, mon
 
 
 def monthly_orders(plan: DataFrame) -> DataFrame:
-    """The order list every month repeats: month 1 minus month 0, to the cent."""
+    """The order list every month repeats: month 1 minus month 0, to the cent (the first rounding
+    takes off the noise of the subtraction, so half cents go one way)."""
+    step = F.sum(F.when(F.col("month") == 1, F.col("value")).otherwise(-F.col("value")))
     steps = plan.where(F.col("month").isin(0, 1)).groupBy("portfolio_id", "symbol").agg(
-        F.round(F.sum(F.when(F.col("month") == 1, F.col("value")).otherwise(-F.col("value"))), 2)
-        .alias("change"))
+        F.round(F.round(step, 6), 2).alias("change"))
     return (steps.where(F.col("change") != 0)
             .withColumn("side", F.when(F.col("change") < 0, "sell").otherwise("buy")))
 

@@ -200,12 +200,15 @@ def swap(weights: DataFrame, out_symbol: str, in_symbol: str, default: float,
 
 
 def compare_years(current: DataFrame, what_if: DataFrame) -> DataFrame:
-    """Years in which the what-if was calmer or made more."""
+    """Years in which the what-if was calmer or made more; equal mixes differ only by summation
+    noise, which is rounded off."""
+    def less(a, b):
+        return F.round(F.col(a), 6) < F.round(F.col(b), 6)
     b = what_if.select("portfolio_id", "year", F.col("volatility_pct").alias("_v"),
                        F.col("return_pct").alias("_r"))
     return (current.join(b, ["portfolio_id", "year"]).groupBy("portfolio_id")
-            .agg(F.count_if(F.col("_v") < F.col("volatility_pct")).alias("calmer_years"),
-                 F.count_if(F.col("_r") > F.col("return_pct")).alias("richer_years"),
+            .agg(F.count_if(less("_v", "volatility_pct")).alias("calmer_years"),
+                 F.count_if(less("return_pct", "_r")).alias("richer_years"),
                  F.count(F.lit(1)).alias("years")))
 
 
