@@ -38,4 +38,5 @@ def rounded(df: DataFrame, decimals: int = 6, **special: int) -> DataFrame:
 
 def r(expression: str, decimals: int = 6) -> str:
     """The same rounding in SQL."""
-    return f"round(({expression}) + CAST({_nudge(decimals)!r} AS DOUBLE), {decimals})"
+    nudged = f"({expression}) + CAST({_nudge(decimals)!r} AS DOUBLE)"
+    return f"(round({nudged}, {decimals}) + CAST(0 AS DOUBLE))"   # no -0.0

@@ -65,13 +65,18 @@ def holdings_by_status(spark: SparkSession, sf: str, status: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf: str) -> DataFrame:
+    return as_news(table(spark, sf, "documents"))
+
+
+def as_news(documents: DataFrame) -> DataFrame:
+    """Documents as stories: the whole text is the headline."""
     kinds = F.array(*[F.lit(t) for t in EVENT_TYPES])
     doc = F.col("doc_id")
     tags = F.transform(F.sequence(F.lit(0).cast("bigint"), doc % 4),
                        lambda j: F.get(kinds, ((doc * 3 + j) % 5).cast("int")))
     when = F.expr("timestamp_ntz'2024-01-01 00:00:00'"
                   " + make_dt_interval(0, 0, cast((doc_id * 37) % 43200 as int), 0)")
-    return table(spark, sf, "documents").select(
+    return documents.select(
         "doc_id", when.alias("published"), tags.alias("symbols"), "source",
         F.col("text").alias("headline"), F.col("lang").alias("summary"),
         F.concat(F.lit("https://www."), F.col("source"), F.lit(".example/"), F.col("lang"),

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeline.functions import fixed
-from tapeline.operators.prices import (daily_returns, full, moving_average, row_numbers, so_far,
-                                       timeline, trailing)
+from tapeline.operators.prices import daily_returns, row_numbers, so_far, timeline
+from tapeline.operators.rolling import with_sums
 
 
 def _next_row(flag: Column) -> Column:
@@ -16,6 +16,16 @@ def _next_row(flag: Column) -> Column:
     return F.lag(F.coalesce(flag, F.lit(False)), 1, False).over(timeline())
 
 
+def moving_average(closes: DataFrame, rows: int, out: str = "average") -> DataFrame:
+    """Mean of the last `rows` closes, null until there are that many."""
+    return with_sums(closes, "close", {"_sum": rows}).withColumn(out, F.col("_sum") / rows).drop("_sum")
+
+
+def above(close: Column, average: Column) -> Column:
+    """Close over average. A tie within the noise of summation is no."""
+    return F.coalesce(close - average > F.abs(average) * 1e-12, F.lit(False))
+
+
 def grown(returns: Column) -> Column:
     """Aggregate: what 100 becomes."""
     return F.lit(100.0) * F.product(1.0 + returns)
@@ -36,7 +46,7 @@ def backtest(closes: DataFrame, ma_rows: int, cost: float = fixed.SWITCH_COST,
     rule = moving_average(closes, ma_rows)
     if drop_warmup:
         rule = rule.where(F.col("average").isNotNull())
-    rule = rule.withColumn("in_market", _next_row(F.col("close") > F.col("average")))
+    rule = rule.withColumn("in_market", _next_row(above(F.col("close"), F.col("average"))))
     rule = daily_returns(rule, first=0.0)
     rule = rule.withColumn(
         "switched", F.col("in_market") != F.lag("in_market", 1, False).over(timeline()))
@@ -98,16 +108,14 @@ def sweep(closes: DataFrame, windows: Sequence[int] = fixed.SWEEP_WINDOWS, skip_
           cost: float = fixed.SWITCH_COST) -> DataFrame:
     """Growth of every moving-average setting on the train and the test rows of each symbol.
 
-    All settings ride along each row as one array, so the whole sweep needs a single shuffle on
+    The averages share their partial sums. All settings ride along each row as one array, so the whole sweep needs a single shuffle on
     symbol; the array is only exploded for the final fold, which is already co-located.
     """
     windows = [int(n) for n in windows]
-    c = F.col("close")
-    averages = F.array(*[full(F.avg, c, trailing(n), n) for n in windows])
-    rows = train_test(daily_returns(closes, first=0.0), skip_rows)
-    rows = rows.withColumn("_averages", averages)
-    rows = rows.withColumn("_own", F.transform("_averages",
-                                               lambda a: F.coalesce(c > a, F.lit(False))))
+    sums = {f"_sum{n}": n for n in windows}
+    rows = with_sums(train_test(daily_returns(closes, first=0.0), skip_rows), "close", sums)
+    rows = rows.withColumn("_own", F.array(*[above(F.col("close"), F.col(f"_sum{n}") / n)
+                                             for n in windows])).drop(*sums)
     none = F.array_repeat(F.lit(False), len(windows))
     rows = rows.withColumn("_held", F.coalesce(F.lag("_own", 1).over(timeline()), none))
     rows = rows.withColumn("_before", F.coalesce(F.lag("_held", 1).over(timeline()), none))
@@ -165,4 +173,4 @@ def latest_signal(closes: DataFrame, ma_rows: int) -> DataFrame:
         F.count(F.lit(1)).alias("days"))
     return last.select("symbol", "days", F.col("l.close").alias("price"),
                        F.col("l.average").alias("average"),
-                       F.coalesce(F.col("l.close") > F.col("l.average"), F.lit(False)).alias("own"))
+                       above(F.col("l.close"), F.col("l.average")).alias("own"))

@@ -18,15 +18,6 @@ def so_far(keys: Sequence[str] = SYMBOL, order: str = "day"):
     return timeline(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def trailing(rows: int, keys: Sequence[str] = SYMBOL, order: str = "day"):
-    return timeline(keys, order).rowsBetween(-(rows - 1), Window.currentRow)
-
-
-def full(aggregate, value: Column, frame, rows: int) -> Column:
-    """Aggregate over a frame, null until the frame holds `rows` values."""
-    return F.when(F.count(value).over(frame) == rows, aggregate(value).over(frame))
-
-
 def one_per_day(closes: DataFrame, keys: Sequence[str] = SYMBOL, latest_by: str = "ts") -> DataFrame:
     """Bring a feed with repeated rows to the (keys, day) grain; partial aggregation does the work."""
     return closes.groupBy(*keys, "day").agg(F.max_by("close", latest_by).alias("close"))
@@ -100,10 +91,6 @@ def rebase(closes: DataFrame, base: float = 100.0) -> DataFrame:
     return closes.withColumn("rebased", F.try_divide(F.col("close"), first) * base)
 
 
-def moving_average(closes: DataFrame, rows: int, out: str = "average") -> DataFrame:
-    return closes.withColumn(out, full(F.avg, F.col("close"), trailing(rows), rows))
-
-
 def running_peak(values: DataFrame, value: str, keys: Sequence[str] = SYMBOL) -> DataFrame:
     return values.withColumn("peak", F.max(value).over(so_far(keys)))
 

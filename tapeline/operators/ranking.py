@@ -15,6 +15,10 @@ from tapeline.operators.skew import hot_keys, salted_join
 from tapeline.session import cut_lineage
 
 
+# up to here all pairs of one key may be ranked by a plain window; beyond it the pool is cut up
+WINDOW_ROWS = 1_000_000
+
+
 def _range_bounds(counts: DataFrame, value: str, ranges: int) -> list[float]:
     """At most `ranges` cut points. They only balance the work: any cut gives exact ranks."""
     steps = [i / ranges for i in range(1, ranges)]
@@ -52,16 +56,27 @@ def value_ranks(counts: DataFrame, value: str, by: Sequence[str] = (),
                     (F.col("_offset") + F.col("_before") + (F.col("n") + 1) / 2.0).alias("avg_rank")))
 
 
-def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (),
-             ranges: int | None = None) -> DataFrame:
+def _window_ranks(pairs: DataFrame, side: str, by: Sequence[str]) -> Column:
+    """Average rank by one window per key, for counted pairs of a checked number."""
+    keys = [*by, F.lit(0)]
+    earlier = Window.partitionBy(*keys).orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = Window.partitionBy(*keys, side)
+    return F.sum("_n").over(earlier) - (F.sum("_n").over(ties) - 1) / 2.0
+
+
+def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), ranges: int | None = None,
+             window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Pearson correlation of the average ranks of `a` and `b`, per `by`, with the pair count.
 
-    Rows with a missing side are dropped first. Ranks of n rows average (n + 1) / 2, so the sums
-    are centred without another pass.
+    Rows with a missing side are dropped first and equal pairs are counted once.
     """
     by = list(by)
     pairs = cut_lineage(df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
                         .groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_n")))
+    if pairs.count() <= window_rows:
+        ranked = pairs.withColumns({"_ra": _window_ranks(pairs, a, by), "_rb": _window_ranks(pairs, b, by)})
+        size = F.sum("_n").over(Window.partitionBy(*by, F.lit(0)))
+        return _centred_correlation(ranked.withColumn("_size", size), by)
     ranked = pairs
     for side, out in ((a, "_ra"), (b, "_rb")):
         counts = pairs.groupBy(*by, side).agg(F.sum("_n").alias("n"))
@@ -73,6 +88,12 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (),
         ranked = salted_join(ranked, sizes, by)
     else:
         ranked = ranked.withColumn("_size", sizes.scalar())
+    return _centred_correlation(ranked, by)
+
+
+def _centred_correlation(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Correlation of counted rank pairs. Ranks of n rows average (n + 1) / 2, so the sums are centred
+    without another pass."""
     middle = (F.col("_size") + 1) / 2.0
     da, db, n = F.col("_ra") - middle, F.col("_rb") - middle, F.col("_n")
     sums = ranked.groupBy(*by).agg(

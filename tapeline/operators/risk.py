@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeline.functions import fixed
 from tapeline.functions.finance import annualise, bad_month, typical_month
-from tapeline.operators.prices import full, row_numbers, so_far, timeline, trailing
+from tapeline.operators.prices import row_numbers, so_far, timeline
 from tapeline.operators.ranking import spearman
+from tapeline.operators.rolling import with_stddevs, with_sums
 
-def ahead(rows: int, keys: Sequence[str] = ("symbol",)):
-    return timeline(keys).rowsBetween(1, rows)
-
-
-def rolling_volatility(rows: int, keys: Sequence[str] = ("symbol",)) -> Column:
-    return annualise(full(F.stddev_samp, F.col("r"), trailing(rows, keys), rows))
+def with_volatility(returns: DataFrame, methods: Mapping[str, int],
+                    keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Annualised volatility of the last n rows for each name -> n."""
+    out = with_stddevs(returns, "r", methods, keys)
+    return out.withColumns({name: annualise(F.col(name)) for name in methods})
 
 
-def realised_volatility(horizon: int, keys: Sequence[str] = ("symbol",)) -> Column:
-    """Volatility of the rows after this one."""
-    return annualise(full(F.stddev_samp, F.col("r"), ahead(horizon, keys), horizon))
+def next_rows(value: str, horizon: int, keys: Sequence[str] = ("symbol",)) -> Column:
+    """A rolling value over `horizon` rows, seen from the row before they begin."""
+    return F.lead(value, horizon).over(timeline(keys))
 
 
 def ewma_volatility(returns: DataFrame, lam: float = fixed.EWMA_LAMBDA, out: str = "ewma",
@@ -54,8 +54,8 @@ def volatility_forecasts(returns: DataFrame, keys: Sequence[str] = ("symbol",),
                          windows: dict[str, int] | None = None) -> DataFrame:
     """One column per method, made at the end of each day."""
     windows = fixed.VOLATILITY_WINDOWS if windows is None else windows
-    named = {method_column(m): rolling_volatility(n, keys) for m, n in windows.items()}
-    return ewma_volatility(returns, keys=keys).withColumns(named)
+    named = {method_column(m): n for m, n in windows.items()}
+    return with_volatility(ewma_volatility(returns, keys=keys), named, keys)
 
 
 def method_column(method: str) -> str:
@@ -74,9 +74,8 @@ def forecast_pairs(returns: DataFrame, horizon: int = fixed.MONTH_ROWS, start: i
                    windows: dict[str, int] | None = None) -> DataFrame:
     """(symbol, day, method, forecast, actual) at each checkpoint."""
     windows = fixed.VOLATILITY_WINDOWS if windows is None else windows
-    made = volatility_forecasts(returns, windows=windows).withColumn(
-        "actual", realised_volatility(horizon))
-    kept = checkpoints(made, start, horizon)
+    made = volatility_forecasts(with_volatility(returns, {"_now": horizon}), windows=windows)
+    kept = checkpoints(made.withColumn("actual", next_rows("_now", horizon)), start, horizon)
     methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(method_column(m)).alias("forecast"))
                         for m in windows],
                       F.struct(F.lit("EWMA").alias("method"), F.col("ewma").alias("forecast")))
@@ -96,9 +95,8 @@ def evaluate_forecasts(returns: DataFrame, horizon: int = fixed.MONTH_ROWS, star
 
 def return_pairs(returns: DataFrame, horizon: int = fixed.MONTH_ROWS, start: int = 252) -> DataFrame:
     """Sum of the last and of the next `horizon` returns at each checkpoint."""
-    r = F.col("r")
-    rows = returns.withColumn("past", full(F.sum, r, trailing(horizon), horizon))
-    rows = rows.withColumn("future", full(F.sum, r, ahead(horizon), horizon))
+    rows = with_sums(returns, "r", {"past": horizon})
+    rows = rows.withColumn("future", next_rows("past", horizon))
     return (checkpoints(rows, start, horizon).select("symbol", "day", "past", "future")
             .where(F.col("past").isNotNull() & F.col("future").isNotNull()))
 
@@ -122,7 +120,7 @@ def top_performers(closes: DataFrame, period_rows: int) -> DataFrame:
     base = base.withColumn("_last", F.lead("day").over(ordered).isNull())
     returns = (base.withColumn("r", F.try_divide(F.col("close"), F.col("_prev")) - 1.0)
                .where(F.col("r").isNotNull()))
-    made = ewma_volatility(returns).withColumn("vol", rolling_volatility(63))
+    made = with_volatility(ewma_volatility(returns), {"vol": fixed.VOLATILITY_WINDOWS["3 months"]})
     last = made.where(F.col("_last") & F.col("_base").isNotNull())
     table = last.select("symbol",
                         ((F.try_divide(F.col("close"), F.col("_base")) - 1.0) * 100.0).alias("return_pct"),

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tapeline.functions import fixed
 from tapeline.operators.currency import to_euro_returns
-from tapeline.operators.portfolio import history_book, mix_returns
-from tapeline.operators.prices import row_numbers
-from tapeline.operators.risk import ewma_volatility, monthly_ranges, rolling_volatility
+from tapeline.operators.portfolio import history_book, mix_returns, path_stats
+from tapeline.operators.risk import ewma_volatility, monthly_ranges, with_volatility
 
 
 class Outlook(NamedTuple):
@@ -33,7 +32,7 @@ def forecast_holdings(closes: DataFrame, holdings: DataFrame, method: str = "3 m
     if fx_returns is not None:
         book = to_euro_returns(book, fx_returns).withColumn("r", F.col("r_eur")).drop("r_eur")
     keys = ["portfolio_id", "symbol"]
-    made = ewma_volatility(book, keys=keys).withColumn("_m", rolling_volatility(rows, keys))
+    made = with_volatility(ewma_volatility(book, keys=keys), {"_m": rows}, keys)
     last = made.groupBy(*keys).agg(F.max_by(F.struct("_m", "ewma"), "day").alias("l"))
     everyone = Window.partitionBy("portfolio_id")
     short = F.count_if(F.col("l._m").isNull()).over(everyone) > 0
@@ -60,7 +59,6 @@ def plan_risk(closes: DataFrame, plan: DataFrame, months: list[int], min_days: i
 
     Every symbol of the plan has to be present on a day, whether held at that month or not.
     """
-    from tapeline.operators.portfolio import path_stats
     symbols = plan.groupBy("portfolio_id", "symbol").agg(F.max("value").alias("value"))
     book, _ = history_book(closes, symbols, min_days)
     at = plan.where(F.col("month").isin(*months) & (F.col("value") > 0)).select(

@@ -14,6 +14,8 @@ def local_session(cores: str = "8", memory: str = "16g", shuffle_partitions: int
             .config("spark.driver.memory", memory)
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.adaptive.enabled", "true")
+            # as many partitions as cores already: merging small ones would idle cores
+            .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .getOrCreate())
