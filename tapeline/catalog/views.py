@@ -75,7 +75,7 @@ def as_news(documents: DataFrame) -> DataFrame:
     tags = F.transform(F.sequence(F.lit(0).cast("bigint"), doc % 4),
                        lambda j: F.get(kinds, ((doc * 3 + j) % 5).cast("int")))
     when = F.expr("timestamp_ntz'2024-01-01 00:00:00'"
-                  " + make_dt_interval(0, 0, cast((doc_id * 37) % 43200 as int), 0)")
+                  " + make_dt_interval(0, 0, cast((doc_id * doc_id * 7 + doc_id * 37) % 43200 as int), 0)")
     return documents.select(
         "doc_id", when.alias("published"), tags.alias("symbols"), "source",
         F.col("text").alias("headline"), F.col("lang").alias("summary"),
@@ -122,7 +122,7 @@ VIEWS = {
         (sum(o_totalprice) - count(*) * CAST(120000 AS DOUBLE)) * CAST(0.1 AS DOUBLE) AS profit,
         'Priority ' || o_orderpriority AS name FROM orders GROUP BY 1, 2""",
     "news": f"""SELECT doc_id,
-        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 37) % 43200 AS INTEGER)) AS published,
+        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * doc_id * 7 + doc_id * 37) % 43200 AS INTEGER)) AS published,
         [{_TYPES}[CAST(1 + (doc_id * 3 + j) % 5 AS INTEGER)] for j in generate_series(0, doc_id % 4)]
             AS symbols,
         source, text AS headline, lang AS summary,
