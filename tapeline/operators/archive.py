@@ -52,7 +52,7 @@ def merge(archive: DataFrame, new: DataFrame) -> DataFrame:
     the archive holds a key twice, its later row answers for it.
     """
     columns = ["published", "symbols", "source", "headline", "summary", "url", "text_status"]
-    old = _keys(archive)
+    old = cut_lineage(_keys(archive).select("pos", "_u", "_h"))
     fresh = _keys(new.where(F.coalesce(F.col("url"), F.lit("")) != ""))
     slim = cut_lineage(fresh.select("seq", "_u", "_h", "symbol"))
 
@@ -74,8 +74,8 @@ def merge(archive: DataFrame, new: DataFrame) -> DataFrame:
         F.when(by_link, F.col("old_u")).otherwise(F.col("old_h")).alias("pos"),
         F.when(by_link, F.when(F.col("old_u").isNull(), F.col("new_u")))
         .otherwise(F.when(F.col("old_h").isNull(), F.col("new_h"))).alias("seq"), "symbol")
-    tickers = (owner.distinct().groupBy("pos", "seq")
-               .agg(F.collect_set("symbol").alias("_more")))
+    tickers = cut_lineage(owner.distinct().groupBy("pos", "seq")
+                          .agg(F.collect_set("symbol").alias("_more")))
 
     def joined(own):
         return F.when(F.col("_more").isNull(), own).otherwise(

@@ -97,8 +97,9 @@ def busy_cutoff(table: DataFrame, quantile: float = 0.8) -> DataFrame:
 
 
 def busy_split(table: DataFrame, quantile: float = 0.8) -> DataFrame:
-    return (table.join(busy_cutoff(table, quantile), "symbol")
-            .withColumn("busy", F.col("stories") > F.col("cutoff")))
+    """Days above their symbol's cutoff. The table has a row per symbol and day, so a window is small."""
+    cutoff = F.percentile("stories", F.lit(quantile)).over(Window.partitionBy("symbol"))
+    return table.withColumn("cutoff", cutoff).withColumn("busy", F.col("stories") > F.col("cutoff"))
 
 
 def busy_summary(split: DataFrame) -> DataFrame:

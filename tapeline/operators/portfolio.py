@@ -112,23 +112,25 @@ def effective_holdings(weights: DataFrame, keys: Sequence[str] = P) -> DataFrame
         F.try_divide(F.lit(1.0), F.sum(F.col("weight") * F.col("weight"))).alias("effective"))
 
 
-def risk_shares(book: DataFrame, keys: Sequence[str] = P) -> DataFrame:
+def risk_shares(book: DataFrame, keys: Sequence[str] = P, carry: Sequence[str] = ()) -> DataFrame:
     """Share of the mix's risk from each holding: w * cov(r, mix) / var(mix), in %.
 
-    Equal to the covariance-matrix form, without the matrix: one pass over the book.
+    Equal to the covariance-matrix form, without the matrix: one pass over the book. `carry` names
+    columns of the holding to keep.
     """
     mix = F.sum(F.col("weight") * F.col("r")).over(Window.partitionBy(*keys, "day"))
     rows = book.withColumn("_mix", mix).where(F.col("weight").isNotNull())
     share = F.try_divide(F.covar_samp("r", "_mix"), F.var_samp("_mix"))
-    return rows.groupBy(*keys, "symbol", "weight").agg(
+    return rows.groupBy(*keys, "symbol", "weight", *carry).agg(
         (F.col("weight") * share * 100.0).alias("risk_pct"),
         annualise(F.stddev_samp("r")).alias("own_volatility_pct"))
 
 
-def path_stats(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+def path_stats(series: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
     """What 100 became, volatility and worst drawdown of each daily series.
 
-    The path starts at 100 * (1 + first return), so a loss on the first day is not a drawdown.
+    The path starts at 100 * (1 + first return), so a loss on the first day is not a drawdown. `more`
+    adds aggregates of other columns of the series.
     """
     value = F.product(1.0 + F.col("r")).over(so_far(keys))
     path = series.withColumn("_v", value)
@@ -137,7 +139,7 @@ def path_stats(series: DataFrame, keys: Sequence[str]) -> DataFrame:
         grown(F.col("r")).alias("grown_100"), annualise(F.stddev_samp("r")).alias("volatility_pct"),
         (F.min(F.try_divide(F.col("_v") - F.col("_peak"), F.col("_peak"))) * 100.0)
         .alias("biggest_drop_pct"),
-        F.count(F.lit(1)).alias("days"))
+        F.count(F.lit(1)).alias("days"), *[c.alias(name) for name, c in more.items()])
 
 
 def growth(series: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,10 +147,13 @@ def growth(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def evaluate_mix(book: DataFrame, keys: Sequence[str] = P) -> DataFrame:
-    """One row per portfolio: growth, volatility, drawdown, effective number of holdings."""
-    weights = book.select(*keys, "symbol", "weight").distinct()
-    return (path_stats(mix_returns(book, keys), keys)
-            .join(effective_holdings(weights, keys), list(keys)))
+    """One row per portfolio: growth, volatility, drawdown, effective number of holdings.
+
+    Every day of a book has all holdings, so the sum of squared weights is taken along the way.
+    """
+    w = F.col("weight")
+    series = book.groupBy(*keys, "day").agg(F.sum(w * F.col("r")).alias("r"), F.sum(w * w).alias("_w2"))
+    return path_stats(series, keys, effective=F.try_divide(F.lit(1.0), F.max("_w2")))
 
 
 def yearly_stats(book: DataFrame, keys: Sequence[str] = P) -> DataFrame:

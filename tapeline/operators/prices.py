@@ -140,22 +140,30 @@ def period_facts(bars: DataFrame, high: str = "high", low: str = "low") -> DataF
                                            - 1.0) * 100.0)
 
 
+def moment() -> Column:
+    """Time and trade_id as one whole number. A struct would order the same, but aggregates over it
+    sort all trades; over a number they stay hash-based."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(19,0)")
+    span = F.lit(str(2 ** 64)).cast("decimal(20,0)")
+    return micros * span + F.col("trade_id").cast("decimal(19,0)")
+
+
 def trade_bars(trades: DataFrame, bucket: Column, name: str = "day") -> DataFrame:
     """OHLCV bars; `trade_id` settles trades with the same time."""
-    moment = F.struct("ts", "trade_id")
+    at = moment()
     return trades.groupBy("symbol", bucket.alias(name)).agg(
-        F.min_by("price", moment).alias("open"), F.max("price").alias("high"),
-        F.min("price").alias("low"), F.max_by("price", moment).alias("close"),
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"),
+        F.min("price").alias("low"), F.max_by("price", at).alias("close"),
         F.sum("size").alias("volume"))
 
 
 def session_summary(trades: DataFrame) -> DataFrame:
     """Trades, shares, first, last, low, high and change per symbol."""
-    moment = F.struct("ts", "trade_id")
+    at = moment()
     out = trades.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("trades"), F.sum("size").alias("shares"),
-        F.min_by("price", moment).alias("first_price"),
-        F.max_by("price", moment).alias("last_price"),
+        F.min_by("price", at).alias("first_price"),
+        F.max_by("price", at).alias("last_price"),
         F.min("price").alias("low"), F.max("price").alias("high"))
     return out.withColumn("change_pct", (F.try_divide(F.col("last_price"), F.col("first_price"))
                                          - 1.0) * 100.0)

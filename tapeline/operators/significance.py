@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapeline.functions.finance import verdict
 from tapeline.operators.portfolio import path_stats
 from tapeline.operators.skew import salted_join
+from tapeline.session import cut_lineage
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -48,8 +49,10 @@ def shuffle_test(flagged: DataFrame, value: str, chosen: str, row_id: str = "day
                  keys: Sequence[str] = ("symbol",), trials: int = 10_000, seed: int = 0) -> DataFrame:
     """How often a random pick does at least as well: ours, k, n, p_value, verdict per group.
 
-    A group in which nothing was chosen has no p-value.
+    A group in which nothing was chosen has no p-value. The flagged rows (one per group and day) are
+    written once, so that the work behind them is not repeated for each use.
     """
+    flagged = cut_lineage(flagged.select(*keys, row_id, value, chosen))
     means = random_means(flagged, value, chosen, row_id, keys, trials, seed)
     # means are compared after rounding off the noise of summation order, so that equal picks tie
     hit = F.round("mean", 9) >= F.round("ours", 9)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tapeline.operators.correlation import close_pairs, correlation_pairs
 from tapeline.operators.portfolio import (effective_holdings, growth, history_book, mix_returns,
                                           path_stats, risk_shares, sector_money, with_sector)
+from tapeline.session import cut_lineage
 
 
 class HealthCheck(NamedTuple):
@@ -43,18 +44,18 @@ def missing_benchmarks(closes: DataFrame, benchmarks: Sequence[str], min_days: i
 
 def health_check(closes: DataFrame, holdings: DataFrame, sectors: DataFrame,
                  benchmarks: Sequence[str] = ("SPY",), min_days: int = 200,
-                 account_totals: DataFrame | None = None) -> HealthCheck:
-    """`closes` already holds only the days to look at."""
+                 account_totals: DataFrame | None = None, keep_book: bool = False) -> HealthCheck:
+    """`closes` already holds only the days to look at. `keep_book` writes the priced holdings once,
+    which pays when several of the tables are used."""
     absent = missing_benchmarks(closes, benchmarks, min_days) if benchmarks else []
     if absent:
         raise ValueError(f"benchmarks without enough price history: {', '.join(absent)}")
     book, left_out = history_book(closes, holdings, min_days, benchmarks)
+    book = cut_lineage(book) if keep_book else book
     own = book.where(F.col("weight").isNotNull())
-    weights = own.select("portfolio_id", "symbol", "value", "weight").distinct()
-    risk = risk_shares(own)
-    positions = with_sector(
-        weights.join(risk.drop("weight"), ["portfolio_id", "symbol"])
-        .withColumn("money_pct", F.col("weight") * 100.0), sectors)
+    risk = risk_shares(own, carry=["value"])
+    positions = with_sector(risk.withColumn("money_pct", F.col("weight") * 100.0), sectors)
+    weights = own.select("portfolio_id", "symbol", "weight").distinct()
     pairs = correlation_pairs(own.select("portfolio_id", "symbol", "day", "r"), ["portfolio_id"])
     series = named_series(book)
     invested = holdings.groupBy("portfolio_id").agg(F.sum("value").alias("invested"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeline import schema
 from tapeline.functions import fixed
-from tapeline.operators.prices import complete_days, gap_grid, one_per_day
+from tapeline.operators.prices import complete_days, gap_grid, moment, one_per_day
 
 
 def daily_closes(spark: SparkSession, path: str, as_of: str, symbols: Sequence[str] | None = None,
@@ -46,8 +46,9 @@ def latest_session(bars: DataFrame) -> DataFrame:
 
 
 def latest_trade(trades: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("ts", "price", "size"), F.struct("ts", "trade_id")).alias("t")
-    return trades.groupBy("symbol").agg(newest).select("symbol", "t.*")
+    at = moment()
+    return trades.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("price", at).alias("price"),
+                                        F.max_by("size", at).alias("size"))
 
 
 def dividend_window(dividends: DataFrame, today: str, days: int = 400, ahead: int = 90) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapeline import schema
+from tapeline.operators.prices import moment
 
 
 def file_trades(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -23,10 +24,10 @@ def bars(trades: DataFrame, width: str = "1 minute", slide: str | None = None,
     """OHLCV bars per symbol and window. State holds one row per open window and symbol; partial
     aggregation combines a busy symbol's trades before they move."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    moment = F.struct("ts", "trade_id")
+    at = moment()
     return (trades.withWatermark("ts", late).groupBy(window.alias("w"), "symbol").agg(
-        F.min_by("price", moment).alias("open"), F.max("price").alias("high"),
-        F.min("price").alias("low"), F.max_by("price", moment).alias("close"),
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"),
+        F.min("price").alias("low"), F.max_by("price", at).alias("close"),
         F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trades"))
         .select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"),
                 "open", "high", "low", "close", "volume", "trades"))
@@ -34,10 +35,10 @@ def bars(trades: DataFrame, width: str = "1 minute", slide: str | None = None,
 
 def session_state(trades: DataFrame, late: str = "1 day") -> DataFrame:
     """Latest price, high, low and change since the open of each symbol's day (update mode)."""
-    moment = F.struct("ts", "trade_id")
+    at = moment()
     daily = trades.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "symbol")
-    out = daily.agg(F.max_by("price", moment).alias("price"), F.max("price").alias("high"),
-                    F.min("price").alias("low"), F.min_by("price", moment).alias("open"))
+    out = daily.agg(F.max_by("price", at).alias("price"), F.max("price").alias("high"),
+                    F.min("price").alias("low"), F.min_by("price", at).alias("open"))
     return out.select("symbol", F.to_date("w.start").alias("day"), "price", "high", "low",
                       ((F.try_divide(F.col("price"), F.col("open")) - 1.0) * 100.0).alias("change_pct"))
 
