@@ -8,7 +8,6 @@ from tapeline.catalog import query, r, rounded
 from tapeline.catalog import views as v
 from tapeline.catalog.views import with_views
 from tapeline.functions import fixed
-from tapeline.functions.finance import verdict
 from tapeline.operators import backtest as bt, correlation as co, prices as px, ranking, risk
 from tapeline.operators import significance as sig
 from tapeline.operators.portfolio import basket_stats, symbol_years, year_pairs

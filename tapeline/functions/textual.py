@@ -24,20 +24,18 @@ def article_id(url: Column) -> Column:
     return F.substring(F.sha1(url), 1, 16)
 
 
-def _count_listed(words: Column, listed: Sequence[str]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*listed)))
-
-
 def lexicon_hits(text: Column, listed: Sequence[str]) -> Column:
     """How many words of the text, repeats included, are in the list."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    return _count_listed(words, listed)
+    return F.size(F.filter(words, lambda w: w.isin(*listed)))
 
 
 def sentiment(text: Column, positive: Sequence[str] = fixed.POSITIVE_WORDS,
               negative: Sequence[str] = fixed.NEGATIVE_WORDS) -> Column:
-    """Listed good words minus listed bad words."""
-    return lexicon_hits(text, positive) - lexicon_hits(text, negative)
+    """Listed good words minus listed bad words, in one walk over the words of the text."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return F.aggregate(words, F.lit(0), lambda total, w: total + w.isin(*positive).cast("int")
+                       - w.isin(*negative).cast("int"))
 
 
 def sign_label(score: Column) -> Column:

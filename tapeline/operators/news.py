@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeline.functions import fixed
 from tapeline.functions.textual import mood_bucket, page_text, article_status, site_of
-from tapeline.operators.prices import timeline
 from tapeline.operators.skew import salted_join
 
 

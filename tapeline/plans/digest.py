@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tapeline.operators.alerts import check_rules, holdings_moves, portfolio_day
 from tapeline.operators.news import portfolio_headlines

@@ -1,4 +1,3 @@
-import datetime as dt
 import random
 
 import pytest
@@ -38,14 +37,12 @@ def test_site_key_id_and_shortening(spark):
     ("2024-03-12 20:00:00", "2024-03-13"),
     ("2024-03-09 15:00:00", "2024-03-11"),   # Saturday
     ("2024-03-08 22:00:00", "2024-03-11"),   # Friday evening
-    ("2024-03-05 03:00:00", "2024-03-04"),   # still the evening before in New York, before... see below
+    ("2024-03-05 03:00:00", "2024-03-05"),   # 22:00 on the 4th in New York: after that day's close
     ("2024-03-20 12:00:00", None)])
 def test_story_goes_to_the_first_day_it_could_move(spark, moment, expected):
     days = spark.createDataFrame([(d,) for d in weekdays(10, "2024-03-04")], "day date")
     story = spark.createDataFrame([(utc(moment),)], "published timestamp")
     got = nw.assign_trading_day(story, days).first().trading_day
-    if moment == "2024-03-05 03:00:00":      # 22:00 on the 4th: after that day's close
-        expected = "2024-03-05"
     assert (got and str(got)) == expected
 
 
