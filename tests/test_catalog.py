@@ -31,3 +31,21 @@ def test_plans_prune_and_limit(spark, name, pieces):
 def test_long_series_share_one_shuffle(spark):
     plan = entry.queries()["parameter_sweep"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2      # to the daily grain, then by symbol
+
+
+def test_digest_brings_the_tables_of_one_report_together(spark):
+    from pyspark.sql import functions as F
+    from tapeline.catalog import views as v
+    from tapeline.plans.digest import digest
+    from tapeline.sources import reference
+    held = v.table(spark, SF, "events").groupBy(F.col("user_id").alias("portfolio_id"),
+                                                F.col("event_type").alias("symbol")).agg(F.sum("value").alias("value"))
+    closes = v.event_bars(spark, SF).select("symbol", "day", "close")
+    out = digest(closes, held, v.news(spark, SF), reference.sectors(spark, {"Web": ("click",)}),
+                 reference.funds(spark, ("view",)), reference.market_names(spark, {"click": "Clicks"}),
+                 "2024-01-20 00:00:00", {"daily_move_pct": 0.0}, min_days=10)
+    portfolios = held.select("portfolio_id").distinct().count()
+    assert out.day.count() == out.outlook.mix.count() == portfolios
+    assert out.holdings.count() == out.outlook.holdings.count() == held.count() == out.alerts.count()
+    assert [r.name for r in out.market.collect()] == ["Clicks"]
+    assert out.headlines.groupBy("portfolio_id", "headline").count().where("count > 1").count() == 0
