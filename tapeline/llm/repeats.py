@@ -45,6 +45,9 @@ class _Words(dict):
         return value
 
 
+WORDS = _Words()                                # one per Python worker, kept from task to task
+
+
 def _name(x: np.ndarray, y: np.ndarray, salt: int) -> np.ndarray:
     return mix(x * np.uint64(BASE) + mix(y + np.uint64(salt)))
 
@@ -149,7 +152,7 @@ HIT = "doc_id bigint, uid int, start int, mask int, key bigint"
 def _find(window: int):
     """Documents to anchor rows; n = 0 marks what the batch has settled, with its mask in `place`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = WORDS
         for b in by_size(batches, 1, 4_000_000):
             texts = [t.split() for t in b.column(1).to_pylist()]
             size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -363,6 +366,8 @@ def _strip(text: bytes, words: list[bytes], out: np.ndarray) -> bytes:
 def drop_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000) -> DataFrame:
     """The documents with repeated passages cut out of their texts and n_chars counted anew; all rows stay,
     other columns are unchanged. A document that keeps nothing has an empty text."""
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             text, starts, masks = (b.column(b.schema.get_field_index(c)) for c in ("text", "__starts", "__masks"))
@@ -373,8 +378,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000) ->
                     words = raw.split()
                     t = _strip(raw, words, covered(len(words), np.array(start, np.int64), np.array(mask, np.int64), window)).decode()
                 out.append(t)
-            cols = [pa.array(out, pa.string()) if f == "text" else b.column(i) for i, f in enumerate(docs.columns)]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            cols = [pa.array(out, pa.string()) if f == "text" else b.column(i) for i, f in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     marked = with_hits(docs, window, crowd)
     done = marked.mapInArrow(run, docs.schema)
