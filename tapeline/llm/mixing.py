@@ -50,8 +50,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
         quality: str | None = None, whole: bool = False, share: int = 20_000) -> DataFrame:
     """Rows (doc_id, source, size[, quality]) with source_size, target and taken. Sizes of null or below 1
     take nothing; a null or non-positive quality counts as 1; repeated rows are documents of their own, of
-    the same key. No rows in, none out."""
-    docs = docs.withColumn("size", F.coalesce("size", F.lit(0)).cast("bigint"))
+    the same key. Columns named like results are replaced, others stay. No rows in, none out."""
+    docs = docs.drop("source_size", "target", "taken").withColumn("size", F.coalesce("size", F.lit(0)).cast("bigint"))
     per = reliable(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n")))
     goal = targets(per.select("source", "source_size"), weights, total, most).join(
         per.select(F.col("source").alias("__s"), "__n"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -69,10 +69,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
     summed = keyed.withColumn("__own", F.sum("size").over(own)).join(
         sums, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__part") == F.col("__p")))
     upto = F.col("__before") + F.col("__own") - F.col("size")          # of the documents before this one
-    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0))
-    budget = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("bigint")
-    left = F.greatest(F.col("budget") - F.col("upto"), F.lit(0))
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("bigint")
+    budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("bigint")
+    left = F.greatest(budget - upto, F.lit(0))
     part = (F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.least(left, F.col("size")))
-    return (summed.withColumn("epochs", epochs.cast("bigint")).withColumn("budget", budget).withColumn("upto", upto)
-            .withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("bigint"))
-            .select(*docs.columns, "source_size", "target", "taken"))
+    return summed.select(*docs.columns, "source_size", "target", (epochs * F.col("size") + part).cast("bigint").alias("taken"))

@@ -132,10 +132,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_nearest_neighbours", """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-             AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
-SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, c.e), c.vec_id) AS INTEGER) AS rank,
-       c.vec_id, list_distance(q.e, c.e) AS score
-FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id QUALIFY rank <= 10""")
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda a, b: a + b)) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY rank <= 10""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = neighbours.usable(table(spark, sf_dir, "embeddings"))
     return neighbours.nearest(vectors, vectors.filter(F.col("key") % 100 == 0))
