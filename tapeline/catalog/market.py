@@ -287,16 +287,24 @@ def parameter_sweep(spark, sf):
     return rounded(out.withColumns({c: F.log(F.col(c)) for c in ("train_100", "test_100")}))
 
 
+@query("hold_by_split", with_views(f"""SELECT symbol, {r('ln(hold_train_100)')} AS hold_train_100,
+    {r('ln(hold_test_100)')} AS hold_test_100 FROM hold""", "supplier_closes", **_sweep_steps(200)))
+def hold_by_split(spark, sf):
+    out = bt.hold_by_split(v.supplier_closes(spark, sf))
+    return rounded(out.withColumns({c: F.log(F.col(c)) for c in ("hold_train_100", "hold_test_100")}))
+
+
 @query("sweep_best_setting", with_views(f"""SELECT symbol, CAST(ma_rows AS BIGINT) AS best_ma_rows,
     {r('ln(train_100)')} AS best_train_100, {r('ln(test_100)')} AS best_test_100,
     CAST(floor(test_rank) AS BIGINT) AS test_rank, beating AS settings_beating_hold, settings FROM ranked
     WHERE pick = 1""", "supplier_closes", **_sweep_steps(200),
-    ranked="""SELECT s.*, rank() OVER (PARTITION BY s.symbol ORDER BY test_100 DESC)
-        + (count(*) OVER (PARTITION BY s.symbol, test_100) - 1) / CAST(2 AS DOUBLE) AS test_rank,
-        count(*) FILTER (WHERE test_100 > hold_test_100) OVER (PARTITION BY s.symbol) AS beating,
+    levels="SELECT *, round(ln(train_100 / 100), 9) AS tr, round(ln(test_100 / 100), 9) AS te FROM swept",
+    ranked="""SELECT s.*, rank() OVER (PARTITION BY s.symbol ORDER BY te DESC)
+        + (count(*) OVER (PARTITION BY s.symbol, te) - 1) / CAST(2 AS DOUBLE) AS test_rank,
+        count(*) FILTER (WHERE te > round(ln(hold_test_100 / 100), 9)) OVER (PARTITION BY s.symbol) AS beating,
         count(*) OVER (PARTITION BY s.symbol) AS settings,
-        row_number() OVER (PARTITION BY s.symbol ORDER BY train_100 DESC, ma_rows) AS pick
-        FROM swept s JOIN hold h ON h.symbol = s.symbol"""))
+        row_number() OVER (PARTITION BY s.symbol ORDER BY tr DESC, ma_rows) AS pick
+        FROM levels s JOIN hold h ON h.symbol = s.symbol"""))
 def sweep_best_setting(spark, sf):
     closes = v.supplier_closes(spark, sf)
     out = bt.best_setting(bt.sweep(closes), bt.hold_by_split(closes))
@@ -416,9 +424,9 @@ _CORR = {"steps": returns_sql("supplier_closes"),
 
 
 @query("correlation_pairs", with_views(f"""SELECT sym_a, sym_b, {r('corr')} AS corr, n_days
-    FROM pairs WHERE n_days >= 3""", "supplier_closes", **_CORR))
+    FROM pairs""", "supplier_closes", **_CORR))
 def correlation_pairs(spark, sf):
-    return rounded(co.correlation_pairs(_returns(spark, sf)).where(F.col("n_days") >= 3))
+    return rounded(co.correlation_pairs(_returns(spark, sf)))
 
 
 _COMPLETE_PAIRS = {"complete": complete_sql("order_closes"), "steps": returns_sql("complete"),
@@ -434,12 +442,12 @@ def close_pairs(spark, sf):
 
 @query("sector_correlations", with_views(f"""SELECT sa.n_regionkey = sb.n_regionkey AS same_sector,
     {r('avg(corr)')} AS mean_corr, count(*) AS pairs FROM pairs
-    JOIN sectors sa ON sa.symbol = sym_a JOIN sectors sb ON sb.symbol = sym_b WHERE n_days >= 30 AND corr IS NOT NULL
+    JOIN sectors sa ON sa.symbol = sym_a JOIN sectors sb ON sb.symbol = sym_b WHERE corr IS NOT NULL
     GROUP BY 1""", "supplier_closes", **_CORR,
     sectors="""SELECT 'S' || s_suppkey AS symbol, n_regionkey FROM supplier
         JOIN nation ON n_nationkey = s_nationkey"""))
 def sector_correlations(spark, sf):
-    pairs = co.correlation_pairs(_returns(spark, sf)).where((F.col("n_days") >= 30) & F.col("corr").isNotNull())
+    pairs = co.correlation_pairs(_returns(spark, sf)).where(F.col("corr").isNotNull())
     sectors = (v.table(spark, sf, "supplier").join(v.table(spark, sf, "nation"),
                                                    F.col("n_nationkey") == F.col("s_nationkey"))
                .select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"),
@@ -478,8 +486,8 @@ _RANDOM = {
     "picks": """SELECT size, sample, symbol FROM (SELECT size, sample, symbol, row_number() OVER
         (PARTITION BY size, sample ORDER BY md5(concat_ws('#', '0', size, sample, symbol)), symbol) AS k
         FROM (SELECT DISTINCT symbol FROM steps) u
-        CROSS JOIN (SELECT unnest([1, 2, 3]) AS size) s
-        CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS sample) n) t WHERE k <= size""",
+        CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS size) s
+        CROSS JOIN (SELECT unnest(generate_series(0, 1999)) AS sample) n) t WHERE k <= size""",
     "daily": """SELECT size, sample, day, avg(r) AS r FROM picks JOIN steps USING (symbol)
         GROUP BY size, sample, day""",
     **path_steps("daily", "size, sample"),
@@ -490,7 +498,7 @@ _RANDOM = {
 
 def _random_stats(spark, sf):
     returns = px.complete_returns(v.order_closes(spark, sf))
-    picks = sig.random_portfolios(returns.select("symbol").distinct(), [1, 2, 3], 200)
+    picks = sig.random_portfolios(returns.select("symbol").distinct(), [1, 2, 3, 4, 5], 2000)
     return sig.random_portfolio_stats(returns, picks)
 
 

@@ -208,7 +208,7 @@ def health_growth(spark, sf):
     WHERE a.weight IS NOT NULL AND b.weight IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 3""",
     "order_closes", "holdings", **{k: s for k, s in HEALTH.items() if k != "hpositions"}))
 def health_correlations(spark, sf):
-    return rounded(_health(spark, sf).correlations.where(F.col("n_days") >= 3))
+    return rounded(_health(spark, sf).correlations)
 
 
 @query("health_effective", with_views(f"""SELECT portfolio_id, {r('1 / sum(weight * weight)')} AS effective
@@ -574,8 +574,7 @@ _DIV = {
         max(ex_date) AS last_, count(*) AS n, CAST(floor(median(gap)) AS INTEGER) AS g FROM own GROUP BY symbol""",
     "dated": f"""SELECT *, CASE WHEN n >= 2 AND g >= 1 THEN last_ + CAST(g * greatest(1,
         floor(date_diff('day', last_, DATE '{AS_OF}') / g) + 1) AS INTEGER) END AS estimate FROM facts""",
-    "prices": """SELECT symbol, arg_max(close, day) AS price FROM supplier_closes GROUP BY symbol
-        HAVING count(*) > 500""",
+    "prices": """SELECT symbol, arg_max(close, day) AS price FROM supplier_closes GROUP BY symbol""",
     "summary": """SELECT portfolio_id, symbol, value, coalesce(payments_12m, 0) AS payments_12m,
         coalesce(per_share_12m, 0) AS per_share_12m, coalesce(announced, estimate) AS next_date,
         CASE WHEN announced IS NOT NULL THEN 'announced' WHEN estimate IS NOT NULL THEN 'estimate' ELSE '-' END
@@ -588,8 +587,7 @@ _DIV_VIEWS = ("supplier_closes", "supplier_holdings", "dividends")
 
 def _dividends(spark, sf):
     prices = (v.supplier_closes(spark, sf).groupBy("symbol")
-              .agg(F.max_by("close", "day").alias("price"), F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") > 500))
+              .agg(F.max_by("close", "day").alias("price")))
     return dv.summarise(v.dividends(spark, sf), prices, v.supplier_holdings(spark, sf), AS_OF)
 
 

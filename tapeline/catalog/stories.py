@@ -431,9 +431,9 @@ def _luck_steps(flag: str, value: str, source: str) -> dict[str, str]:
             "means": """SELECT symbol, trial, avg(val) AS mean, any_value(ours) AS ours FROM (SELECT f.symbol, trial, val,
                 ours, k, row_number() OVER (PARTITION BY f.symbol, trial ORDER BY
                 md5(concat_ws('#', '0', trial, f.symbol, f.day)), f.day) AS o FROM flags f JOIN sizes USING (symbol)
-                CROSS JOIN (SELECT unnest(generate_series(0, 999)) AS trial) t) u WHERE o <= k GROUP BY 1, 2""",
+                CROSS JOIN (SELECT unnest(generate_series(0, 9999)) AS trial) t) u WHERE o <= k GROUP BY 1, 2""",
             "tests": """SELECT s.symbol, s.ours, s.k, s.n, p AS p_value FROM sizes s LEFT JOIN (SELECT symbol,
-                avg(CAST(round(mean, 9) >= round(ours, 9) AS DOUBLE)) AS p FROM means GROUP BY symbol) m USING (symbol)"""}
+                avg(CAST(mean >= ours - abs(ours) * 1e-9 AS DOUBLE)) AS p FROM means GROUP BY symbol) m USING (symbol)"""}
 
 
 _VERDICT = """CASE WHEN p_value < 0.01 THEN 'very unlikely to be luck' WHEN p_value < 0.05 THEN 'unlikely to be luck'
@@ -445,28 +445,26 @@ _MOOD = _luck_steps("mood > 0", "next_move_pct", "WHERE next_move_pct IS NOT NUL
 
 @query("busy_day_test", with_views(_TEST, *_BASE, **_BUSY))
 def busy_day_test(spark, sf):
-    return rounded(luck.busy_test(_table(spark, sf), trials=1000))
+    return rounded(luck.busy_test(_table(spark, sf)))
 
 
 @query("good_news_test", with_views(_TEST, *_BASE, **_MOOD))
 def good_news_test(spark, sf):
-    return rounded(luck.mood_test(_table(spark, sf), trials=1000))
+    return rounded(luck.mood_test(_table(spark, sf)))
 
 
 @query("luck_scoreboard", with_views(f"""SELECT count(*) FILTER (WHERE p_value < 0.05) AS passed,
     count(p_value) AS tests, {r('count(p_value) * 0.05')} AS expected_by_luck FROM tests""", *_BASE, **_BUSY))
 def luck_scoreboard(spark, sf):
-    return rounded(sig.scoreboard(luck.busy_test(_table(spark, sf), trials=1000)))
+    return rounded(sig.scoreboard(luck.busy_test(_table(spark, sf))))
 
 
-@query("luck_histogram", with_views("""SELECT symbol, CAST(least(49, floor((mean - lo) / ((hi - lo) / 50))) AS BIGINT)
+@query("luck_histogram", with_views("""SELECT symbol, CAST(least(49, floor((mean - lo) / ((hi - lo) / 50) + 1e-9)) AS BIGINT)
     AS bin, count(*) AS n FROM (SELECT *, min(mean) OVER (PARTITION BY symbol) AS lo,
-    max(mean) OVER (PARTITION BY symbol) AS hi FROM (SELECT symbol, round(mean, 6) + CAST(0.0000001 AS DOUBLE) AS mean
-    FROM means) q) t GROUP BY 1, 2""", *_BASE, **_BUSY))
+    max(mean) OVER (PARTITION BY symbol) AS hi FROM means) t GROUP BY 1, 2""", *_BASE, **_BUSY))
 def luck_histogram(spark, sf):
     from tapeline.operators.news import busy_split
-    means = sig.random_means(busy_split(_table(spark, sf)), "size_pct", "busy", trials=1000)
-    means = means.withColumn("mean", F.round("mean", 6) + 1e-7)
+    means = sig.random_means(busy_split(_table(spark, sf)), "size_pct", "busy")
     return rounded(sig.histogram(means))
 
 

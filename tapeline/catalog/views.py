@@ -85,7 +85,7 @@ def as_news(documents: DataFrame) -> DataFrame:
 
 def dividends(spark: SparkSession, sf: str) -> DataFrame:
     """At most one payment per supplier and day."""
-    return table(spark, sf, "lineitem").where(F.col("l_linenumber") == 7).groupBy(
+    return table(spark, sf, "lineitem").groupBy(
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"),
         F.to_date("l_shipdate").alias("ex_date")).agg(
         F.max("l_tax").alias("rate"), (F.max("l_discount") >= 0.10).alias("special"))
@@ -100,7 +100,7 @@ def supplier_holdings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rates(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where(F.col("l_linestatus") == "O").groupBy(
+    return table(spark, sf, "lineitem").groupBy(
         F.to_date("l_shipdate").alias("day")).agg((F.avg("l_extendedprice") / 30000.0).alias("rate"))
 
 
@@ -129,12 +129,12 @@ VIEWS = {
         'https://www.' || source || '.example/' || lang || '/' || n_chars AS url FROM documents""",
     "dividends": """SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ex_date,
         max(l_tax) AS rate, max(l_discount) >= CAST(0.10 AS DOUBLE) AS special
-        FROM lineitem WHERE l_linenumber = 7 GROUP BY 1, 2""",
+        FROM lineitem GROUP BY 1, 2""",
     "supplier_holdings": """SELECT s_nationkey AS portfolio_id, 'S' || s_suppkey AS symbol,
         abs(s_acctbal) AS value FROM supplier""",
     "rates": """SELECT CAST(l_shipdate AS DATE) AS day,
         avg(l_extendedprice) / CAST(30000 AS DOUBLE) AS rate
-        FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1""",
+        FROM lineitem GROUP BY 1""",
 }
 
 

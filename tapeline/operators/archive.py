@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tapeline.functions.textual import headline_key
-from tapeline.operators.skew import hot_keys, salted_join
+from tapeline.operators.skew import salted_join
 from tapeline.session import cut_lineage
 
 
@@ -24,8 +24,7 @@ def _keys(stories: DataFrame) -> DataFrame:
 
 def _spread_join(big: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
     """Join on one key, spreading the keys that hold much of `big` (a written table)."""
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(big, lookup, [key], how, hot=hot_keys(counts, [key]))
+    return salted_join(big, lookup, [key], how)
 
 
 def first_stories(lines: DataFrame) -> DataFrame:

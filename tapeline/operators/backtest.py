@@ -148,15 +148,19 @@ def best_setting(swept: DataFrame, hold: DataFrame) -> DataFrame:
     A symbol has one row per setting, so its windows are as small as the parameter list.
     """
 
-    per_symbol = Window.partitionBy("symbol")
-    by_test = per_symbol.orderBy(F.desc("test_100"))
-    ties = F.count(F.lit(1)).over(Window.partitionBy("symbol", "test_100"))
-    ranked = (swept.withColumn("_rank", F.rank().over(by_test) + (ties - 1) / 2.0)
-              .join(hold, "symbol"))
+    def level(name: str) -> Column:
+        """Log growth without the noise of the order of multiplication, so that equal settings tie."""
+        return F.round(F.log(F.col(name) / 100.0), 9)
+
+    levels = swept.withColumns({"_train": level("train_100"), "_test": level("test_100")})
+    by_test = Window.partitionBy("symbol").orderBy(F.desc("_test"))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("symbol", "_test"))
+    ranked = (levels.withColumn("_rank", F.rank().over(by_test) + (ties - 1) / 2.0)
+              .join(hold.withColumn("_hold", level("hold_test_100")), "symbol"))
     best = F.max_by(F.struct("ma_rows", "train_100", "test_100", "_rank"),
-                    F.struct("train_100", -F.col("ma_rows"))).alias("b")
+                    F.struct("_train", -F.col("ma_rows"))).alias("b")
     out = ranked.groupBy("symbol").agg(
-        best, F.count_if(F.col("test_100") > F.col("hold_test_100")).alias("settings_beating_hold"),
+        best, F.count_if(F.col("_test") > F.col("_hold")).alias("settings_beating_hold"),
         F.count(F.lit(1)).alias("settings"))
     return out.select("symbol", F.col("b.ma_rows").alias("best_ma_rows"),
                       F.col("b.train_100").alias("best_train_100"),

@@ -1,71 +1,41 @@
 """Average ranks and rank correlation over pools of any size.
 
-A rank needs a global order, and one window over the pool would put all of it in one task. Here
-values are first counted (equal values collapse map-side), cut into value ranges holding equally
-many distinct values, and ranked inside each range; the ranges' totals supply the offset.
+A rank needs an order, and one window over the pool would put all of it in one task. Here values are first
+counted (equal values collapse map-side), laid out in ranges of (key, value) that hold equally many distinct
+values, and ranked inside each range; the ranges' totals supply the offset.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tapeline.operators.skew import hot_keys, salted_join
+from tapeline.operators.skew import salted_join
 from tapeline.session import cut_lineage
 
 
-# up to here all pairs of one key may be ranked by a plain window; beyond it the pool is cut up
-WINDOW_ROWS = 1_000_000
+def value_ranks(counts: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """Average rank of each distinct value. `counts` holds (by, value, n), unique on (by, value).
 
-
-def _range_bounds(counts: DataFrame, value: str, ranges: int) -> list[float]:
-    """At most `ranges` cut points. They only balance the work: any cut gives exact ranks."""
-    steps = [i / ranges for i in range(1, ranges)]
-    row = counts.agg(F.percentile_approx(value, steps, 10_000)).first()
-    return sorted({float(b) for b in (row[0] or [])})
-
-
-def _range_of(value: Column, bounds: list[float]) -> Column:
-    """Number of cut points below the value, found by halving."""
-    def halve(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value > F.lit(bounds[mid]), halve(mid + 1, hi)).otherwise(halve(lo, mid))
-    return halve(0, len(bounds))
-
-
-def value_ranks(counts: DataFrame, value: str, by: Sequence[str] = (),
-                ranges: int | None = None) -> DataFrame:
-    """Average rank of each distinct value. `counts` holds (by, value, n), unique on (by, value)."""
-    if ranges is None:
-        ranges = min(256, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = _range_bounds(counts, value, ranges) if ranges > 1 else []
-    placed = counts.withColumn("_range", _range_of(F.col(value), bounds))
+    Ranges are cut over keys and values together, so a large key has many and small keys share one; their
+    number is that of the shuffle partitions. Any cut gives exact ranks; the layout is written once.
+    """
+    by = list(by)
+    ranges = ranges or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(counts.select(*by, value, "n").repartitionByRange(ranges, *by, value)
+                         .withColumn("_range", F.spark_partition_id()))
     totals = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_total"))
     earlier = (Window.partitionBy(*by, F.lit(0)).orderBy("_range")
-               .rowsBetween(Window.unboundedPreceding, -1))   # at most `ranges` rows
-    offsets = totals.select(*by, "_range",
-                            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    inside = (Window.partitionBy(*by, "_range").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, -1))
+               .rowsBetween(Window.unboundedPreceding, -1))   # a row per range that the key is in
+    offsets = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(inside), F.lit(0))
     return (placed.withColumn("_before", before).join(offsets, [*by, "_range"])
-            .select(*by, value, "n",
-                    (F.col("_offset") + F.col("_before") + (F.col("n") + 1) / 2.0).alias("avg_rank")))
-
-
-def _window_ranks(pairs: DataFrame, side: str, by: Sequence[str]) -> Column:
-    """Average rank by one window per key, for counted pairs of a checked number."""
-    keys = [*by, F.lit(0)]
-    earlier = Window.partitionBy(*keys).orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ties = Window.partitionBy(*keys, side)
-    return F.sum("_n").over(earlier) - (F.sum("_n").over(ties) - 1) / 2.0
+            .select(*by, value, "n", (F.col("_offset") + F.col("_before") + (F.col("n") + 1) / 2.0).alias("avg_rank")))
 
 
-def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), ranges: int | None = None,
-             window_rows: int = WINDOW_ROWS) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Pearson correlation of the average ranks of `a` and `b`, per `by`, with the pair count.
 
     Rows with a missing side are dropped first and equal pairs are counted once.
@@ -73,31 +43,20 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), ranges: int
     by = list(by)
     pairs = cut_lineage(df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
                         .groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_n")))
-    if pairs.count() <= window_rows:
-        ranked = pairs.withColumns({"_ra": _window_ranks(pairs, a, by), "_rb": _window_ranks(pairs, b, by)})
-        size = F.sum("_n").over(Window.partitionBy(*by, F.lit(0)))
-        return _centred_correlation(ranked.withColumn("_size", size), by)
     ranked = pairs
     for side, out in ((a, "_ra"), (b, "_rb")):
         counts = pairs.groupBy(*by, side).agg(F.sum("_n").alias("n"))
-        ranks = (value_ranks(counts, side, by, ranges)
-                 .select(*by, side, F.col("avg_rank").alias(out)))
-        ranked = salted_join(ranked, ranks, [*by, side], hot=hot_keys(counts, [*by, side]))
+        ranks = value_ranks(counts, side, by, ranges).select(*by, side, F.col("avg_rank").alias(out))
+        ranked = salted_join(ranked, ranks, [*by, side], counts=pairs.groupBy(*by, side).agg(F.count("*").alias("n")))
     sizes = pairs.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
-        ranked = salted_join(ranked, sizes, by)
+        ranked = salted_join(ranked, sizes, by, counts=pairs.groupBy(*by).agg(F.count("*").alias("n")))
     else:
         ranked = ranked.withColumn("_size", sizes.scalar())
-    return _centred_correlation(ranked, by)
-
-
-def _centred_correlation(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Correlation of counted rank pairs. Ranks of n rows average (n + 1) / 2, so the sums are centred
-    without another pass."""
+    # ranks of n rows average (n + 1) / 2, so the sums are centred without another pass
     middle = (F.col("_size") + 1) / 2.0
     da, db, n = F.col("_ra") - middle, F.col("_rb") - middle, F.col("_n")
     sums = ranked.groupBy(*by).agg(
         F.sum(n * da * db).alias("_ab"), F.sum(n * da * da).alias("_aa"),
         F.sum(n * db * db).alias("_bb"), F.sum(n).alias("checks"))
-    return sums.select(*by, F.try_divide(F.col("_ab"), F.sqrt(F.col("_aa") * F.col("_bb")))
-                       .alias("rank_corr"), "checks")
+    return sums.select(*by, F.try_divide(F.col("_ab"), F.sqrt(F.col("_aa") * F.col("_bb"))).alias("rank_corr"), "checks")

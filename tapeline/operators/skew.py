@@ -6,36 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-SALTS = 16
-HOT_LIMIT = 1000
 
-
-def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n", limit: int = HOT_LIMIT) -> DataFrame:
-    """Keys holding more than 1/limit of all counted rows. There can be fewer than `limit` of
-    them, which is the bound that makes the result safe to broadcast."""
-    total = counts.agg(F.sum(n)).scalar()
-    return counts.where(F.col(n) * limit > total).select(*on)
+def key_salts(counts: DataFrame, on: Sequence[str], n: str = "n") -> DataFrame:
+    """(on, _salts): for each key with more rows than an even share of a shuffle partition, into how many
+    parts it is cut so that each is about one share. With p partitions fewer than p keys can have that
+    many rows and their parts add up to less than 2 p, which is the bound that makes the table safe to
+    broadcast, whatever the data."""
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = counts.agg(F.sum(n)).scalar() / F.lit(float(partitions))
+    return counts.where(F.col(n) > share).select(*on, F.ceil(F.col(n) / share).cast("int").alias("_salts"))
 
 
 def salted_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
-                hot: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
-    """Equi join that spreads keys of `big` over `salts` tasks.
-
-    Without `hot` every lookup row is repeated, which suits lookups far smaller than `big`. With
-    `hot` (see `hot_keys`) only those keys are spread. The salt is a hash of the row, so a retried
-    task sends the same row to the same place.
+                counts: DataFrame | None = None) -> DataFrame:
+    """Equi join that spreads the heavy keys of `big` over as many tasks as their share of its rows asks
+    for; lookup rows are repeated for those keys alone. `counts` (on, n) may be given where a cheaper table
+    than `big` has them. The salt is a hash of the row, so a retried task sends the same row to the same
+    place.
     """
     on = list(on)
-    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    if hot is None:
-        left = big.withColumn("_salt", spread)
-        right = lookup.withColumn("_salt", F.explode(every))
-    else:
-        flags = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-        left = (big.join(flags, on, "left")
-                .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot"))
-        right = (lookup.join(flags, on, "left")
-                 .withColumn("_salt", F.explode(F.when(F.col("_hot"), every)
-                                                .otherwise(F.array(F.lit(0))))).drop("_hot"))
+    if counts is None:
+        counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    heavy = F.broadcast(key_salts(counts, on))
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*big.columns), F.col("_salts")).cast("int"))
+    every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1))
+    left = big.join(heavy, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
+    right = (lookup.join(heavy, on, "left")
+             .withColumn("_salt", F.explode(F.coalesce(every, F.array(F.lit(0))))).drop("_salts"))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -74,14 +74,14 @@ def test_top_performers_skip_new_listings_and_fall_back_per_symbol(spark):
     assert rows["SHORT"].bad_pct == pytest.approx(-1.65 * rows["SHORT"].typical_pct)
 
 
-@pytest.mark.parametrize("window_rows", [0, 10 ** 6])
+@pytest.mark.parametrize("ranges", [1, 5, None])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_rank_correlation_with_heavy_ties(spark, window_rows, by):
+def test_rank_correlation_with_heavy_ties(spark, ranges, by):
     rng = np.random.default_rng(4)
-    pdf = pd.DataFrame({"g": rng.integers(0, 3, 600), "a": rng.integers(0, 40, 600).astype(float),
+    pdf = pd.DataFrame({"g": np.where(rng.random(600) < .9, 0, rng.integers(1, 3, 600)), "a": rng.integers(0, 40, 600).astype(float),
                         "b": rng.normal(size=600)})
     pdf.loc[rng.random(600) < .4, "a"] = 7.0       # one value holds a large share
-    got = ranking.spearman(spark.createDataFrame(pdf), "a", "b", by, ranges=5, window_rows=window_rows).collect()
+    got = ranking.spearman(spark.createDataFrame(pdf), "a", "b", by, ranges=ranges).collect()
     groups = pdf.groupby("g") if by else [(None, pdf)]
     want = sorted(g.a.rank().corr(g.b.rank()) for _, g in groups)
     assert sorted(r.rank_corr for r in got) == pytest.approx(want)
@@ -92,12 +92,22 @@ def test_rank_correlation_with_heavy_ties(spark, window_rows, by):
 def test_salted_join_is_the_plain_join(spark, how, some):
     big = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 7).alias("k"), "id")
     lookup = spark.createDataFrame([(1, "x"), (3, "y"), (9, "z")], "k long, v string")
-    hot = skew.hot_keys(big.groupBy("k").count(), ["k"], "count", limit=3) if some else None
-    got = skew.salted_join(big, lookup, ["k"], how, hot=hot)
+    counts = big.groupBy("k").agg(F.count("*").alias("n")) if some else None
+    got = skew.salted_join(big, lookup, ["k"], how, counts=counts)
     want = big.join(lookup, "k", how)
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
 
 
+def test_salts_follow_the_share_of_a_key(spark):
+    big = spark.range(1000).select(F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("k"))
+    salts = {r.k: r._salts for r in skew.key_salts(big.groupBy("k").agg(F.count("*").alias("n")), ["k"]).collect()}
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert salts == {1: -(-900 * partitions // 1000)}       # one key of nine tenths: cut; the others: not
+    lookup = spark.createDataFrame([(1, "x")], "k long, v string")
+    spread = skew.salted_join(big.withColumn("i", F.monotonically_increasing_id()), lookup, ["k"])
+    assert spread.count() == 900
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_blocked_correlations_agree_with_pandas_with_gaps(spark, block):
     rng = np.random.default_rng(6)
