@@ -504,10 +504,11 @@ def _random_stats(spark, sf):
 
 @query("random_portfolios", with_views(f"""SELECT CAST(size AS BIGINT) AS size,
     {r('median(volatility_pct)')} AS typical_volatility, {r('median(biggest_drop_pct)')} AS typical_drop,
-    {r('min(biggest_drop_pct)')} AS worst_drop, {r('median(return_pct)', 3)} AS typical_return,
-    {r('min(return_pct)', 3)} AS worst_return FROM stats GROUP BY size""", "order_closes", **_RANDOM))
+    {r('min(biggest_drop_pct)')} AS worst_drop, {r('ln(1 + median(return_pct) / 100)')} AS typical_return,
+    {r('ln(1 + min(return_pct) / 100)')} AS worst_return FROM stats GROUP BY size""", "order_closes", **_RANDOM))
 def random_portfolios(spark, sf):
-    return rounded(sig.diversification(_random_stats(spark, sf)), typical_return=3, worst_return=3)
+    out = sig.diversification(_random_stats(spark, sf))     # growth over 2 400 wild days: compared by its log
+    return rounded(out.withColumns({c: F.log1p(F.col(c) / 100.0) for c in ("typical_return", "worst_return")}))
 
 
 @query("random_portfolio_quartiles", with_views(f"""SELECT CAST(size AS BIGINT) AS size,

@@ -489,6 +489,12 @@ def _stored(spark, stream):
     return spark.read.parquet(f"{root}/table")
 
 
+def _bars(spark, sf, width, slide=None):
+    root = _folder(spark)
+    live.listen(live.collect_bars(_trade_stream(spark, sf), f"{root}/parts", f"{root}/checkpoint", width, slide))
+    return live.read_bars(spark, f"{root}/parts")
+
+
 def _plain_times(df):
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c)
                        for c, t in df.dtypes])
@@ -498,20 +504,19 @@ def _bars_sql(width: str, ends: str) -> str:
     return with_views(f"""SELECT symbol, start, "end", open, high, low, close, {r('volume')} AS volume, trades FROM (
         SELECT symbol, start, start + INTERVAL {width} AS "end", first(price ORDER BY ts, trade_id) AS open,
         max(price) AS high, min(price) AS low, last(price ORDER BY ts, trade_id) AS close, sum(size) AS volume,
-        count(*) AS trades FROM spread GROUP BY symbol, start) t
-        WHERE "end" <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM trades)""", "trades", spread=ends)
+        count(*) AS trades FROM spread GROUP BY symbol, start) t""", "trades", spread=ends)
 
 
 @query("stream_minute_bars", _bars_sql("1 MINUTE", "SELECT *, date_trunc('minute', ts) AS start FROM trades"))
 def stream_minute_bars(spark, sf):
-    """Windows still open at the watermark are not out yet."""
-    return rounded(_plain_times(_stored(spark, live.bars(_trade_stream(spark, sf)))))
+    """As many trades in the bars as in the input, however it is cut into batches."""
+    return rounded(_plain_times(_bars(spark, sf, "1 minute")))
 
 
 @query("stream_sliding_bars", _bars_sql("5 MINUTE", """SELECT t.*, date_trunc('minute', ts) - to_minutes(CAST(k AS INTEGER))
     AS start FROM trades t CROSS JOIN (SELECT unnest(generate_series(0, 4)) AS k) s"""))
 def stream_sliding_bars(spark, sf):
-    return rounded(_plain_times(_stored(spark, live.bars(_trade_stream(spark, sf), "5 minutes", "1 minute"))))
+    return rounded(_plain_times(_bars(spark, sf, "5 minutes", "1 minute")))
 
 
 @query("stream_trade_log", with_views(f"""SELECT symbol, count(*) AS trades, {r('sum(size)')} AS shares,
@@ -526,12 +531,7 @@ def stream_trade_log(spark, sf):
 @query("stream_session_state", with_views(f"""SELECT symbol, day, close AS price, high, low,
     {r('(close / open - 1) * 100')} AS change_pct FROM bars""", "bars"))
 def stream_session_state(spark, sf):
-    name = f"session_{uuid.uuid4().hex}"
-    running = (live.session_state(_trade_stream(spark, sf)).writeStream.format("memory").queryName(name)
-               .outputMode("update").option("checkpointLocation", _folder(spark))
-               .trigger(availableNow=True).start())
-    live.listen(running)
-    return rounded(spark.table(name))
+    return rounded(live.session_state(_bars(spark, sf, "1 day")))
 
 
 @query("stream_text_scores", with_views(f"""SELECT md5(text) AS text_hash, {r('any_value(positive)')} AS positive,
@@ -562,4 +562,4 @@ def stream_archive(spark, sf):
     feed = v.as_news(docs).withColumn("published", F.col("published").cast("timestamp"))
     feed = feed.withColumn("seq", F.col("doc_id")).withColumn("symbol", F.get("symbols", F.lit(0))).drop("symbols")
     live.listen(live_stories.archive_batches(feed, f"{root}/archive", f"{root}/cp"))
-    return st.load_archive(spark, f"{root}/archive/batch=0").select(F.md5("headline").alias("headline_hash"), "url")
+    return st.newest_archive(spark, f"{root}/archive").select(F.md5("headline").alias("headline_hash"), "url")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +19,30 @@ def local_session(cores: str = "8", memory: str = "16g", shuffle_partitions: int
             .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's own setting, else (tests) a new one."""
+    """Folder every executor can reach: the one that the cluster names. Only a session of one machine may
+    leave it unset (as in tests); its temporary folder is then shared by all there is."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tapeline-ckpt-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that a lost executor costs one read and not a replay."""
     shared_dir(df.sparkSession)

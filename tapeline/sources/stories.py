@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeline import schema
 from tapeline.functions.textual import site_of
+from tapeline.session import exists
 
 
 def news_for(news: DataFrame, symbol: str, since: str) -> DataFrame:
@@ -24,8 +25,9 @@ def read_rss(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     items = (spark.read.format("xml").option("rowTag", "item").schema(schema.RSS_ITEM).load(path))
     def trimmed(c):
         return F.btrim(F.coalesce(F.col(c), F.lit("")))
-    when = F.to_timestamp(F.regexp_extract("pubDate", r"(\d{1,2} \w{3} \d{4} .*)$", 1),
-                          "d MMM yyyy HH:mm:ss Z")
+    stamp = F.regexp_extract("pubDate", r"(\d{1,2} \w{3} \d{4} .*)$", 1)
+    # with or without seconds; a time that cannot be read is null, and only its story is lost
+    when = F.coalesce(*[F.try_to_timestamp(stamp, F.lit(f"d MMM yyyy {clock} Z")) for clock in ("HH:mm:ss", "HH:mm")])
     named = F.regexp_replace(F.col("pubDate"), r"\s(GMT|UT|UTC|Z)\s*$", " +0000")
     items = items.withColumn("pubDate", named)
     return items.select(when.alias("published"), F.lit(symbol).alias("symbol"),
@@ -34,9 +36,16 @@ def read_rss(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 
 
 def load_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The archive, or an empty table before the first run."""
-    from pyspark.errors import AnalysisException
-    try:
-        return spark.read.schema(schema.ARCHIVE).parquet(path)
-    except AnalysisException:
+    """The archive; an empty table where nothing was ever written. What is there but cannot be read is an
+    error, as a merge would otherwise begin anew."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schema.ARCHIVE)
+    return spark.read.schema(schema.ARCHIVE).parquet(path)
+
+
+def newest_archive(spark: SparkSession, root: str) -> DataFrame:
+    """The last version that the archive's stream wrote."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], schema.ARCHIVE)
+    versions = spark.read.schema(schema.ARCHIVE + ", batch bigint").parquet(root)
+    return versions.where(F.col("batch") == versions.agg(F.max("batch")).scalar()).drop("batch")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapeline import schema
 from tapeline.operators.archive import merge
 from tapeline.operators.scoring import Scorer, new_scores
+from tapeline.session import exists
 from tapeline.sources.stories import load_archive
 
 
@@ -16,10 +16,17 @@ def archive_batches(feed: DataFrame, root: str, checkpoint: str) -> StreamingQue
     """Merge every batch of feed rows (archive columns, `symbol`, `seq`) into the archive.
 
     Batch b writes `root/batch=b` from `root/batch=b-1`, so a retried batch replaces only its own
-    output and gives the same result. Rows are ordered newest first, the link settling ties.
+    output and gives the same result. Rows are ordered newest first, the link settling ties. Only batch 0
+    starts from nothing, and only where there are no later versions: a missing version or a checkpoint that
+    was reset is an error, not an empty archive.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
-        old = load_archive(batch.sparkSession, f"{root}/batch={batch_id - 1}")
+        spark, before = batch.sparkSession, f"{root}/batch={batch_id - 1}"
+        if batch_id and not exists(spark, before):
+            raise FileNotFoundError(f"the archive's version {before} is missing")
+        if not batch_id and exists(spark, f"{root}/batch=1"):
+            raise FileExistsError(f"{root} has versions, but the stream begins anew: its checkpoint was reset")
+        old = load_archive(spark, before)
         placed = old.withColumn("pos", F.struct(-F.unix_micros("published"), "url"))
         merge(placed, batch).drop("is_new").write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
@@ -30,11 +37,10 @@ def archive_batches(feed: DataFrame, root: str, checkpoint: str) -> StreamingQue
 def score_batches(texts: DataFrame, scorer: Scorer, cache: str, checkpoint: str) -> StreamingQuery:
     """Score each text once over all runs; copies and known texts never reach the scorer."""
     def one(batch: DataFrame, batch_id: int) -> None:
-        try:
+        known = None
+        if exists(batch.sparkSession, cache):
             known = (batch.sparkSession.read.schema(schema.SCORES + ", batch bigint").parquet(cache)
                      .where(F.col("batch") < batch_id).drop("batch"))
-        except AnalysisException:
-            known = None
         new_scores(batch, known, scorer).write.mode("overwrite").parquet(f"{cache}/batch={batch_id}")
 
     return (texts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

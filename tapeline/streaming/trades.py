@@ -21,8 +21,10 @@ def file_trades(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 def bars(trades: DataFrame, width: str = "1 minute", slide: str | None = None,
          late: str = "2 minutes") -> DataFrame:
-    """OHLCV bars per symbol and window. State holds one row per open window and symbol; partial
-    aggregation combines a busy symbol's trades before they move."""
+    """OHLCV bars per symbol and window, put out once a window is `late` behind the newest trade. State holds
+    one row per open window and symbol; partial aggregation combines a busy symbol's trades before they
+    move. For live feeds: trades later than `late` are dropped and the last windows stay open. Stored
+    trades go through `collect_bars`, which loses none."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     at = moment()
     return (trades.withWatermark("ts", late).groupBy(window.alias("w"), "symbol").agg(
@@ -33,14 +35,39 @@ def bars(trades: DataFrame, width: str = "1 minute", slide: str | None = None,
                 "open", "high", "low", "close", "volume", "trades"))
 
 
-def session_state(trades: DataFrame, late: str = "1 day") -> DataFrame:
-    """Latest price, high, low and change since the open of each symbol's day (update mode)."""
-    at = moment()
-    daily = trades.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "symbol")
-    out = daily.agg(F.max_by("price", at).alias("price"), F.max("price").alias("high"),
-                    F.min("price").alias("low"), F.min_by("price", at).alias("open"))
-    return out.select("symbol", F.to_date("w.start").alias("day"), "price", "high", "low",
-                      ((F.try_divide(F.col("price"), F.col("open")) - 1.0) * 100.0).alias("change_pct"))
+def collect_bars(trades: DataFrame, root: str, checkpoint: str, width: str = "1 minute", slide: str | None = None) -> StreamingQuery:
+    """Every batch's part of each bar, written under `root/batch=b`; `read_bars` puts the parts together.
+
+    Nothing is held in state and nothing is too late: the bars equal those of the whole input, in whatever
+    order and number of batches it comes. A retried batch replaces its own parts.
+    """
+    window = F.window("ts", width, slide) if slide else F.window("ts", width)
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        at = moment().alias("at")
+        entry = F.struct(at, F.col("price").alias("price"))
+        parts = batch.groupBy(window.alias("w"), "symbol").agg(
+            F.min_by(entry, at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+            F.max_by(entry, at).alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trades"))
+        parts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "symbol", "open", "high", "low", "close",
+                     "volume", "trades").write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return (trades.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_bars(spark: SparkSession, root: str) -> DataFrame:
+    """Bars from the parts that `collect_bars` has written so far."""
+    parts = spark.read.parquet(root)
+    return parts.groupBy("symbol", "start", "end").agg(
+        F.min_by("open.price", "open.at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close.price", "close.at").alias("close"), F.sum("volume").alias("volume"), F.sum("trades").alias("trades"))
+
+
+def session_state(day_bars: DataFrame) -> DataFrame:
+    """Latest price, high, low and change since the open of each symbol's day, from bars of one day."""
+    return day_bars.select("symbol", F.to_date("start").alias("day"), F.col("close").alias("price"), "high", "low",
+                           ((F.try_divide(F.col("close"), F.col("open")) - 1.0) * 100.0).alias("change_pct"))
 
 
 def store(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,

@@ -86,6 +86,36 @@ def test_stream_bars_equal_batch_bars_over_several_batches(spark, tmp_path):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, batch.select(got.columns).collect()))
 
 
+def test_collected_bars_lose_no_trade_in_any_order(spark, tmp_path):
+    parts = [[("A", "2024-01-03 10:30:00", 9)], [("A", "2024-01-01 10:00:30", 7), ("B", "2024-01-01 10:00:02", 1)],
+             [("A", "2024-01-02 10:01:10", 6)], [("A", "2024-01-01 10:00:59", 4), ("A", "2024-01-01 10:00:01", 5)]]
+    path = trades(spark, tmp_path, parts)
+    for width, unit in (("1 minute", "minute"), ("1 day", "day")):
+        root = str(tmp_path / unit)
+        live.listen(live.collect_bars(live.file_trades(spark, path, 1), root, root + "-cp", width))
+        got = live.read_bars(spark, root).select("symbol", "start", "open", "high", "low", "close", "volume")
+        batch = trade_bars(spark.read.parquet(path), F.date_trunc(unit, "ts"), "start").select(got.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, batch.collect()))
+        assert spark.read.parquet(root).select("batch").distinct().count() == 4
+    state = {(r.symbol, str(r.day)): r.price for r in live.session_state(live.read_bars(spark, str(tmp_path / "day"))).collect()}
+    assert state == {("A", "2024-01-01"): 4.0, ("B", "2024-01-01"): 1.0, ("A", "2024-01-02"): 6.0, ("A", "2024-01-03"): 9.0}
+
+
+def test_an_archive_does_not_begin_anew_unasked(spark, tmp_path):
+    import pytest
+    from tapeline.session import exists, shared_dir
+    (tmp_path / "arc" / "batch=1").mkdir(parents=True)
+    assert exists(spark, str(tmp_path / "arc")) and not exists(spark, str(tmp_path / "none"))
+    assert st.newest_archive(spark, str(tmp_path / "none")).count() == 0
+    feed_rows = [("2024-01-01 10:00:00", "A", "x.example", "h", "s", "https://x.example/1", 1)]
+    feed = spark.createDataFrame(feed_rows, "published string, symbol string, source string, headline string, summary string, url string, seq long")
+    feed.withColumn("published", F.to_timestamp("published")).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "feed")).schema).parquet(str(tmp_path / "feed"))
+    with pytest.raises(Exception, match="checkpoint was reset"):
+        live.listen(live_stories.archive_batches(stream, str(tmp_path / "arc"), str(tmp_path / "cp")))
+    assert shared_dir(spark)
+
+
 def test_trade_log_is_complete_and_resumes(spark, tmp_path):
     path = trades(spark, tmp_path, [[("A", "2024-01-01 10:00:01", 5)]])
     def run():
