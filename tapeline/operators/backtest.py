@@ -86,6 +86,15 @@ def leaderboard(closes: DataFrame, ma_rows: int, cost: float = fixed.SWITCH_COST
                             .otherwise("hold"))
 
 
+def describe(closes: DataFrame) -> DataFrame:
+    """Buy & hold of each symbol: what 100 became, return, daily standard deviation and worst drawdown."""
+    rows = with_drawdown(growth_path(daily_returns(closes).where(F.col("r").isNotNull())))
+    last = F.max_by("growth", "day")
+    return rows.groupBy("symbol").agg(
+        last.alias("grown_100"), (last - 100.0).alias("return_pct"), (F.stddev_samp("r") * 100.0).alias("daily_std_pct"),
+        F.min("drawdown_pct").alias("biggest_drop_pct"), F.count(F.lit(1)).alias("days"))
+
+
 def cost_effect(closes: DataFrame, ma_rows: int, skip_rows: int = 0,
                 cost: float = fixed.SWITCH_COST) -> DataFrame:
     """Growth of the rule with and without the cost of switching, from row `skip_rows` on."""

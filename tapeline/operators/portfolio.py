@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapeline.functions.finance import annualise
 from tapeline.operators.backtest import grown
 from tapeline.operators.prices import so_far
+from tapeline.operators.ranking import spearman
 from tapeline.operators.skew import salted_join
 
 P = ("portfolio_id",)
@@ -225,3 +226,28 @@ def excluded_money(holdings: DataFrame, left_out: DataFrame) -> DataFrame:
     return joined.select("portfolio_id", "total", F.coalesce("excluded", F.lit(0.0)).alias("excluded"),
                          (F.try_divide(F.coalesce("excluded", F.lit(0.0)), F.col("total")) * 100.0)
                          .alias("excluded_pct"))
+
+
+def cash_share(holdings: DataFrame, cash: DataFrame) -> DataFrame:
+    """Money invested, cash and the cash's share in % of each account."""
+    invested = holdings.groupBy("portfolio_id").agg(F.sum("value").alias("invested"))
+    both = invested.join(cash.select("portfolio_id", "cash"), "portfolio_id", "left").withColumn("cash", F.coalesce("cash", F.lit(0.0)))
+    return both.withColumn("cash_pct", F.try_divide(F.col("cash"), F.col("cash") + F.col("invested")) * 100.0)
+
+
+def swing_money(holdings: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Money of a typical and of a bad month of each holding; `ranges` has typical_pct and bad_pct."""
+    return holdings.select("portfolio_id", "symbol", "value").join(ranges.select("symbol", "typical_pct", "bad_pct"), "symbol").select(
+        "portfolio_id", "symbol", (F.col("value") * F.col("typical_pct") / 100.0).alias("typical_money"),
+        (F.col("value") * F.col("bad_pct") / 100.0).alias("bad_money"))
+
+
+def mean_rank_persistence(years: DataFrame, values: Sequence[str] = ("volatility_pct", "return_pct")) -> DataFrame:
+    """(measure, rank_corr, years): the mean over pairs of neighbouring years of how alike the ranks are."""
+    out = None
+    for value in values:
+        each = spearman(year_pairs(years, value), "this", "next", ["year"])
+        mean = each.agg(F.avg("rank_corr").alias("rank_corr"), F.count("rank_corr").alias("years")).select(
+            F.lit(value).alias("measure"), "rank_corr", "years")
+        out = mean if out is None else out.unionByName(mean)
+    return out

@@ -126,3 +126,12 @@ def top_performers(closes: DataFrame, period_rows: int) -> DataFrame:
                         ((F.try_divide(F.col("close"), F.col("_base")) - 1.0) * 100.0).alias("return_pct"),
                         F.coalesce("vol", "ewma").alias("volatility_pct"))
     return monthly_ranges(table)
+
+
+def best_and_worst(table: DataFrame, by: str = "return_pct", k: int = 5) -> DataFrame:
+    """The k best and the k worst rows by one column, then symbol, with their place; missing values last.
+    Both ends are top-k reports of a set length."""
+    def end(order: Column, name: str) -> DataFrame:
+        few = table.orderBy(order, "symbol").limit(k)
+        return few.withColumn("end", F.lit(name)).withColumn("place", F.row_number().over(Window.orderBy(order, "symbol")))
+    return end(F.col(by).desc_nulls_last(), "best").unionByName(end(F.col(by).asc_nulls_last(), "worst"))

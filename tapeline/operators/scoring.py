@@ -43,7 +43,13 @@ def new_scores(texts: DataFrame, cache: DataFrame | None, scorer: Scorer, text:
 
 
 def extended_cache(cache: DataFrame | None, fresh: DataFrame) -> DataFrame:
-    return fresh if cache is None else cache.unionByName(fresh).dropDuplicates(["text"])
+    """Old and new scores; of a text that is in both the old score stays. A text twice in one of them keeps
+    its smallest score."""
+    if cache is None:
+        return fresh
+    first = F.min(F.struct("_new", *fixed.LABELS))
+    both = cache.withColumn("_new", F.lit(1)).unionByName(fresh.withColumn("_new", F.lit(2)))
+    return both.groupBy("text").agg(first.alias("_s")).select("text", *[F.col(f"_s.{c}").alias(c) for c in fixed.LABELS])
 
 
 def attach_scores(texts: DataFrame, scores: DataFrame, text: str = "text") -> DataFrame:

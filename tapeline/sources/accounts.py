@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeline import schema
@@ -26,5 +28,6 @@ def newest_run(log: DataFrame) -> DataFrame:
     return log.join(last, ["portfolio_id", "time"], "left_semi")
 
 
-def newest_rows(log: DataFrame, k: int = 20) -> DataFrame:
-    return log.orderBy(F.desc("time"), "portfolio_id", "symbol").limit(k)
+def newest_rows(log: DataFrame, k: int = 20, ties: Sequence[str] = ()) -> DataFrame:
+    """The k newest rows, a report of a set length."""
+    return log.orderBy(F.desc("time"), "portfolio_id", "symbol", *ties).limit(k)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeline import schema
 from tapeline.functions.textual import article_id
+from tapeline.session import exists
 
 
 def save_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
@@ -19,8 +20,11 @@ def save_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:
-    """Append one run to the log, one folder per run date."""
-    decisions.write.mode("append").partitionBy("run_date").parquet(path)
+    """Add one run to the log, one folder per run date and run. A rerun of the same run (its `time`) replaces
+    what it wrote before."""
+    run = F.date_format("time", "yyyyMMdd'T'HHmmss").alias("run")
+    decisions.select("*", run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run_date", "run").parquet(path)
 
 
 def save_version(df: DataFrame, root: str) -> str:
@@ -32,10 +36,14 @@ def save_version(df: DataFrame, root: str) -> str:
 
 
 def save_articles(extracted: DataFrame, path: str) -> None:
-    """Append the texts that were worth saving, keyed by a hash of the link."""
-    saved = extracted.where(F.col("text_status") == "saved")
-    saved.select(article_id(F.col("url")).alias("article_id"), "url", "text",
-                 F.col("n_chars").cast("int")).write.mode("append").parquet(path)
+    """Add the texts that were worth saving, one per hash of the link; those already there stay as they are."""
+    saved = extracted.where(F.col("text_status") == "saved").select(
+        article_id(F.col("url")).alias("article_id"), "url", "text", F.col("n_chars").cast("int"))
+    saved = saved.dropDuplicates(["article_id"])
+    if exists(saved.sparkSession, path):
+        known = saved.sparkSession.read.schema(schema.ARTICLES).parquet(path).select("article_id")
+        saved = saved.join(known, "article_id", "left_anti")
+    saved.write.mode("append").parquet(path)
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
