@@ -47,7 +47,7 @@ def uniform(*cols: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST,
-        quality: str | None = None, whole: bool = False, share: int = 20_000) -> DataFrame:
+        quality: str | None = None, whole: bool = False, share: int = 2_000) -> DataFrame:
     """Rows (doc_id, source, size[, quality]) with source_size, target and taken. Sizes of null or below 1
     take nothing; a null or non-positive quality counts as 1; repeated rows are documents of their own, of
     the same key. Columns named like results are replaced, others stay. No rows in, none out."""
