@@ -196,21 +196,21 @@ def slots(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:
         ["length", "first"], ignore_index=True)
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], share: int = 50_000) -> DataFrame:
-    """`rows` with rank, from 0, within each group, without gathering a group: groups are cut into parts of
-    about `share` rows by a hash of `order`; ranks count on from part to part."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).select(group, F.ceil(F.col("__n") / share).alias("__parts"))
-    cut = rows.join(sizes, group).withColumn("__part", F.pmod(F.xxhash64(*order), F.col("__parts")))
+def numbered(rows: DataFrame, group: str, order: list[str], parts: int) -> DataFrame:
+    """`rows` with rank, from 0, within each group, without gathering a group: every group is cut into
+    `parts` by a hash of `order`, and ranks count on from part to part."""
+    cut = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
     part = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy(group, "__part").agg(F.count("*").alias("__n")).select(
         group, "__part", F.coalesce(F.sum("__n").over(part), F.lit(0)).alias("__before"))
     own = Window.partitionBy(group, "__part").orderBy(*order)
     return (cut.withColumn("__own", F.row_number().over(own) - 1).join(before, [group, "__part"])
-            .withColumn("rank", F.col("__own") + F.col("__before")).drop("__parts", "__part", "__own", "__before"))
+            .withColumn("rank", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before"))
 
 
-def packed(cut: DataFrame, length: int = 1024) -> DataFrame:
-    """Pieces with sequence_id and offset. Empty in, empty out; any other columns stay."""
+def packed(cut: DataFrame, length: int = 1024, share: int = 2_000) -> DataFrame:
+    """Pieces with sequence_id and offset; they are numbered in parts of about `share` rows. Empty in, empty
+    out; any other columns stay."""
     cut = reliable(cut)
     counts = np.zeros(length + 1, np.int64)
     for size, n in cut.groupBy("length").count().collect():          # at most `length` rows
@@ -229,7 +229,7 @@ def packed(cut: DataFrame, length: int = 1024) -> DataFrame:
             yield f.drop(columns="rank")
 
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in cut.columns]
-    ranked = numbered(cut, "length", order).withColumns(
+    ranked = numbered(cut, "length", order, max(1, -(-int(counts.sum()) // share))).withColumns(
         {"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
     return ranked.select(*cut.columns, "sequence_id", "offset", "rank").mapInPandas(
         place, cut.withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")}).schema)
