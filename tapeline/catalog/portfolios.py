@@ -10,7 +10,7 @@ from tapeline.catalog.market import (D, complete_sql, ewma_sql, full_sql, path_s
 from tapeline.catalog.views import with_views
 from tapeline.functions import finance as fin
 from tapeline.operators import (alerts, currency as cur, dividends as dv, planning as pl,
-                                portfolio as pf, prices as px)
+                                mixes, portfolio as pf, prices as px)
 from tapeline.plans import bot, health, outlook
 from tapeline.sources import accounts, market, reference
 
@@ -72,9 +72,8 @@ BOOK = {"complete": complete_sql("(SELECT * FROM order_closes)"), "steps": retur
         "daily": "SELECT portfolio_id, day, sum(weight * r) AS r FROM book GROUP BY portfolio_id, day"}
 
 
-def _book(spark, sf):
-    weights = pf.held_weights(v.holdings(spark, sf))
-    return pf.open_book(px.complete_returns(v.order_closes(spark, sf)), weights)
+def _parts(spark, sf):
+    return px.complete_returns(v.order_closes(spark, sf)), pf.held_weights(v.holdings(spark, sf))
 
 
 @query("mix_evaluation", with_views(f"""SELECT portfolio_id, {r('ln(product(1 + r))')} AS grown_100,
@@ -84,7 +83,7 @@ def _book(spark, sf):
     USING (portfolio_id) GROUP BY portfolio_id""", "order_closes", "holdings", **BOOK,
     **path_steps("daily", "portfolio_id")))
 def mix_evaluation(spark, sf):
-    out = pf.evaluate_mix(_book(spark, sf))
+    out = mixes.evaluate_mixes(*_parts(spark, sf))
     return rounded(out.withColumn("grown_100", F.log(F.col("grown_100") / 100.0)))
 
 
@@ -95,7 +94,7 @@ def mix_evaluation(spark, sf):
     FROM book b JOIN daily d USING (portfolio_id, day) GROUP BY portfolio_id, symbol, weight""",
     "order_closes", "holdings", **BOOK))
 def risk_shares(spark, sf):
-    out = pf.risk_shares(_book(spark, sf))
+    out = mixes.mix_risk_shares(*_parts(spark, sf))
     flag = F.coalesce(fin.risk_flag(F.col("risk_pct"), F.col("weight") * 100.0), F.lit(False))
     return rounded(out.withColumn("flagged", flag))
 
@@ -106,7 +105,7 @@ def risk_shares(spark, sf):
     GROUP BY portfolio_id, year""", "order_closes", "holdings", **BOOK,
     years="SELECT *, CAST(year(day) AS BIGINT) AS year FROM daily", **path_steps("years", "portfolio_id, year")))
 def yearly_portfolio_stats(spark, sf):
-    return rounded(pf.yearly_stats(_book(spark, sf)))
+    return rounded(mixes.yearly_mixes(*_parts(spark, sf)))
 
 
 _SWAPPED = {
@@ -133,8 +132,7 @@ def swap_what_if(spark, sf):
     returns = px.complete_returns(v.order_closes(spark, sf))
     weights = pf.held_weights(v.holdings(spark, sf))
     changed = pf.normalise(pf.swap(weights, "1-URGENT", FUND, 0.20))
-    return pf.compare_years(pf.yearly_stats(pf.open_book(returns, weights)),
-                            pf.yearly_stats(pf.open_book(returns, changed)))
+    return pf.compare_years(mixes.yearly_mixes(returns, weights), mixes.yearly_mixes(returns, changed))
 
 
 # --- health check -------------------------------------------------------------------------------

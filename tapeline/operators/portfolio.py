@@ -53,12 +53,6 @@ def profit_and_loss(holdings: DataFrame, keys: Sequence[str] = P) -> DataFrame:
             .withColumn("share_pct", _share("value", keys) * 100.0))
 
 
-def open_book(returns: DataFrame, weights: DataFrame, keys: Sequence[str] = P) -> DataFrame:
-    """Weights meet the returns of their symbols. A symbol many portfolios hold is spread by salt."""
-    laid_out = weights.select(*keys, "symbol", "weight").repartition(*keys)
-    return salted_join(laid_out, returns.select("symbol", "day", "r"), ["symbol"])
-
-
 def uncovered(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """Holdings without any return. The mix is undefined for their portfolios."""
     return weights.join(returns.select("symbol").distinct(), "symbol", "left_anti")
@@ -147,24 +141,6 @@ def growth(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     return series.withColumn("growth", 100.0 * F.product(1.0 + F.col("r")).over(so_far(keys)))
 
 
-def evaluate_mix(book: DataFrame, keys: Sequence[str] = P) -> DataFrame:
-    """One row per portfolio: growth, volatility, drawdown, effective number of holdings.
-
-    Every day of a book has all holdings, so the sum of squared weights is taken along the way.
-    """
-    w = F.col("weight")
-    series = book.groupBy(*keys, "day").agg(F.sum(w * F.col("r")).alias("r"), F.sum(w * w).alias("_w2"))
-    return path_stats(series, keys, effective=F.try_divide(F.lit(1.0), F.max("_w2")))
-
-
-def yearly_stats(book: DataFrame, keys: Sequence[str] = P) -> DataFrame:
-    """The mix one calendar year at a time; growth starts again at 100 each year."""
-    series = mix_returns(book, keys).withColumn("year", F.year("day"))
-    stats = path_stats(series, [*keys, "year"])
-    return stats.select(*keys, "year", (F.col("grown_100") - 100.0).alias("return_pct"),
-                        "volatility_pct", "biggest_drop_pct", "days")
-
-
 def symbol_years(returns: DataFrame) -> DataFrame:
     """The same statistics for each symbol on its own."""
     series = returns.select("symbol", "day", "r").withColumn("year", F.year("day"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import as_dict, closes, returns, weekdays
 from tapeline.functions import finance as fin
-from tapeline.operators import alerts, currency as cur, dividends as dv, planning as pl, portfolio as pf
+from tapeline.operators import alerts, currency as cur, dividends as dv, mixes, planning as pl, portfolio as pf
 from tapeline.plans import bot, health, outlook
 from tapeline.sources import reference
 
@@ -27,7 +27,7 @@ def test_years_start_again_at_100(spark):
     rows = [("A", d.date(), 0.001) for d in days]
     df = spark.createDataFrame(rows, "symbol string, day date, r double")
     w = spark.createDataFrame([(1, "A", 1.0)], "portfolio_id int, symbol string, weight double")
-    got = {r.year: r for r in pf.yearly_stats(pf.open_book(df, w)).collect()}
+    got = {r.year: r for r in mixes.yearly_mixes(df, w).collect()}
     for year in (2024, 2025):
         n = int((days.year == year).sum())
         assert got[year].days == n and got[year].return_pct == pytest.approx((1.001 ** n - 1) * 100)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import as_dict, closes, returns
-from tapeline.operators import correlation as co, portfolio as pf, ranking, risk, skew
+from tapeline.operators import correlation as co, mixes, ranking, risk, skew
 
 
 def ewma(r, lam=0.94):
@@ -137,7 +137,37 @@ def test_risk_shares_equal_the_matrix_form(spark):
     wide = frame(300)
     w = pd.Series({"CALM": .5, "WILD": .3, "TURN": .2})
     weights = spark.createDataFrame([(1, s, float(x)) for s, x in w.items()], "portfolio_id int, symbol string, weight double")
-    got = as_dict(pf.risk_shares(pf.open_book(returns(spark, wide), weights)), "symbol", "risk_pct")
+    got = as_dict(mixes.mix_risk_shares(returns(spark, wide), weights), "symbol", "risk_pct")
     cov = wide[w.index].cov()
     want = w * (cov @ w) / (w @ cov @ w) * 100
     assert got == pytest.approx(want.to_dict()) and sum(got.values()) == pytest.approx(100)
+
+
+def test_mixes_with_gaps_match_a_plain_reading_in_any_blocks(spark):
+    wide = frame(120).mask(np.random.default_rng(3).random((120, 3)) < .2)
+    held = {1: {"CALM": .5, "WILD": .3, "TURN": .2}, 2: {"WILD": 1.0}, 3: {"CALM": .4, "NONE": .6}, 4: {"NONE": 1.0}}
+    weights = spark.createDataFrame([(p, s, w) for p, m in held.items() for s, w in m.items()], "portfolio_id int, symbol string, weight double")
+    want = {}
+    for p in (1, 2, 3):
+        own = {s: w for s, w in held[p].items() if s != "NONE"}
+        part = wide[list(own)].dropna(how="all")
+        r = (part * pd.Series(own)).sum(axis=1)
+        path = (1 + r).cumprod()
+        want[p] = (100 * path.iloc[-1], r.std() * np.sqrt(252) * 100, (path / path.cummax() - 1).min() * 100, len(r))
+    for holdings in (1, 2000):
+        got = {r.portfolio_id: (r.grown_100, r.volatility_pct, r.biggest_drop_pct, r.days)
+               for r in mixes.over_mixes(returns(spark, wide), weights, lambda h, b, d: [(100 * float(np.prod(1 + mixes._daily(h["weight"].to_numpy(), b))),
+                                         *mixes._path(mixes._daily(h["weight"].to_numpy(), b))[1:], len(d))],
+                                         "grown_100 double, volatility_pct double, biggest_drop_pct double, days bigint", holdings=holdings).collect()}
+        assert set(got) == {1, 2, 3}
+        for p in want:
+            assert got[p] == pytest.approx(want[p])
+    assert mixes.evaluate_mixes(returns(spark, wide), weights.limit(0)).count() == 0
+
+
+def test_no_row_per_holding_and_day_is_shuffled(spark):
+    wide = frame(50)
+    weights = spark.createDataFrame([(1, "CALM", 1.0)], "portfolio_id int, symbol string, weight double")
+    plan = mixes.mix_risk_shares(returns(spark, wide), weights)._jdf.queryExecution().executedPlan().toString()
+    assert "portfolio_id#" not in "".join(x for x in plan.splitlines() if "Exchange" in x and "day" in x)
+    assert "Window" not in plan
