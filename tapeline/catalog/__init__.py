@@ -21,9 +21,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _nudge(decimals: int) -> float:
-    """Averages of decimal prices often end exactly on a rounding tie, which the last bit of a
-    sum decides; moving every value by about a hundredth of the unit keeps clear of that."""
-    return 0.0123 * 10.0 ** -decimals
+    """Averages of decimal prices often end exactly on a rounding tie, which the last bit of a sum decides:
+    what is within a thousandth of the unit below a tie rounds up."""
+    return 0.001 * 10.0 ** -decimals
 
 
 def rounded(df: DataFrame, decimals: int = 6, **special: int) -> DataFrame:

@@ -203,7 +203,7 @@ def health_growth(spark, sf):
 @query("health_correlations", with_views(f"""SELECT a.portfolio_id, a.symbol AS sym_a, b.symbol AS sym_b,
     {r('corr(a.r, b.r)')} AS corr, count(*) AS n_days FROM hbook a JOIN hbook b
     ON a.portfolio_id = b.portfolio_id AND a.day = b.day AND a.symbol < b.symbol
-    WHERE a.weight IS NOT NULL AND b.weight IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 3""",
+    WHERE a.weight IS NOT NULL AND b.weight IS NOT NULL GROUP BY 1, 2, 3""",
     "order_closes", "holdings", **{k: s for k, s in HEALTH.items() if k != "hpositions"}))
 def health_correlations(spark, sf):
     return rounded(_health(spark, sf).correlations)

@@ -6,11 +6,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql_and_the_flagship_runs(spark):
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from tapeline.catalog import QUERIES, SQL
+    assert set(QUERIES) == set(SQL) and set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", ["trend_leaderboard", "news_days", "rule_alerts", "dividend_summary", "crawl_checks"])
+@pytest.mark.parametrize("name", ["trend_leaderboard", "news_days", "rule_alerts", "dividend_summary", "crawl_checks", "hold_by_split", "alike_pairs",
+                                  "decision_log_newest_rows", "saved_articles", "rss_items", "stream_minute_bars"])
 def test_sample_of_queries_agrees_with_sql(spark, name):
     from oracle import compare, connect
     ok, note = compare(connect(SF), entry.queries()[name](spark, SF), entry.oracle_sql()[name])
