@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tapeline.functions.finance import pct
-from tapeline.operators.portfolio import _share, with_sector, P
+from tapeline.operators.portfolio import _share, holders, with_sector, P
+from tapeline.operators.skew import salted_join
 
 
 def holdings_moves(holdings: DataFrame, recent: DataFrame) -> DataFrame:
     """Each holding with its latest moves and its share of the money; no data leaves nulls."""
     shared = holdings.withColumn("share_pct", _share("value", P) * 100.0)
-    return shared.join(recent.select("symbol", "close", "day_pct", "month_pct"), "symbol", "left")
+    return salted_join(shared, recent.select("symbol", "close", "day_pct", "month_pct"), ["symbol"], "left",
+                       counts=holders(holdings))
 
 
 def portfolio_day(moved: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tapeline.functions.finance import currency_part_pct, euro_return, euro_total_pct
 from tapeline.operators.prices import fill_forward
+from tapeline.operators.skew import salted_join
 
 
 def to_euro_prices(closes: DataFrame, rates: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def mix_in_both(holdings: DataFrame, changes: DataFrame, fx_pct: str = "fx_pct")
 
     `changes(symbol, usd_pct, fx_pct)`.
     """
-    covered = holdings.join(changes.where(F.col("usd_pct").isNotNull()), "symbol")
+    covered = salted_join(holdings, changes.where(F.col("usd_pct").isNotNull()), ["symbol"])
     value = F.col("value")
     mixed = covered.groupBy("portfolio_id").agg(
         F.try_divide(F.sum(value * F.col("usd_pct")), F.sum(value)).alias("usd_pct"),

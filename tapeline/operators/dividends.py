@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tapeline.operators.prices import timeline
+from tapeline.operators.skew import salted_join
 
 
 def dividend_facts(dividends: DataFrame, today: str) -> DataFrame:
@@ -36,9 +37,8 @@ def dividend_facts(dividends: DataFrame, today: str) -> DataFrame:
 def summarise(dividends: DataFrame, prices: DataFrame, holdings: DataFrame, today: str) -> DataFrame:
     """One row per holding. A missing (or zero) price leaves the yield unknown unless nothing was paid."""
     facts = dividend_facts(dividends, today)
-    rows = (holdings.select("portfolio_id", "symbol", "value")
-            .join(facts, "symbol", "left")
-            .join(prices.select("symbol", "price"), "symbol", "left")
+    both = facts.join(prices.select("symbol", "price"), "symbol", "full")         # one row per symbol on either side
+    rows = (salted_join(holdings.select("portfolio_id", "symbol", "value"), both, ["symbol"], "left")
             .withColumn("payments_12m", F.coalesce("payments_12m", F.lit(0)))
             .withColumn("per_share_12m", F.coalesce("per_share_12m", F.lit(0.0)))
             .withColumn("next_is", F.coalesce("next_is", F.lit("-"))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tapeline.functions.finance import decision, mirror_label, order_side, whole_shares
 from tapeline.operators.portfolio import P, normalise
+from tapeline.operators.skew import salted_join
 
 
 def _side_by_side(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
@@ -55,7 +56,7 @@ def scale_to_total(target: DataFrame, total: float) -> DataFrame:
 
 def screen_tradable(target: DataFrame, assets: DataFrame) -> DataFrame:
     """Target holdings with the reason they cannot be traded, null when they can."""
-    joined = target.join(assets.select("symbol", "tradable", "fractionable"), "symbol", "left")
+    joined = salted_join(target, assets.select("symbol", "tradable", "fractionable"), ["symbol"], "left")
     reason = (F.when(F.col("tradable").isNull(), "not found")
               .when(~F.col("tradable"), "not tradable")
               .when(~F.col("fractionable"), "whole shares only"))
@@ -74,8 +75,8 @@ def transition_plan(holdings: DataFrame, split: DataFrame, funds: DataFrame, mon
     `split(portfolio_id, symbol, weight)` is scaled to one. Each month is a straight line from
     today's value, so no month depends on the one before.
     """
-    flagged = holdings.select("portfolio_id", "symbol", "value").join(
-        funds.select("symbol", F.lit(True).alias("_fund")), "symbol", "left")
+    flagged = salted_join(holdings.select("portfolio_id", "symbol", "value"),
+                          funds.select("symbol", F.lit(True).alias("_fund")), ["symbol"], "left")
     sold = F.col("_fund").isNull()
     if keep:
         sold = sold & ~F.col("symbol").isin(*keep)

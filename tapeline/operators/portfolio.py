@@ -155,6 +155,11 @@ def year_pairs(years: DataFrame, value: str) -> DataFrame:
     return years.select("symbol", "year", F.col(value).alias("this")).join(following, ["symbol", "year"])
 
 
+def holders(holdings: DataFrame) -> DataFrame:
+    """How many rows each symbol has: what a join on symbol is balanced by."""
+    return holdings.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
 def with_sector(df: DataFrame, sectors: DataFrame) -> DataFrame:
     """Sector by symbol, Other when unknown. No hint: small tables are broadcast by their size."""
     return (df.join(sectors.select("symbol", "sector"), "symbol", "left")

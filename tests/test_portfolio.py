@@ -216,3 +216,13 @@ def test_rules_are_strict_exempt_funds_and_can_be_off(spark):
     assert fired(max_sector_pct=59.0, daily_move_pct=5.0) == {("sector", "T"), ("daily move", "A")}
     day = alerts.portfolio_day(moved).first()
     assert day.day_pct == pytest.approx((-6 * 30 + 1 * 40) / 70) and day.missing == 1
+
+
+def test_a_symbol_that_nine_of_ten_portfolios_hold_is_spread(spark):
+    rows = [(p, "HOT" if p % 10 else "COLD", 1.0) for p in range(400)]
+    held_by_many = spark.createDataFrame(rows, "portfolio_id long, symbol string, value double")
+    recent = spark.createDataFrame([("HOT", 5.0, 1.0, 2.0)], "symbol string, close double, day_pct double, month_pct double")
+    out = alerts.holdings_moves(held_by_many, recent)
+    assert out.where("day_pct = 1.0").count() == 360 and out.count() == 400
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
