@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tapeline.llm.common import NO_ID, as_bytes, components, reliable, slices
 
@@ -205,29 +205,49 @@ def classes(fps: DataFrame, key: str = "doc_id", width: int = 1, total: int = FL
 STAGE_SEEDS, STAGE_TOTAL = (42, 43, 44), 22
 
 
-def _jaccard(words: int):
-    def sets(text: bytes) -> set[int]:
-        t = text.lower().split()
-        grams = [b" ".join(t[i:i + words]) for i in range(max(1, len(t) - words + 1))]
-        return {xxhash.xxh64_intdigest(g) for g in grams}
+#: Of a component, so many documents are settled among themselves per round, beside so many of the others.
+HEADS, OTHERS = 256, 1000
 
+
+def _shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    t = text.lower().split()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(t[i:i + words])) for i in range(max(1, len(t) - words + 1))), np.uint64))
+
+
+def _settle(similarity: float, words: int):
+    """Rows (root, salt, later, node, fp, text), sorted, to (node, later, gone). The heads (later = 0) come
+    first in the order of their names: one that is alike to a kept head goes. Others go if they are alike to
+    a kept head. Only pairs whose fingerprints link are verified."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
-            out, last, first = [], None, set()
-            for own, root in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if root != last:
-                    last, first = root, sets(root)
-                mine = sets(own)
-                both = len(mine & first)
-                out.append(both / (len(mine) + len(first) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["node", "alike"])
+        group, fps, sets = None, [], []
+        for b in slices(batches, 128):
+            out = []
+            for root, salt, later, fp, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+                if (root, salt) != group:
+                    group, fps, sets = (root, salt), [], []
+                own, mine = np.frombuffer(fp, ">u8").astype(np.uint64), _shingles(text, words)
+                gone = False
+                if fps:
+                    diff = np.bitwise_count(np.array(fps) ^ own)
+                    for i in np.flatnonzero((diff.min(1) <= FLIPS) & (diff.sum(1) <= STAGE_TOTAL)):
+                        both = len(np.intersect1d(mine, sets[i], assume_unique=True))
+                        if both >= similarity * (len(mine) + len(sets[i]) - both):
+                            gone = True
+                            break
+                if not later and not gone:
+                    fps.append(own)
+                    sets.append(mine)
+                out.append(gone)
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), b.column(2), pa.array(out, pa.bool_())], ["node", "salt", "later", "gone"])
     return run
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """Documents without exact and near copies, columns unchanged. Equal texts are one node, kept by the
-    smallest doc_id (null last). Components over fingerprints are split by their texts: a node goes only if
-    its shingles of five words are at least 0.8 alike (Jaccard) to those of a node that stays. Rows with
+    smallest doc_id (null last). Components over fingerprints are settled by their texts, in that order: a
+    node goes only if its fingerprint links to that of a node that stays and their shingles of five words
+    are at least 0.8 alike (Jaccard). Rows with
     null or empty texts are one group; repeated rows with the same doc_id and text stay once."""
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     named = docs.withColumn("__text", F.unhex(F.substring(F.sha2(as_bytes("text"), 256), 1, 32))).withColumn("__id", order)
@@ -242,19 +262,22 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFr
     left = reliable(comp.join(crowded, "root"))
     gone = None
     if not left.isEmpty():
-        wanted = nodes.join(left.select("node"), "node").select("__text", "__id", "node")
+        wanted = nodes.join(left.select("node"), "node").select("__text", "__id", "node", "fp")
         texts = reliable(named.select("__text", "__id", as_bytes("text").alias("text")).join(wanted, ["__text", "__id"])
-                         .dropDuplicates(["__text", "__id"]).select("node", "text"))
+                         .dropDuplicates(["__text", "__id"]).select("node", "fp", "text"))
     while not left.isEmpty():
-        others = left.filter("node <> root").join(texts, "node")
-        roots = left.filter("node = root").select("root").join(
-            texts.select(F.col("node").alias("root"), F.col("text").alias("root_text")), "root")
-        alike = reliable(others.join(roots, "root").select("node", "text", "root_text")
-                         .mapInArrow(_jaccard(words), "node binary, alike double"))
-        found = alike.filter(F.col("alike") >= similarity).select("node")
+        # heads: the first of each component; the filter on the rank keeps few rows per task before the shuffle
+        rank = F.row_number().over(Window.partitionBy("root").orderBy("node"))
+        heads = reliable(left.withColumn("r", rank).filter(F.col("r") <= HEADS).select("root", "node"))
+        parts = left.groupBy("root").agg(F.ceil(F.count("*") / OTHERS).cast("int").alias("parts"))
+        beside = heads.join(parts, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("later"), "node")
+        rest = left.join(heads.select("node"), "node", "left_anti").join(parts, "root").select(
+            "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("later"), "node")
+        rows = beside.unionByName(rest).join(texts, "node").select("root", "salt", "later", "node", "fp", "text")
+        done = reliable(rows.repartition("root", "salt").sortWithinPartitions("root", "salt", "later", "node").mapInArrow(
+            _settle(similarity, words), "node binary, salt int, later int, gone boolean"))
+        found = done.filter("gone AND (later = 1 OR salt = 0)").select("node")
         gone = found if gone is None else gone.unionByName(found)
-        rest = left.join(alike.filter(F.col("alike") < similarity).select("node"), "node", "left_semi")
-        heads = rest.groupBy("root").agg(F.min("node").alias("head"))
-        left = reliable(rest.join(heads, "root").select(F.col("head").alias("root"), "node"))
+        left = reliable(left.join(done.filter("later = 1 AND NOT gone").select("node"), "node", "left_semi"))
     stay = (nodes if gone is None else nodes.join(gone, "node", "left_anti")).select("__text", "__id")
     return named.join(stay, ["__text", "__id"]).dropDuplicates(["__text", "__id"]).select(*docs.columns)

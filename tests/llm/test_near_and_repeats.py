@@ -174,3 +174,20 @@ def test_drop_repeats_keeps_white_space_and_columns(spark):
     assert repeats.drop_repeats(df).columns == df.columns
     assert got[2]["text"] == "Start here.\n\nEnd  now" and got[2]["n_chars"] == len(got[2]["text"])
     assert got[1]["text"] == "a\n" + run and got[3]["text"] is None and got[2]["mask"] == 8
+
+
+def test_large_components_take_several_rounds(spark, monkeypatch):
+    """Few heads per round and few others per task give what one round gives."""
+    rng = random.Random(5)
+    base = ["w%d" % i for i in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(200)] = "x%d" % rng.randrange(10 ** 6)
+        texts.append((i, " ".join(words)))
+    want = sorted(r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect())
+    monkeypatch.setattr(simhash, "HEADS", 3)
+    monkeypatch.setattr(simhash, "OTHERS", 7)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()) == want
+    assert 1 <= len(want) < 20 and want[0] == 0
