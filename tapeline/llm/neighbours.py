@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-PROJECTIONS, THRESHOLD, REACH, GROWTH = 48, 24, 1.35, 1.5
+PROJECTIONS, THRESHOLD, REACH, GROWTH = 48, 32, 1.4, 1.25
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -32,12 +32,14 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
         F.col(key).cast("bigint").alias("key"), x.alias("vector"))
 
 
-def _distance(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, added up in the order of the components."""
-    total = np.zeros(len(rows))
-    for i in range(rows.shape[1]):
-        d = rows[:, i] - query[i]
-        total += d * d
+def _distance(columns: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, added up in the order of the components; a vector is a
+    column."""
+    total = np.zeros(columns.shape[1])
+    for column, x in zip(columns, query):
+        d = column - x
+        d *= d
+        total += d
     return np.sqrt(total)
 
 
@@ -45,29 +47,35 @@ class Block:
     """Sorted projections of the vectors of one block."""
 
     def __init__(self, keys: np.ndarray, vectors: np.ndarray, seed: int = 7) -> None:
-        self.keys, self.vectors = keys, vectors
+        self.keys, self.columns = keys, np.ascontiguousarray(vectors.T)
         self.lines = np.random.default_rng(seed).standard_normal((PROJECTIONS, vectors.shape[1]))
         shadow = vectors @ self.lines.T
         self.order = np.argsort(shadow, axis=0, kind="stable").T
         self.sorted = np.take_along_axis(shadow.T, self.order, 1)
 
+    def _places(self, at: np.ndarray, side: str = "left") -> np.ndarray:
+        return np.array([np.searchsorted(line, x, side) for line, x in zip(self.sorted, at)])
+
     def search(self, key: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
         n, own = len(self.keys), self.lines @ query
         spread = self.sorted[:, -1] - self.sorted[:, 0]
-        half, seen = max(float(np.median(spread)) / 64, 1e-12), np.zeros(n, bool)
+        half, seen = max(float(np.median(spread)) / 16, 1e-12), np.zeros(n, bool)
         seen[self.keys == key] = True                      # a query is no candidate of its own
         found_at, found = np.zeros(0, np.int64), np.zeros(0)
+        count, low, high = np.zeros(n, np.int16), self._places(own), self._places(own)
         while True:
-            count, whole = np.zeros(n, np.int64), True
+            # windows only widen: the vectors between the old and the new ends are counted
+            new_low, new_high = self._places(own - half), self._places(own + half, "right")
             for line in range(PROJECTIONS):
-                a, b = np.searchsorted(self.sorted[line], (own[line] - half, own[line] + half), ("left"))
-                b += int(np.searchsorted(self.sorted[line][b:], own[line] + half, "right"))
-                whole &= b - a == n
-                count[self.order[line, a:b]] += 1
+                order = self.order[line]
+                count[order[new_low[line]:low[line]]] += 1
+                count[order[high[line]:new_high[line]]] += 1
+            low, high = new_low, new_high
+            whole = low.max() == 0 and high.min() == n
             new = np.flatnonzero((count >= THRESHOLD) & ~seen)
             if len(new):
                 seen[new] = True
-                found_at, found = np.r_[found_at, new], np.r_[found, _distance(self.vectors[new], query)]
+                found_at, found = np.r_[found_at, new], np.r_[found, _distance(self.columns[:, new], query)]
             if whole or seen.all() or len(found) >= k and half >= REACH * np.partition(found, k - 1)[k - 1]:
                 best = np.lexsort((self.keys[found_at], found))[:k]
                 return [(float(found[i]), int(self.keys[found_at[i]])) for i in best]
