@@ -1,8 +1,9 @@
 """Language identification by words, with backoff to character n-grams.
 
 Training counts, for each language, the words and the character n-grams (of words with an edge mark at
-either end) of every labelled document. The model is a bounded table: `max_words` words and `max_grams`
-n-grams of each length with the most counts, of those seen at least twice. A known word adds its smoothed
+either end) of a bounded sample of labelled documents, `max_docs` of each language. The model is a bounded
+table: at most `max_words` words and `max_grams` n-grams of each length, the most frequent of those seen at
+least twice. A known word adds its smoothed
 log frequency in each language, less that over all languages; a word that is not in the table is covered by its
 longest known n-grams, from `longest` characters down to one. The sum per language, softened, gives the
 score: the chosen language's share.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tapeline.llm.common import by_size, reliable
 
 LETTERS = re.compile(r"[^\W\d_]+")
-MAX_WORDS, MAX_GRAMS, LONGEST = 50_000, 20_000, 5
+MAX_WORDS, MAX_GRAMS, LONGEST, MAX_DOCS = 50_000, 20_000, 5, 10_000
 UNKNOWN = "und"
 
 
@@ -109,14 +110,32 @@ class Model:
         return self.langs[best], float(share[best] / share.sum())
 
 
-def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, longest: int = LONGEST) -> Model:
+def sampled(labelled: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """About `max_docs` rows of each language (all, where there are fewer), chosen by a hash of the text."""
+    sizes = labelled.filter("text is not null and lang is not null").groupBy("lang").count().collect()   # languages are few
+    if not sizes:
+        return labelled.limit(0)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max_docs / r["count"]))])
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return labelled.filter("text is not null and lang is not null").filter(draw < F.element_at(share, F.col("lang")))
+
+
+def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, longest: int = LONGEST,
+          max_docs: int = MAX_DOCS) -> Model:
     """Model from rows (text, lang); rows with a null text or lang are passed over. No rows: no language.
-    The tables come to the driver: at most max_words + longest * max_grams terms, times languages."""
-    all_counts = reliable(counts(labelled, longest))
-    totals = all_counts.groupBy("size", "term").agg(F.sum("n").alias("total")).filter("total > 1")
-    top = Window.partitionBy("size").orderBy(F.desc("total"), "term")
-    kept = totals.withColumn("r", F.row_number().over(top)).filter(
-        F.col("r") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams)).select("size", "term")
+
+    It is fitted on a bounded sample, `max_docs` rows of each language. The tables come to the driver: at
+    most max_words + longest * max_grams terms, times languages. They hold all terms with at least so many
+    occurrences, the least number for which they fit.
+    """
+    all_counts = reliable(counts(sampled(labelled.select("text", "lang"), max_docs), longest))
+    totals = reliable(all_counts.groupBy("size", "term").agg(F.sum("n").alias("total")).filter("total > 1"))
+    upto = Window.partitionBy("size").orderBy(F.desc("total"))       # one row per number of occurrences
+    fits = totals.groupBy("size", "total").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(upto)).filter(
+        F.col("upto") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams))
+    least = {r["size"]: r["least"] for r in fits.groupBy("size").agg(F.min("total").alias("least")).collect()}
+    enough = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("size")) if least else F.lit(None)
+    kept = totals.filter(F.col("total") >= enough).select("size", "term")
     rows = all_counts.join(kept, ["size", "term"]).collect()          # bounded by the table's size
     mass = {(r["size"], r["lang"]): r["n"] for r in all_counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in mass})
