@@ -1,6 +1,6 @@
 """License scans by sparse TF-IDF cosine, in DataFrame operations only, with inheritance along directories.
 
-Each line of a file that shares a rare word with a license template is a candidate header. Its terms are
+Each line of a file that shares a telling word with a license template is a candidate header. Its terms are
 weighed by frequency and by their rarity among the templates, and the cosine with every template it shares a
 term with is summed up over an equi-join on terms. A file's license is its best line's, if alike enough.
 Files without one inherit: the licence files (LICENSE, COPYING, NOTICE) with a license of their own cover
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tapeline.llm.common import reliable
+
 # Short notices of licenses.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -23,6 +25,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
 ]
+# Words so frequent that sharing them alone says nothing.
+FREQUENT = frozenset("a an and are as at be by for from in is it of on or that the this to under was with without you your".split())
 LICENCE_FILES = ("license", "licence", "copying", "notice")
 LEAST = 0.7
 
@@ -32,8 +36,9 @@ def templates_table(spark: SparkSession) -> DataFrame:
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters, digits and dots inside numbers."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    """Lower-case runs of letters, digits and dots inside numbers, without frequent words."""
+    every = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    return F.filter(every, lambda t: ~t.isin(*sorted(FREQUENT)))
 
 
 def _weighed(rows: DataFrame, key: list[str], idf: DataFrame, other: Column) -> DataFrame:
@@ -44,6 +49,21 @@ def _weighed(rows: DataFrame, key: list[str], idf: DataFrame, other: Column) ->
     return tf.filter(F.col("idf").isNotNull()).join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def _telling(weights: list, least: float) -> list[str]:
+    """Words of which a line must hold one to be `least` alike to any template. Of each template numbers,
+    short and light words are left out, as long as what is left out is shorter than `least`: a line that
+    shares nothing else has a smaller cosine."""
+    out: set[str] = set()
+    for license in {r["license"] for r in weights}:
+        own = sorted((r["term"].isalpha(), len(r["term"]) > 3, r["t_weight"], r["term"]) for r in weights if r["license"] == license)
+        spent = 0.0
+        for *_, w, term in own:
+            spent += w * w
+            if spent >= least * least * 0.999:
+                out.add(term)
+    return sorted(out)
+
+
 def headers(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
     """(path, license, score): the license of the line that is most alike to a template, of files that have
     one of at least `least`; ties by license name. Null texts and files without such a line give no row;
@@ -54,15 +74,17 @@ def headers(files: DataFrame, templates: DataFrame, least: float = LEAST) -> Dat
     idf = df.select("term", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     other = F.log(F.lit(n + 1.0)) + 1.0
     known = _weighed(words, ["license"], idf, other).withColumnRenamed("weight", "t_weight")
-    lines = files.filter("path is not null").select("path", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"))
-    # a line under the threshold by sheer length is left out before it is cut into terms: with more than
-    # 1 / least^2 times a notice's terms, of which at most the notice's are shared and none weighs more
-    # than one of no template, the cosine cannot reach the threshold
-    longest = words.groupBy("license").count().agg(F.max("count")).first()[0] or 0
-    lines = lines.withColumn("terms", terms(F.col("line")))
-    lines = lines.filter(F.arrays_overlap("terms", F.array(*[F.lit(r["term"]) for r in df.orderBy("term").collect()]))) if n else lines.limit(0)
-    lines = lines.filter(F.size("terms") <= F.lit(int(longest / least ** 2 * 4) + 1))
-    rows = lines.select("path", "line", F.explode("terms").alias("term"))
+    telling = _telling(known.select("license", "term", "t_weight").collect(), least)      # a few words per template
+    if not telling:
+        return files.limit(0).select(F.col("path"), F.lit("").alias("license"), F.lit(0.0).alias("score"))
+    # texts that hold no telling word cannot reach the threshold: a plain split into words tells
+    wanted = F.array(*[F.lit(t) for t in telling])
+    words_of = F.split(F.lower("text"), "[^a-z]+") if all(t.isalpha() for t in telling) else terms(F.col("text"))
+    lines = files.filter("path is not null").filter(F.arrays_overlap(words_of, wanted)).select(
+        "path", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    lines = lines.withColumn("terms", terms(F.col("line"))).filter(F.arrays_overlap("terms", wanted))
+    # few lines are left: written once, so that texts are read once
+    rows = reliable(lines.select("path", F.md5("line").alias("line"), F.explode("terms").alias("term")))
     cosine = (_weighed(rows, ["path", "line"], idf, other).join(known, "term").groupBy("path", "line", "license")
               .agg(F.sum(F.col("weight") * F.col("t_weight")).alias("score")))
     cosine = cosine.withColumn("score", F.round("score", 9)).filter(F.col("score") >= least)
@@ -80,7 +102,7 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFr
     """Per path: license, score, origin (the file whose text said so: the path itself, or the licence file
     that it inherits from; nulls if none). Of several licence files in one directory the first by path
     covers it. Rows with a null path give nothing; repeated paths are one file."""
-    own = headers(files, templates, least)
+    own = reliable(headers(files, templates, least))
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     covering = own.filter(F.regexp_replace(name, r"\..*$", "").isin(*LICENCE_FILES)).withColumn(
         "dir", F.regexp_replace("path", r"/?[^/]*$", ""))

@@ -180,7 +180,7 @@ def test_licenses_and_their_inheritance(spark):
 
 def plain_cosine(line, notices):
     import re
-    cut = lambda t: re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", t.lower())       # noqa: E731
+    cut = lambda t: [w for w in re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", t.lower()) if w not in licenses.FREQUENT]       # noqa: E731
     df = {}
     for n in notices.values():
         for t in set(cut(n)):
