@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tapeline.llm.common import NO_ID, as_bytes, components, reliable, slices
+from tapeline.llm.common import NO_ID, as_bytes, components, mix, reliable, slices
 
 BYTES, FLIPS = 8, 4
 SHARED = BYTES - FLIPS         # positional bytes that a linked pair shares at least
@@ -201,43 +201,126 @@ def classes(fps: DataFrame, key: str = "doc_id", width: int = 1, total: int = FL
 
 # ------------------------------------------------------------------ the stage: one document of a group stays
 
-#: Fingerprint of the stage: distinct words under three seeds, so that a few changed words move few bits.
-STAGE_SEEDS, STAGE_TOTAL = (42, 43, 44), 22
-
+#: Candidates of the stage: equal groups of `ROWS` minima of a text's shingles, `BANDS` of them. Two texts with
+#: shingles J alike meet with probability 1 - (1 - J^6)^32, whatever edit made one of the other: 0.99994 at 0.8.
+BANDS, ROWS = 32, 6
+_DRAW = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+_ADD, _TIMES = _DRAW[0], _DRAW[1] | np.uint64(1)
 
 #: Of a component, so many documents are settled among themselves per round, beside so many of the others.
 HEADS, OTHERS = 256, 1000
+#: A group of equal minima with more rows than this is tied to its first without gathering it.
+CROWD = 4096
 
 
 def _shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    t = text.lower().split()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(t[i:i + words])) for i in range(max(1, len(t) - words + 1))), np.uint64))
+    tokens, digest = text.lower().split(), xxhash.xxh64_intdigest
+    joined, n = b" ".join(tokens), len(tokens)
+    if n <= words:
+        return np.array([digest(joined)], np.uint64)
+    length = np.fromiter(map(len, tokens), np.int64, n)
+    start = np.cumsum(length + 1) - length - 1
+    spans = zip(start[:n - words + 1].tolist(), (start + length)[words - 1:].tolist())
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in spans), np.uint64, n - words + 1))
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """One key per band: a hash of the band's number and its minima."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        # the product's upper half, folded in, makes each order depend on all bits
+        part = (shingles[None, at:at + 1024] ^ _ADD) * _TIMES
+        part ^= part >> np.uint64(32)
+        part *= _TIMES
+        np.minimum(least, part.min(1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for value in least.reshape(BANDS, ROWS).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + value)
+    return key.view(np.int64)
+
+
+def _signatures(words: int):
+    """Rows (__text, __id, text) to (__text, __id, bands), the bands as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [_bands(_shingles(t, words)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["__text", "__id", "bands"])
+    return run
+
+
+def _band_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (alias, bands) to one row (key, alias) per band."""
+    for b in slices(batches, 4096):
+        keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["key", "alias"])
+
+
+def band_links(signed: DataFrame) -> DataFrame:
+    """(src, dst) of rows (alias, bands): each alias with the least that shares a band with it."""
+    postings = signed.select("alias", "bands").mapInArrow(_band_postings, "key bigint, alias bigint")
+    crowded = postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key")
+    crowded = reliable(crowded)                                       # at most rows / CROWD
+    first = F.min("alias").over(Window.partitionBy("key")).alias("dst")
+    if crowded.isEmpty():
+        made = postings.select(F.col("alias").alias("src"), first)
+    else:
+        hot = postings.join(F.broadcast(crowded), "key")
+        heads = reliable(hot.groupBy("key").agg(F.min("alias").alias("dst")))
+        made = postings.join(F.broadcast(crowded), "key", "left_anti").select(F.col("alias").alias("src"), first).unionByName(
+            hot.join(F.broadcast(heads), "key").select(F.col("alias").alias("src"), "dst"))
+    return made.filter("src <> dst").distinct()
+
+
+class _Kept:
+    """Shingle sets of kept documents: the first ones in one sorted index, the latest as they are."""
+
+    def __init__(self) -> None:
+        self.sets: list[np.ndarray] = []
+        self.sizes = np.zeros(0, np.int64)
+        self.hashes, self.owner, self.indexed = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def add(self, own: np.ndarray) -> None:
+        self.sets.append(own)
+        self.sizes = np.append(self.sizes, len(own))
+        if len(self.sets) >= self.indexed + 32:
+            fresh = self.sets[self.indexed:]
+            hashes = np.concatenate([self.hashes, *fresh])
+            owner = np.concatenate([self.owner, np.repeat(np.arange(self.indexed, len(self.sets)), [len(x) for x in fresh])])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.owner, self.indexed = hashes[order], owner[order], len(self.sets)
+
+    def alike(self, own: np.ndarray, similarity: float) -> bool:
+        """Whether some set has a Jaccard similarity of at least `similarity`; every set is counted exactly."""
+        both = np.zeros(len(self.sets), np.int64)
+        if self.indexed:
+            a, b = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
+            n = b - a
+            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            both[:self.indexed] = np.bincount(self.owner[at], minlength=self.indexed)
+        for i in range(self.indexed, len(self.sets)):
+            small, large = sorted((own, self.sets[i]), key=len)
+            if len(small) >= similarity * len(large):
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both[i] = np.count_nonzero(large[at] == small)
+        return bool((both >= similarity * (len(own) + self.sizes - both)).any())
 
 
 def _settle(similarity: float, words: int):
-    """Rows (root, salt, later, node, fp, text), sorted, to (node, later, gone). The heads (later = 0) come
+    """Rows (root, salt, later, node, text), sorted, to (node, salt, later, gone). The heads (later = 0) come
     first in the order of their names: one that is alike to a kept head goes. Others go if they are alike to
-    a kept head. Only pairs whose fingerprints link are verified."""
+    a kept head. Every document is compared with every kept head by their shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, fps, sets = None, [], []
+        group, kept = None, _Kept()
         for b in slices(batches, 128):
             out = []
-            for root, salt, later, fp, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+            for root, salt, later, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4))):
                 if (root, salt) != group:
-                    group, fps, sets = (root, salt), [], []
-                own, mine = np.frombuffer(fp, ">u8").astype(np.uint64), _shingles(text, words)
-                gone = False
-                if fps:
-                    diff = np.bitwise_count(np.array(fps) ^ own)
-                    for i in np.flatnonzero((diff.min(1) <= FLIPS) & (diff.sum(1) <= STAGE_TOTAL)):
-                        both = len(np.intersect1d(mine, sets[i], assume_unique=True))
-                        if both >= similarity * (len(mine) + len(sets[i]) - both):
-                            gone = True
-                            break
+                    group, kept = (root, salt), _Kept()
+                mine = _shingles(text, words)
+                gone = kept.alike(mine, similarity)
                 if not later and not gone:
-                    fps.append(own)
-                    sets.append(mine)
+                    kept.add(mine)
                 out.append(gone)
             yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), b.column(2), pa.array(out, pa.bool_())], ["node", "salt", "later", "gone"])
     return run
@@ -245,26 +328,29 @@ def _settle(similarity: float, words: int):
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """Documents without exact and near copies, columns unchanged. Equal texts are one node, kept by the
-    smallest doc_id (null last). Components over fingerprints are settled by their texts, in that order: a
-    node goes only if its fingerprint links to that of a node that stays and their shingles of five words
-    are at least 0.8 alike (Jaccard). Rows with
+    smallest doc_id (null last). Components over shared bands of minima are settled by their texts, in that
+    order: a node goes only if its shingles of five words and those of a node that stays are at least 0.8
+    alike (Jaccard). Rows with
     null or empty texts are one group; repeated rows with the same doc_id and text stay once."""
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     named = docs.withColumn("__text", F.unhex(F.substring(F.sha2(as_bytes("text"), 256), 1, 32))).withColumn("__id", order)
-    marks = fingerprints(named, ("__text", "__id"), "text", 1, STAGE_SEEDS, True)
-    # a node is a text with its smallest doc_id; its name sorts by that
+    marks = named.select("__text", "__id", as_bytes("text").alias("text")).mapInArrow(
+        _signatures(words), "__text binary, __id bigint, bands binary")
+    # a node is a text with its smallest doc_id; its name sorts by that. The alias stands for it in links: two
+    # nodes of one alias share a component, which settling by texts does not mind
     name = F.concat(F.unhex(F.lpad(F.hex("__id"), 16, "0")), F.col("__text")).alias("node")
-    nodes = reliable(marks.groupBy("__text").agg(F.min("__id").alias("__id"), F.first("fp").alias("fp"))
-                     .select("__text", "__id", name, "fp"))
-    comp = classes(nodes.select("node", "fp"), "node", len(STAGE_SEEDS), STAGE_TOTAL).select("node", F.col("component_id").alias("root"))
-    comp = reliable(comp)
-    crowded = comp.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    left = reliable(comp.join(crowded, "root"))
+    alias = F.xxhash64("__text").alias("alias")
+    nodes = reliable(marks.groupBy("__text").agg(F.min("__id").alias("__id"), F.first("bands").alias("bands"))
+                     .select("__text", "__id", name, alias, "bands"))
+    stars = components(band_links(nodes))
+    roots = reliable(stars.unionByName(stars.select(F.col("root").alias("src"), "root")).distinct())
+    left = reliable(nodes.join(roots.withColumnRenamed("src", "alias"), "alias").select("node", "root"))
+    nodes = nodes.drop("bands", "alias")
     gone = None
     if not left.isEmpty():
-        wanted = nodes.join(left.select("node"), "node").select("__text", "__id", "node", "fp")
+        wanted = nodes.join(left.select("node"), "node").select("__text", "__id", "node")
         texts = reliable(named.select("__text", "__id", as_bytes("text").alias("text")).join(wanted, ["__text", "__id"])
-                         .dropDuplicates(["__text", "__id"]).select("node", "fp", "text"))
+                         .dropDuplicates(["__text", "__id"]).select("node", "text"))
     while not left.isEmpty():
         # heads: the first of each component; the filter on the rank keeps few rows per task before the shuffle
         rank = F.row_number().over(Window.partitionBy("root").orderBy("node"))
@@ -273,7 +359,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFr
         beside = heads.join(parts, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("later"), "node")
         rest = left.join(heads.select("node"), "node", "left_anti").join(parts, "root").select(
             "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("later"), "node")
-        rows = beside.unionByName(rest).join(texts, "node").select("root", "salt", "later", "node", "fp", "text")
+        rows = beside.unionByName(rest).join(texts, "node").select("root", "salt", "later", "node", "text")
         done = reliable(rows.repartition("root", "salt").sortWithinPartitions("root", "salt", "later", "node").mapInArrow(
             _settle(similarity, words), "node binary, salt int, later int, gone boolean"))
         found = done.filter("gone AND (later = 1 OR salt = 0)").select("node")

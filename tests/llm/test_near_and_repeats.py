@@ -191,3 +191,34 @@ def test_large_components_take_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(simhash, "OTHERS", 7)
     assert sorted(r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()) == want
     assert 1 <= len(want) < 20 and want[0] == 0
+
+
+def test_keep_one_finds_added_and_cut_passages(spark):
+    """Texts that lost or gained one passage, or words here and there, at 0.80 to 0.95 alike: all go."""
+    rng = random.Random(17)
+    pool = ["v%d" % i for i in range(5000)]
+    texts, gone = [], set()
+    for g in range(60):
+        base = [rng.choice(pool) for _ in range(304)]                  # 300 shingles
+        cut = rng.choice([16, 30, 45, 59])                             # 284 to 241 of 300 left: 0.80 and more
+        extra = [rng.choice(pool) for _ in range(cut)]
+        replaced = list(base)
+        for i in rng.sample(range(30), 5):                             # each takes at most 5 shingles of 300
+            replaced[10 * i] = "r%d" % rng.randrange(10 ** 6)
+        variants = [base[:-cut], base + extra, base[:150] + extra + base[150:], replaced]
+        texts.append((10 * g, " ".join(base)))
+        texts += [(10 * g + 1 + k, " ".join(v)) for k, v in enumerate(variants)]
+    got = {r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()}
+    assert got == {10 * g for g in range(60)}
+
+
+def test_settled_against_all_kept(monkeypatch):
+    """Whether a set is alike to a kept one is counted exactly, in the index and beside it."""
+    rng = np.random.default_rng(2)
+    kept, sets = simhash._Kept(), []
+    for i in range(70):
+        own = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
+        want = any(len(np.intersect1d(own, s)) >= .55 * len(np.union1d(own, s)) for s in sets)
+        assert kept.alike(own, .55) == want
+        kept.add(own)
+        sets.append(own)
