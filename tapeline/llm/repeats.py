@@ -14,7 +14,7 @@ same surroundings inside one batch are settled there, so a passage that a third
 one row per batch. Anchors with more than `crowd` rows go on window by window in a second shuffle, whose
 tasks only keep the first row of each run in memory.
 
-Hashes: windows are compared by 64 bits of their anchor's deciding span and 32 bits of their own.
+Hashes: windows are compared by 64 bits of their anchor's deciding span and 64 bits of their own.
 """
 
 from __future__ import annotations
@@ -142,11 +142,11 @@ def anchors(ids: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray,
         return key, starts, starts, starts, starts, hashes
     new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
     count = np.diff(np.r_[new, len(starts)])
-    return key[new], starts[new], count, place[new] - starts[new], new, (hashes >> np.uint64(32)).astype(np.uint32)
+    return key[new], starts[new], count, place[new] - starts[new], new, hashes
 
 
 ROW = "key bigint, doc_id bigint, uid int, start int, n int, place int, windows binary"
-HIT = "doc_id bigint, uid int, start int, mask int, key bigint"
+HIT = "doc_id bigint, uid int, start int, mask int, key bigint, name bigint"
 
 
 def _find(window: int):
@@ -169,7 +169,7 @@ def _find(window: int):
             own, local = b.column(0).to_numpy(), start - first[doc[start]]
             ends = np.r_[at[1:], len(hashes)]
             # equal surroundings in this batch: only the earliest goes on
-            roll = np.r_[np.uint64(0), np.cumsum(mix(hashes.astype(np.uint64) + (np.arange(len(hashes)) - np.repeat(at, count)).astype(np.uint64) * np.uint64(BASE)))]
+            roll = np.r_[np.uint64(0), np.cumsum(mix(hashes + (np.arange(len(hashes)) - np.repeat(at, count)).astype(np.uint64) * np.uint64(BASE)))]
             around = mix(roll[ends] - roll[at] + mix(key + place.astype(np.uint64)))
             order = np.lexsort((local, uid[which], own[which], around))
             repeat = np.zeros(len(key), bool)
@@ -182,7 +182,7 @@ def _find(window: int):
                 repeat[nxt[i]] = repeat[prev[i]]
             live = ~repeat
             raw = hashes.tobytes()
-            blobs = [raw[4 * x:4 * y] if z else None for x, y, z in zip(at.tolist(), ends.tolist(), live.tolist())]
+            blobs = [raw[8 * x:8 * y] if z else None for x, y, z in zip(at.tolist(), ends.tolist(), live.tolist())]
             spread = np.where(live, key, mix(key + own[which].astype(np.uint64) + local.astype(np.uint64)))
             full = (1 << count) - 1
             yield pa.RecordBatch.from_arrays(
@@ -192,19 +192,22 @@ def _find(window: int):
     return run
 
 
-def _hits(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, mask: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+def _hits(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, mask: np.ndarray, key: np.ndarray | None = None,
+          name: np.ndarray | None = None) -> pa.RecordBatch:
+    none = np.zeros(len(doc), np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc), pa.array(uid), pa.array(start.astype(np.int32)), pa.array(mask.astype(np.int32)), pa.array(key)],
-        ["doc_id", "uid", "start", "mask", "key"])
+        [pa.array(doc), pa.array(uid), pa.array(start.astype(np.int32)), pa.array(mask.astype(np.int32)),
+         pa.array(none if key is None else key), pa.array(none if name is None else name)],
+        ["doc_id", "uid", "start", "mask", "key", "name"])
 
 
 def _explode(rows: tuple) -> tuple[np.ndarray, ...]:
-    """One entry per window: row, window's index in the row, and its name (anchor, place, hash)."""
+    """One entry per window: row, window's index in the row, and its name (place, hash) beside the row's anchor."""
     key, _, _, _, n, place, blobs = rows
     row = np.repeat(np.arange(len(key)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    hashes = np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64)
-    name = mix(key.view(np.uint64)[row] + mix(hashes + ((place[row] - j + 64).astype(np.uint64) << np.uint64(32))))
+    hashes = np.frombuffer(b"".join(blobs), np.uint64)
+    name = mix(hashes + mix((place[row] - j + 64).astype(np.uint64)))
     return row, j, name
 
 
@@ -214,7 +217,7 @@ def _meet(crowd: int):
         key, doc, uid, start, n, place, blobs = rows
         done = n == 0
         if done.any():
-            yield _hits(doc[done], uid[done], start[done], place[done], np.zeros(done.sum(), np.int64))
+            yield _hits(doc[done], uid[done], start[done], place[done])
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.repeat(np.diff(np.r_[new, len(key)]), np.diff(np.r_[new, len(key)]))
         use = np.flatnonzero((size > 1) & ~done)
@@ -222,18 +225,18 @@ def _meet(crowd: int):
             return
         part = (*(v[use] for v in rows[:6]), [blobs[i] for i in use.tolist()])
         row, j, name = _explode(part)
-        doc, uid, at = part[1][row], part[2][row], part[3][row].astype(np.int64) + j
+        key, doc, uid, at = part[0][row], part[1][row], part[2][row], part[3][row].astype(np.int64) + j
         big = size[use][row] > crowd
         if big.any():
-            yield _hits(doc[big], uid[big], at[big], np.zeros(big.sum(), np.int64), name[big].view(np.int64))
+            yield _hits(doc[big], uid[big], at[big], np.zeros(big.sum(), np.int64), key[big], name[big].view(np.int64))
         small = np.flatnonzero(~big)
-        order = small[np.lexsort((at[small], uid[small], doc[small], name[small]))]
-        hit = _later(name[order], doc[order], uid[order], at[order])
+        order = small[np.lexsort((at[small], uid[small], doc[small], name[small], key[small]))]
+        hit = _later(key[order], name[order], doc[order], uid[order], at[order])
         mask = np.zeros(len(use), np.int64)
         np.add.at(mask, row[order[hit]], np.int64(1) << j[order[hit]])
         some = mask > 0
         if some.any():
-            yield _hits(part[1][some], part[2][some], part[3][some], mask[some], np.zeros(some.sum(), np.int64))
+            yield _hits(part[1][some], part[2][some], part[3][some], mask[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None
@@ -256,27 +259,27 @@ def _meet(crowd: int):
     return run
 
 
-def _later(name: np.ndarray, doc: np.ndarray, uid: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of sorted windows, those that are not at the first place of their name."""
+def _later(key: np.ndarray, name: np.ndarray, doc: np.ndarray, uid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of sorted windows, those that are not at the first place of their anchor and name."""
     if not len(name):
         return np.zeros(0, bool)
-    new = np.r_[True, name[1:] != name[:-1]]
+    new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
     first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
     return ~((doc == doc[first]) & (uid == uid[first]) & (at == at[first]))
 
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows sorted by (name, document, place) to hits; keeps the first of the current name."""
+    """Windows sorted by (name, anchor, document, place) to hits; keeps the first of the current name and anchor."""
     head: tuple | None = None
     for b in batches:
-        doc, uid, at, _, name = (b.column(i).to_numpy() for i in range(5))
+        doc, uid, at, _, key, name = (b.column(i).to_numpy() for i in range(6))
         if head is not None:
-            doc, uid, at, name = (np.r_[h, v] for h, v in zip(head, (doc, uid, at, name)))
-        hit = _later(name, doc, uid, at)
+            doc, uid, at, key, name = (np.r_[h, v] for h, v in zip(head, (doc, uid, at, key, name)))
+        hit = _later(key, name, doc, uid, at)
         if hit.any():
-            yield _hits(doc[hit], uid[hit], at[hit], np.ones(hit.sum(), np.int64), np.zeros(hit.sum(), np.int64))
-        first = int(np.flatnonzero(np.r_[True, name[1:] != name[:-1]])[-1])
-        head = tuple(v[first:first + 1] for v in (doc, uid, at, name))
+            yield _hits(doc[hit], uid[hit], at[hit], np.ones(hit.sum(), np.int64))
+        first = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])])[-1])
+        head = tuple(v[first:first + 1] for v in (doc, uid, at, key, name))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000) -> DataFrame:
@@ -292,7 +295,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000)
     crowded = met.filter("mask = 0")
     if crowded.isEmpty():
         return hits
-    more = crowded.repartition("key").sortWithinPartitions("key", "doc_id", "uid", "start").mapInArrow(_second, HIT)
+    more = crowded.repartition("name").sortWithinPartitions("name", "key", "doc_id", "uid", "start").mapInArrow(_second, HIT)
     return hits.unionByName(more.select("doc_id", "uid", "start", "mask"))
 
 

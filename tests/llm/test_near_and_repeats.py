@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -222,3 +223,21 @@ def test_settled_against_all_kept(monkeypatch):
         assert kept.alike(own, .55) == want
         kept.add(own)
         sets.append(own)
+
+
+@pytest.mark.parametrize("crowd", [10 ** 9, 20_000])
+def test_windows_of_one_anchor_are_told_apart(crowd):
+    """A frequent phrase with other words around it each time: nothing is repeated."""
+    phrase, n, rows = " ".join("p%d" % i for i in range(18)), 450_000, []
+    texts = ["a%d %s b%d" % (i, phrase, i) for i in range(n)]
+    for at in range(0, n, 50_000):
+        part = texts[at:at + 50_000]
+        rows += repeats._find(20)(iter([pa.RecordBatch.from_arrays([pa.array(range(at, at + len(part)), pa.int64()), pa.array([t.encode() for t in part])], ["doc_id", "text"])]))
+    found = pa.Table.from_batches(rows).sort_by("key").combine_chunks()
+    assert np.unique(found["key"].to_numpy(), return_counts=True)[1].max() > 100_000
+    met = list(repeats._meet(crowd)(iter(found.to_batches())))
+    if crowd < n:
+        met = pa.Table.from_batches(met)
+        order = [(c, "ascending") for c in ("name", "key", "doc_id", "uid", "start") if c in met.column_names]
+        met = list(repeats._second(iter(met.sort_by(order).combine_chunks().to_batches())))
+    assert sum(b.num_rows for b in met) == 0
