@@ -49,12 +49,17 @@ class Encoder:
         hidden = [b for b in range(256) if b not in SHOWN]
         byte = {chr(b): b for b in SHOWN} | {chr(256 + i): b for i, b in enumerate(hidden)}
         special = {t["content"] for t in spec["added_tokens"]}
+        if spec.get("normalizer") or any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("only files without a normalizer and with plain added tokens are read")
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.size[i] = len(token)
         self.memory, self.known = memory, {}
+        # added tokens stand for themselves wherever they are: the leftmost, then the longest
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in spec["added_tokens"] if t["content"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _plain(self, text: str) -> bytes:
         ids = self.core.encode_ordinary(text)
@@ -71,7 +76,15 @@ class Encoder:
                 begin = [0, *(4 * at[:-1]).tolist()]
                 self.known.update(zip(chunks, [raw[a:b] for a, b in zip(begin, (4 * at).tolist())]))
 
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as the library gives them by default: added tokens of the file are cut out first."""
+        if self.cut is None or not self.cut.search(text):
+            return self.encode(text)
+        parts = self.cut.split(text)                # texts at even places, added tokens between them
+        return b"".join(self.added[p] if i % 2 else self.encode(p) for i, p in enumerate(parts))
+
     def encode(self, text: str) -> bytes:
+        """Ids of a text in which nothing is an added token."""
         if ODD_SPACE.search(text):
             return self._plain(text)
         chunks, known = CHUNK.findall(text), self.known
@@ -101,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end: int = 2) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer).encode, np.array([end], "<u4").tobytes()
+        encode, last = encoder(tokenizer).ids, np.array([end], "<u4").tobytes()
         for b in by_size(batches, 1, 2_000_000):
             row, piece, start, size, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):

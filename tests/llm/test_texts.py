@@ -219,3 +219,14 @@ def test_numbers_go_through_without_gathering_a_group(spark):
     got = packing.numbered(df, "g", ["id"], 17).collect()
     for g in (0, 1):
         assert sorted(r["rank"] for r in got if r["g"] == g) == list(range(500))
+
+
+def test_added_tokens_are_ids_of_their_own(spark):
+    from tokenizers import Tokenizer
+
+    theirs, own, mark = Tokenizer.from_file(_path()), packing.Encoder(_path()), "<|endoftext|>"
+    for text in (f"a {mark} b", f"{mark}a b", f"a b\n{mark}", mark, mark * 3, f"x{mark}y  {mark} \u2003{mark}\n\nz", f"<|{mark}|>", "<|endoftext |> <|endoftext", "plain", ""):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(own.ids(f"a {mark} b"), "<u4").tolist() == [64, 220, 50256, 275]
+    docs = spark.createDataFrame([(1, f"a {mark} b")], "doc_id bigint, text string")
+    assert [r["length"] for r in packing.pieces(docs, _path()).collect()] == [5]
