@@ -28,7 +28,7 @@ UNKNOWN = "und"
 
 
 def _grams(word: str, longest: int) -> Iterator[str]:
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     for n in range(1, longest + 1):
         for i in range(len(marked) - n + 1):
             yield marked[i:i + n]
@@ -37,26 +37,26 @@ def _grams(word: str, longest: int) -> Iterator[str]:
 def counts(labelled: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(size, term, lang, n) over all rows (text, lang); size 0 for words, else the n-gram's length. Counts
     are added up per batch before they are shuffled."""
+    def rows_of(table: Counter, lang: str, word: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([0 if word else len(t) for t in table], pa.int32()), pa.array(list(table), pa.string()),
+             pa.array([lang] * len(table), pa.string()), pa.array(list(table.values()), pa.int64())], ["size", "term", "lang", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, 0, 8_000_000):
             words: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words[lang].update(LETTERS.findall(text.decode().lower()))
-            size, term, tongue, n = [], [], [], []
             for lang, found in words.items():
+                yield rows_of(found, lang, True)
                 grams: Counter = Counter()
                 for word, k in found.items():
                     for g in _grams(word, longest):
                         grams[g] += k
-                for at, table in ((0, found), (None, grams)):
-                    for t, k in table.items():
-                        size.append(len(t) if at is None else 0)
-                        term.append(t)
-                        tongue.append(lang)
-                        n.append(k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(size, pa.int32()), pa.array(term, pa.string()), pa.array(tongue, pa.string()), pa.array(n, pa.int64())],
-                ["size", "term", "lang", "n"])
+                        if len(grams) >= 2_000_000:                    # long runs of letters: partial counts
+                            yield rows_of(grams, lang, False)
+                            grams.clear()
+                yield rows_of(grams, lang, False)
 
     text = F.col("text").cast("string").cast("binary").alias("text")
     rows = labelled.filter("text is not null and lang is not null").select(text, "lang")
@@ -75,7 +75,7 @@ class Model:
     soft: float = 1.0
 
     def _unseen(self, word: str) -> np.ndarray:
-        marked, out, at, parts = f"<{word[:64]}>", np.zeros(len(self.langs)), 0, 0
+        marked, out, at, parts = f"<{word}>", np.zeros(len(self.langs)), 0, 0
         while at < len(marked):
             for n in range(min(self.longest, len(marked) - at), 0, -1):
                 row = self.tables[n].get(marked[at:at + n])
@@ -100,9 +100,11 @@ class Model:
             else:
                 got = memory.get(word)
                 if got is None:
-                    if len(memory) > 100_000:
-                        memory.clear()
-                    got = memory[word] = self._unseen(word)
+                    got = self._unseen(word)
+                    if len(word) <= 64:                 # longer runs hardly come twice
+                        if len(memory) > 100_000:
+                            memory.clear()
+                        memory[word] = got
                 rest += got
         total = (rest + self.weights[0][np.array(rows, np.int64)].sum(0)) * self.soft
         share = np.exp(total - total.max())

@@ -147,6 +147,19 @@ def test_backoff_takes_the_longest_known_grams():
     assert model.predict("...", {}) == ("und", 0.0)
 
 
+def test_long_runs_of_letters_are_read_to_their_end(spark):
+    """One run whose language changes after 64 letters, in training and in prediction."""
+    rng = random.Random(4)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))     # noqa: E731
+    labelled = spark.createDataFrame([(run("abc", 9) + " " + run("abc", 300), "x") for _ in range(20)]
+                                     + [(run("vwz", 9) + " " + run("abc", 64) + run("vwz", 900), "y") for _ in range(20)], "text string, lang string")
+    seen = language.counts(labelled.filter("lang = 'y'")).filter("size = 1 AND term = 'w'").first()["n"]
+    assert seen > 5000
+    model = language.train(labelled)
+    assert model.predict(run("abc", 64) + run("vwz", 600), {})[0] == "y"
+    assert model.predict(run("abc", 64), {})[0] == "x"
+
+
 # ------------------------------------------------------------------ packing
 
 def _path():
