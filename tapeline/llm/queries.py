@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeline.llm import fingerprints, html_text, language, licenses, mixing, neighbours, packing, repeats, simhash, urls
+from tapeline.llm import fingerprints, html_text, language, licenses, mixing, neighbours, packing, periodic, repeats, simhash, urls
 from tapeline.llm.common import NO_ID, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def collapsed_rows(docs: DataFrame) -> DataFrame:
+    """Runs and digests of documents, of which every tenth by a checksum of its id gets a periodic tail."""
+    told = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periodic.collapse(docs, ["doc_id"], told, text=False).drop("n_words", "collapsed")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapsed_rows(table(spark, sf_dir, "documents"))
