@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeline.llm import fingerprints, html_text, language, licenses, mixing, neighbours, packing, periodic, repeats, simhash, urls
+from tapeline.llm import alignment, fingerprints, html_text, language, licenses, mixing, neighbours, packing, periodic, repeats, simhash, urls
 from tapeline.llm.common import NO_ID, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +157,10 @@ def collapsed_rows(docs: DataFrame) -> DataFrame:
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), first, second, ["doc_id"]).drop("groups")
