@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeline.llm import alignment, fingerprints, html_text, language, licenses, mixing, neighbours, packing, periodic, repeats, simhash, urls
+from tapeline.llm import alignment, fingerprints, html_text, language, licenses, mixing, neighbours, packing, periodic, quality, repeats, simhash, urls
 from tapeline.llm.common import NO_ID, table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(table(spark, sf_dir, "documents"), first, second, ["doc_id"]).drop("groups")
+
+
+@query("op11_quality_rules")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
