@@ -1,9 +1,5 @@
-"""Portfolio operators. Everything carries `portfolio_id`, so one job covers all portfolios.
-
-A *book* is the long table (portfolio_id, symbol, weight, day, r). Rows per portfolio are bounded by
-its holdings times the days looked at, holdings are unique on (portfolio_id, symbol), and a book is
-laid out by portfolio, so the windows over (portfolio, day) and (portfolio, symbol) share one
-partitioning and add no shuffle.
+"""Portfolio operators. Everything carries `portfolio_id`, so one job covers all portfolios; holdings are
+unique on (portfolio_id, symbol). Statistics over days are in `mixes` and `books`.
 """
 
 from __future__ import annotations
@@ -58,46 +54,6 @@ def uncovered(weights: DataFrame, returns: DataFrame) -> DataFrame:
     return weights.join(returns.select("symbol").distinct(), "symbol", "left_anti")
 
 
-def history_book(closes: DataFrame, holdings: DataFrame, min_days: int = 200,
-                 benchmarks: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Returns of each portfolio on its own complete days.
-
-    Symbols with fewer than `min_days` closes are left out; of the rest only days on which all of
-    the portfolio's symbols (benchmarks too) have a close count, and a return spans dropped days.
-    Gives (book with columns value, is_benchmark; holdings left out). Weights are shares of the
-    usable money; a benchmark that is not held has none.
-    """
-    counts = closes.groupBy("symbol").agg(F.count("close").alias("days"))
-    usable = counts.where(F.col("days") >= min_days).select("symbol")
-    held = holdings.select("portfolio_id", "symbol", "value")
-    kept = held.join(usable, "symbol", "left_semi")
-    left_out = held.join(usable, "symbol", "left_anti")
-    members = kept.withColumn("is_benchmark", F.lit(False))
-    if benchmarks:
-        extra = kept.select("portfolio_id").distinct().select(
-            "portfolio_id", F.explode(F.array(*[F.lit(b) for b in benchmarks])).alias("symbol"),
-            F.lit(None).cast("double").alias("value"), F.lit(True).alias("is_benchmark"))
-        members = (members.unionByName(extra).groupBy("portfolio_id", "symbol")
-                   .agg(F.max("value").alias("value"), F.max("is_benchmark").alias("is_benchmark")))
-    members = (members.repartition("portfolio_id")
-               .withColumn("weight", _share("value", P))
-               .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("portfolio_id"))))
-    priced = salted_join(members, closes.where(F.col("close").isNotNull())
-                         .select("symbol", "day", "close"), ["symbol"])
-    present = F.count(F.lit(1)).over(Window.partitionBy("portfolio_id", "day"))
-    whole = priced.withColumn("_present", present).where(F.col("_present") == F.col("_n"))
-    series = Window.partitionBy("portfolio_id", "symbol").orderBy("day")
-    book = (whole.withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(series)) - 1.0)
-            .where(F.col("r").isNotNull())
-            .select("portfolio_id", "symbol", "value", "weight", "is_benchmark", "day", "r"))
-    return book, left_out
-
-
-def mix_returns(book: DataFrame, keys: Sequence[str] = P) -> DataFrame:
-    """Daily return of fixed weights, topped back up every day."""
-    return book.groupBy(*keys, "day").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
-
-
 def equal_weight_returns(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return returns.groupBy(*keys, "day").agg(F.avg("r").alias("r"))
 
@@ -107,20 +63,6 @@ def effective_holdings(weights: DataFrame, keys: Sequence[str] = P) -> DataFrame
         F.try_divide(F.lit(1.0), F.sum(F.col("weight") * F.col("weight"))).alias("effective"))
 
 
-def risk_shares(book: DataFrame, keys: Sequence[str] = P, carry: Sequence[str] = ()) -> DataFrame:
-    """Share of the mix's risk from each holding: w * cov(r, mix) / var(mix), in %.
-
-    Equal to the covariance-matrix form, without the matrix: one pass over the book. `carry` names
-    columns of the holding to keep.
-    """
-    mix = F.sum(F.col("weight") * F.col("r")).over(Window.partitionBy(*keys, "day"))
-    rows = book.withColumn("_mix", mix).where(F.col("weight").isNotNull())
-    share = F.try_divide(F.covar_samp("r", "_mix"), F.var_samp("_mix"))
-    return rows.groupBy(*keys, "symbol", "weight", *carry).agg(
-        (F.col("weight") * share * 100.0).alias("risk_pct"),
-        annualise(F.stddev_samp("r")).alias("own_volatility_pct"))
-
-
 def path_stats(series: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
     """What 100 became, volatility and worst drawdown of each daily series.
 

@@ -7,10 +7,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeline.operators.correlation import close_pairs, correlation_pairs
-from tapeline.operators.portfolio import (effective_holdings, growth, history_book, mix_returns,
-                                          path_stats, risk_shares, sector_money, with_sector)
-from tapeline.session import cut_lineage
+from tapeline.operators import books as bk
+from tapeline.operators.correlation import close_pairs
+from tapeline.operators.portfolio import sector_money, with_sector
 
 
 class HealthCheck(NamedTuple):
@@ -25,15 +24,6 @@ class HealthCheck(NamedTuple):
     excluded: DataFrame       # holdings with too little history
 
 
-def named_series(book: DataFrame) -> DataFrame:
-    """The mix and each benchmark as one stacked table of daily returns."""
-    mix = mix_returns(book.where(F.col("weight").isNotNull())).select(
-        "portfolio_id", F.lit("Your mix").alias("name"), "day", "r")
-    just = book.where(F.col("is_benchmark")).select(
-        "portfolio_id", F.concat(F.lit("Just "), F.col("symbol")).alias("name"), "day", "r")
-    return mix.unionByName(just)
-
-
 def missing_benchmarks(closes: DataFrame, benchmarks: Sequence[str], min_days: int) -> list[str]:
     """Benchmarks without enough history: the comparison needs them all."""
     counts = (closes.where(F.col("symbol").isin(*benchmarks)).groupBy("symbol")
@@ -45,24 +35,22 @@ def missing_benchmarks(closes: DataFrame, benchmarks: Sequence[str], min_days: i
 def health_check(closes: DataFrame, holdings: DataFrame, sectors: DataFrame,
                  benchmarks: Sequence[str] = ("SPY",), min_days: int = 200,
                  account_totals: DataFrame | None = None, keep_book: bool = False) -> HealthCheck:
-    """`closes` already holds only the days to look at. `keep_book` writes the priced holdings once,
+    """`closes` already holds only the days to look at. `keep_book` writes the arrays of closes once,
     which pays when several of the tables are used."""
     absent = missing_benchmarks(closes, benchmarks, min_days) if benchmarks else []
     if absent:
         raise ValueError(f"benchmarks without enough price history: {', '.join(absent)}")
-    book, left_out = history_book(closes, holdings, min_days, benchmarks)
-    book = cut_lineage(book) if keep_book else book
-    own = book.where(F.col("weight").isNotNull())
-    risk = risk_shares(own, carry=["value"])
-    positions = with_sector(risk.withColumn("money_pct", F.col("weight") * 100.0), sectors)
-    weights = own.select("portfolio_id", "symbol", "weight").distinct()
-    pairs = correlation_pairs(own.select("portfolio_id", "symbol", "day", "r"), ["portfolio_id"])
-    series = named_series(book)
+    book = bk.books(closes, holdings, min_days, benchmarks, keep=keep_book)
+    positions = with_sector(book.facts(bk.risk_facts, bk.RISK).withColumn("money_pct", F.col("weight") * 100.0), sectors)
+    pairs = book.facts(bk.correlation_facts, "sym_a string, sym_b string, corr double, n_days bigint")
+    paths = book.facts(bk.growth_facts, "name string, days array<int>, r array<double>, growth array<double>")
+    steps = paths.select("portfolio_id", "name", F.inline(F.arrays_zip("days", "r", "growth")))
     invested = holdings.groupBy("portfolio_id").agg(F.sum("value").alias("invested"))
     totals = (invested.withColumn("total", F.col("invested")) if account_totals is None
               else invested.join(account_totals, "portfolio_id", "left"))
     return HealthCheck(
         totals=totals, positions=positions, by_sector=sector_money(positions),
-        effective=effective_holdings(weights), correlations=pairs, close_pairs=close_pairs(pairs),
-        growth=growth(series, ["portfolio_id", "name"]),
-        comparison=path_stats(series, ["portfolio_id", "name"]).drop("days"), excluded=left_out)
+        effective=book.facts(bk.effective_facts, "effective double"), correlations=pairs, close_pairs=close_pairs(pairs),
+        growth=steps.select("portfolio_id", "name", F.date_from_unix_date("days").alias("day"), "r", "growth"),
+        comparison=book.facts(bk.comparison_facts, "name string, grown_100 double, volatility_pct double, biggest_drop_pct double"),
+        excluded=book.left_out)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tapeline.functions import fixed
-from tapeline.operators.currency import to_euro_returns
-from tapeline.operators.portfolio import history_book, mix_returns, path_stats
-from tapeline.operators.risk import ewma_volatility, monthly_ranges, with_volatility
+from tapeline.operators import books as bk
+from tapeline.operators.risk import monthly_ranges
 
 
 class Outlook(NamedTuple):
@@ -18,30 +17,16 @@ class Outlook(NamedTuple):
     left_out: DataFrame
 
 
-def _last_rows(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.max_by(value, "day").alias(value))
-
-
 def forecast_holdings(closes: DataFrame, holdings: DataFrame, method: str = "3 months",
                       min_days: int = 63, fx_returns: DataFrame | None = None,
                       windows: dict[str, int] | None = None) -> Outlook:
     """If any holding of a portfolio lacks the method's history, all of them use EWMA; the mix
     always does. With `fx_returns` the swings are those seen in euros."""
     rows = (fixed.VOLATILITY_WINDOWS if windows is None else windows)[method]
-    book, left_out = history_book(closes, holdings, min_days)
-    if fx_returns is not None:
-        book = to_euro_returns(book, fx_returns).withColumn("r", F.col("r_eur")).drop("r_eur")
-    keys = ["portfolio_id", "symbol"]
-    made = with_volatility(ewma_volatility(book, keys=keys), {"_m": rows}, keys)
-    last = made.groupBy(*keys).agg(F.max_by(F.struct("_m", "ewma"), "day").alias("l"))
-    everyone = Window.partitionBy("portfolio_id")
-    short = F.count_if(F.col("l._m").isNull()).over(everyone) > 0
-    held = last.select(*keys, F.when(short, F.col("l.ewma")).otherwise(F.col("l._m"))
-                       .alias("volatility_pct"))
-    mix = ewma_volatility(mix_returns(book), keys=["portfolio_id"])
-    mix = _last_rows(mix.select("portfolio_id", "day", F.col("ewma").alias("volatility_pct")),
-                     ["portfolio_id"], "volatility_pct")
-    return Outlook(monthly_ranges(held), monthly_ranges(mix), left_out)
+    book = bk.books(closes, holdings, min_days, fx_returns=fx_returns)
+    made = book.facts(bk.outlook_facts(rows), "symbol string, volatility_pct double")
+    return Outlook(monthly_ranges(made.where(F.col("symbol").isNotNull())),
+                   monthly_ranges(made.where(F.col("symbol").isNull()).drop("symbol")), book.left_out)
 
 
 def usd_against_eur(usd_mix: DataFrame, eur_mix: DataFrame, margin: float = 0.5) -> DataFrame:
@@ -59,11 +44,8 @@ def plan_risk(closes: DataFrame, plan: DataFrame, months: list[int], min_days: i
 
     Every symbol of the plan has to be present on a day, whether held at that month or not.
     """
-    symbols = plan.groupBy("portfolio_id", "symbol").agg(F.max("value").alias("value"))
-    book, _ = history_book(closes, symbols, min_days)
-    at = plan.where(F.col("month").isin(*months) & (F.col("value") > 0)).select(
-        "portfolio_id", "symbol", "month", F.col("value").alias("_v"))
-    mixed = book.select("portfolio_id", "symbol", "day", "r").join(at, ["portfolio_id", "symbol"])
-    daily = mixed.groupBy("portfolio_id", "month", "day").agg(
-        F.try_divide(F.sum(F.col("_v") * F.col("r")), F.sum("_v")).alias("r"))
-    return path_stats(daily, ["portfolio_id", "month"])
+    step = F.when(F.col("month").isin(*months) & (F.col("value") > 0), F.struct(F.col("month"), F.col("value").alias("v")))
+    symbols = plan.groupBy("portfolio_id", "symbol").agg(F.max("value").alias("value"), F.collect_list(step).alias("plan"))
+    kind = dict(plan.dtypes)["month"]
+    return bk.books(closes, symbols, min_days, carry=["plan"]).facts(
+        bk.plan_facts, f"month {kind}, grown_100 double, volatility_pct double, biggest_drop_pct double, days bigint")
