@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zlib
@@ -39,7 +40,7 @@ class _Words(dict):
     """Hashes of words, remembered; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, 7)
         return value
@@ -153,7 +154,7 @@ def _find(window: int):
     """Documents to anchor rows; n = 0 marks what the batch has settled, with its mask in `place`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WORDS
-        for b in by_size(batches, 1, 4_000_000):
+        for b in by_size(batches, 1, 3_000_000):
             texts = [t.split() for t in b.column(1).to_pylist()]
             size = np.fromiter(map(len, texts), np.int64, len(texts))
             if not size.sum():
@@ -309,14 +310,48 @@ def covered(n_words: int, start: np.ndarray, mask: np.ndarray, window: int) -> n
     return np.cumsum(edge[:n_words]) > 0
 
 
-def with_hits(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000) -> DataFrame:
-    """The documents, columns unchanged, with __starts and __masks of their repeated windows (null: none)."""
-    hits = repeated_windows(docs, window, crowd).groupBy("doc_id", "uid").agg(
-        F.collect_list(F.struct("start", "mask")).alias("h"))
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"), F.col("h.start").alias("__starts"), F.col("h.mask").alias("__masks"))
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn(
-        "__uid", ((F.crc32(as_bytes("text")) + F.lit(1 << 31)) % F.lit(1 << 32) - F.lit(1 << 31)).cast("int"))
-    return named.join(hits, ["__id", "__uid"], "left").drop("__id", "__uid")
+def key_map(keys: DataFrame, most: int = 1 << 27) -> np.ndarray:
+    """A map of the keys (a written table of id, uid) for `may_have`: 16 bits a key, at most `most` bits (16 MB)."""
+    bits = 64
+    while bits < min(most, 16 * keys.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64("id", "uid"), F.lit(bits))
+    words = keys.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("bits")).toArrow()     # at most `most` / 64 rows
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table.view(np.uint64)
+
+
+def may_have(table: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """False where the keys of a map surely lack a row, told by the hash of its id and uid. Where the map is too
+    small for its keys, more rows may have one."""
+    at = name.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def over_hits(docs: DataFrame, work, schema, window: int = WINDOW, crowd: int = 20_000) -> DataFrame:
+    """What `work` makes of batches (row, starts, masks): the documents as structs, with their repeated windows (null:
+    none). Only documents that may have some are moved to meet them; the others are done where they are read."""
+    hits = reliable(repeated_windows(docs, window, crowd).groupBy(F.col("doc_id").alias("id"), "uid").agg(
+        F.collect_list(F.struct("start", "mask")).alias("h")))
+    shared = docs.sparkSession.sparkContext.broadcast(key_map(hits.select("id", "uid")))
+    uid = ((F.crc32(as_bytes("text")) + F.lit(1 << 31)) % F.lit(1 << 32) - F.lit(1 << 31)).cast("int")
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), uid.alias("uid"))
+
+    @F.pandas_udf("boolean")
+    def maybe(name: pd.Series) -> pd.Series:
+        return pd.Series(may_have(shared.value, name.to_numpy()))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~may_have(shared.value, b.column(1).to_numpy())))
+            none = pa.nulls(b.num_rows, pa.list_(pa.int32()))
+            yield from work(iter([pa.RecordBatch.from_arrays([b.column(0), none, none], ["row", "starts", "masks"])]))
+
+    found = named.filter(maybe(F.xxhash64("id", "uid"))).join(hits, ["id", "uid"], "left").select(
+        "row", F.col("h.start").alias("starts"), F.col("h.mask").alias("masks"))
+    return found.mapInArrow(work, schema).unionByName(named.select("row", F.xxhash64("id", "uid")).mapInArrow(rest, schema))
 
 
 def _of(b: pa.RecordBatch, i: int) -> list[np.ndarray | None]:
@@ -325,11 +360,13 @@ def _of(b: pa.RecordBatch, i: int) -> list[np.ndarray | None]:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space, as bytes),
-    stripped (the text without the removed words and the white space after each; null stays null)."""
+    stripped (the text without the removed words and the white space after each; null stays null). An empty table
+    gives no rows; columns but doc_id and text are not looked at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, gone, kept, bare = [], [], [], []
-            for text, start, mask in zip(b.column(1).to_pylist(), _of(b, 2), _of(b, 3)):
+            ids, texts = b.column(0).flatten()
+            for text, start, mask in zip(texts.to_pylist(), _of(b, 1), _of(b, 2)):
                 words = (text or b"").split()
                 n.append(len(words))
                 if start is None:
@@ -343,13 +380,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000)
                 kept.append(b" ".join([w for w, s in zip(words, stay.tolist()) if s]))
                 bare.append(_strip(text, words, out))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()),
+                [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()),
                  pa.array(bare, pa.binary())], ["doc_id", "n_words", "n_removed", "kept", "stripped"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_hits(docs.select("doc_id", "text"), window, crowd).select(
-        "doc_id", F.col("text").cast("string").cast("binary").alias("text"), "__starts", "__masks").mapInArrow(
-        run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept binary, stripped binary")
+    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    return over_hits(rows, run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept binary, stripped binary", window, crowd)
 
 
 def _strip(text: bytes, words: list[bytes], out: np.ndarray) -> bytes:
@@ -368,12 +404,15 @@ def _strip(text: bytes, words: list[bytes], out: np.ndarray) -> bytes:
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000) -> DataFrame:
     """The documents with repeated passages cut out of their texts and n_chars counted anew; all rows stay,
-    other columns are unchanged. A document that keeps nothing has an empty text."""
+    other columns are unchanged, whatever their names. A document that keeps nothing has an empty text; an empty
+    table gives no rows."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            text, starts, masks = (b.column(b.schema.get_field_index(c)) for c in ("text", "__starts", "__masks"))
+            row, starts, masks = b.columns
+            columns = row.flatten()
+            text = columns[names.index("text")]
             out = []
             for t, start, mask in zip(text.to_pylist(), starts.to_pylist(), masks.to_pylist()):
                 if start is not None:
@@ -381,9 +420,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000) ->
                     words = raw.split()
                     t = _strip(raw, words, covered(len(words), np.array(start, np.int64), np.array(mask, np.int64), window)).decode()
                 out.append(t)
-            cols = [pa.array(out, pa.string()) if f == "text" else b.column(i) for i, f in enumerate(names)]
+            cols = [pa.array(out, pa.string()) if f == "text" else c for f, c in zip(names, columns)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    marked = with_hits(docs, window, crowd)
-    done = marked.mapInArrow(run, docs.schema)
+    done = over_hits(docs, run, docs.schema, window, crowd)
     return done.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else done

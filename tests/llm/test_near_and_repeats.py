@@ -241,3 +241,23 @@ def test_windows_of_one_anchor_are_told_apart(crowd):
         order = [(c, "ascending") for c in ("name", "key", "doc_id", "uid", "start") if c in met.column_names]
         met = list(repeats._second(iter(met.sort_by(order).combine_chunks().to_batches())))
     assert sum(b.num_rows for b in met) == 0
+
+
+@pytest.mark.parametrize("most", [64, 1 << 27])
+def test_map_of_keys_misses_none(spark, most):
+    rows = spark.range(5000).selectExpr("id", "cast(id % 7 as int) uid")
+    keys = rows.filter("id % 100 = 3")
+    table = repeats.key_map(keys, most)
+    names = rows.selectExpr("id", "xxhash64(id, uid) name").toPandas()
+    told = repeats.may_have(table, names["name"].to_numpy())
+    assert told[names["id"] % 100 == 3].all() and (told.sum() < 1200) == (most > 64)
+    assert not repeats.may_have(repeats.key_map(keys.limit(0), most), names["name"].to_numpy()).any()
+
+
+def test_repeats_go_whatever_the_columns_are_called(spark):
+    phrase = " ".join(f"w{i}" for i in range(25))
+    df = spark.createDataFrame([(1, phrase + " end", 1, "a", 2, 3), (2, "start " + phrase, 4, None, 5, 6), (None, None, 7, "c", 8, 9)],
+                               "doc_id bigint, text string, __starts int, __uid string, row int, id int")
+    got = {r["doc_id"]: tuple(r) for r in repeats.drop_repeats(df).collect()}
+    assert got == {1: (1, phrase + " end", 1, "a", 2, 3), 2: (2, "start ", 4, None, 5, 6), None: (None, None, 7, "c", 8, 9)}
+    assert repeats.drop_repeats(df.limit(0)).columns == df.columns
