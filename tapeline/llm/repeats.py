@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zlib
 from pyspark.sql import DataFrame, functions as F
@@ -146,12 +147,14 @@ def anchors(ids: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray,
     return key[new], starts[new], count, place[new] - starts[new], new, hashes
 
 
-ROW = "key bigint, doc_id bigint, uid int, start int, n int, place int, windows binary"
+#: `at` is the first window's start * 32 + the anchor's place in it, or, without windows, the number of windows that
+#: the batch has settled; few and narrow columns, as there is a row for every few words
+ROW = "key bigint, doc_id bigint, uid int, at bigint, windows binary"
 HIT = "doc_id bigint, uid int, start int, mask int, key bigint, name bigint"
 
 
 def _find(window: int):
-    """Documents to anchor rows; n = 0 marks what the batch has settled, with its mask in `place`."""
+    """Documents to anchor rows; those that the batch has settled have no windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WORDS
         for b in by_size(batches, 1, 3_000_000):
@@ -185,11 +188,9 @@ def _find(window: int):
             raw = hashes.tobytes()
             blobs = [raw[8 * x:8 * y] if z else None for x, y, z in zip(at.tolist(), ends.tolist(), live.tolist())]
             spread = np.where(live, key, mix(key + own[which].astype(np.uint64) + local.astype(np.uint64)))
-            full = (1 << count) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread.view(np.int64)), pa.array(own[which]), pa.array(uid[which]), pa.array(local.astype(np.int32)),
-                 pa.array(np.where(live, count, 0).astype(np.int32)), pa.array(np.where(live, place, full).astype(np.int32)),
-                 pa.array(blobs, pa.binary())], [f.split()[0] for f in ROW.split(", ")])
+                [pa.array(spread.view(np.int64)), pa.array(own[which]), pa.array(uid[which]),
+                 pa.array(32 * local + np.where(live, place, count)), pa.array(blobs, pa.binary())], [f.split()[0] for f in ROW.split(", ")])
     return run
 
 
@@ -242,7 +243,9 @@ def _meet(crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None
         for b in batches:
-            now = (*(b.column(i).to_numpy() for i in range(6)), b.column(6).to_pylist())
+            key, doc, uid, at = (b.column(i).to_numpy() for i in range(4))
+            n = pc.fill_null(pc.binary_length(b.column(4)), 0).to_numpy(zero_copy_only=False) // 8
+            now = (key, doc, uid, at >> 5, n, np.where(n > 0, at & 31, (1 << (at & 31)) - 1), b.column(4).to_pylist())
             if kept is not None:
                 now = (*(np.concatenate(p) for p in zip(kept[:6], now[:6])), kept[6] + now[6])
             key = now[0]
