@@ -29,7 +29,7 @@ import xxhash
 import zlib
 from pyspark.sql import DataFrame, functions as F
 
-from tapeline.llm.common import NO_ID, as_bytes, by_size, mix, reliable, slices
+from tapeline.llm.common import NO_ID, as_bytes, by_size, mix, reliable, slices, written
 
 WINDOW, ROUNDS = 20, 3
 BASE = 0x9E3779B97F4A7C15                       # odd: has an inverse modulo 2^64
@@ -294,7 +294,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, crowd: int = 20_000)
         raise ValueError("window must be from 2 to 30 words")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), as_bytes("text").alias("text"))
     met = rows.mapInArrow(_find(window), ROW).repartition("key").sortWithinPartitions("key").mapInArrow(_meet(crowd), HIT)
-    met = reliable(met)
+    met = written(met)
     hits = met.filter("mask <> 0").select("doc_id", "uid", "start", "mask")
     crowded = met.filter("mask = 0")
     if crowded.isEmpty():
