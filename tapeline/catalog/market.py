@@ -124,16 +124,15 @@ def gap_grid(spark, sf):
     return rounded(px.gap_grid(v.order_closes(spark, sf)))
 
 
-@query("wide_closes", with_views(f"""SELECT day, {r("max(close) FILTER (WHERE symbol = 'click')")} AS click,
-    {r("max(close) FILTER (WHERE symbol = 'view')")} AS view FROM bars GROUP BY day""", "bars"))
+@query("wide_closes", with_views("SELECT day, " + ", ".join(
+    r(f"max(close) FILTER (WHERE symbol = '{s}')") + f" AS {s}" for s in v.EVENT_TYPES) + " FROM bars GROUP BY day", "bars"))
 def wide_closes(spark, sf):
-    return rounded(px.wide(v.event_bars(spark, sf), ["click", "view"]))
+    return rounded(px.wide(v.event_bars(spark, sf), v.EVENT_TYPES))
 
 
-@query("wide_to_long", with_views(f"""SELECT day, symbol, {r('close')} AS close FROM bars
-    WHERE symbol IN ('click', 'view')""", "bars"))
+@query("wide_to_long", with_views(f"SELECT day, symbol, {r('close')} AS close FROM bars", "bars"))
 def wide_to_long(spark, sf):
-    return rounded(px.long(px.wide(v.event_bars(spark, sf), ["click", "view"]), ["click", "view"]))
+    return rounded(px.long(px.wide(v.event_bars(spark, sf), v.EVENT_TYPES), v.EVENT_TYPES))
 
 
 LOCAL = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
@@ -429,6 +428,15 @@ def correlation_pairs(spark, sf):
     return rounded(co.correlation_pairs(_returns(spark, sf)))
 
 
+@query("covariance_pairs", with_views(f"""SELECT a.symbol AS sym_a, b.symbol AS sym_b, {r('covar_samp(a.r, b.r)', 8)} AS cov,
+    count(*) AS n_days FROM ret a JOIN ret b ON a.day = b.day AND a.symbol <= b.symbol
+    GROUP BY 1, 2 HAVING count(*) > 1""", "supplier_closes",
+    ret="""SELECT * FROM (SELECT symbol, day, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS r
+        FROM supplier_closes) t WHERE r IS NOT NULL"""))
+def covariance_pairs(spark, sf):
+    return rounded(co.covariance_pairs(_returns(spark, sf)), cov=8)
+
+
 _COMPLETE_PAIRS = {"complete": complete_sql("order_closes"), "steps": returns_sql("complete"),
                    "pairs": _CORR["pairs"]}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The market's calendar, and the parameters of forecasts, costs and the crawl.
 TRADING_DAYS_PER_YEAR = 252
 MARKET_ZONE = "America/New_York"
 CLOSE_HOUR = 16
@@ -26,17 +27,15 @@ SWEEP_WINDOWS = tuple(range(10, 201, 5))
 
 # Sector of each known symbol.
 SECTORS = {
-    "Tech": ("AAPL", "MSFT", "NVDA", "AMD", "INTC", "GOOGL", "META", "LITE", "AVGO",
-             "ORCL", "ZS", "MRVL", "QBTS"),
-    "Consumer": ("AMZN", "TSLA", "NFLX", "WMT", "COST", "KO", "PEP", "HD"),
-    "Finance": ("JPM", "BAC", "GS"),
-    "Energy": ("XOM", "CVX"),
-    "Health": ("JNJ", "PFE", "BAYRY"),
-    "Industrial": ("CAT", "SPCX"),
-    "Utilities": ("CEG",),
-    "Fund: S&P 500": ("SPY",),
-    "Fund: Nasdaq 100": ("QQQ",),
-    "Fund: MSCI World": ("URTH",),
+    "AAPL": "Tech", "MSFT": "Tech", "NVDA": "Tech", "AMD": "Tech", "INTC": "Tech",
+    "GOOGL": "Tech", "META": "Tech", "LITE": "Tech", "AVGO": "Tech",
+    "AMZN": "Consumer", "TSLA": "Consumer", "NFLX": "Consumer", "WMT": "Consumer",
+    "COST": "Consumer", "KO": "Consumer", "PEP": "Consumer", "HD": "Consumer",
+    "JPM": "Finance", "BAC": "Finance", "GS": "Finance",
+    "XOM": "Energy", "CVX": "Energy", "JNJ": "Health", "PFE": "Health", "CAT": "Industrial",
+    "ORCL": "Tech", "ZS": "Tech", "MRVL": "Tech", "QBTS": "Tech",
+    "CEG": "Utilities", "BAYRY": "Health", "SPCX": "Industrial",
+    "SPY": "Fund: S&P 500", "QQQ": "Fund: Nasdaq 100", "URTH": "Fund: MSCI World",
 }
 
 # Symbols treated as funds.

@@ -4,17 +4,24 @@ A new story counts as seen when its link or its headline key is already register
 that are added register their keys, so the outcome depends on the order `seq`. Seen as a graph
 whose points are links and headline keys and whose lines are stories, the stories added are the
 greedy matching by `seq`. It is found in rounds: a story first at both its points can be decided
-at once, and everything touching it falls away. No group of copies is ever gathered in one task.
+at once, and everything touching it falls away. A story that only one earlier story can block is added
+exactly if that one is not; such chains are followed by doubling, so their length does not matter. What is left
+of `SMALL` stories and fewer is replayed in order. No group of copies is ever gathered in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tapeline.functions.textual import headline_key
 from tapeline.operators.skew import salted_join
 from tapeline.session import cut_lineage
 
+SMALL = 100_000       # stories that one task replays
+
 
 def _keys(stories: DataFrame) -> DataFrame:
     """Fixed-length keys: headlines can be whole posts."""
@@ -27,20 +34,58 @@ def _spread_join(big: DataFrame, lookup: DataFrame, key: str, how: str) -> DataF
     return salted_join(big, lookup, [key], how)
 
 
-def first_stories(lines: DataFrame) -> DataFrame:
+def _second(lines: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """(seq, to): the second story at each point and the first one there."""
+    later = _spread_join(lines.select(key, "seq"), first.withColumnRenamed("seq", "to"), key, "inner").where(F.col("seq") > F.col("to"))
+    return later.groupBy(key).agg(F.min("seq").alias("seq"), F.min("to").alias("to")).select("seq", "to")
+
+
+def _follow(blocked: DataFrame, sure: DataFrame) -> DataFrame:
+    """The stories (seq) of chains that are added: an even number of steps `to` before a sure one. A chain that leads
+    to a story with several blockers stays undecided."""
+    steps = cut_lineage(blocked.withColumn("odd", F.lit(True)))
+    while True:
+        onward = steps.select(F.col("seq").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+        longer = cut_lineage(steps.join(onward, "to", "left"))
+        if longer.where(F.col("_to").isNotNull()).isEmpty():
+            break
+        steps = longer.select("seq", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"))
+    return steps.where(~F.col("odd")).join(sure.select(F.col("seq").alias("to")), "to", "left_semi").select("seq")
+
+
+def _replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The stories added, of one sorted partition."""
+    links, heads = set(), set()
+    for frame in frames:
+        free = []
+        for u, h in zip(frame["_u"], frame["_h"]):
+            free.append(u not in links and h not in heads)
+            if free[-1]:
+                links.add(u)
+                heads.add(h)
+        yield frame[free]
+
+
+def first_stories(lines: DataFrame, small: int = SMALL) -> DataFrame:
     """Greedy matching of lines(_u, _h, seq), unique on (_u, _h), by increasing seq."""
-    left = cut_lineage(lines)
-    chosen = None
-    while not left.isEmpty():
+    left, turn = cut_lineage(lines.select("seq", "_u", "_h")), 0
+    chosen = left.limit(0)
+    while (n := left.count()) > small:
         first_u = left.groupBy("_u").agg(F.min("seq").alias("seq"))
         first_h = left.groupBy("_h").agg(F.min("seq").alias("seq"))
         # seq is unique, so these two meet one to one however many copies a key has
         picked = cut_lineage(first_u.join(first_h, "seq").select("seq", "_u", "_h"))
-        chosen = picked if chosen is None else chosen.unionByName(picked)
+        if turn >= 2:                   # plain rounds settle most of what there is
+            blocked = _second(left, first_u, "_u").join(first_h.select("seq"), "seq", "left_semi").unionByName(
+                _second(left, first_h, "_h").join(first_u.select("seq"), "seq", "left_semi"))
+            picked = cut_lineage(picked.unionByName(left.join(_follow(blocked, picked), "seq", "left_semi").select("seq", "_u", "_h")))
+        chosen = chosen.unionByName(picked)
         rest = _spread_join(left, picked.select("_u"), "_u", "left_anti")
-        left = cut_lineage(_spread_join(rest, picked.select("_h"), "_h", "left_anti")
-                           .select("_u", "_h", "seq"))
-    return lines.limit(0) if chosen is None else chosen
+        left = cut_lineage(_spread_join(rest, picked.select("_h"), "_h", "left_anti").select("seq", "_u", "_h"))
+        turn += 1
+    if n:
+        chosen = chosen.unionByName(left.repartition(1).sortWithinPartitions("seq").mapInPandas(_replay, left.schema))
+    return chosen
 
 
 def merge(archive: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeline.functions import fixed
 
 
-def sectors(spark: SparkSession, table: Mapping[str, Sequence[str]] = fixed.SECTORS) -> DataFrame:
-    rows = [(symbol, sector) for sector, symbols in table.items() for symbol in symbols]
+def sectors(spark: SparkSession, table: Mapping[str, str | Sequence[str]] = fixed.SECTORS) -> DataFrame:
+    """Sector by symbol, from a map of symbols to their sector or of sectors to their symbols."""
+    rows = [(k, v) if isinstance(v, str) else (x, k) for k, v in table.items() for x in ([k] if isinstance(v, str) else v)]
     return spark.createDataFrame(rows, "symbol string, sector string")
 
 

@@ -175,3 +175,35 @@ def test_texts_are_scored_once_and_keep_their_rows(spark):
     rows = sc.attach_scores(texts, sc.extended_cache(cache, fresh)).collect()
     assert sorted((r.text, r.label, r.label_score) for r in rows) == [
         ("b", "neutral", 0), ("b", "neutral", 0), ("old", "positive", 1), ("tie", "positive", 1), ("tie", "positive", 1)]
+
+
+def matched(rows):
+    links, heads, out = set(), set(), []
+    for seq, u, h in sorted(rows):
+        if u not in links and h not in heads:
+            links.add(u)
+            heads.add(h)
+            out.append(seq)
+    return out
+
+
+@pytest.mark.parametrize("small", [0, 40, 10_000])
+def test_archive_rounds_equal_a_replay(spark, small):
+    rng = random.Random(6)
+    pairs = list({(rng.randrange(60) if rng.random() < .7 else 0, rng.randrange(60) if rng.random() < .7 else 0): 1 for _ in range(400)})
+    rows = [(i, f"u{u}", f"h{h}") for i, (u, h) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "seq bigint, _u string, _h string")
+    assert sorted(r.seq for r in ar.first_stories(df, small).collect()) == matched(rows)
+    assert ar.first_stories(df.limit(0), small).count() == 0
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each story shares its link with the one before it and its headline with the one after."""
+    n, rounds = 10_000, []
+    rows = [(i, f"u{i // 2}", f"h{(i + 1) // 2}") for i in range(n)]
+    cut = ar.cut_lineage
+    monkeypatch.setattr(ar, "cut_lineage", lambda df: (rounds.append(1), cut(df))[1])
+    df = spark.createDataFrame(rows, "seq bigint, _u string, _h string")
+    got = sorted(r.seq for r in ar.first_stories(df, 0).collect())
+    assert got == matched(rows) == list(range(0, n, 2))
+    assert len(rounds) <= 30          # two or three tables a round, one a doubling: 3 rounds and 14 doublings
