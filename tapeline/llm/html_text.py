@@ -46,23 +46,27 @@ NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadc
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 
-def _noise(attributes: str) -> bool:
+def _noise(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden or has the role of clutter, is named like clutter in part, and wholly."""
+    part = whole = False
     for name, a, b, c in NAMED.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+            return True, False, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and any(w in NOISE for w in re.split(r"[\s_\-]+", value)):
-            return True
-    return False
+            return True, False, False
+        if name in ("class", "id"):
+            part = part or any(w in NOISE for w in re.split(r"[\s_\-]+", value))
+            whole = whole or any(w in NOISE for w in value.split())
+    return False, part, whole
 
 
 class _Page:
     """Elements in page order with parents before children, and the texts and block edges between them."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, lenient: bool = False) -> None:
         self.tag, self.parent, self.out = ["#"], [-1], [False]
+        self.named: list[tuple[int, bool]] = []                   # elements with names of clutter; a whole name is one
         self.events: list[tuple[int, str | None]] = []            # (element, text) or (element, None) at block edges
         stack, at = [0], 0
         while at < len(html):
@@ -88,8 +92,11 @@ class _Page:
             self.parent.append(stack[-1])
             attributes = m[3] or m[6] or ""
             own = len(self.tag) - 1
-            self.out.append(self.out[stack[-1]] or name in NEVER or name == "header" and not self._inside(stack, ("article", "main"))
-                            or bool(attributes) and name not in ("html", "body", "article", "main") and _noise(attributes))
+            hidden, part, whole = _noise(attributes) if attributes and name not in ("html", "body", "article", "main") else (False,) * 3
+            self.out.append(self.out[stack[-1]] or hidden or name in NEVER and not (lenient and name == "form")
+                            or name == "header" and not lenient and not self._inside(stack, ("article", "main")))
+            if part:
+                self.named.append((own, whole))
             if name in BLOCK:
                 self.events.append((own, None))
             if name in RAW:
@@ -97,6 +104,41 @@ class _Page:
                 at = end.end() if end else len(html)
             elif name not in VOID and not attributes.endswith("/"):
                 stack.append(own)
+        self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Elements named like clutter go, but for those that hold the article (the `article` or `main` with the most text,
+        of those under no element wholly named so) or, on pages without, most of the text; inside an article only by their
+        whole name, or if most of their text is in links."""
+        if not self.named:
+            return
+        n = len(self.tag)
+        chars, links, linked, inside, under = [0] * n, [0] * n, [False] * n, [False] * n, [False] * n
+        wholly = {e for e, whole in self.named if whole}
+        for e in range(1, n):
+            p = self.parent[e]
+            linked[e], under[e] = linked[p] or self.tag[e] == "a", under[p] or e in wholly
+            inside[e] = inside[p] or self.tag[e] in ("article", "main")
+        for e, text in self.events:
+            if text is not None and not self.out[e]:
+                size = len(text.strip())
+                chars[e] += size
+                links[e] += size * linked[e]
+        for e in range(n - 1, 0, -1):
+            chars[self.parent[e]] += chars[e]
+            links[self.parent[e]] += links[e]
+        units = [e for e in range(1, n) if self.tag[e] in ("article", "main") and not self.out[e] and not under[e]]
+        held, e = set(), max(units, key=lambda e: chars[e] - links[e], default=0)
+        while e > 0:
+            held.add(e)
+            e = self.parent[e]
+        for e, whole in self.named:
+            most = not units and 2 * chars[e] > chars[0]
+            if e not in held and not most and (whole or not inside[e] or 2 * links[e] > chars[e]):
+                self.out[e] = True
+        for e in range(1, n):
+            self.out[e] = self.out[e] or self.out[self.parent[e]]
+        self.events = [(e, text) for e, text in self.events if text is None or not self.out[e]]
 
     def _text(self, element: int, text: str) -> None:
         if not self.out[element]:
@@ -206,8 +248,12 @@ class _Page:
 
 
 def main_text(html: str) -> str:
-    """Blocks of the article, white space made single, joined by an empty line; '' if there are none."""
-    page = _Page(html)
+    """Blocks of the article, white space made single, joined by an empty line; '' if there are none. A page that has
+    text in forms and headers alone gives that."""
+    return _text_of(_Page(html)) or _text_of(_Page(html, lenient=True))
+
+
+def _text_of(page: _Page) -> str:
     marked, blocks, now = page.chosen(), [], []
     for e, text in page.events:
         if text is None:

@@ -243,3 +243,23 @@ def test_added_tokens_are_ids_of_their_own(spark):
     assert np.frombuffer(own.ids(f"a {mark} b"), "<u4").tolist() == [64, 220, 50256, 275]
     docs = spark.createDataFrame([(1, f"a {mark} b")], "doc_id bigint, text string")
     assert [r["length"] for r in packing.pieces(docs, _path()).collect()] == [5]
+
+
+@pytest.mark.parametrize("name", ["layout-with-sidebar", "no-sidebar", "has-banner", "entry-content social-share-enabled",
+                                  "page-with-comments", "widget-area content", "skip"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_of_wrappers_do_not_lose_the_article(name, tag):
+    inside = "".join(f"<p>Paragraph {i} with some words of text, and more.</p>" for i in range(20))
+    got = html_text.main_text(f"<body><nav><a href='/'>Home</a></nav><div class='{name}'><{tag}>{inside}</{tag}></div>"
+                              "<div class='sidebar'>Side text</div><div id='comments'><article>A reader says.</article></div></body>")
+    assert "Paragraph 0" in got and "Paragraph 19" in got and "Home" not in got and "Side" not in got
+
+
+def test_parts_of_an_article_stay_unless_clutter_is_their_whole_name_or_links():
+    got = html_text.main_text("<body><article><p>Long text of the article here.</p><section id='notice-of-results'><p>Result.</p></section>"
+                              "<p class='share-price'>Price is 5.</p><div class='ad'>Buy</div><div class='related-posts'><a href='x'>other</a></div></article></body>")
+    assert got == "Long text of the article here.\n\nResult.\n\nPrice is 5."
+
+
+def test_a_page_of_one_form_or_header_gives_its_text():
+    assert html_text.main_text("<body><nav>menu</nav><form><p>All text is here.</p></form><script>x</script></body>") == "All text is here."
