@@ -91,10 +91,6 @@ def rebase(closes: DataFrame, base: float = 100.0) -> DataFrame:
     return closes.withColumn("rebased", F.try_divide(F.col("close"), first) * base)
 
 
-def running_peak(values: DataFrame, value: str, keys: Sequence[str] = SYMBOL) -> DataFrame:
-    return values.withColumn("peak", F.max(value).over(so_far(keys)))
-
-
 def fill_forward(df: DataFrame, value: str, keys: Sequence[str] = SYMBOL) -> DataFrame:
     return df.withColumn(value, F.last(value, ignorenulls=True).over(so_far(keys)))
 

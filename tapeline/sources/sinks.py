@@ -39,7 +39,9 @@ def save_articles(extracted: DataFrame, path: str) -> None:
     """Add the texts that were worth saving, one per hash of the link; those already there stay as they are."""
     saved = extracted.where(F.col("text_status") == "saved").select(
         article_id(F.col("url")).alias("article_id"), "url", "text", F.col("n_chars").cast("int"))
-    saved = saved.dropDuplicates(["article_id"])
+    # of several texts of one link the first in order stays, whatever the partitions
+    first = F.min(F.struct("url", "text", "n_chars")).alias("first")
+    saved = saved.groupBy("article_id").agg(first).select("article_id", "first.*")
     if exists(saved.sparkSession, path):
         known = saved.sparkSession.read.schema(schema.ARTICLES).parquet(path).select("article_id")
         saved = saved.join(known, "article_id", "left_anti")
