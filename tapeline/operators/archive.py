@@ -11,10 +11,10 @@ of `SMALL` stories and fewer is replayed in order. No group of copies is ever ga
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeline.functions.textual import headline_key
 from tapeline.operators.skew import salted_join
@@ -88,20 +88,24 @@ def first_stories(lines: DataFrame, small: int = SMALL) -> DataFrame:
     return chosen
 
 
-def merge(archive: DataFrame, new: DataFrame) -> DataFrame:
-    """Archive with the unseen stories added and the tickers of seen ones joined in.
+#: known(key, asked): (key, pos) of the `asked` keys (`_u` or `_h`) that the archive holds; more may be given.
+Known = Callable[[str, DataFrame], DataFrame]
+COLUMNS = ["published", "symbols", "source", "headline", "summary", "url", "text_status"]
 
-    `archive` has `pos` (its row order) and an array `symbols`; `new` has `seq` (its order) and one
-    `symbol`. Result: the archive columns plus `is_new`; rows added have an empty text_status. When
-    the archive holds a key twice, its later row answers for it.
-    """
-    columns = ["published", "symbols", "source", "headline", "summary", "url", "text_status"]
-    old = cut_lineage(_keys(archive).select("pos", "_u", "_h"))
+
+def with_tickers(own: Column, more: Column) -> Column:
+    """A story's tickers with those found later; `more` is null where there are none."""
+    return F.when(more.isNull(), own).otherwise(F.array_sort(F.array_distinct(F.concat(own, more))))
+
+
+def changes(new: DataFrame, known: Known) -> tuple[DataFrame, DataFrame]:
+    """What `new` (with `seq`, its order, and one `symbol`) adds to an archive: the stories that enter, in archive
+    columns, and (pos, _more), the tickers found for stories already there."""
     fresh = _keys(new.where(F.coalesce(F.col("url"), F.lit("")) != ""))
     slim = cut_lineage(fresh.select("seq", "_u", "_h", "symbol"))
 
-    old_u = old.groupBy("_u").agg(F.max("pos").alias("old_u"))
-    old_h = old.groupBy("_h").agg(F.max("pos").alias("old_h"))
+    old_u = known("_u", slim.select("_u").distinct()).withColumnRenamed("pos", "old_u")
+    old_h = known("_h", slim.select("_h").distinct()).withColumnRenamed("pos", "old_h")
     lines = slim.groupBy("_u", "_h").agg(F.min("seq").alias("seq"))
     lines = _spread_join(lines, old_u, "_u", "left_anti")
     lines = _spread_join(lines, old_h, "_h", "left_anti")
@@ -121,16 +125,36 @@ def merge(archive: DataFrame, new: DataFrame) -> DataFrame:
     tickers = cut_lineage(owner.distinct().groupBy("pos", "seq")
                           .agg(F.collect_set("symbol").alias("_more")))
 
-    def joined(own):
-        return F.when(F.col("_more").isNull(), own).otherwise(
-            F.array_sort(F.array_distinct(F.concat(own, F.col("_more")))))
-
-    kept = (archive.join(tickers.where(F.col("pos").isNotNull()).select("pos", "_more"), "pos", "left")
-            .withColumn("symbols", joined(F.col("symbols")))
-            .select(*columns, F.lit(False).alias("is_new")))
     entering = (new.join(added.select("seq"), "seq", "left_semi")
                 .join(tickers.where(F.col("seq").isNotNull()).select("seq", "_more"), "seq", "left")
-                .withColumn("symbols", joined(F.array("symbol")))
-                .withColumn("text_status", F.lit(""))
-                .select(*columns, F.lit(True).alias("is_new")))
-    return kept.unionByName(entering)
+                .withColumn("symbols", with_tickers(F.array("symbol"), F.col("_more")))
+                .withColumn("text_status", F.lit("")).select(*COLUMNS))
+    return entering, tickers.where(F.col("pos").isNotNull()).select("pos", "_more")
+
+
+def merge(archive: DataFrame, new: DataFrame) -> DataFrame:
+    """Archive with the unseen stories added and the tickers of seen ones joined in.
+
+    `archive` has `pos` (its row order) and an array `symbols`; `new` has `seq` (its order) and one
+    `symbol`. Result: the archive columns plus `is_new`; rows added have an empty text_status. When
+    the archive holds a key twice, its later row answers for it.
+    """
+    old = cut_lineage(_keys(archive).select("pos", "_u", "_h"))
+    entering, tickers = changes(new, lambda key, asked: old.groupBy(key).agg(F.max("pos").alias("pos")))
+    kept = (archive.join(tickers, "pos", "left")
+            .withColumn("symbols", with_tickers(F.col("symbols"), F.col("_more")))
+            .select(*COLUMNS, F.lit(False).alias("is_new")))
+    return kept.unionByName(entering.withColumn("is_new", F.lit(True)))
+
+
+def keyed(stories: DataFrame) -> DataFrame:
+    """Archive rows with their keys, as an archive of runs stores them."""
+    return _keys(stories)
+
+
+def settled(stories: DataFrame, tickers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keyed stories with the `tickers` (_u, _more) found for them since, and the tickers of stories that are not
+    among these."""
+    more = tickers.groupBy("_u").agg(F.array_distinct(F.flatten(F.collect_set("_more"))).alias("_more"))
+    told = stories.join(more, "_u", "left").withColumn("symbols", with_tickers(F.col("symbols"), F.col("_more")))
+    return told.select(*COLUMNS, "_u", "_h"), more.join(stories.select("_u"), "_u", "left_anti")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeline import schema
 from tapeline.functions.textual import site_of
+from tapeline.operators.archive import settled
 from tapeline.session import exists
+from tapeline.sources import runs
 
 
 def news_for(news: DataFrame, symbol: str, since: str) -> DataFrame:
@@ -43,9 +45,16 @@ def load_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.ARCHIVE).parquet(path)
 
 
+STORIES = schema.ARCHIVE + ", _u string, _h string"
+TICKERS = "_u string, _more array<string>"
+
+
+def archive_parts(spark: SparkSession, root: str, parts: list[runs.Run]) -> tuple[DataFrame, DataFrame]:
+    """The stories of some runs of a streamed archive, and the tickers for stories of earlier runs."""
+    return settled(runs.read(spark, root, "stories", STORIES, parts), runs.read(spark, root, "tickers", TICKERS, parts))
+
+
 def newest_archive(spark: SparkSession, root: str) -> DataFrame:
-    """The last version that the archive's stream wrote."""
-    if not exists(spark, root):
-        return spark.createDataFrame([], schema.ARCHIVE)
-    versions = spark.read.schema(schema.ARCHIVE + ", batch bigint").parquet(root)
-    return versions.where(F.col("batch") == versions.agg(F.max("batch")).scalar()).drop("batch")
+    """The archive as its stream has written it so far."""
+    stories, _ = archive_parts(spark, root, runs.runs_after(runs.newest(spark, root)))
+    return stories.drop("_u", "_h")

@@ -6,29 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapeline import schema
-from tapeline.operators.archive import merge
+from tapeline.operators.archive import changes, keyed
 from tapeline.operators.scoring import Scorer, new_scores
-from tapeline.session import exists
-from tapeline.sources.stories import load_archive
+from tapeline.session import cut_lineage, exists
+from tapeline.sources import runs
+from tapeline.sources.stories import STORIES, archive_parts
 
 
 def archive_batches(feed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Merge every batch of feed rows (archive columns, `symbol`, `seq`) into the archive.
+    """Merge every batch of feed rows (archive columns, `symbol`, `seq`) into the archive under `root`.
 
-    Batch b writes `root/batch=b` from `root/batch=b-1`, so a retried batch replaces only its own
-    output and gives the same result. Rows are ordered newest first, the link settling ties. Only batch 0
-    starts from nothing, and only where there are no later versions: a missing version or a checkpoint that
-    was reset is an error, not an empty archive.
+    A batch writes only the stories it adds and the tickers it finds for earlier ones (`sources.runs`); of the archive
+    it reads the keys, and Spark sends the smaller side of that lookup to the larger. A retried batch replaces its own
+    output and gives the same result. A missing run or a checkpoint that was reset is an error, not an empty archive.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark, before = batch.sparkSession, f"{root}/batch={batch_id - 1}"
-        if batch_id and not exists(spark, before):
-            raise FileNotFoundError(f"the archive's version {before} is missing")
-        if not batch_id and exists(spark, f"{root}/batch=1"):
-            raise FileExistsError(f"{root} has versions, but the stream begins anew: its checkpoint was reset")
-        old = load_archive(spark, before)
-        placed = old.withColumn("pos", F.struct(-F.unix_micros("published"), "url"))
-        merge(placed, batch).drop("is_new").write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        spark = batch.sparkSession
+        runs.check(spark, root, batch_id)
+        keys = runs.read(spark, root, "stories", STORIES, runs.runs_after(batch_id - 1)).select("_u", "_h")
+
+        def known(key: str, asked: DataFrame) -> DataFrame:
+            # each link and headline key is registered once, and a story goes by its link
+            return cut_lineage(keys.select(key, F.col("_u").alias("pos")).join(asked, key, "left_semi"))
+
+        def together(parts: list[runs.Run]) -> runs.Tables:
+            stories, tickers = archive_parts(spark, root, parts)
+            return {"stories": stories, "tickers": tickers}
+
+        entering, tickers = changes(batch, known)
+        runs.add(spark, root, batch_id, {"stories": keyed(entering), "tickers": tickers.select(F.col("pos").alias("_u"), "_more")}, together)
 
     return (feed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -142,7 +142,47 @@ def test_streamed_archive_and_scores_handle_only_new_stories(spark, tmp_path):
     arrive(3, "A", "Stock soars", "u1")
     arrive(4, "A", "Profit warning", "u3")
     run()
-    rows = {r.url: r.symbols for r in st.load_archive(spark, str(tmp_path / "arc" / "batch=1")).collect()}
+    rows = {r.url: r.symbols for r in st.newest_archive(spark, str(tmp_path / "arc")).collect()}
     assert rows == {"u1": ["A", "B"], "u3": ["A"]}
     scores = spark.read.parquet(str(tmp_path / "sc"))
     assert sorted((r.text, r.batch) for r in scores.collect()) == [("Profit warning", 1), ("STOCK SOARS!", 1), ("Stock soars", 0)]
+
+
+def test_runs_of_a_table_follow_from_the_batch():
+    from tapeline.sources.runs import FAN, runs_after
+    assert runs_after(-1) == [] and runs_after(0) == [(0, 0)] and runs_after(6) == [(b, b) for b in range(7)]
+    assert runs_after(7) == [(0, 7)] and runs_after(8) == [(0, 7), (8, 8)] and runs_after(63) == [(0, 63)]
+    for b in range(200):
+        runs = runs_after(b)
+        assert [r[0] for r in runs] == [0, *(r[1] + 1 for r in runs[:-1])] and runs[-1][1] == b and len(runs) <= 3 * (FAN - 1)
+
+
+def test_an_archive_of_many_batches_equals_a_replay_and_writes_what_is_new(spark, tmp_path):
+    import os
+    import random
+    from tapeline.sources import runs
+    draw, feed = random.Random(5), []
+    for seq in range(1, 301):
+        feed.append((seq, utc("2024-01-01 00:00:00"), draw.choice("ABCDE"), "s", f"story {draw.randrange(90)}", "", f"u{draw.randrange(120)}"))
+    cols = "seq long, published timestamp, symbol string, source string, headline string, summary string, url string"
+    root, path = str(tmp_path / "arc"), str(tmp_path / "feed")
+    for b in range(10):
+        spark.createDataFrame(feed[b * 30:b * 30 + 30], cols).coalesce(1).write.mode("append").parquet(path)
+        live.listen(live_stories.archive_batches(spark.readStream.schema(cols).parquet(path), root, str(tmp_path / "cp")))
+    links, heads, rows = {}, {}, []
+    for _, _, symbol, _, headline, _, url in feed:
+        owner = links.get(url, heads.get(headline))
+        if owner is None:
+            links[url] = heads[headline] = len(rows)
+            rows.append((url, headline, [symbol]))
+        elif symbol not in rows[owner][2]:
+            rows[owner][2].append(symbol)
+    got = sorted((r.url, r.headline, sorted(r.symbols)) for r in st.newest_archive(spark, root).collect())
+    assert got == sorted((u, h, sorted(s)) for u, h, s in rows)
+    assert runs.newest(spark, root) == 9 and runs.runs_after(9) == [(0, 7), (8, 8), (9, 9)]
+    last = spark.read.parquet(f"{root}/9-9/stories")
+    assert 0 < last.count() < 10 and spark.read.parquet(f"{root}/0-7/tickers").count() == 0
+    assert len(os.listdir(root)) <= 3 * runs.FAN
+    # a run that was not ended does not count, and a retried batch gives the same table
+    runs.remove(spark, f"{root}/9-9/whole")
+    assert runs.newest(spark, root) == 8
