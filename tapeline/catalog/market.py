@@ -444,8 +444,13 @@ _COMPLETE_PAIRS = {"complete": complete_sql("order_closes"), "steps": returns_sq
 @query("close_pairs", with_views(f"""SELECT sym_a, sym_b, {r('corr')} AS corr, n_days FROM pairs
     WHERE corr > CAST(0.02 AS DOUBLE)""", "order_closes", **_COMPLETE_PAIRS))
 def close_pairs(spark, sf):
-    pairs = co.correlation_pairs(px.complete_returns(v.order_closes(spark, sf)))
-    return rounded(co.close_pairs(pairs, 0.02))
+    return rounded(co.pairs_above(px.complete_returns(v.order_closes(spark, sf)), 0.02))
+
+
+@query("close_supplier_pairs", with_views(f"""SELECT sym_a, sym_b, {r('corr')} AS corr, n_days FROM pairs
+    WHERE corr > CAST(0.7 AS DOUBLE)""", "supplier_closes", **_CORR))
+def close_supplier_pairs(spark, sf):
+    return rounded(co.pairs_above(_returns(spark, sf), 0.7))
 
 
 @query("sector_correlations", with_views(f"""SELECT sa.n_regionkey = sb.n_regionkey AS same_sector,
@@ -455,12 +460,11 @@ def close_pairs(spark, sf):
     sectors="""SELECT 'S' || s_suppkey AS symbol, n_regionkey FROM supplier
         JOIN nation ON n_nationkey = s_nationkey"""))
 def sector_correlations(spark, sf):
-    pairs = co.correlation_pairs(_returns(spark, sf)).where(F.col("corr").isNotNull())
     sectors = (v.table(spark, sf, "supplier").join(v.table(spark, sf, "nation"),
                                                    F.col("n_nationkey") == F.col("s_nationkey"))
                .select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"),
                        F.col("n_regionkey").alias("sector")))
-    return rounded(co.sector_averages(pairs, sectors))
+    return rounded(co.sector_correlations(_returns(spark, sf), sectors))
 
 
 _PATH_STATS = f"""{r('ln(product(1 + r))')} AS grown_100,

@@ -105,7 +105,7 @@ def return_pairs(spark, sf):
     UNION ALL SELECT sym_a, sym_b, {r('corr')}, n_days, 'least' FROM (SELECT * FROM pairs
     WHERE corr IS NOT NULL AND NOT isnan(corr) ORDER BY round(corr, 9), sym_a, sym_b LIMIT 4) l""", "supplier_closes", **_CORR))
 def alike_pairs(spark, sf):
-    return rounded(co.alike_pairs(co.correlation_pairs(_returns(spark, sf))))
+    return rounded(co.extreme_pairs(_returns(spark, sf)))
 
 
 @query("cash_shares", with_views(f"""SELECT portfolio_id, {r('invested')} AS invested, {r('cash')} AS cash,

@@ -171,3 +171,22 @@ def test_no_row_per_holding_and_day_is_shuffled(spark):
     plan = mixes.mix_risk_shares(returns(spark, wide), weights)._jdf.queryExecution().executedPlan().toString()
     assert "portfolio_id#" not in "".join(x for x in plan.splitlines() if "Exchange" in x and "day" in x)
     assert "Window" not in plan
+
+
+def test_pairs_picked_in_their_tasks_equal_those_of_all_pairs(spark):
+    import random
+    draw = random.Random(8)
+    drawn = [(f"S{s}", f"2024-01-{d:02d}", draw.gauss(0, 1) if s != 5 else 0.0) for s in range(9) for d in range(1, 25) if draw.random() < 0.8]
+    drawn += [("S9", day, r) for s, day, r in drawn if s == "S1"]                # a copy: tied with S1 everywhere
+    table = spark.createDataFrame(drawn, "symbol string, day string, r double").withColumn("day", F.to_date("day")).cache()
+    pairs = co.correlation_pairs(table).cache()
+    sectors = spark.createDataFrame([(f"S{s}", s % 3) for s in range(9) if s != 2] + [("S9", None)], "symbol string, sector int")
+    def same(a, b):
+        place = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+        assert sorted(map(repr, map(place, a.collect()))) == sorted(map(repr, map(place, b.select(a.columns).collect())))
+    for block in (3, 256):
+        same(co.pairs_above(table, 0.2, block=block), co.close_pairs(pairs, 0.2))
+        same(co.extreme_pairs(table, 3, block), co.alike_pairs(pairs, 3))
+        known = pairs.where("corr is not null")
+        same(co.sector_correlations(table, sectors, block), co.sector_averages(known, sectors.where("sector is not null")))
+    assert co.pairs_above(table.limit(0)).count() == 0
