@@ -294,7 +294,7 @@ _CRAWL = {"robots": _ROBOTS,
               ON b.host = p.host AND starts_with(p.path, path_prefix) GROUP BY 1"""}
 
 
-def _checked(spark, sf):
+def _checked(spark, sf, hosts=None):
     docs = v.table(spark, sf, "documents")
     rules = F.array(*[F.struct(F.lit(i).alias("ord"), p.alias("path_prefix"), F.lit(a).alias("allow"))
                       for i, p, a in ((1, F.lit("/en/1"), True), (2, F.lit("/en"), False),
@@ -303,7 +303,7 @@ def _checked(spark, sf):
               .select(F.concat(F.lit("www."), F.col("source"), F.lit(".example")).alias("host"),
                       F.explode(rules).alias("r")).select("host", "r.*"))
     skip = ("src0.example", "src7.example")
-    return nw.crawl_checks(v.news(spark, sf), robots, skip)
+    return nw.crawl_checks(v.news(spark, sf), robots, skip, hosts)
 
 
 _CHECK = f"""CASE WHEN {SITE_SQL.format('p.url')} IN ('src0.example', 'src7.example')
@@ -316,6 +316,19 @@ def crawl_checks(spark, sf):
     return _checked(spark, sf).select("doc_id", "check")
 
 
+@query("crawl_checks_by_answer", with_views(f"""SELECT p.doc_id, CASE WHEN {SITE_SQL.format('p.url')} IN ('src0.example', 'src7.example')
+    THEN 'skipped_site' WHEN shut OR (NOT free AND NOT coalesce(allow, true)) THEN 'blocked_by_robots' ELSE '' END AS "check"
+    FROM paths p JOIN answers a ON a.host = p.host LEFT JOIN ruled USING (doc_id)""", "news", **_CRAWL,
+    answers="""SELECT DISTINCT 'www.' || source || '.example' AS host, substr(md5(source), 2, 1) IN ('8', '9', 'a', 'b', 'c', 'd', 'e', 'f') AS shut,
+        substr(md5(source), 2, 1) IN ('4', '5', '6', '7') AS free FROM documents"""))
+def crawl_checks_by_answer(spark, sf):
+    """Hosts answer by their name: with rules, that there are none, with a fault, or not at all."""
+    told = F.substring(F.md5("source"), 2, 1)
+    status = F.when(told < "4", 200).when(told < "8", 404).when(told < "c", 503)
+    hosts = v.table(spark, sf, "documents").select(F.concat(F.lit("www."), F.col("source"), F.lit(".example")).alias("host"), status.alias("status"))
+    return _checked(spark, sf, hosts.distinct()).select("doc_id", "check")
+
+
 @query("crawl_report", with_views(f"""SELECT source, count(*) FILTER (WHERE s = 'skipped_site') AS skipped_site,
     count(*) FILTER (WHERE s = 'blocked_by_robots') AS blocked_by_robots, count(*) FILTER (WHERE s = 'open') AS open
     FROM (SELECT p.source, CASE {_CHECK} WHEN '' THEN 'open' ELSE {_CHECK} END AS s FROM paths p

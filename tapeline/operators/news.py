@@ -187,15 +187,26 @@ def unfetched(archive: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def crawl_checks(stories: DataFrame, robots: DataFrame,
-                 skip_sites: Sequence[str] = fixed.SKIP_SITES) -> DataFrame:
+                 skip_sites: Sequence[str] = fixed.SKIP_SITES, hosts: DataFrame | None = None) -> DataFrame:
     """May each link be visited? Adds `check`: empty, skipped_site or blocked_by_robots.
 
     `robots(host, ord, path_prefix, allow)`: the first rule by `ord` whose prefix matches decides;
     none means allowed. A host's rules travel as one sorted list, so a site holding most of the
     links is spread by salt and no (link, rule) rows are made.
+
+    `hosts(host, status)` tells how the request for a host's rules ended: 404 means that it has none; any other
+    failure (400 and more, or null for no answer) keeps the whole host shut. Of several rows of a host the
+    strictest counts. Hosts that are not in it go by `robots` alone.
     """
     rules = robots.groupBy("host").agg(F.array_sort(F.collect_list(
         F.struct("ord", "path_prefix", "allow"))).alias("_rules"))
+    if hosts is None:
+        rules = rules.withColumn("_shut", F.lit(False))
+    else:
+        status = F.col("status")
+        told = hosts.groupBy("host").agg(F.bool_or(status.isNull() | ((status >= 400) & (status != 404))).alias("_shut"),
+                                         F.bool_and(F.coalesce(status == 404, F.lit(False))).alias("_free"))
+        rules = rules.join(told, "host", "full").withColumn("_rules", F.when(~F.coalesce("_free", F.lit(False)), F.col("_rules"))).drop("_free")
     path = F.coalesce(F.try_parse_url("url", F.lit("FILE")), F.lit("/"))
     path = F.when(path == "", "/").otherwise(path)
     located = (stories.withColumn("host", F.coalesce(F.try_parse_url("url", F.lit("AUTHORITY")), F.lit("")))
@@ -206,8 +217,8 @@ def crawl_checks(stories: DataFrame, robots: DataFrame,
     site = site_of(F.col("url"))
     return joined.withColumn(
         "check", F.when(site.isin(*skip_sites), "skipped_site")
-        .when(~F.coalesce(verdict, F.lit(True)), "blocked_by_robots").otherwise("")
-    ).drop("_rules", "_path", "host")
+        .when(F.coalesce("_shut", F.lit(False)) | ~F.coalesce(verdict, F.lit(True)), "blocked_by_robots").otherwise("")
+    ).drop("_rules", "_shut", "_path", "host")
 
 
 def extract_articles(pages: DataFrame, min_chars: int = fixed.MIN_ARTICLE_CHARS) -> DataFrame:

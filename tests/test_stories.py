@@ -207,3 +207,14 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     got = sorted(r.seq for r in ar.first_stories(df, 0).collect())
     assert got == matched(rows) == list(range(0, n, 2))
     assert len(rounds) <= 30          # two or three tables a round, one a doubling: 3 rounds and 14 doublings
+
+
+def test_hosts_without_an_answer_are_shut(spark):
+    rules = spark.createDataFrame([("a.example", 1, "/x", False), ("b.example", 1, "/", False), ("f.example", 1, "/x", False)],
+                                  "host string, ord int, path_prefix string, allow boolean")
+    hosts = spark.createDataFrame([("a.example", 200), ("b.example", 404), ("c.example", 503), ("d.example", None), ("e.example", 200), ("e.example", 500)],
+                                  "host string, status int")
+    links = [f"https://{h}.example/{p}" for h in "abcdefg" for p in ("x", "y")]
+    got = as_dict(nw.crawl_checks(spark.createDataFrame([(u,) for u in links], "url string"), rules, (), hosts), "url", "check")
+    shut = {"https://a.example/x", "https://f.example/x", *(u for u in links if u[8] in "cde")}
+    assert {u for u in links if got[u] == "blocked_by_robots"} == shut and {u for u in links if got[u] == ""} == set(links) - shut
