@@ -1,12 +1,12 @@
 """Language identification by words, with backoff to character n-grams.
 
 Training counts, for each language, the words and the character n-grams (of words with an edge mark at
-either end) of a bounded sample of labelled texts, `max_docs` different ones of each language. The model is a bounded
-table: of each language at most `max_words` words and `max_grams` n-grams of each length, its most frequent. A known
-word adds its smoothed log frequency in each language, less that over all languages; a word that is not in the table is covered by its
+either end) of a bounded sample of labelled documents, `max_docs` of each language. The model is a bounded
+table: at most `max_words` words and `max_grams` n-grams of each length, the most frequent of those seen at
+least twice. A known word adds its smoothed
+log frequency in each language, less that over all languages; a word that is not in the table is covered by its
 longest known n-grams, from `longest` characters down to one. The sum per language, softened, gives the
-score: the chosen language's share. How much to soften is found on a tenth of the sample that is not counted.
-Of languages equally likely the first by name is chosen.
+score: the chosen language's share.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tapeline.llm.common import by_size, reliable
 
 LETTERS = re.compile(r"[^\W\d_]+")
-MAX_WORDS, MAX_GRAMS, LONGEST, MAX_DOCS = 25_000, 10_000, 5, 10_000
-ENOUGH = 100
+MAX_WORDS, MAX_GRAMS, LONGEST, MAX_DOCS = 50_000, 20_000, 5, 10_000
 UNKNOWN = "und"
 
 
@@ -89,11 +88,10 @@ class Model:
                 at += 1
         return out / max(parts, 1)
 
-    def evidence(self, text: str, memory: dict[str, np.ndarray]) -> np.ndarray | None:
-        """Sum of log frequencies per language; None for a text without a letter or a model without languages."""
+    def predict(self, text: str, memory: dict[str, np.ndarray]) -> tuple[str, float]:
         words = LETTERS.findall(text.lower())
         if not words or not self.langs:
-            return None
+            return UNKNOWN, 0.0
         known, rows, rest = self.tables[0], [], np.zeros(len(self.langs))
         for word in words:
             row = known.get(word, -1)
@@ -108,79 +106,41 @@ class Model:
                             memory.clear()
                         memory[word] = got
                 rest += got
-        return rest + self.weights[0][np.array(rows, np.int64)].sum(0)
-
-    def predict(self, text: str, memory: dict[str, np.ndarray]) -> tuple[str, float]:
-        total = self.evidence(text, memory)
-        if total is None:
-            return UNKNOWN, 0.0
-        total = total * self.soft
+        total = (rest + self.weights[0][np.array(rows, np.int64)].sum(0)) * self.soft
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.langs[best], float(share[best] / share.sum())
 
 
 def sampled(labelled: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(text, lang, apart) of about `max_docs` different texts of each language (all, where there are fewer), chosen
-    by a hash of the text, each once however many copies it has; `apart` marks every tenth of the languages with
-    about `ENOUGH` texts or more."""
-    rows = labelled.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()       # languages are few
+    """About `max_docs` rows of each language (all, where there are fewer), chosen by a hash of the text
+    and, where `labelled` has one, the doc_id: copies of a text are then drawn one by one."""
+    sizes = labelled.filter("text is not null and lang is not null").groupBy("lang").count().collect()   # languages are few
     if not sizes:
-        return rows.limit(0).select("text", "lang", F.lit(False).alias("apart"))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max_docs / r["n"] if r["n"] > 1.02 * max_docs else 1.0)])
-    draw = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(draw < F.element_at(share, F.col("lang")))
-    each = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))          # copies are put together before they move
-    many = F.col("lang").isin([r["lang"] for r in sizes if r["n"] >= ENOUGH])
-    return each.select("text", "lang", (many & (F.pmod(F.xxhash64("h"), F.lit(10)) == 0)).alias("apart"))
-
-
-def _softness(model: Model, apart: DataFrame) -> float:
-    """The factor, at most 1, under which shares fit the languages of texts that were not counted best. n texts
-    tell of no certainty above (n + 1) / (n + 2)."""
-    shared = apart.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, np.ndarray] = {}
-        for b in batches:
-            made = [(shared.value.evidence(t, memory), lang) for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            made = [(e.tolist(), lang) for e, lang in made if e is not None and lang in shared.value.langs]
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.string())], ["e", "lang"])
-
-    rows = apart.select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "e array<double>, lang string").collect()
-    if len(rows) < 2 or len(model.langs) < 2:
-        return 1.0
-    evidence = np.array([r["e"] for r in rows])
-    right = np.array([model.langs.index(r["lang"]) for r in rows])
-    evidence = evidence - evidence.max(1, keepdims=True)
-    doubt = 1.0 / (len(rows) + 2)
-    target = np.full(evidence.shape, doubt / (len(model.langs) - 1))
-    target[np.arange(len(right)), right] = 1.0 - doubt
-
-    def fit(soft: float) -> float:
-        total = evidence * soft
-        return float((target * (total - np.log(np.exp(total).sum(1, keepdims=True)))).sum())
-    return float(max(np.geomspace(1.0, 1e-4, 65), key=fit))
+        return labelled.limit(0)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max_docs / r["count"]))])
+    told = [c for c in ("text", "doc_id") if c in labelled.columns]
+    draw = F.pmod(F.xxhash64(*told), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return labelled.filter("text is not null and lang is not null").filter(draw < F.element_at(share, F.col("lang")))
 
 
 def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, longest: int = LONGEST,
           max_docs: int = MAX_DOCS) -> Model:
-    """Model from rows (text, lang); rows with a null text or lang are passed over, copies of a text count once. No
-    rows: no language.
+    """Model from rows (text, lang); rows with a null text or lang are passed over. No rows: no language.
 
-    It is fitted on a bounded sample, `max_docs` texts of each language. The tables come to the driver: at
-    most max_words + longest * max_grams terms of each language. They hold all terms with at least so many
-    occurrences in a language, the least number for which they fit.
+    It is fitted on a bounded sample, `max_docs` rows of each language. The tables come to the driver: at
+    most max_words + longest * max_grams terms, times languages. They hold all terms with at least so many
+    occurrences, the least number for which they fit.
     """
-    sample = reliable(sampled(labelled.select("text", "lang"), max_docs))
-    all_counts = reliable(counts(sample.filter("not apart"), longest))
-    upto = Window.partitionBy("size", "lang").orderBy(F.desc("n"))       # one row per number of occurrences
-    fits = all_counts.groupBy("size", "lang", "n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(upto)).filter(
+    all_counts = reliable(counts(sampled(labelled, max_docs), longest))
+    totals = reliable(all_counts.groupBy("size", "term").agg(F.sum("n").alias("total")).filter("total > 1"))
+    upto = Window.partitionBy("size").orderBy(F.desc("total"))       # one row per number of occurrences
+    fits = totals.groupBy("size", "total").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(upto)).filter(
         F.col("upto") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams))
-    least = fits.groupBy("size", "lang").agg(F.min("n").alias("least"))
-    kept = all_counts.join(least, ["size", "lang"]).filter("n >= least").select("size", "term").distinct()
-    rows = all_counts.join(kept, ["size", "term"]).collect()          # bounded by the tables' size
+    least = {r["size"]: r["least"] for r in fits.groupBy("size").agg(F.min("total").alias("least")).collect()}
+    enough = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("size")) if least else F.lit(None)
+    kept = totals.filter(F.col("total") >= enough).select("size", "term")
+    rows = all_counts.join(kept, ["size", "term"]).collect()          # bounded by the table's size
     mass = {(r["size"], r["lang"]): r["n"] for r in all_counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in mass})
     tables: list[dict[str, int]] = [{} for _ in range(longest + 1)]
@@ -196,14 +156,11 @@ def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_
         n /= np.array([mass.get((size, lang), 0) + 0.5 * max(1, len(tables[size])) for lang in langs])
         logs = np.log(n) if n.size else n
         weights.append(logs - logs.mean(1, keepdims=True) if n.size else logs)
-    model = Model(langs, tables, weights, longest)
-    model.soft = _softness(model, sample.filter("apart"))
-    return model
+    return Model(langs, tables, weights, longest)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """`keep`, lang_pred, score for every row, from its whole text alone; equal texts get equal rows, an empty table
-    gives none. No letter or null: und, 0. Columns named `lang_pred` or `score` may not be kept."""
+    """`keep`, lang_pred, score for every row, from its whole text alone. No letter or null: und, 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)          # bounded, see `train`
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
@@ -226,16 +183,15 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row, repeated ones too; learnt from the rows that are not held
-    out. Other columns of `docs`, whatever their names, take no part."""
-    model = train(docs.filter(~held_out()).select("text", "lang"))
+    """doc_id, held_out, lang_pred, score for every row; learnt from the rows that are not held out."""
+    model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     return predict(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents, columns unchanged, without those that have no language (no letter) or whose best
-    language has a share below `least`. Any columns are allowed; copies are judged alike; an empty table stays so."""
-    model = train(docs.filter(~held_out()).select("text", "lang"))
+    language has a share below `least`."""
+    model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     named = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text")
     found = predict(named, model, ["__row"])
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")

@@ -147,67 +147,10 @@ def test_backoff_takes_the_longest_known_grams():
     assert model.predict("...", {}) == ("und", 0.0)
 
 
-def test_scores_equal_a_plain_computation(spark):
-    """Counts, tables, backoff and share, calculated anew from the sample that the model was fitted on."""
-    import math
-    import random
-    from collections import Counter
-    draw = random.Random(3)
-    alphabets = {"aa": "abcde", "bb": "cdefgh", "cc": "aeghij"}
-    words = {k: ["".join(draw.choice(v) for _ in range(draw.randint(1, 7))) for _ in range(60)] for k, v in alphabets.items()}
-    rows = [(" ".join(draw.choices(words[k], k=draw.randint(1, 12))), k) for k in alphabets for _ in range(250)]
-    rows += rows[:40]                                                        # copies count once
-    labelled = spark.createDataFrame(rows, "text string, lang string")
-    model = language.train(labelled, max_words=25, max_grams=12, longest=3)
-    learnt = [r for r in language.sampled(labelled).collect() if not r["apart"]]
-    assert len(language.sampled(labelled).collect()) == len(set(rows))
-
-    def grams(word, n):
-        marked = f"<{word}>"
-        return [marked[i:i + n] for i in range(len(marked) - n + 1)]
-    seen = {(k, n): Counter() for k in alphabets for n in range(4)}
-    for r in learnt:
-        for word in r["text"].split():
-            seen[r["lang"], 0][word] += 1
-            for n in (1, 2, 3):
-                seen[r["lang"], n].update(grams(word, n))
-    logs = []
-    for n in range(4):
-        terms = set()
-        for k in alphabets:
-            c = seen[k, n]
-            fit = [m for m in set(c.values()) if sum(x >= m for x in c.values()) <= (25 if n == 0 else 12)]
-            terms |= {t for t, x in c.items() if fit and x >= min(fit)}
-        table = {}
-        for t in terms:
-            row = [math.log((seen[k, n][t] + 0.5) / (sum(seen[k, n].values()) + 0.5 * len(terms))) for k in sorted(alphabets)]
-            table[t] = [x - sum(row) / 3 for x in row]
-        logs.append(table)
-    texts = [" ".join(draw.choices(words["aa"] + words["bb"] + ["zzz", "abcdefgh"], k=draw.randint(1, 6))) for _ in range(80)]
-    got = language.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model, ["text"]).collect()
-    assert 0 < model.soft < 1
-    for r in got:
-        total = [0.0, 0.0, 0.0]
-        for word in r["text"].split():
-            parts, rest = [], f"<{word}>"
-            if word in logs[0]:
-                parts, rest = [logs[0][word]], ""
-            while rest:
-                n = next((n for n in (3, 2, 1) if len(rest) >= n and rest[:n] in logs[n]), 0)
-                parts += [logs[n][rest[:n]]] if n else []
-                rest = rest[max(n, 1):]
-            total = [x + sum(p[i] for p in parts) / max(len(parts), 1) for i, x in enumerate(total)]
-        share = [math.exp((x - max(total)) * model.soft) for x in total]
-        best = total.index(max(total))
-        assert abs(r["score"] - share[best] / sum(share)) < 1e-9
-        assert r["lang_pred"] == sorted(alphabets)[best] or abs(sorted(total)[-1] - sorted(total)[-2]) < 1e-9
-
-
-def test_a_copied_page_does_not_own_the_sample(spark):
-    own = spark.range(3000).selectExpr("concat('own words of row ', id) AS text", "'xx' AS lang")
-    copied = spark.range(3000).selectExpr("'one page that was copied' AS text", "'xx' AS lang")
-    got = language.sampled(own.unionByName(copied), 500)
-    assert 350 < got.count() < 650 and got.filter("text like 'one page%'").count() <= 1
+def test_a_copied_page_neither_owns_nor_misses_the_sample(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'one page that was copied', concat('row ', id)) AS text", "'xx' AS lang")
+    got = language.sampled(rows, 1000)
+    assert 800 < got.count() < 1200 and 380 < got.filter("text like 'one page%'").count() < 620
 
 
 def test_long_runs_of_letters_are_read_to_their_end(spark):
