@@ -493,13 +493,20 @@ def basket_comparison(spark, sf):
     return rounded(out.withColumn("grown_100", F.log(F.col("grown_100") / 100.0)))
 
 
+_SIZES = [1, 2, 5, 10, 20]
 _RANDOM = {
-    "complete": complete_sql("order_closes"), "steps": returns_sql("complete"),
-    "picks": """SELECT size, sample, symbol FROM (SELECT size, sample, symbol, row_number() OVER
-        (PARTITION BY size, sample ORDER BY md5(concat_ws('#', '0', size, sample, symbol)), symbol) AS k
-        FROM (SELECT DISTINCT symbol FROM steps) u
-        CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS size) s
-        CROSS JOIN (SELECT unnest(generate_series(0, 1999)) AS sample) n) t WHERE k <= size""",
+    "steps": f"SELECT * FROM ({returns_sql('supplier_closes')}) t WHERE r IS NOT NULL",
+    "names": """SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS pos, count(*) OVER () AS n
+        FROM (SELECT DISTINCT symbol FROM supplier_closes) u""",
+    "walk": f"""SELECT size, sample, 0 AS i, least(size, n) AS k, n, CAST([] AS BIGINT[]) AS taken
+        FROM (SELECT unnest({_SIZES}) AS size) s CROSS JOIN (SELECT unnest(generate_series(0, 1999)) AS sample) m
+        CROSS JOIN (SELECT max(n) AS n FROM names) c
+        UNION ALL SELECT size, sample, i + 1, k, n, list_append(taken, CASE WHEN list_contains(taken, drawn)
+            THEN n - k + i ELSE drawn END)
+        FROM (SELECT *, CAST('0x' || substr(md5(concat_ws('#', '0', size, sample, i)), 1, 13) AS BIGINT) % (n - k + i + 1)
+              AS drawn FROM walk WHERE i < k) w""",
+    "picks": """SELECT size, sample, symbol FROM (SELECT size, sample, unnest(taken) AS pos FROM walk WHERE i = k) t
+        JOIN names USING (pos)""",
     "daily": """SELECT size, sample, day, avg(r) AS r FROM picks JOIN steps USING (symbol)
         GROUP BY size, sample, day""",
     **path_steps("daily", "size, sample"),
@@ -509,22 +516,25 @@ _RANDOM = {
 
 
 def _random_stats(spark, sf):
-    returns = px.complete_returns(v.order_closes(spark, sf))
-    picks = sig.random_portfolios(returns.select("symbol").distinct(), [1, 2, 3, 4, 5], 2000)
-    return sig.random_portfolio_stats(returns, picks)
+    picks = sig.random_portfolios(v.supplier_closes(spark, sf).select("symbol"), _SIZES, 2000)
+    return sig.random_portfolio_stats(_returns(spark, sf), picks)
 
 
-@query("random_portfolios", with_views(f"""SELECT CAST(size AS BIGINT) AS size,
+def _random_sql(body: str) -> str:
+    return with_views(body, "supplier_closes", **_RANDOM).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("random_portfolios", _random_sql(f"""SELECT CAST(size AS BIGINT) AS size,
     {r('median(volatility_pct)')} AS typical_volatility, {r('median(biggest_drop_pct)')} AS typical_drop,
     {r('min(biggest_drop_pct)')} AS worst_drop, {r('ln(1 + median(return_pct) / 100)')} AS typical_return,
-    {r('ln(1 + min(return_pct) / 100)')} AS worst_return FROM stats GROUP BY size""", "order_closes", **_RANDOM))
+    {r('ln(1 + min(return_pct) / 100)')} AS worst_return FROM stats GROUP BY size"""))
 def random_portfolios(spark, sf):
     out = sig.diversification(_random_stats(spark, sf))     # growth over 2 400 wild days: compared by its log
     return rounded(out.withColumns({c: F.log1p(F.col(c) / 100.0) for c in ("typical_return", "worst_return")}))
 
 
-@query("random_portfolio_quartiles", with_views(f"""SELECT CAST(size AS BIGINT) AS size,
+@query("random_portfolio_quartiles", _random_sql(f"""SELECT CAST(size AS BIGINT) AS size,
     {r('quantile_cont(volatility_pct, 0.25)')} AS q25, {r('quantile_cont(volatility_pct, 0.5)')} AS q50,
-    {r('quantile_cont(volatility_pct, 0.75)')} AS q75 FROM stats GROUP BY size""", "order_closes", **_RANDOM))
+    {r('quantile_cont(volatility_pct, 0.75)')} AS q75 FROM stats GROUP BY size"""))
 def random_portfolio_quartiles(spark, sf):
     return rounded(sig.box_stats(_random_stats(spark, sf)))

@@ -11,6 +11,7 @@ from tapeline.catalog.views import with_views
 from tapeline.functions import finance as fin
 from tapeline.operators import (alerts, currency as cur, dividends as dv, planning as pl,
                                 mixes, portfolio as pf, prices as px)
+from tapeline.operators.ranking import numbered
 from tapeline.plans import bot, health, outlook
 from tapeline.sources import accounts, market, reference
 
@@ -413,11 +414,10 @@ _BOT = {
 
 
 def _decisions(spark, sf):
-    from pyspark.sql import Window
     held = v.holdings(spark, sf)
-    names = held.select("symbol").distinct().withColumn(
-        "pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("symbol")).cast("bigint"))
+    names = numbered(held, "symbol").withColumn("pos", F.col("pos") + 1)
     watch = held.select("portfolio_id", "symbol").join(names, "symbol")
+    # one symbol is taken out of the positions, so that some watched entries are not held
     positions = (v.holdings_by_status(spark, sf, "F").where(F.col("symbol") != "4-NOT SPECIFIED")
                  .withColumn("qty", F.floor(F.col("value") / 50000.0)))
     cash = v.table(spark, sf, "customer").select(

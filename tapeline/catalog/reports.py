@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeline import schema
 from tapeline.catalog import QUERIES, SQL, query, r, rounded, views as v
-from tapeline.catalog.market import D, W, _CORR, _YEARS, full_sql, ahead_sql, path_steps, returns_sql
-from tapeline.catalog.stories import _PROBS, _judged, _scored_docs
+from tapeline.catalog.market import D, W, _CORR, _YEARS, ewma_sql, full_sql, ahead_sql, path_steps, returns_sql
+from tapeline.catalog.portfolios import _MOVED
+from tapeline.catalog.stories import _PROBS, _judged, _reader_holdings, _scored_docs
 from tapeline.catalog.views import with_views
 from tapeline.functions import finance, fixed
 from tapeline.operators import backtest as bt, correlation as co, portfolio as pf, prices as px, risk, scoring as sc
-from tapeline.plans.digest import market_overview as overview
+from tapeline.plans.digest import digest as daily_digest, digest_lines, market_overview as overview
 from tapeline.session import shared_dir
 from tapeline.sources import accounts, market, reference, sinks, stories as st
 
@@ -91,6 +92,45 @@ def market_overview(spark, sf):
     return rounded(overview(v.supplier_closes(spark, sf), names))
 
 
+_DIGEST_SECTORS = "SELECT * FROM (VALUES ('click', 'Web'), ('view', 'Web'), ('purchase', 'Shop')) t(symbol, sector)"
+_DIGEST = {
+    "supplier_closes": "SELECT symbol, day, close FROM bars",
+    "supplier_holdings": "SELECT user_id AS portfolio_id, event_type AS symbol, sum(value) AS value FROM events GROUP BY 1, 2",
+    **_MOVED, "sectors": _DIGEST_SECTORS,
+    "alerts": """SELECT portfolio_id, 'single stock: ' || symbol AS subject, share_pct AS value FROM moved WHERE symbol <> 'view' AND share_pct > 20
+        UNION ALL SELECT portfolio_id, 'daily move: ' || symbol, day_pct FROM moved WHERE abs(day_pct) > 5
+        UNION ALL SELECT portfolio_id, 'sector: ' || coalesce(sector, 'Other'), sum(share_pct) FROM moved LEFT JOIN sectors USING (symbol)
+            WHERE symbol <> 'view' GROUP BY portfolio_id, coalesce(sector, 'Other') HAVING sum(share_pct) > 50""",
+    "headlines": SQL["portfolio_headlines"],
+    "weights": """SELECT portfolio_id, symbol, value / sum(value) OVER (PARTITION BY portfolio_id) AS weight,
+        count(*) OVER (PARTITION BY portfolio_id) AS n FROM supplier_holdings""",
+    "common": """SELECT portfolio_id, day FROM weights JOIN supplier_closes USING (symbol) GROUP BY portfolio_id, day
+        HAVING count(*) = max(n)""",
+    "steps": """SELECT portfolio_id, symbol, weight, day, close / lag(close) OVER (PARTITION BY portfolio_id, symbol ORDER BY day) - 1 AS r
+        FROM weights JOIN supplier_closes USING (symbol) JOIN common USING (portfolio_id, day)""",
+    "daily": "SELECT portfolio_id, day, sum(weight * r) AS r FROM steps WHERE r IS NOT NULL GROUP BY 1, 2",
+    "smoothed": ewma_sql("daily", "portfolio_id"),
+    "mix": "SELECT portfolio_id, arg_max(ewma, day) AS vol FROM smoothed GROUP BY 1",
+    "lines": """SELECT portfolio_id, 'alert' AS section, subject, value FROM alerts
+        UNION ALL SELECT portfolio_id, 'holding', symbol, day_pct FROM moved
+        UNION ALL SELECT portfolio_id, 'day', 'portfolio', sum(day_pct * share_pct) / sum(share_pct) FILTER (WHERE day_pct IS NOT NULL)
+            FROM moved GROUP BY portfolio_id
+        UNION ALL SELECT NULL, 'market', upper(symbol), day_pct FROM recent
+        UNION ALL SELECT portfolio_id, 'headline', symbol || ' ' || url, rank FROM headlines
+        UNION ALL SELECT portfolio_id, 'outlook', 'portfolio', vol FROM mix"""}
+
+
+@query("digest", with_views(f"""SELECT CAST(portfolio_id AS BIGINT) AS portfolio_id, section, subject, {r('value')} AS value FROM lines""",
+    "bars", "news", **_DIGEST))
+def digest(spark, sf):
+    closes = v.event_bars(spark, sf).select("symbol", "day", "close")
+    names = closes.select("symbol").distinct().withColumn("name", F.upper("symbol"))
+    report = daily_digest(closes, _reader_holdings(spark, sf), v.news(spark, sf), reference.sectors(spark, {"Web": ("click", "view"), "Shop": ("purchase",)}),
+                          reference.funds(spark, ("view",)), names, "2024-01-20 00:00:00",
+                          {"max_single_pct": 20.0, "max_sector_pct": 50.0, "daily_move_pct": 5.0}, min_days=10)
+    return rounded(digest_lines(report))
+
+
 @query("return_pairs", with_views(f"""SELECT symbol, day, {r('past')} AS past, {r('future')} AS future FROM sums
     WHERE rn >= 252 AND (rn - 252) % 21 = 0 AND rn < n - 21 AND past IS NOT NULL AND future IS NOT NULL""",
     "supplier_closes", steps=returns_sql("supplier_closes"),
@@ -204,21 +244,19 @@ def plan_from_csv(spark, sf):
     return rounded(spark.read.schema("symbol string, money double").option("header", True).csv(path), 2)
 
 
-_LOG = """SELECT o_orderdate AS time, o_custkey AS portfolio_id, o_orderpriority AS symbol, o_orderstatus AS action, o_orderkey AS shares,
+_LOG = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS time, o_custkey AS portfolio_id, o_orderpriority AS symbol, o_orderstatus AS action, o_orderkey AS shares,
     o_totalprice AS price FROM orders"""
 
 
 @query("decision_log_newest_rows", f"""SELECT * FROM ({_LOG}) t ORDER BY time DESC, portfolio_id, symbol, shares LIMIT 20""")
 def decision_log_newest_rows(spark, sf):
-    """Runs are added to the log, one of them twice; the newest rows are a report of a set length."""
+    """All orders as a log of one run a month, written twice; the newest rows are a report of a set length."""
     path = f"{_folder(spark)}/log"
     log = v.table(spark, sf, "orders").select(
-        F.col("o_orderdate").alias("time"), F.col("o_custkey").alias("portfolio_id"), F.col("o_orderpriority").alias("symbol"),
+        F.date_trunc("month", "o_orderdate").cast("date").alias("time"), F.col("o_custkey").alias("portfolio_id"), F.col("o_orderpriority").alias("symbol"),
         F.col("o_orderstatus").alias("action"), F.col("o_orderkey").alias("shares"), F.col("o_totalprice").alias("price"),
         F.date_trunc("year", "o_orderdate").cast("date").alias("run_date"))
-    late = log.groupBy().agg(F.max("time")).scalar()
-    newest = log.where(F.col("time") >= late - F.expr("interval 30 days"))
-    for run in (newest, newest):
+    for run in (log, log):
         sinks.append_decisions(run, path)
     return accounts.newest_rows(spark.read.parquet(path), 20, ["shares"]).select("time", "portfolio_id", "symbol", "action", "shares", "price")
 

@@ -86,6 +86,13 @@ def story_trading_day(spark, sf):
     return nw.assign_trading_day(v.news(spark, sf), days).select("doc_id", "trading_day")
 
 
+@query("story_market_day", with_views(f"""SELECT doc_id, (SELECT min(day) FROM (SELECT DISTINCT day FROM bars) WHERE day >= {EFF})
+    AS trading_day FROM news""", "bars", "news"))
+def story_market_day(spark, sf):
+    """On the whole calendar."""
+    return nw.assign_trading_day(v.news(spark, sf), v.event_bars(spark, sf).select("day").distinct()).select("doc_id", "trading_day")
+
+
 _TABLE = {
     "tagged": f"""SELECT unnest(symbols) AS symbol, doc_id, published, headline, url, {SCORE} AS score
         FROM news WHERE len(symbols) <= 3""",

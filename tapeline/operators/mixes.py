@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tapeline.functions import fixed
+from tapeline.operators.portfolio import uncovered
 from tapeline.session import cut_lineage
 
 P = ("portfolio_id",)
@@ -74,8 +75,20 @@ def _path(r: np.ndarray) -> tuple[float, float, float]:
     return float(path[-1]), float(np.std(r, ddof=1) * ANNUAL) if len(r) > 1 else np.nan, float(worst)
 
 
-def evaluate_mixes(returns: DataFrame, weights: DataFrame, keys: Sequence[str] = P) -> DataFrame:
-    """One row per portfolio: growth, volatility, drawdown, days, effective number of holdings."""
+def refuse_uncovered(returns: DataFrame, weights: DataFrame, shown: int = 10) -> None:
+    """Raises if a holding has no return at all: the mix of its portfolio would not be what it says."""
+    bare = uncovered(weights, returns.where(F.col("r").isNotNull())).select("symbol").distinct()
+    names = [r.symbol for r in bare.orderBy("symbol").limit(shown).collect()]       # a message of set length
+    if names:
+        raise ValueError(f"no returns for {', '.join(map(str, names))}{' and maybe more' if len(names) == shown else ''}")
+
+
+def evaluate_mixes(returns: DataFrame, weights: DataFrame, keys: Sequence[str] = P, strict: bool = False) -> DataFrame:
+    """One row per portfolio: growth, volatility, drawdown, days, effective number of holdings. `strict`
+    refuses holdings without any return, which are left out otherwise."""
+    if strict:
+        refuse_uncovered(returns, weights)
+
     def facts(held, block, days):
         w = held["weight"].to_numpy(float)
         grown, volatility, drop = _path(_daily(w, block))

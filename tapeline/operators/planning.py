@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tapeline.functions.finance import decision, mirror_label, order_side, whole_shares
 from tapeline.operators.portfolio import P, normalise
@@ -121,37 +122,44 @@ def plan_checkpoints(months: int) -> list[int]:
     return sorted({0, months // 4, months // 2, 3 * months // 4, months})
 
 
+def _spend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds whether each row's cost fits into what its account has left, which starts from the account's opening
+    row; null for rows that cost nothing and accounts without cash. An account may go on in the next batch."""
+    account, left = None, None
+    for batch in batches:
+        fits: list[bool | None] = []
+        for key, cost, cash in zip(*(batch.column(c).to_pylist() for c in ("portfolio_id", "_cost", "_cash"))):
+            if key != account:
+                account, left = key, None
+            left = left if cash is None else cash
+            fit = None if cost is None or left is None else cost <= left
+            if fit:
+                left -= cost
+            fits.append(fit)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fits, pa.bool_())], [*batch.schema.names, "_fits"])
+
+
 def purchase_plan(signals: DataFrame, cash: DataFrame, budget: float, min_days: int) -> DataFrame:
     """Decide every watchlist entry in order, spending only the cash that is left.
 
     `signals(portfolio_id, pos, symbol, days, own, price, average, held, pending)`. Whether an entry
-    fits depends on which earlier ones did, so the candidates of one account are folded in order;
-    only entries that would buy at least one share enter the fold.
+    fits depends on which earlier ones did: rows lie sorted by account and position, and a task walks
+    them once with the cash that is left, so a watchlist of any length is never held as a whole.
     """
     action = decision(F.col("own"), F.col("held"), F.col("pending"))
     rows = (signals.withColumn("action", F.when(F.col("days") < min_days, "SHORT").otherwise(action))
             .withColumn("_wanted", whole_shares(F.lit(float(budget)), F.col("price")))
-            .withColumn("_cost", F.col("_wanted") * F.col("price")))
-    buys = rows.where((F.col("action") == "BUY") & (F.col("_wanted") > 0))
-    lined_up = buys.groupBy("portfolio_id").agg(F.array_sort(F.collect_list(
-        F.struct("pos", "_cost"))).alias("_queue")).join(cash, "portfolio_id")
-
-    start = F.struct(F.col("cash").cast("double").alias("left"),
-                     F.expr("cast(array() as array<struct<pos:bigint,fits:boolean,left:double>>)")
-                     .alias("done"))
-
-    def step(acc, item):
-        fits = item["_cost"] <= acc["left"]
-        left = acc["left"] - F.when(fits, item["_cost"]).otherwise(F.lit(0.0))
-        note = F.struct(item["pos"].cast("bigint").alias("pos"), fits.alias("fits"),
-                        acc["left"].alias("left"))
-        return F.struct(left.alias("left"), F.concat(acc["done"], F.array(note)).alias("done"))
-
-    walked = (lined_up.select("portfolio_id", F.aggregate("_queue", start, step).alias("w"))
-              .select("portfolio_id", F.explode("w.done").alias("d"))
-              .select("portfolio_id", F.col("d.pos").alias("pos"), F.col("d.fits").alias("_fits"),
-                      F.col("d.left").alias("cash_left")))
-    out = rows.join(walked, ["portfolio_id", "pos"], "left")
+            .withColumn("_cost", F.when((F.col("action") == "BUY") & (F.col("_wanted") > 0),
+                                        (F.col("_wanted") * F.col("price")).cast("double")))
+            .select("portfolio_id", "pos", "symbol", "action", "price", "average", "held", "_wanted", "_cost",
+                    F.lit(None).cast("double").alias("_cash")))
+    # an account's cash is its first row. The shuffle is by a hash of the account: one by the account itself may
+    # be taken over from a join before it, which adaptive execution is free to read in other pieces
+    opening = cash.where(F.col("cash").isNotNull()).select("portfolio_id", F.col("cash").cast("double").alias("_cash"))
+    lined_up = (rows.unionByName(opening, allowMissingColumns=True).repartition(F.xxhash64("portfolio_id"))
+                .sortWithinPartitions("portfolio_id", F.col("_cash").asc_nulls_last(), "pos"))
+    schema = T.StructType(lined_up.schema.fields + [T.StructField("_fits", T.BooleanType())])
+    out = lined_up.mapInArrow(_spend, schema).where(F.col("_cash").isNull())
     buying = F.col("action") == "BUY"
     final = (F.when(F.col("action") == "SHORT", "SKIPPED")
              .when(buying & ~F.coalesce("_fits", F.lit(False)), "SKIPPED").otherwise(F.col("action")))

@@ -60,3 +60,9 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), ranges: int
         F.sum(n * da * db).alias("_ab"), F.sum(n * da * da).alias("_aa"),
         F.sum(n * db * db).alias("_bb"), F.sum(n).alias("checks"))
     return sums.select(*by, F.try_divide(F.col("_ab"), F.sqrt(F.col("_aa") * F.col("_bb"))).alias("rank_corr"), "checks")
+
+
+def numbered(names: DataFrame, name: str, out: str = "pos", ranges: int | None = None) -> DataFrame:
+    """(name, out): the distinct names numbered from 0 in their order, without one window over all of them."""
+    once = names.select(name).distinct().withColumn("n", F.lit(1))
+    return value_ranks(once, name, (), ranges).select(name, (F.col("avg_rank") - 1).cast("bigint").alias(out))

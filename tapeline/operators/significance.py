@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeline.functions.finance import verdict
-from tapeline.operators.portfolio import path_stats
+from tapeline.operators.mixes import _path, over_mixes
+from tapeline.operators.ranking import numbered
 from tapeline.operators.skew import salted_join
 from tapeline.session import cut_lineage
 
@@ -91,24 +93,39 @@ def scoreboard(tests: DataFrame, level: float = 0.05) -> DataFrame:
 
 
 def random_portfolios(universe: DataFrame, sizes: Sequence[int], samples: int, seed: int = 0) -> DataFrame:
-    """(size, sample, symbol): `samples` picks of each size from the universe, no repeats."""
-    each = (universe.select("symbol")
-            .withColumn("size", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
-            .withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))))
-    key = draw(seed, F.col("size"), F.col("sample"), F.col("symbol"))
-    order = Window.partitionBy("size", "sample").orderBy(key, "symbol")
-    # the constant bound lets each task drop most candidates before the shuffle
-    largest = max(int(s) for s in sizes)
-    return (each.withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= largest)
-            .where(F.col("_o") <= F.col("size")).drop("_o"))
+    """(size, sample, symbol): `samples` picks of each size from the universe, no repeats; a size above the
+    universe takes all of it.
+
+    Symbols are numbered once. A sample of k of n is drawn by Floyd's rule: at step i a number up to n - k + i
+    comes from a hash of (seed, size, sample, i), and where it is taken already the number n - k + i itself
+    enters, which makes every set of k equally likely. So a sample costs its size, not the universe's.
+    """
+    names = cut_lineage(numbered(universe, "symbol"))
+    n = names.count()
+    each = (universe.sparkSession.range(samples).select(F.col("id").cast("int").alias("sample"))
+            .withColumn("size", F.explode(F.array(*[F.lit(int(s)) for s in sizes]))))
+    k = F.least("size", F.lit(n))
+
+    def step(taken: Column, i: Column) -> Column:
+        last = F.lit(n) - k + i
+        drawn = F.conv(F.substring(draw(seed, F.col("size"), F.col("sample"), i), 1, 13), 16, 10).cast("bigint") % (last + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, drawn), last.cast("bigint")).otherwise(drawn)))
+
+    steps = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    picks = each.select("size", "sample", F.explode(F.aggregate(
+        steps, F.expr("cast(array() as array<bigint>)"), step)).alias("pos"))
+    return picks.join(names, "pos").select("size", "sample", "symbol")
 
 
 def random_portfolio_stats(returns: DataFrame, picks: DataFrame) -> DataFrame:
-    """Equal-weight growth, volatility and drawdown of every pick."""
-    joined = salted_join(picks, returns.select("symbol", "day", "r"), ["symbol"])
-    series = joined.groupBy("size", "sample", "day").agg(F.avg("r").alias("r"))
-    stats = path_stats(series, ["size", "sample"])
-    return stats.withColumn("return_pct", F.col("grown_100") - 100.0)
+    """Equal-weight growth, volatility and drawdown of every pick: a day counts the members that have a
+    return on it. Symbols are arrays, so no row per pick and day exists."""
+    def facts(held, block, days):
+        grown, volatility, drop = _path(np.nanmean(block, axis=0))
+        yield 100.0 * grown, volatility, drop, len(days), 100.0 * grown - 100.0
+    return over_mixes(returns, picks.withColumn("weight", F.lit(1.0)), facts,
+                      "grown_100 double, volatility_pct double, biggest_drop_pct double, days bigint, return_pct double",
+                      ["size", "sample"])
 
 
 def diversification(stats: DataFrame) -> DataFrame:

@@ -21,9 +21,10 @@ def save_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
 
 def append_decisions(decisions: DataFrame, path: str) -> None:
     """Add one run to the log, one folder per run date and run. A rerun of the same run (its `time`) replaces
-    what it wrote before."""
+    what it wrote before. Rows are laid out by run first, a large run in several files, so that a log of
+    many runs is not cut into a file per task and run."""
     run = F.date_format("time", "yyyyMMdd'T'HHmmss").alias("run")
-    decisions.select("*", run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    decisions.select("*", run).hint("rebalance", "run_date", "run").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "run_date", "run").parquet(path)
 
 

@@ -226,3 +226,31 @@ def test_a_symbol_that_nine_of_ten_portfolios_hold_is_spread(spark):
     assert out.where("day_pct = 1.0").count() == 360 and out.count() == 400
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan
+
+
+def test_a_long_watchlist_is_walked_once_across_batches(spark):
+    names = 20_000
+    rng = np.random.default_rng(3)
+    price = rng.integers(1, 90, names).astype(float)
+    rows = [(a, i, f"s{i}", 9, True, float(price[i]), 1.0, 0, False) for a in (1, 2, 3) for i in range(names)]
+    rng.shuffle(rows)
+    rows = [(int(a), int(i), s, int(d), bool(o), float(x), float(m), int(h), bool(w)) for a, i, s, d, o, x, m, h, w in rows]
+    df = spark.createDataFrame(rows, "portfolio_id int, pos bigint, symbol string, days int, own boolean, price double, average double, held bigint, pending boolean")
+    cash = spark.createDataFrame([(1, 50_000.0), (2, 250.0)], "portfolio_id int, cash double")
+    got = {(r.portfolio_id, r.pos): r.action for r in pl.purchase_plan(df, cash, 100.0, 5).select("portfolio_id", "pos", "action").collect()}
+    want = {}
+    for account, left in ((1, 50_000.0), (2, 250.0), (3, None)):
+        for i in range(names):
+            cost = 100.0 // price[i] * price[i]
+            buy = left is not None and cost <= left
+            left = left - cost if buy else left
+            want[account, i] = "BUY" if buy else "SKIPPED"
+    assert got == want and list(want.values()).count("BUY") > 500
+
+
+def test_mixes_name_holdings_without_returns(spark):
+    r = spark.createDataFrame([("A", weekdays(1)[0], 0.1)], "symbol string, day date, r double")
+    w = spark.createDataFrame([(1, "A", 0.5), (1, "B", 0.5)], "portfolio_id int, symbol string, weight double")
+    with pytest.raises(ValueError, match="B"):
+        mixes.evaluate_mixes(r, w, strict=True)
+    assert mixes.evaluate_mixes(r, w.where("symbol = 'A'"), strict=True).count() == 1

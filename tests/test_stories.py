@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -159,6 +160,28 @@ def test_picks_do_not_depend_on_partitioning_and_have_the_right_size(spark):
     assert picks.distinct().count() == picks.count() == 120
 
 
+def test_every_set_is_drawn_about_equally_often_and_sizes_end_at_the_universe(spark):
+    universe = spark.createDataFrame([(s,) for s in "ABCDEA"], "symbol string")          # five, one of them twice
+    picks = sig.random_portfolios(universe, [2, 9], 2000).collect()
+    sets = {}
+    for p in picks:
+        sets.setdefault((p.size, p.sample), []).append(p.symbol)
+    assert all(sorted(s) == list("ABCDE") for (size, _), s in sets.items() if size == 9)
+    twos = collections.Counter(tuple(sorted(s)) for (size, _), s in sets.items() if size == 2)
+    assert len(twos) == 10 and all(150 < n < 250 for n in twos.values())                  # 200 of each are expected
+    assert sig.random_portfolios(universe.limit(0), [2], 5).count() == 0
+
+
+def test_portfolio_statistics_average_who_has_a_return(spark):
+    rows = [("A", 1, 0.1), ("A", 2, 0.2), ("B", 2, 0.0), ("B", 3, -0.5), ("C", 1, None)]
+    returns = spark.createDataFrame(rows, "symbol string, d int, r double").selectExpr("symbol", "date_from_unix_date(d) AS day", "r")
+    picks = spark.createDataFrame([(2, 0, "A"), (2, 0, "B"), (1, 1, "A"), (1, 2, "C")], "size int, sample int, symbol string")
+    got = {(r.size, r.sample): r for r in sig.random_portfolio_stats(returns, picks).collect()}
+    assert set(got) == {(2, 0), (1, 1)}                                                   # C has no return
+    both = got[2, 0]
+    assert both.days == 3 and abs(both.return_pct - (1.1 * 1.1 * 0.5 - 1) * 100) < 1e-9 and abs(both.biggest_drop_pct + 50) < 1e-9
+
+
 def test_texts_are_scored_once_and_keep_their_rows(spark):
     seen = spark.sparkContext.accumulator(0)
     def counting(c):
