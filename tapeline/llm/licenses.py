@@ -1,11 +1,12 @@
 """License scans by sparse TF-IDF cosine, in DataFrame operations only, with inheritance along directories.
 
-Each line of a file that shares a telling word with a license template is a candidate header. Its terms are
-weighed by frequency and by their rarity among the templates, and the cosine with every template it shares a
-term with is summed up over an equi-join on terms. A file's license is its best line's, if alike enough.
-Files without one inherit: the licence files (LICENSE, COPYING, NOTICE) with a license of their own cover
-their directory and all below it, and the nearest ancestor counts, found by an equi-join of each file's
-ancestor paths.
+Passages of a file that hold a telling word of a license template are candidates: the line, its sentences, runs
+of neighbouring lines (a wrapped header) and its paragraph, without comment marks; of licence files (LICENSE,
+COPYING, NOTICE) the whole text too, which is what the templates of whole licences are for. Their terms are
+weighed by frequency and by their rarity among the templates, and the cosine with every template a passage shares
+a term with is summed up over an equi-join on terms. A file's license is its best passage's, if alike enough.
+Files without one inherit: the licence files with a license of their own cover their directory and all below it,
+and the nearest ancestor counts, found by an equi-join of each file's ancestor paths.
 """
 
 from __future__ import annotations
@@ -14,25 +15,64 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapeline.llm.common import reliable
 
-# Short notices of licenses.
-TEMPLATES = [
+# Short notices and standard headers of licenses, as their publishers word them.
+HEADERS = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("proprietary", "All rights reserved."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+# Words that reserve rights in files of any license; they count where nothing else is found.
+GENERAL = [("proprietary", "All rights reserved.")]
+# Whole licence texts, without the holder's line.
+TEXTS = [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
 # Words so frequent that sharing them alone says nothing.
 FREQUENT = frozenset("a an and are as at be by for from in is it of on or that the this to under was with without you your".split())
 LICENCE_FILES = ("license", "licence", "copying", "notice")
 LEAST = 0.7
+#: Longest run of neighbouring lines that is compared; longer headers are met as paragraphs.
+SPAN = 4
 
 
 def templates_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, notice string")
+    """The templates above: license, notice, whole (a licence's whole text), general (counts if nothing else does)."""
+    rows = [(*t, False, False) for t in HEADERS] + [(*t, False, True) for t in GENERAL] + [(*t, True, False) for t in TEXTS]
+    return spark.createDataFrame(rows, "license string, notice string, whole boolean, general boolean")
 
 
 def terms(text: Column) -> Column:
@@ -50,12 +90,12 @@ def _weighed(rows: DataFrame, key: list[str], idf: DataFrame, other: Column) ->
 
 
 def _telling(weights: list, least: float) -> list[str]:
-    """Words of which a line must hold one to be `least` alike to any template. Of each template numbers,
-    short and light words are left out, as long as what is left out is shorter than `least`: a line that
-    shares nothing else has a smaller cosine."""
+    """Words of which a passage must hold one to be `least` alike to any of these templates. Of each template
+    numbers, short and light words are left out, as long as what is left out is shorter than `least`: a passage
+    that shares nothing else has a smaller cosine."""
     out: set[str] = set()
-    for license in {r["license"] for r in weights}:
-        own = sorted((r["term"].isalpha(), len(r["term"]) > 3, r["t_weight"], r["term"]) for r in weights if r["license"] == license)
+    for notice in {r["notice"] for r in weights}:
+        own = sorted((r["term"].isalpha(), len(r["term"]) > 3, r["t_weight"], r["term"]) for r in weights if r["notice"] == notice)
         spent = 0.0
         for *_, w, term in own:
             spent += w * w
@@ -64,31 +104,76 @@ def _telling(weights: list, least: float) -> list[str]:
     return sorted(out)
 
 
-def headers(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
-    """(path, license, score): the license of the line that is most alike to a template, of files that have
-    one of at least `least`; ties by license name. Null texts and files without such a line give no row;
-    files of the same path are one file."""
-    n = templates.count()                                   # a short list by nature
-    words = templates.select("license", F.explode(terms(F.col("notice"))).alias("term"))
-    df = words.distinct().groupBy("term").agg(F.count("*").alias("df"))
+def _name(path: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), r"\..*$", "")
+
+
+def _holds(text: Column, wanted: list[str]) -> Column:
+    """Whether one of the words is among the text's terms."""
+    if not wanted:
+        return F.lit(False)
+    plain = all(t.isalpha() for t in wanted)                # then a plain split into words tells
+    return F.arrays_overlap(F.split(F.lower(text), "[^a-z]+") if plain else terms(text), F.array(*[F.lit(t) for t in wanted]))
+
+
+def passages(text: Column, wanted: list[str], span: int = SPAN) -> Column:
+    """The different passages of a text that may be a header: of every line with a wanted word the line, its
+    sentences, and all runs of up to `span` lines that it is in; and every paragraph. Comment marks at the ends
+    of lines are taken away."""
+    word = "(^|[^a-z0-9])(" + "|".join(wanted).replace(".", r"\.") + ")([^a-z0-9]|$)"
+    lines = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.rlike(r"\S"))
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"^[\s/*#;%<>!\x22'-]+|[\s/*#<>!\x22'-]+$", ""))
+    marked = F.transform(lines, lambda x, i: F.when(F.lower(x).rlike(word), i + 1))
+    hits = F.filter(marked, lambda i: i.isNotNull())
+    shapes = F.array(*[F.struct(F.lit(before).alias("before"), F.lit(size).alias("size")) for size in range(1, span + 1) for before in range(size)])
+    runs = F.flatten(F.transform(hits, lambda i: F.transform(
+        F.filter(shapes, lambda w: (i - w["before"] >= 1) & (i - w["before"] + w["size"] - 1 <= F.size(lines))),
+        lambda w: F.array_join(F.slice(lines, i - w["before"], w["size"]), " "))))
+    sentences = F.flatten(F.transform(hits, lambda i: F.split(F.element_at(lines, i), r"(?<=[.;:!?])\s+")))
+    paragraphs = F.filter(F.split(text, r"(?:\r?\n[\s/*#;%-]*){2,}|\n[/*#;%-]+(?=\n)"), lambda x: F.lower(x).rlike(word))
+    return F.array_distinct(F.concat(runs, sentences, paragraphs))
+
+
+def headers(files: DataFrame, templates: DataFrame, least: float = LEAST, span: int = SPAN) -> DataFrame:
+    """(path, license, score): the license of the passage that is most alike to a template, of files that have
+    one of at least `least`; general templates count only where no other is met; ties by license name. Null texts
+    and files without such a passage give no row; files of the same path are one file. Templates are a short
+    list: their terms are read by the driver."""
+    templates = templates.select("license", "notice", "whole", "general")
+    n = templates.count()
+    words = templates.select("license", "notice", "whole", "general", F.explode(terms(F.col("notice"))).alias("term"))
+    df = words.select("notice", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     other = F.log(F.lit(n + 1.0)) + 1.0
-    known = _weighed(words, ["license"], idf, other).withColumnRenamed("weight", "t_weight")
-    telling = _telling(known.select("license", "term", "t_weight").collect(), least)      # a few words per template
-    if not telling:
+    known = _weighed(words, ["license", "notice", "whole", "general"], idf, other).withColumnRenamed("weight", "t_weight")
+    weights = known.select("notice", "whole", "term", "t_weight").collect()
+    short, every = _telling([w for w in weights if not w["whole"]], least), _telling(weights, least)
+    if not every:
         return files.limit(0).select(F.col("path"), F.lit("").alias("license"), F.lit(0.0).alias("score"))
-    # texts that hold no telling word cannot reach the threshold: a plain split into words tells
-    wanted = F.array(*[F.lit(t) for t in telling])
-    words_of = F.split(F.lower("text"), "[^a-z]+") if all(t.isalpha() for t in telling) else terms(F.col("text"))
-    lines = files.filter("path is not null").filter(F.arrays_overlap(words_of, wanted)).select(
-        "path", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.withColumn("terms", terms(F.col("line"))).filter(F.arrays_overlap("terms", wanted))
-    # few lines are left: written once, so that texts are read once
-    rows = reliable(lines.select("path", F.md5("line").alias("line"), F.explode("terms").alias("term")))
-    cosine = (_weighed(rows, ["path", "line"], idf, other).join(known, "term").groupBy("path", "line", "license")
+    licence = _name(F.col("path")).isin(*LICENCE_FILES)
+    # texts that hold no telling word cannot reach the threshold
+    maybe = files.filter("path is not null").select("path", "text", licence.alias("licence")).filter(
+        _holds(F.col("text"), short) | (F.col("licence") & _holds(F.col("text"), every)))
+    none = F.expr("cast(array() as array<string>)")
+    cut = F.concat(passages(F.col("text"), short, span) if short else none, F.when(F.col("licence"), F.array("text")).otherwise(none))
+    found = (maybe.select("path", F.explode(F.array_distinct(cut)).alias("passage")).withColumn("terms", terms(F.col("passage")))
+             .filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in every]))))
+    # no passage is more alike than the share of its length that lies in terms of templates: the squares of
+    # these, against at least one of `other` for each different term that no template has
+    rare = {r["term"]: float(r["idf"]) for r in idf.collect()}
+    table = F.create_map(*[F.lit(x) for pair in sorted(rare.items()) for x in pair])
+    different = F.array_distinct("terms")
+    shared = F.array_intersect(F.col("terms"), F.map_keys(table))
+    inside = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.pow(
+        F.size(F.filter("terms", lambda x: x == t)) * F.element_at(table, t), F.lit(2.0)))
+    outside = (F.size(different) - F.size(shared)) * F.pow(other, F.lit(2.0))
+    found = found.withColumn("inside", inside).filter(F.col("inside") >= least * least * 0.999 * (F.col("inside") + outside))
+    # few passages are left: written once, so that texts are read once
+    rows = reliable(found.select("path", F.md5("passage").alias("passage"), F.explode("terms").alias("term")))
+    cosine = (_weighed(rows, ["path", "passage"], idf, other).join(known, "term").groupBy("path", "passage", "license", "notice", "general")
               .agg(F.sum(F.col("weight") * F.col("t_weight")).alias("score")))
     cosine = cosine.withColumn("score", F.round("score", 9)).filter(F.col("score") >= least)
-    best = F.min(F.struct((-F.col("score")).alias("minus"), F.col("license").alias("license")))
+    best = F.min(F.struct("general", (-F.col("score")).alias("minus"), F.col("license").alias("license")))
     return cosine.groupBy("path").agg(best.alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
 
 
@@ -103,8 +188,7 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFr
     that it inherits from; nulls if none). Of several licence files in one directory the first by path
     covers it. Rows with a null path give nothing; repeated paths are one file."""
     own = reliable(headers(files, templates, least))
-    name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
-    covering = own.filter(F.regexp_replace(name, r"\..*$", "").isin(*LICENCE_FILES)).withColumn(
+    covering = own.filter(_name(F.col("path")).isin(*LICENCE_FILES)).withColumn(
         "dir", F.regexp_replace("path", r"/?[^/]*$", ""))
     first = F.min(F.struct("path", "license", "score"))
     covering = covering.groupBy("dir").agg(first.alias("c"))

@@ -107,7 +107,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree: source / hundreds / id; every tenth is its folder's LICENSE."""
+    """Documents as files of a tree: source / thousands / id; every tenth is its folder's LICENSE."""
     folder = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"))
     own = F.concat(F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE.")).otherwise(F.lit("file.")), F.col("doc_id").cast("string"))
     return docs.select(F.concat_ws("/", folder, own).alias("path"), "text")
