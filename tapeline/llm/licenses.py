@@ -11,6 +11,9 @@ and the nearest ancestor counts, found by an equi-join of each file's ancestor p
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapeline.llm.common import reliable
@@ -63,12 +66,26 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 # Words so frequent that sharing them alone says nothing.
 FREQUENT = frozenset("a an and are as at be by for from in is it of on or that the this to under was with without you your".split())
+# Everyday words that licenses use too; as many of them as can be are not looked for.
+EVERYDAY = frozenset("""above action advised all and any appear arising associated author authors business but can caused charge claim code
+    common compliance conditions connection contract copies copy damage data deal dealings derived direct distribute distribution do
+    documentation domain either even event except express fee file files fitness following form forms found foundation free furnished
+    general goods governed granted hereby holder holders however http identifier included including indirect international into january
+    june kind later license limitation limited list loss material materials may modify must name names neither no not notice november
+    obtain obtaining only option or org other otherwise out particular performance permission permit permitted person persons portions
+    possibility prior products profits program promote provided public publish published purpose regard released resulting retain rights
+    sell services shall so software source special specific strict style subject substitute such terms theory united universal use used v
+    version whether whom work written www""".split())
 LICENCE_FILES = ("license", "licence", "copying", "notice")
 LEAST = 0.7
 #: Longest run of neighbouring lines that is compared; longer headers are met as paragraphs.
 SPAN = 4
 
 
+def _no_texts() -> Column:
+    return F.expr("cast(array() as array<string>)")
+
+
 def templates_table(spark: SparkSession) -> DataFrame:
     """The templates above: license, notice, whole (a licence's whole text), general (counts if nothing else does)."""
     rows = [(*t, False, False) for t in HEADERS] + [(*t, False, True) for t in GENERAL] + [(*t, True, False) for t in TEXTS]
@@ -91,11 +108,11 @@ def _weighed(rows: DataFrame, key: list[str], idf: DataFrame, other: Column) ->
 
 def _telling(weights: list, least: float) -> list[str]:
     """Words of which a passage must hold one to be `least` alike to any of these templates. Of each template
-    numbers, short and light words are left out, as long as what is left out is shorter than `least`: a passage
-    that shares nothing else has a smaller cosine."""
+    numbers, everyday and light words are left out, as long as what is left out is shorter than `least`:
+    a passage that shares nothing else has a smaller cosine."""
     out: set[str] = set()
     for notice in {r["notice"] for r in weights}:
-        own = sorted((r["term"].isalpha(), len(r["term"]) > 3, r["t_weight"], r["term"]) for r in weights if r["notice"] == notice)
+        own = sorted((r["term"].isalpha(), r["term"] not in EVERYDAY, r["t_weight"], r["term"]) for r in weights if r["notice"] == notice)
         spent = 0.0
         for *_, w, term in own:
             spent += w * w
@@ -104,34 +121,91 @@ def _telling(weights: list, least: float) -> list[str]:
     return sorted(out)
 
 
+def _bound(weights: list, least: float, numbers: bool = True) -> tuple[Column, Callable[[Column], Column]]:
+    """The templates' words, and whether different ones of them can reach `least`: a cosine is at most the length
+    of a template's part that is shared with it. Without `numbers`, all numbers of a template count as shared."""
+    notices: dict[str, dict[str, float]] = {}
+    for r in sorted(weights, key=lambda r: (r["notice"], r["term"])):
+        term = r["term"] if numbers or r["term"].isalpha() else ""
+        own = notices.setdefault(r["notice"], {})
+        own[term] = own.get(term, 0.0) + r["t_weight"] ** 2
+    table = F.array(*[F.create_map(F.lit(""), F.lit(n.pop("", 0.0)), *[F.lit(x) for pair in n.items() for x in pair]) for n in notices.values()])
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for n in notices.values() for t in n})])
+
+    def any_notice(shared: Column) -> Column:
+        return F.exists(table, lambda n: F.aggregate(shared, F.try_element_at(n, F.lit("")), lambda acc, t: acc + F.coalesce(
+            F.try_element_at(n, t), F.lit(0.0))) >= least * least * 0.999)
+
+    return vocabulary, any_notice
+
+
+def _reaches(words: Column, weights: list, least: float, numbers: bool = True) -> Column:
+    vocabulary, any_notice = _bound(weights, least, numbers)
+    # bound to a variable, so that it is made once and not for each template
+    return F.element_at(F.transform(F.array(F.array_intersect(words, vocabulary)), any_notice), 1)
+
+
 def _name(path: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), r"\..*$", "")
 
 
-def _holds(text: Column, wanted: list[str]) -> Column:
-    """Whether one of the words is among the text's terms."""
+def _holds(text: Column, weights: list, least: float) -> Column:
+    """Whether a text can reach any of these templates, by a plain split into words first."""
+    wanted = _telling(weights, least)
     if not wanted:
         return F.lit(False)
-    plain = all(t.isalpha() for t in wanted)                # then a plain split into words tells
-    return F.arrays_overlap(F.split(F.lower(text), "[^a-z]+") if plain else terms(text), F.array(*[F.lit(t) for t in wanted]))
+    plain = all(t.isalpha() for t in wanted)
+    words = F.split(F.lower(text), "[^a-z]+") if plain else terms(text)
+    return F.arrays_overlap(words, F.array(*[F.lit(t) for t in wanted])) & _reaches(words, weights, least, not plain)
+
 
+def _inside(words: Column, idf: dict[str, float]) -> tuple[Column, Column]:
+    """Of a passage's words: the square of its length in terms of templates, and how many different others it has."""
+    table = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
+    shared = F.array_intersect(words, F.map_keys(table))
+    squares = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.pow(
+        F.size(F.filter(words, lambda x: x == t)) * F.try_element_at(table, t), F.lit(2.0)))
+    return squares, F.size(F.array_distinct(words)) - F.size(shared)
 
-def passages(text: Column, wanted: list[str], span: int = SPAN) -> Column:
-    """The different passages of a text that may be a header: of every line with a wanted word the line, its
-    sentences, and all runs of up to `span` lines that it is in; and every paragraph. Comment marks at the ends
-    of lines are taken away."""
-    word = "(^|[^a-z0-9])(" + "|".join(wanted).replace(".", r"\.") + ")([^a-z0-9]|$)"
+
+def passages(text: Column, weights: list, least: float, idf: dict[str, float], other: float, span: int = SPAN) -> Column:
+    """The different passages of a text that may reach one of these templates: of every line with a telling word the
+    line, its sentences, and all runs of up to `span` lines that it is in; and every paragraph. Comment marks at
+    the ends of lines are taken away. Runs that other words fill too much are left out: a run's length in terms of
+    templates is at most the sum of its lines' lengths, and it has as many other words as any one of its lines."""
+    telling = F.array(*[F.lit(t) for t in _telling(weights, least)])
+    vocabulary, any_notice = _bound(weights, least)
+    shapes = F.array(*[F.struct(F.lit(before).alias("before"), F.lit(size).alias("size")) for size in range(1, span + 1) for before in range(size)])
     lines = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.rlike(r"\S"))
     lines = F.transform(lines, lambda x: F.regexp_replace(x, r"^[\s/*#;%<>!\x22'-]+|[\s/*#<>!\x22'-]+$", ""))
-    marked = F.transform(lines, lambda x, i: F.when(F.lower(x).rlike(word), i + 1))
-    hits = F.filter(marked, lambda i: i.isNotNull())
-    shapes = F.array(*[F.struct(F.lit(before).alias("before"), F.lit(size).alias("size")) for size in range(1, span + 1) for before in range(size)])
-    runs = F.flatten(F.transform(hits, lambda i: F.transform(
-        F.filter(shapes, lambda w: (i - w["before"] >= 1) & (i - w["before"] + w["size"] - 1 <= F.size(lines))),
-        lambda w: F.array_join(F.slice(lines, i - w["before"], w["size"]), " "))))
-    sentences = F.flatten(F.transform(hits, lambda i: F.split(F.element_at(lines, i), r"(?<=[.;:!?])\s+")))
-    paragraphs = F.filter(F.split(text, r"(?:\r?\n[\s/*#;%-]*){2,}|\n[/*#;%-]+(?=\n)"), lambda x: F.lower(x).rlike(word))
-    return F.array_distinct(F.concat(runs, sentences, paragraphs))
+
+    def around(b: Column, i: Column) -> Column:
+        inside = F.filter(shapes, lambda w: (i - w["before"] >= 1) & (i - w["before"] + w["size"] - 1 <= F.size(b["lines"])))
+        def dense(w: Column) -> Column:
+            facts = F.slice(b["facts"], i - w["before"], w["size"])
+            length = F.aggregate(facts, F.lit(0.0), lambda acc, f: acc + f["length"])
+            others = F.array_max(F.transform(facts, lambda f: f["others"]))
+            return length * length * (1.0 - least * least * 0.999) >= least * least * 0.999 * other * other * others
+
+        able = F.filter(F.filter(inside, dense), lambda w: any_notice(F.array_distinct(F.flatten(
+            F.transform(F.slice(b["facts"], i - w["before"], w["size"]), lambda f: f["shared"])))))
+        runs = F.transform(able, lambda w: F.array_join(F.slice(b["lines"], i - w["before"], w["size"]), " "))
+        sentences = F.split(F.element_at(b["lines"], i), r"(?<=[.;:!?])\s+")
+        return F.concat(runs, F.when(any_notice(F.element_at(b["facts"], i)["shared"]), sentences).otherwise(_no_texts()))
+
+    def near_hits(b: Column) -> Column:
+        hits = F.transform(b["facts"], lambda f, i: F.when(F.arrays_overlap(f["shared"], telling), i + 1))
+        return F.flatten(F.transform(F.filter(hits, lambda i: i.isNotNull()), lambda i: around(b, i)))
+
+    # lines and their words are bound to variables, else they would be made again for each use
+    def facts_of(words: Column) -> Column:
+        squares, others = _inside(words, idf)
+        return F.struct(F.array_intersect(words, vocabulary).alias("shared"), F.sqrt(squares).alias("length"), others.alias("others"))
+
+    bound = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.transform(
+        x, lambda line: F.element_at(F.transform(F.array(terms(line)), facts_of), 1)).alias("facts")))
+    paragraphs = F.filter(F.split(text, r"(?:\r?\n[\s/*#;%-]*){2,}|\n[/*#;%-]+(?=\n)"), lambda x: _reaches(terms(x), weights, least))
+    return F.array_distinct(F.concat(F.element_at(F.transform(bound, near_hits), 1), paragraphs))
 
 
 def headers(files: DataFrame, templates: DataFrame, least: float = LEAST, span: int = SPAN) -> DataFrame:
@@ -147,26 +221,24 @@ def headers(files: DataFrame, templates: DataFrame, least: float = LEAST, span:
     other = F.log(F.lit(n + 1.0)) + 1.0
     known = _weighed(words, ["license", "notice", "whole", "general"], idf, other).withColumnRenamed("weight", "t_weight")
     weights = known.select("notice", "whole", "term", "t_weight").collect()
-    short, every = _telling([w for w in weights if not w["whole"]], least), _telling(weights, least)
-    if not every:
+    brief = [w for w in weights if not w["whole"]]
+    if not _telling(weights, least):
         return files.limit(0).select(F.col("path"), F.lit("").alias("license"), F.lit(0.0).alias("score"))
     licence = _name(F.col("path")).isin(*LICENCE_FILES)
     # texts that hold no telling word cannot reach the threshold
     maybe = files.filter("path is not null").select("path", "text", licence.alias("licence")).filter(
-        _holds(F.col("text"), short) | (F.col("licence") & _holds(F.col("text"), every)))
-    none = F.expr("cast(array() as array<string>)")
-    cut = F.concat(passages(F.col("text"), short, span) if short else none, F.when(F.col("licence"), F.array("text")).otherwise(none))
-    found = (maybe.select("path", F.explode(F.array_distinct(cut)).alias("passage")).withColumn("terms", terms(F.col("passage")))
-             .filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in every]))))
+        _holds(F.col("text"), brief, least) | (F.col("licence") & _holds(F.col("text"), weights, least)))
+    rare = {r["term"]: float(r["idf"]) for r in idf.collect()}
+    rarest = math.log(n + 1.0) + 1.0
+    cut = F.concat(passages(F.col("text"), brief, least, rare, rarest, span) if _telling(brief, least) else _no_texts(),
+                   F.when(F.col("licence"), F.array("text")).otherwise(_no_texts()))
+    # terms are made before the explosion, after which a filter cannot bring them about again
+    found = (maybe.select("path", F.explode(F.transform(F.array_distinct(cut), lambda x: F.struct(x.alias("passage"), terms(x).alias("terms")))).alias("p"))
+             .select("path", "p.passage", "p.terms").filter(_reaches(F.col("terms"), weights, least)))
     # no passage is more alike than the share of its length that lies in terms of templates: the squares of
     # these, against at least one of `other` for each different term that no template has
-    rare = {r["term"]: float(r["idf"]) for r in idf.collect()}
-    table = F.create_map(*[F.lit(x) for pair in sorted(rare.items()) for x in pair])
-    different = F.array_distinct("terms")
-    shared = F.array_intersect(F.col("terms"), F.map_keys(table))
-    inside = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.pow(
-        F.size(F.filter("terms", lambda x: x == t)) * F.element_at(table, t), F.lit(2.0)))
-    outside = (F.size(different) - F.size(shared)) * F.pow(other, F.lit(2.0))
+    inside, outside = _inside(F.col("terms"), rare)
+    outside = outside * rarest * rarest
     found = found.withColumn("inside", inside).filter(F.col("inside") >= least * least * 0.999 * (F.col("inside") + outside))
     # few passages are left: written once, so that texts are read once
     rows = reliable(found.select("path", F.md5("passage").alias("passage"), F.explode("terms").alias("term")))
