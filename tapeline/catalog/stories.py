@@ -491,12 +491,11 @@ def luck_histogram(spark, sf):
 # --- streams ------------------------------------------------------------------------------------
 
 def _trade_stream(spark, sf):
-    raw = (spark.readStream.schema(v.table(spark, sf, "events").schema)
-           .option("pathGlobFilter", "events.parquet").parquet(sf))
-    return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
-                      F.col("value").alias("price"),
-                      F.get_json_object("props", "$.k").cast("double").alias("size"),
-                      F.col("event_id").alias("trade_id"))
+    return v.stream(spark, sf, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("value").alias("price"),
+        F.get_json_object("props", "$.k").cast("double").alias("size"),
+        F.col("event_id").alias("trade_id"))
 
 
 def _folder(spark) -> str:
@@ -558,8 +557,7 @@ def stream_session_state(spark, sf):
     {r('any_value(negative)')} AS negative, {r('any_value(neutral)')} AS neutral FROM probs GROUP BY text""", **_PROBS))
 def stream_text_scores(spark, sf):
     root = _folder(spark)
-    texts = (spark.readStream.schema(v.table(spark, sf, "documents").schema)
-             .option("pathGlobFilter", "documents.parquet").parquet(sf).select("text"))
+    texts = v.stream(spark, sf, "documents").select("text")
     live.listen(live_stories.score_batches(texts, sc.lexicon_scorer(v.GOOD, v.BAD), f"{root}/cache", f"{root}/cp"))
     return rounded(spark.read.parquet(f"{root}/cache").select(F.md5("text").alias("text_hash"), *fixed.LABELS))
 
@@ -577,9 +575,7 @@ _FEED = {"stories": f"""SELECT doc_id, url, md5({KEY_SQL.format('headline')}) AS
 def stream_archive(spark, sf):
     """The feed arrives as a stream; the archive starts empty."""
     root = _folder(spark)
-    docs = (spark.readStream.schema(v.table(spark, sf, "documents").schema)
-            .option("pathGlobFilter", "documents.parquet").parquet(sf))
-    feed = v.as_news(docs).withColumn("published", F.col("published").cast("timestamp"))
+    feed = v.as_news(v.stream(spark, sf, "documents")).withColumn("published", F.col("published").cast("timestamp"))
     feed = feed.withColumn("seq", F.col("doc_id")).withColumn("symbol", F.get("symbols", F.lit(0))).drop("symbols")
     live.listen(live_stories.archive_batches(feed, f"{root}/archive", f"{root}/cp"))
     return st.newest_archive(spark, f"{root}/archive").select(F.md5("headline").alias("headline_hash"), "url")

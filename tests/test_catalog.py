@@ -51,3 +51,12 @@ def test_digest_brings_the_tables_of_one_report_together(spark):
     assert out.holdings.count() == out.outlook.holdings.count() == held.count() == out.alerts.count()
     assert [r.name for r in out.market.collect()] == ["Clicks"]
     assert out.headlines.groupBy("portfolio_id", "headline").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("name", ["stream_text_scores", "stream_archive", "stream_minute_bars"])
+def test_streams_read_tables_that_are_folders_of_files(spark, tmp_path, name):
+    from oracle import compare, connect
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    ok, note = compare(connect(SF), entry.queries()[name](spark, str(tmp_path)), entry.oracle_sql()[name])
+    assert ok, note
