@@ -190,3 +190,20 @@ def test_pairs_picked_in_their_tasks_equal_those_of_all_pairs(spark):
         known = pairs.where("corr is not null")
         same(co.sector_correlations(table, sectors, block), co.sector_averages(known, sectors.where("sector is not null")))
     assert co.pairs_above(table.limit(0)).count() == 0
+
+
+def test_a_series_is_sent_once_per_block_and_blocks_are_few(spark, monkeypatch):
+    import random
+    draw = random.Random(9)
+    rows = [(f"S{s:02d}", f"2024-01-{d:02d}", draw.gauss(0, 1)) for s in range(40) for d in range(1, 22) if draw.random() < 0.8]
+    table = spark.createDataFrame(rows, "symbol string, day string, r double").withColumn("day", F.to_date("day")).cache()
+    found = lambda: {(r.sym_a, r.sym_b): (round(r["corr"], 9), r.n_days) for r in co.correlation_pairs(table, block=2).collect()}
+    whole = found()
+    assert len(whole) == 40 * 39 // 2
+    assert co._dealt(table, [], 2).count() == 40 * 16        # 20 pieces of two series, but 16 blocks
+    monkeypatch.setattr(co, "BLOCKS", 3)
+    assert co._dealt(table, [], 2).count() == 40 * 3
+    assert found() == whole
+    monkeypatch.setattr(co, "HELD", len(rows) // 4)          # more values than a task may hold: five blocks
+    assert co._dealt(table, [], 2).count() == 40 * 5
+    assert found() == whole
