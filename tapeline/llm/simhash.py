@@ -201,7 +201,7 @@ def classes(fps: DataFrame, key: str = "doc_id", width: int = 1, total: int = FL
 
 # ------------------------------------------------------------------ the stage: one document of a group stays
 
-#: Candidates of the stage: equal groups of `ROWS` minima of a text's shingles, `BANDS` of them. Two texts with
+#: Candidates of the stage, beside the links of fingerprints: equal groups of `ROWS` minima of a text's shingles, `BANDS` of them. Two texts with
 #: shingles J alike meet with probability 1 - (1 - J^6)^32, whatever edit made one of the other: 0.99994 at 0.8.
 BANDS, ROWS = 32, 6
 _DRAW = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
@@ -241,11 +241,14 @@ def _bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(words: int):
-    """Rows (__text, __id, text) to (__text, __id, bands), the bands as bytes."""
+    """Rows (__text, __id, text) to (__text, __id, bands, fp), the bands as bytes, the fingerprint as `fingerprints` makes it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            made = [_bands(_shingles(t, words)).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["__text", "__id", "bands"])
+            texts = b.column(2).to_pylist()
+            made = [_bands(_shingles(t, words)).tobytes() for t in texts]
+            fps = [simhash(t, 4, (42,), False) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), pa.array(fps, pa.binary())],
+                                             ["__text", "__id", "bands", "fp"])
     return run
 
 
@@ -272,6 +275,17 @@ def band_links(signed: DataFrame) -> DataFrame:
     return made.filter("src <> dst").distinct()
 
 
+def fingerprint_links(signed: DataFrame) -> DataFrame:
+    """(src, dst) of rows (alias, fp): each alias with the least of its fingerprint, and those least ones whose
+    fingerprints `links` joins."""
+    heads = reliable(signed.groupBy("fp").agg(F.min("alias").alias("head"), F.count("*").alias("n")))
+    same = signed.join(heads.filter("n > 1"), "fp").select(F.col("alias").alias("src"), F.col("head").alias("dst"))
+    near = (links(heads).join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src")
+            .join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
+            .select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return same.unionByName(near).filter("src <> dst").distinct()
+
+
 class _Kept:
     """Shingle sets of kept documents: the first ones in one sorted index, the latest as they are."""
 
@@ -328,24 +342,25 @@ def _settle(similarity: float, words: int):
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """Documents without exact and near copies, columns unchanged. Equal texts are one node, kept by the
-    smallest doc_id (null last). Components over shared bands of minima are settled by their texts, in that
+    smallest doc_id (null last). Texts are linked by their SimHash fingerprints, as in `classes`, and by shared bands of
+    minima, which meet the near copies that differ in more bits. Components are settled by their texts, in that
     order: a node goes only if its shingles of five words and those of a node that stays are at least 0.8
     alike (Jaccard). Rows with
     null or empty texts are one group; repeated rows with the same doc_id and text stay once."""
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     named = docs.withColumn("__text", F.unhex(F.substring(F.sha2(as_bytes("text"), 256), 1, 32))).withColumn("__id", order)
     marks = named.select("__text", "__id", as_bytes("text").alias("text")).mapInArrow(
-        _signatures(words), "__text binary, __id bigint, bands binary")
+        _signatures(words), "__text binary, __id bigint, bands binary, fp binary")
     # a node is a text with its smallest doc_id; its name sorts by that. The alias stands for it in links: two
     # nodes of one alias share a component, which settling by texts does not mind
     name = F.concat(F.unhex(F.lpad(F.hex("__id"), 16, "0")), F.col("__text")).alias("node")
     alias = F.xxhash64("__text").alias("alias")
-    nodes = reliable(marks.groupBy("__text").agg(F.min("__id").alias("__id"), F.first("bands").alias("bands"))
-                     .select("__text", "__id", name, alias, "bands"))
-    stars = components(band_links(nodes))
+    nodes = reliable(marks.groupBy("__text").agg(F.min("__id").alias("__id"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+                     .select("__text", "__id", name, alias, "bands", "fp"))
+    stars = components(fingerprint_links(nodes).unionByName(band_links(nodes)))
     roots = reliable(stars.unionByName(stars.select(F.col("root").alias("src"), "root")).distinct())
     left = reliable(nodes.join(roots.withColumnRenamed("src", "alias"), "alias").select("node", "root"))
-    nodes = nodes.drop("bands", "alias")
+    nodes = nodes.drop("bands", "fp", "alias")
     gone = None
     if not left.isEmpty():
         wanted = nodes.join(left.select("node"), "node").select("__text", "__id", "node")

@@ -261,3 +261,18 @@ def test_repeats_go_whatever_the_columns_are_called(spark):
     got = {r["doc_id"]: tuple(r) for r in repeats.drop_repeats(df).collect()}
     assert got == {1: (1, phrase + " end", 1, "a", 2, 3), 2: (2, "start ", 4, None, 5, 6), None: (None, None, 7, "c", 8, 9)}
     assert repeats.drop_repeats(df.limit(0)).columns == df.columns
+
+
+def test_the_stage_links_near_copies_by_their_fingerprints(spark, monkeypatch):
+    draw = random.Random(11)
+    texts, copies = [], 0
+    for i in range(12):
+        words = [f"w{draw.randrange(5000)}" for _ in range(900)]
+        near = list(words)
+        near[450] = "another"
+        texts += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(near)), (10 * i + 2, "  ".join(words).upper())]
+        bits = [int.from_bytes(simhash.simhash(" ".join(w).encode(), 4, (42,), False), "big") for w in (words, near)]
+        copies += (bits[0] ^ bits[1]).bit_count() <= 4
+    assert copies == 12
+    monkeypatch.setattr(simhash, "band_links", lambda signed: spark.createDataFrame([], "src bigint, dst bigint"))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()) == [10 * i for i in range(12)]
