@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapeline.functions import fixed
 from tapeline.functions.textual import mood_bucket, page_text, article_status, site_of
 from tapeline.operators.skew import salted_join
+from tapeline.session import cut_lineage
 
 
 def focused(news: DataFrame, max_symbols: int = 3) -> DataFrame:
@@ -44,19 +45,21 @@ def assign_trading_day(stories: DataFrame, trading_days: DataFrame,
                        keys: Sequence[str] = ()) -> DataFrame:
     """First trading day that each story could have moved; null after the last one.
 
-    Stories before the first trading day get that day. The day map is far smaller than the
-    stories, whose hot (symbol, day) groups are spread by salt.
+    Stories before the first trading day get that day. Days are found for the few (keys, day) that have
+    stories; the stories themselves move once, hot (symbol, day) groups spread by salt.
     """
     keys = list(keys)
+    # a story without a time is before all others, and a null would meet nothing in a join
+    dated = stories.withColumn("_eff", F.coalesce(effective_day(F.col("published")), F.lit("0001-01-01").cast("date")))
+    counts = dated.groupBy(*keys, "_eff").agg(F.count(F.lit(1)).alias("n"))
     firsts = first_days(trading_days, keys)
-    dated = stories.withColumn("_eff", effective_day(F.col("published")))
     if keys:
-        dated = dated.join(firsts, keys, "left")
+        slots = counts.drop("n").join(firsts, keys, "left")
     else:
-        dated = dated.withColumn("_first", firsts.scalar())
-    dated = dated.withColumn("cal_day", F.greatest("_eff", "_first"))
-    mapped = salted_join(dated, day_map(trading_days, keys), [*keys, "cal_day"], "left")
-    return mapped.drop("_eff", "_first", "cal_day")
+        slots = counts.drop("n").withColumn("_first", firsts.scalar())
+    slots = slots.withColumn("cal_day", F.greatest("_eff", "_first"))
+    placed = slots.join(day_map(trading_days, keys), [*keys, "cal_day"], "left").select(*keys, "_eff", "trading_day")
+    return salted_join(dated, placed, [*keys, "_eff"], "left", counts).drop("_eff")
 
 
 def stories_per_day(stories: DataFrame, trading_days: DataFrame, score: str = "score") -> DataFrame:
@@ -169,15 +172,17 @@ def newest_headlines(news: DataFrame, watch: DataFrame, since: str, k: int = 2)
 
 def portfolio_headlines(news: DataFrame, holdings: DataFrame, since: str, k: int = 2) -> DataFrame:
     """The same per portfolio, walking its holdings by value. The newest k per symbol are found once
-    for all portfolios."""
+    for all portfolios; equal headlines among them are named by the first, so that no text moves per portfolio."""
     recent = news.where(F.col("published") >= F.lit(since).cast("timestamp"))
     newest = _top(recent.withColumn("symbol", F.explode("symbols")), ["symbol"],
-                  [F.desc("published"), F.col("url")], k)
+                  [F.desc("published"), F.col("url")], k).select("symbol", "headline", "url", "rank")
+    newest = cut_lineage(newest)
+    named = newest.withColumn("_same", F.min(F.struct("symbol", "rank")).over(Window.partitionBy("headline")))
     held = salted_join(holdings.select("portfolio_id", "symbol", "value"),
-                       newest.select("symbol", "headline", "url", "rank"), ["symbol"])
-    first = Window.partitionBy("portfolio_id", "headline").orderBy(F.desc("value"), "symbol", "rank")
-    return (held.withColumn("_first", F.row_number().over(first)).where(F.col("_first") == 1)
-            .drop("_first", "value"))
+                       named.select("symbol", "rank", "_same"), ["symbol"])
+    first = Window.partitionBy("portfolio_id", "_same").orderBy(F.desc("value"), "symbol", "rank")
+    shown = held.withColumn("_first", F.row_number().over(first)).where(F.col("_first") == 1)
+    return salted_join(shown.select("symbol", "portfolio_id", "rank"), newest, ["symbol", "rank"])
 
 
 def unfetched(archive: DataFrame, limit: int | None = None) -> DataFrame:

@@ -241,3 +241,31 @@ def test_hosts_without_an_answer_are_shut(spark):
     got = as_dict(nw.crawl_checks(spark.createDataFrame([(u,) for u in links], "url string"), rules, (), hosts), "url", "check")
     shut = {"https://a.example/x", "https://f.example/x", *(u for u in links if u[8] in "cde")}
     assert {u for u in links if got[u] == "blocked_by_robots"} == shut and {u for u in links if got[u] == ""} == set(links) - shut
+
+
+def _moved(df):
+    """The columns of each shuffle of the plan, in lines."""
+    import re
+    ways = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    plan = df._jdf.queryExecution().explainString(ways.fromString("formatted"))
+    return re.findall(r"\) Exchange\nInput \[\d+\]: ([^\n]*)\nArguments: ([^\n]*)", plan)
+
+
+def test_stories_are_not_dealt_by_symbol_alone_and_texts_not_per_portfolio(spark):
+    stories = spark.sql("""SELECT id, concat('text ', id % 7) AS headline, concat('u', id) AS url, array('A', 'B') AS symbols,
+        'A' AS symbol, timestamp'2024-01-02 12:00:00' + make_dt_interval(cast(id % 9 AS int)) AS published FROM range(60)""")
+    stories = stories.unionByName(stories.where("id = 0").withColumn("published", F.lit(None).cast("timestamp")).withColumn("id", F.lit(99)))
+    days = spark.sql("SELECT 'A' AS symbol, date_add(date'2024-01-04', cast(id AS int)) AS day FROM range(0, 6, 2)")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        placed = nw.assign_trading_day(stories, days, ["symbol"])
+        dealt = [to for columns, to in _moved(placed) if "headline" in columns]
+        assert dealt and all("_salt" in to for to in dealt)
+        got = {r["id"]: r["trading_day"] and r["trading_day"].day for r in placed.collect()}
+        shown = nw.portfolio_headlines(stories, spark.sql("SELECT id AS portfolio_id, s AS symbol, 1.0D AS value FROM range(9) LATERAL VIEW explode(array('A', 'B')) AS s"), "2024-01-01 00:00:00")
+        assert not [to for columns, to in _moved(shown) if "headline" in columns and "portfolio_id" in columns]
+        rows = shown.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: {0: 4, 1: 4, 2: 4, 3: 6, 4: 6, 5: 8, 6: 8}.get(i % 9) for i in range(60)} | {99: 4}
+    assert len(rows) == 18 and {(r["symbol"], r["headline"]) for r in rows} == {("A", "text 3"), ("A", "text 5")}
