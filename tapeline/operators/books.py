@@ -3,49 +3,65 @@
 A symbol is one row with its closes and, in a task, one bitmap of the days it has. A portfolio counts the days on
 which all its symbols (benchmarks too) have a close: the AND of their bitmaps. Returns span dropped days. What is
 shuffled is one row per holding and one array per block of portfolios and symbol; days exist only inside a task,
-and portfolios of the same symbols share one matrix of returns there.
+and portfolios of the same symbols share one matrix of returns there and are worked on together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tapeline.functions import fixed
-from tapeline.operators.mixes import ANNUAL, _path as series_path
+from tapeline.operators.mixes import ANNUAL, paths
 from tapeline.session import cut_lineage
 
-KEPT = 64             # matrices of returns that a task remembers
+VALUES = 500_000      # portfolios of the same symbols are worked on together while they have so few days between them
 
 
 @dataclass
 class Book:
-    """One portfolio in a task. Rows are its symbols, in order of their names."""
+    """Portfolios of the same symbols in a task. Rows of `value` and `weight` are portfolios; their columns, and rows
+    of `r`, are the symbols in order of their names."""
+    keys: np.ndarray            # portfolio_id
     symbols: np.ndarray
     value: np.ndarray           # money, nan for a benchmark that is not held
-    weight: np.ndarray          # share of the usable money, nan likewise
+    weight: np.ndarray          # share of the usable money, nan likewise; nan for all of them or for none
     is_benchmark: np.ndarray
-    members: pd.DataFrame       # all rows of the block, of which `rows` are the portfolio's
+    members: pd.DataFrame       # all rows of the block, of which `rows` are the portfolios', -1 where not held
     rows: np.ndarray
     days: np.ndarray            # days since 1970, after the first complete one
     r: np.ndarray               # symbols x days; nan after a close of zero
     fx: np.ndarray | None       # return of the currency by day, 0 where unknown
 
+    @property
+    def own(self) -> np.ndarray:
+        return ~np.isnan(self.weight[0])
+
     @property
     def held(self) -> np.ndarray:
-        return ~np.isnan(self.weight) & ~np.isnan(self.r).all(1)
+        return self.own & ~np.isnan(self.r).all(1)
+
+    @property
+    def each(self) -> np.ndarray:
+        return np.arange(len(self.keys))
 
-    def mix(self) -> np.ndarray:
-        """Daily return of fixed weights, topped back up every day; nan on days without any return."""
-        own = ~np.isnan(self.weight)
-        r = self.r[own]
-        return np.where(np.isnan(r).all(0), np.nan, np.nansum(self.weight[own, None] * r, axis=0))
+    def mix(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a day has any return, and the daily returns of fixed weights, topped back up every day, on those
+        that have one: portfolios x days."""
+        r = self.r[self.own]
+        some = ~np.isnan(r).all(0)
+        return some, self.weight[:, self.own] @ np.nan_to_num(r[:, some], posinf=np.inf, neginf=-np.inf)
 
+    def carried(self, name: str) -> np.ndarray:
+        """A column that the members carry, laid out as `value` is."""
+        return np.where(self.rows >= 0, self.members[name].to_numpy(float)[self.rows], np.nan)
 
+
+#: Rows of all portfolios of a book as columns, of which the first is the portfolio's place in `keys`.
 Facts = Callable[[Book], Iterator[tuple]]
 
 
@@ -62,20 +78,20 @@ class Books:
         marks, names = self.benchmarks, ["portfolio_id", *(f.split()[0] for f in out.split(", "))]
 
         def one(held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            rows: list[tuple] = []
+            made: list[tuple] = []
             if len(held) and len(known):
-                rows = [row for key, book in _walk(held, known, marks) for row in ((key, *f) for f in facts(book))]
-            return pd.DataFrame(rows, columns=names)
+                made = [(book.keys[at], *columns) for book in _walk(held, known, marks) for at, *columns in facts(book)]
+            return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*made))} if made else [], columns=names)
 
         kind = dict(self.members.dtypes)["portfolio_id"]
         return self.members.groupBy("_block").cogroup(self.arrays.groupBy("_beside")).applyInPandas(
             one, f"portfolio_id {kind}, {out}")
 
 
-def _walk(held: pd.DataFrame, known: pd.DataFrame, benchmarks: Sequence[str]) -> Iterator[tuple[object, Book]]:
-    """Books of one block, portfolio by portfolio."""
+def _walk(held: pd.DataFrame, known: pd.DataFrame, benchmarks: Sequence[str]) -> Iterator[Book]:
+    """Books of one block."""
     money = known["_fx"].to_numpy(bool)
-    rates, known = known[money], known[~money].reset_index(drop=True)
+    rates, known = known[money], known[~money].sort_values("_name", ignore_index=True)
     if not len(known):
         return
     days = np.unique(np.concatenate(known["days"].to_list()))
@@ -91,38 +107,44 @@ def _walk(held: pd.DataFrame, known: pd.DataFrame, benchmarks: Sequence[str]) ->
         here[here] = days[at[here]] == rates["days"].iloc[0][here]
         fx[at[here]] = rates["values"].iloc[0][here]
     place = {s: i for i, s in enumerate(known["_name"])}
-    marks = [place[b] for b in benchmarks if b in place]
+    marks = sorted({place[b] for b in benchmarks if b in place})
     if len(marks) < len(set(benchmarks)):
         return
-    held = held.sort_values(["portfolio_id", "symbol"], ignore_index=True)
-    at = held["symbol"].map(place).to_numpy(float)
-    value, names = held["value"].to_numpy(float), known["_name"].to_numpy()
-    seen: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
-    for key, part in held.groupby("portfolio_id", sort=False).indices.items():
-        own = at[part]
-        if np.isnan(own).any():
+    names = known["_name"].to_numpy()
+    code, keys = pd.factorize(held["portfolio_id"])
+    order = np.lexsort((held["symbol"].map(place).to_numpy(float), code))
+    order = order[np.searchsorted(code[order], 0):]          # a missing portfolio_id is no portfolio
+    held, code = held.iloc[order].reset_index(drop=True), code[order]
+    at = held["symbol"].map(place).fillna(-1).to_numpy(np.int64)
+    value = held["value"].to_numpy(float)
+    total = np.bincount(code, np.nan_to_num(value), len(keys))[code]
+    weight = np.divide(value, total, out=np.full(len(value), np.nan), where=total != 0)
+    alike: dict[bytes, list[int]] = {}
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    marked = np.c_[at, np.isnan(weight)]
+    for a, b in zip(starts, np.r_[starts[1:], len(code)]):
+        alike.setdefault(marked[a:b].tobytes(), []).append(a)
+    for pattern, first in alike.items():
+        own = np.frombuffer(pattern, np.int64).reshape(-1, 2)[:, 0]
+        if (own < 0).any():
             continue
-        own = own.astype(np.int64)
-        extra = [m for m in marks if m not in own]
-        symbols = np.r_[own, np.array(extra, np.int64)]
-        order = np.argsort(names[symbols], kind="stable")
+        extra = np.array([m for m in marks if m not in own], np.int64)
+        symbols = np.r_[own, extra]
+        order = np.argsort(symbols, kind="stable")
         symbols = symbols[order]
-        pick = tuple(symbols.tolist())
-        if pick not in seen:
-            if len(seen) >= KEPT:
-                seen.clear()
-            whole = np.unpackbits(np.bitwise_and.reduce(bitmap[symbols], axis=0), count=len(days)).astype(bool)
-            closes = table[symbols][:, whole]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                r = np.where(closes[:, :-1] == 0, np.nan, closes[:, 1:] / closes[:, :-1] - 1.0)
-            seen[pick] = np.flatnonzero(whole)[1:], r
-        where, r = seen[pick]
-        if not r.size:
+        whole = np.unpackbits(np.bitwise_and.reduce(bitmap[symbols], axis=0), count=len(days)).astype(bool)
+        where = np.flatnonzero(whole)[1:]
+        if not len(where):
             continue
-        mine = np.r_[value[part], np.full(len(extra), np.nan)][order]
-        total = np.nansum(mine)
-        yield key, Book(names[symbols], mine, mine / total if total else np.full(len(mine), np.nan),
-                        np.isin(symbols, marks), held, part, days[where], r, None if fx is None else fx[where])
+        closes = table[symbols][:, whole]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(closes[:, :-1] == 0, np.nan, closes[:, 1:] / closes[:, :-1] - 1.0)
+        rows = np.c_[np.array(first)[:, None] + np.arange(len(own)), np.full((len(first), len(extra)), -1)][:, order]
+        step = max(1, VALUES // len(where))
+        for part in (rows[i:i + step] for i in range(0, len(rows), step)):
+            yield Book(keys[code[part.max(1)]], names[symbols], np.where(part >= 0, value[part], np.nan),
+                       np.where(part >= 0, weight[part], np.nan), np.isin(symbols, marks), held, part, days[where], r,
+                       None if fx is None else fx[where])
 
 
 def books(closes: DataFrame, holdings: DataFrame, min_days: int = 200, benchmarks: Sequence[str] = (),
@@ -154,23 +176,28 @@ def books(closes: DataFrame, holdings: DataFrame, min_days: int = 200, benchmark
     return Books(dealt, cut_lineage(beside) if keep else beside, left_out.select("portfolio_id", "symbol", "value"), tuple(benchmarks))
 
 
-def _none(x: float) -> float | None:
-    return float(x) if np.isfinite(x) else None
+def _finite(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(x), x, np.nan)
+
+
+def _by_portfolio(book: Book, *columns: np.ndarray) -> tuple:
+    """Rows that hold for every portfolio of a book."""
+    n = len(book.keys)
+    return (np.repeat(book.each, len(columns[0])), *(np.tile(c, n) for c in columns))
 
 
 def risk_facts(book: Book) -> Iterator[tuple]:
     """symbol, value, weight, risk_pct, own_volatility_pct of each holding with a return."""
-    own = book.held
-    r, w = book.r[own], book.weight[own]
-    mix, here = book.mix(), ~np.isnan(r)
-    n = here.sum(1)
-    a = np.where(here, r - (np.where(here, r, 0).sum(1) / n)[:, None], 0)
-    m = np.where(here, mix - (np.where(here, mix, 0).sum(1) / n)[:, None], 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        risk = np.where(n > 1, w * (a * m).sum(1) / (m * m).sum(1) * 100.0, np.nan)
-        swing = np.where(n > 1, np.sqrt((a * a).sum(1) / (n - 1)) * ANNUAL, np.nan)
-    for row in zip(book.symbols[own], book.value[own].tolist(), w.tolist(), risk.tolist(), swing.tolist()):
-        yield (*row[:3], _none(row[3]), _none(row[4]))
+    some, mix = book.mix()
+    for i in np.flatnonzero(book.held):
+        r, w = book.r[i, some], book.weight[:, i]
+        here = ~np.isnan(r)
+        n = here.sum()
+        a, m = r[here] - r[here].mean(), mix[:, here] - mix[:, here].mean(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            risk = w * (a * m).sum(1) / (m * m).sum(1) * 100.0 if n > 1 else np.full(len(w), np.nan)
+            swing = np.sqrt((a * a).sum() / (n - 1)) * ANNUAL if n > 1 else np.nan
+        yield book.each, np.full(len(w), book.symbols[i], object), book.value[:, i], w, _finite(risk), _finite(np.full(len(w), swing))
 
 
 RISK = "symbol string, value double, weight double, risk_pct double, own_volatility_pct double"
@@ -178,34 +205,52 @@ RISK = "symbol string, value double, weight double, risk_pct double, own_volatil
 
 def effective_facts(book: Book) -> Iterator[tuple]:
     """Effective number of holdings."""
-    w = book.weight[book.held]
-    if len(w):
-        yield (float(1.0 / (w * w).sum()) if (w * w).sum() else None,)
+    w = book.weight[:, book.held]
+    if w.shape[1]:
+        squares = (w * w).sum(1)
+        yield book.each, np.divide(1.0, squares, out=np.full(len(w), np.nan), where=squares != 0)
+
+
+MIX = "Your mix"
 
 
 def named_series(book: Book) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(name, days, returns) of the mix and of each benchmark alone."""
+    """(symbol, days, returns) of the mix, without a symbol, and of each benchmark alone: one row per portfolio, or one
+    that holds for all of them."""
     if book.held.any():
-        yield "Your mix", book.days, book.mix()
+        some, mix = book.mix()
+        yield "", book.days[some], mix
     for i in np.flatnonzero(book.is_benchmark):
-        yield f"Just {book.symbols[i]}", book.days, book.r[i]
+        here = ~np.isnan(book.r[i])
+        if here.any():
+            yield book.symbols[i], book.days[here], book.r[i][None, here]
 
 
-def growth_facts(book: Book) -> Iterator[tuple]:
-    """name and its path: arrays of days, returns and what 100 has grown to."""
-    for name, days, r in named_series(book):
-        here = ~np.isnan(r)
-        if here.any():
-            yield name, days[here], r[here], 100.0 * np.cumprod(1.0 + r[here])
+def line_names(benchmarks: Sequence[str]) -> list[str]:
+    """Names of the lines that `growth_facts` numbers."""
+    return [MIX, *(f"Just {b}" for b in benchmarks)]
+
+
+def growth_facts(benchmarks: Sequence[str]) -> Facts:
+    """line (its place in `line_names`), day, return and what 100 has grown to."""
+    def facts(book: Book) -> Iterator[tuple]:
+        n = len(book.keys)
+        for symbol, days, r in named_series(book):
+            line = list(benchmarks).index(symbol) + 1 if symbol else 0
+            shape = n, len(days)
+            yield (np.repeat(book.each, len(days)), np.full(n * len(days), line, np.int32), np.tile(days.astype(np.int32), n),
+                   *(np.broadcast_to(x, shape).ravel() for x in (r, 100.0 * np.cumprod(1.0 + r, axis=1))))
+    return facts
+
+
+GROWTH = "line int, days int, r double, growth double"
 
 
 def comparison_facts(book: Book) -> Iterator[tuple]:
     """name, what 100 became, volatility and worst drawdown."""
-    for name, _, r in named_series(book):
-        r = r[~np.isnan(r)]
-        if len(r):
-            grown, volatility, drop = series_path(r)
-            yield name, 100.0 * grown, _none(volatility), _none(drop)
+    for symbol, _, r in named_series(book):
+        grown, volatility, drop = (np.broadcast_to(x, len(book.keys)) for x in paths(r))
+        yield book.each, np.full(len(book.keys), f"Just {symbol}" if symbol else MIX, object), 100.0 * grown, _finite(volatility), _finite(drop)
 
 
 def correlation_facts(book: Book) -> Iterator[tuple]:
@@ -219,18 +264,20 @@ def correlation_facts(book: Book) -> Iterator[tuple]:
         sums = x @ here.T
         squares = (x * x) @ here.T - sums * sums / n
         corr = (x @ x.T - sums * sums.T / n) / np.sqrt(squares * squares.T)
-    for i, j in zip(*np.triu_indices(len(names), 1)):
-        if n[i, j]:
-            yield names[i], names[j], _none(corr[i, j]), int(n[i, j])
-
-
-def ewma_last(r: np.ndarray, lam: float = fixed.EWMA_LAMBDA) -> float:
-    """Last exponentially weighted volatility of a series in %: v_0 = r_0^2, v_t = lam v_(t-1) + (1 - lam) r_t^2."""
-    if not len(r):
-        return np.nan
-    weight = (1.0 - lam) * lam ** np.arange(len(r) - 1, -1, -1.0)
+    i, j = np.triu_indices(len(names), 1)
+    some = n[i, j] > 0
+    i, j = i[some], j[some]
+    if len(i):
+        yield _by_portfolio(book, names[i], names[j], _finite(corr[i, j]), n[i, j].astype(np.int64))
+
+
+def ewma_last(r: np.ndarray, lam: float = fixed.EWMA_LAMBDA) -> np.ndarray:
+    """Last exponentially weighted volatility of each row in %: v_0 = r_0^2, v_t = lam v_(t-1) + (1 - lam) r_t^2."""
+    if not r.shape[1]:
+        return np.full(len(r), np.nan)
+    weight = (1.0 - lam) * lam ** np.arange(r.shape[1] - 1, -1, -1.0)
     weight[0] /= 1.0 - lam
-    return float(np.sqrt((weight * r * r).sum())) * ANNUAL
+    return np.sqrt((weight * r * r).sum(1)) * ANNUAL
 
 
 def rolling_last(r: np.ndarray, rows: int) -> float:
@@ -246,33 +293,33 @@ def outlook_facts(rows: int) -> Facts:
     """symbol (null: the whole mix) and its volatility. If any holding has fewer than `rows` returns all holdings
     take the exponentially weighted one; the mix always does."""
     def facts(book: Book) -> Iterator[tuple]:
-        r = book.r if book.fx is None else (1.0 + book.r) / (1.0 + book.fx) - 1.0
-        seen = Book(book.symbols, book.value, book.weight, book.is_benchmark, book.members, book.rows, book.days, r, None)
-        own = [x[~np.isnan(x)] for x in r]
-        recent = [rolling_last(x, rows) for x in own if len(x)]
-        short = any(np.isnan(x) for x in recent)
-        for symbol, x in zip(book.symbols, own):
-            if len(x):
-                yield symbol, _none(ewma_last(x) if short else rolling_last(x, rows))
-        mix = seen.mix()
-        if (~np.isnan(mix)).any():
-            yield None, _none(ewma_last(mix[~np.isnan(mix)]))
+        seen = book if book.fx is None else replace(book, r=(1.0 + book.r) / (1.0 + book.fx) - 1.0)
+        own = [(s, x[~np.isnan(x)]) for s, x in zip(seen.symbols, seen.r) if not np.isnan(x).all()]
+        recent = [rolling_last(x, rows) for _, x in own]
+        if any(np.isnan(x) for x in recent):
+            recent = [float(ewma_last(x[None])[0]) for _, x in own]
+        if own:
+            yield _by_portfolio(book, np.array([s for s, _ in own], object), _finite(np.array(recent)))
+        some, mix = seen.mix()
+        if some.any() and seen.own.any():
+            yield book.each, np.full(len(book.keys), None, object), _finite(ewma_last(mix))
     return facts
 
 
-def plan_facts(book: Book) -> Iterator[tuple]:
+def plan_facts(months: Sequence[int]) -> Facts:
     """month, what 100 became, volatility, worst drawdown and days of the mix planned for each month; members carry
-    `plan`, their (month, money) with money above zero."""
-    rows = {s: i for i, s in enumerate(book.symbols)}
-    months: dict[int, np.ndarray] = {}
-    for symbol, plan in zip(book.members["symbol"].to_numpy()[book.rows], book.members["plan"].to_numpy()[book.rows]):
-        for step in plan:
-            months.setdefault(step["month"], np.zeros(len(rows)))[rows[symbol]] = step["v"]
-    for month in sorted(months):
-        w = months[month][:, None] * ~np.isnan(book.r)
-        total = w.sum(0)
-        here = total > 0
-        if here.any():
-            r = np.nansum(w * book.r, 0)[here] / total[here]
-            grown, volatility, drop = series_path(r)
-            yield int(month), 100.0 * grown, _none(volatility), _none(drop), len(r)
+    `_plan0`, `_plan1`, ...: the money of each month, null where it is not above zero."""
+    def facts(book: Book) -> Iterator[tuple]:
+        known, r = ~np.isnan(book.r), np.nan_to_num(book.r, posinf=np.inf, neginf=-np.inf)
+        for i, month in enumerate(months):
+            w = np.nan_to_num(book.carried(f"_plan{i}"))
+            # the days of a mix follow from which symbols it has
+            kinds, kind = np.unique(w > 0, axis=0, return_inverse=True)
+            for k, some in enumerate(kinds):
+                here = known[some].any(0)
+                if here.any():
+                    at = np.flatnonzero(kind.ravel() == k)
+                    grown, volatility, drop = paths((w[at] @ r[:, here]) / (w[at] @ known[:, here]))
+                    yield (at, np.full(len(at), month), 100.0 * grown, _finite(volatility), _finite(drop),
+                           np.full(len(at), here.sum(), np.int64))
+    return facts

@@ -65,14 +65,19 @@ def _daily(weight: np.ndarray, block: np.ndarray) -> np.ndarray:
     return np.nansum(weight[:, None] * block, axis=0)
 
 
-def _path(r: np.ndarray) -> tuple[float, float, float]:
-    """Growth factor, volatility and worst drawdown; a path starts after its first return."""
-    path = np.cumprod(1.0 + r)
-    peak = np.maximum.accumulate(path)
+def paths(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Growth factor, volatility and worst drawdown of each row of returns; a path starts after its first return."""
+    path = np.cumprod(1.0 + r, axis=1)
+    peak = np.maximum.accumulate(path, axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         drop = np.where(peak == 0, np.nan, (path - peak) / peak)
-    worst = np.nanmin(drop) * 100.0 if not np.isnan(drop).all() else np.nan
-    return float(path[-1]), float(np.std(r, ddof=1) * ANNUAL) if len(r) > 1 else np.nan, float(worst)
+    volatility = np.std(r, axis=1, ddof=1) * ANNUAL if r.shape[1] > 1 else np.full(len(r), np.nan)
+    return path[:, -1], volatility, np.fmin.reduce(drop, axis=1) * 100.0
+
+
+def _path(r: np.ndarray) -> tuple[float, float, float]:
+    """The same of one series."""
+    return tuple(float(x[0]) for x in paths(r[None]))
 
 
 def refuse_uncovered(returns: DataFrame, weights: DataFrame, shown: int = 10) -> None:

@@ -43,14 +43,14 @@ def health_check(closes: DataFrame, holdings: DataFrame, sectors: DataFrame,
     book = bk.books(closes, holdings, min_days, benchmarks, keep=keep_book)
     positions = with_sector(book.facts(bk.risk_facts, bk.RISK).withColumn("money_pct", F.col("weight") * 100.0), sectors)
     pairs = book.facts(bk.correlation_facts, "sym_a string, sym_b string, corr double, n_days bigint")
-    paths = book.facts(bk.growth_facts, "name string, days array<int>, r array<double>, growth array<double>")
-    steps = paths.select("portfolio_id", "name", F.inline(F.arrays_zip("days", "r", "growth")))
+    steps = book.facts(bk.growth_facts(book.benchmarks), bk.GROWTH)
+    names = F.array(*[F.lit(n) for n in bk.line_names(book.benchmarks)])
     invested = holdings.groupBy("portfolio_id").agg(F.sum("value").alias("invested"))
     totals = (invested.withColumn("total", F.col("invested")) if account_totals is None
               else invested.join(account_totals, "portfolio_id", "left"))
     return HealthCheck(
         totals=totals, positions=positions, by_sector=sector_money(positions),
         effective=book.facts(bk.effective_facts, "effective double"), correlations=pairs, close_pairs=close_pairs(pairs),
-        growth=steps.select("portfolio_id", "name", F.date_from_unix_date("days").alias("day"), "r", "growth"),
+        growth=steps.select("portfolio_id", F.get(names, F.col("line")).alias("name"), F.date_from_unix_date("days").alias("day"), "r", "growth"),
         comparison=book.facts(bk.comparison_facts, "name string, grown_100 double, volatility_pct double, biggest_drop_pct double"),
         excluded=book.left_out)

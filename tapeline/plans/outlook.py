@@ -44,8 +44,8 @@ def plan_risk(closes: DataFrame, plan: DataFrame, months: list[int], min_days: i
 
     Every symbol of the plan has to be present on a day, whether held at that month or not.
     """
-    step = F.when(F.col("month").isin(*months) & (F.col("value") > 0), F.struct(F.col("month"), F.col("value").alias("v")))
-    symbols = plan.groupBy("portfolio_id", "symbol").agg(F.max("value").alias("value"), F.collect_list(step).alias("plan"))
+    steps = [F.max(F.when((F.col("month") == m) & (F.col("value") > 0), F.col("value"))).alias(f"_plan{i}") for i, m in enumerate(months)]
+    symbols = plan.groupBy("portfolio_id", "symbol").agg(F.max("value").alias("value"), *steps)
     kind = dict(plan.dtypes)["month"]
-    return bk.books(closes, symbols, min_days, carry=["plan"]).facts(
-        bk.plan_facts, f"month {kind}, grown_100 double, volatility_pct double, biggest_drop_pct double, days bigint")
+    return bk.books(closes, symbols, min_days, carry=[f"_plan{i}" for i in range(len(months))]).facts(
+        bk.plan_facts(months), f"month {kind}, grown_100 double, volatility_pct double, biggest_drop_pct double, days bigint")

@@ -120,3 +120,29 @@ def test_no_rows_of_holdings_and_days_are_exchanged(spark, table, holdings):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapCoGroupsInPandas" in plan and "Window" not in plan
         assert "day" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(portfolio_id" in x)
+
+
+def test_portfolios_of_the_same_symbols_are_worked_on_together(table):
+    days = np.arange(130)
+    arrays = pd.DataFrame([(s, days[table[s].notna()], table[s].dropna().to_numpy(), False) for s in NAMES], columns=["_name", "days", "values", "_fx"])
+    rows = pd.DataFrame([(p, s, float(p + i + 1)) for p in range(500) for i, s in enumerate("AB" if p % 2 else "ADE")], columns=["portfolio_id", "symbol", "value"])
+    books = list(bk._walk(rows.sample(frac=1, random_state=1), arrays, ("A",)))
+    assert sorted("".join(b.symbols) for b in books) == ["AB", "ADE"]
+    assert {k for b in books for k in b.keys} == set(range(500))
+    for b in books:
+        some, mix = b.mix()
+        at = int(np.flatnonzero(b.keys == b.keys.max())[0])
+        want = own_returns(table, b.symbols) @ (pd.Series(np.arange(len(b.symbols)) + b.keys[at] + 1., b.symbols).pipe(lambda v: v / v.sum()))
+        assert some.all() and mix[at] == pytest.approx(want.to_numpy())
+
+
+def test_rounding_by_arithmetic_is_that_of_decimals(spark):
+    from pyspark.sql import functions as F
+    from tapeline.catalog import _round, rounded
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-9, 18, 3000), rng.integers(-99, 99, 50) / 8, rng.integers(-9**9, 9**9, 3000) / 1e5, 0.0, -0.0, -1e-9, np.inf, -np.inf]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(float("nan"),), (None,)], "x double")
+    for places in (2, 6):
+        both = df.select(_round(F.col("x") + 0.001 * 10.0 ** -places, places), F.round(F.col("x") + 0.001 * 10.0 ** -places, places)).collect()
+        assert [repr(a) for a, _ in both] == [repr(b) for _, b in both]
+    assert "FLOOR" in rounded(df)._jdf.queryExecution().executedPlan().toString()
