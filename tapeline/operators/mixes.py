@@ -1,7 +1,8 @@
 """Statistics of mixes of weighted holdings, without a table of holdings x days.
 
 A symbol's returns are one row with an array. Portfolios are dealt into blocks of about `holdings` weights,
-and each block gets the array of every symbol in it once, however many of its portfolios hold it. What is
+and each block gets the array of every symbol in it once, however many of its portfolios hold it; those of the same
+symbols are worked on together, as products of matrices. What is
 shuffled is one row per weight and one array per block and symbol; days exist only inside a task.
 """
 
@@ -21,12 +22,26 @@ P = ("portfolio_id",)
 ANNUAL = np.sqrt(float(fixed.TRADING_DAYS_PER_YEAR)) * 100.0
 #: Of one mix: its rows of weights, the matrix of returns (holdings x days, nan where missing), the days.
 Facts = Callable[[pd.DataFrame, np.ndarray, np.ndarray], Iterator[tuple]]
+#: Of mixes of the same symbols: all rows of weights, where theirs are (mixes x holdings), that matrix and the days.
+#: Rows are columns, of which the first is the mix's place.
+AlikeFacts = Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]]
+VALUES = 500_000      # mixes of the same symbols are worked on together while they have so few days between them
 
 
 def over_mixes(returns: DataFrame, weights: DataFrame, facts: Facts, out: str, keys: Sequence[str] = P,
                carry: Sequence[str] = (), holdings: int = 2000) -> DataFrame:
-    """Rows (keys, out) that `facts` gives for each mix. Holdings without any return take no part; a mix of
+    """Rows (keys, out) that `facts` gives for each mix, one by one. Holdings without any return take no part; a mix of
     none but such gives no rows."""
+    def one_by_one(held, rows, block, days):
+        made = [(i, *row) for i, part in enumerate(rows) for row in facts(held.iloc[part], block, days)]
+        if made:
+            yield tuple(pd.Series(c).to_numpy() for c in zip(*made))
+    return over_alike(returns, weights, one_by_one, out, keys, carry, holdings)
+
+
+def over_alike(returns: DataFrame, weights: DataFrame, facts: AlikeFacts, out: str, keys: Sequence[str] = P,
+               carry: Sequence[str] = (), holdings: int = 2000) -> DataFrame:
+    """The same from facts that take all mixes of the same symbols at once."""
     keys = list(keys)
     weights = cut_lineage(weights.select(*keys, "symbol", "weight", *carry))
     blocks = max(1, -(-weights.count() // holdings))
@@ -39,27 +54,42 @@ def over_mixes(returns: DataFrame, weights: DataFrame, facts: Facts, out: str, k
     names = [*keys, *(f.split()[0] for f in out.split(", "))]
 
     def one(held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
+        made: list[tuple] = []
         if len(held) and len(known):
             days = np.unique(np.concatenate([np.asarray(d) for d in known["days"]]))
             table = np.full((len(known), len(days)), np.nan)
             for i, (d, v) in enumerate(zip(known["days"], known["values"])):
                 table[i, np.searchsorted(days, d)] = v
             place = {s: i for i, s in enumerate(known["_name"])}
-            held = held[held["symbol"].isin(place)].sort_values([*keys, "symbol"])
-            at = held["symbol"].map(place).to_numpy()
-            for key, part in held.groupby(keys, sort=False).indices.items():
-                key = key if isinstance(key, tuple) else (key,)
-                block = table[at[part]]
+            held = held[held["symbol"].isin(place)].sort_values([*keys, "symbol"], ignore_index=True)
+            for rows, symbols in alike(held.groupby(keys, sort=False).ngroup().to_numpy(), held["symbol"].map(place).to_numpy(np.int64)):
+                block = table[symbols]
                 some = ~np.isnan(block).all(0)
-                rows += [(*key, *row) for row in facts(held.iloc[part], block[:, some], days[some])]
-        return pd.DataFrame(rows, columns=names)
+                block, step = block[:, some], max(1, VALUES // max(1, some.sum()))
+                for part in (rows[i:i + step] for i in range(0, len(rows), step)):
+                    own = [held[k].to_numpy()[part[:, 0]] for k in keys]
+                    made += [(*(k[at] for k in own), *columns) for at, *columns in facts(held, part, block, days[some])]
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*made))} if made else [], columns=names)
 
     kinds = dict(weights.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), out])
     return dealt.groupBy("_block").cogroup(beside.groupBy("_beside")).applyInPandas(one, schema)
 
 
+def alike(code: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of equal `code`, which is sorted into runs, by what they hold: (rows, the `at` that each row of rows has).
+    Rows without a code are left out."""
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    found: dict[bytes, list[int]] = {}
+    for a, b in zip(starts, np.r_[starts[1:], len(code)]):
+        if code[a] >= 0:
+            found.setdefault(at[a:b].tobytes(), []).append(a)
+    for first in found.values():
+        n = int(np.searchsorted(starts, first[0], "right"))
+        size = (starts[n] if n < len(starts) else len(code)) - first[0]
+        yield np.array(first)[:, None] + np.arange(size), at[first[0]:first[0] + size]
+
+
 def _daily(weight: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Daily return of fixed weights, topped back up every day."""
     return np.nansum(weight[:, None] * block, axis=0)
@@ -88,42 +118,51 @@ def refuse_uncovered(returns: DataFrame, weights: DataFrame, shown: int = 10) ->
         raise ValueError(f"no returns for {', '.join(map(str, names))}{' and maybe more' if len(names) == shown else ''}")
 
 
+def _together(held: pd.DataFrame, rows: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and daily returns of mixes of the same symbols."""
+    w = held["weight"].to_numpy(float)[rows]
+    return w, np.nan_to_num(w) @ np.nan_to_num(block, posinf=np.inf, neginf=-np.inf)
+
+
 def evaluate_mixes(returns: DataFrame, weights: DataFrame, keys: Sequence[str] = P, strict: bool = False) -> DataFrame:
     """One row per portfolio: growth, volatility, drawdown, days, effective number of holdings. `strict`
     refuses holdings without any return, which are left out otherwise."""
     if strict:
         refuse_uncovered(returns, weights)
 
-    def facts(held, block, days):
-        w = held["weight"].to_numpy(float)
-        grown, volatility, drop = _path(_daily(w, block))
-        squares = float(((w * w)[:, None] * ~np.isnan(block)).sum(0).max())
-        yield 100.0 * grown, volatility, drop, len(days), 1.0 / squares if squares else None
-    return over_mixes(returns, weights, facts, "grown_100 double, volatility_pct double, biggest_drop_pct double, days bigint, effective double", keys)
+    def facts(held, rows, block, days):
+        w, r = _together(held, rows, block)
+        grown, volatility, drop = paths(r)
+        squares = ((w * w) @ np.unique(~np.isnan(block), axis=1)).max(1)
+        yield (np.arange(len(rows)), 100.0 * grown, volatility, drop, np.full(len(rows), len(days)),
+               np.divide(1.0, squares, out=np.full(len(rows), np.nan), where=squares != 0))
+    return over_alike(returns, weights, facts, "grown_100 double, volatility_pct double, biggest_drop_pct double, days bigint, effective double", keys)
 
 
 def yearly_mixes(returns: DataFrame, weights: DataFrame, keys: Sequence[str] = P) -> DataFrame:
     """Each portfolio one calendar year at a time; growth starts again each year."""
-    def facts(held, block, days):
-        r = _daily(held["weight"].to_numpy(float), block)
+    def facts(held, rows, block, days):
+        _, r = _together(held, rows, block)
         years = days.astype("datetime64[D]").astype("datetime64[Y]").astype(int) + 1970
-        for part in np.split(np.arange(len(r)), np.flatnonzero(np.diff(years)) + 1):
-            grown, volatility, drop = _path(r[part])
-            yield int(years[part[0]]), 100.0 * grown - 100.0, volatility, drop, len(part)
-    return over_mixes(returns, weights, facts, "year int, return_pct double, volatility_pct double, biggest_drop_pct double, days bigint", keys)
+        n = len(rows)
+        for part in np.split(np.arange(len(days)), np.flatnonzero(np.diff(years)) + 1):
+            grown, volatility, drop = paths(r[:, part])
+            yield np.arange(n), np.full(n, years[part[0]], np.int32), 100.0 * grown - 100.0, volatility, drop, np.full(n, len(part))
+    return over_alike(returns, weights, facts, "year int, return_pct double, volatility_pct double, biggest_drop_pct double, days bigint", keys)
 
 
 def mix_risk_shares(returns: DataFrame, weights: DataFrame, keys: Sequence[str] = P) -> DataFrame:
     """Share of the mix's risk from each holding, w * cov(r, mix) / var(mix) in %, and its own volatility."""
-    def facts(held, block, days):
-        w = held["weight"].to_numpy(float)
-        mix = _daily(w, block)
-        for symbol, weight, r in zip(held["symbol"], w, block):
+    def facts(held, rows, block, days):
+        w, mix = _together(held, rows, block)
+        symbols, nothing = held["symbol"].to_numpy()[rows], np.full(len(rows), np.nan)
+        for i, r in enumerate(block):
             here = ~np.isnan(r)
-            risk = own = None
-            if here.sum() > 1:
-                a, m = r[here] - r[here].mean(), mix[here] - mix[here].mean()
-                own = float(np.sqrt((a * a).sum() / (len(a) - 1)) * ANNUAL)
-                risk = float(weight * (a * m).sum() / (m * m).sum() * 100.0) if (m * m).sum() else None
-            yield symbol, float(weight), risk, own
-    return over_mixes(returns, weights, facts, "symbol string, weight double, risk_pct double, own_volatility_pct double", keys)
+            risk, own, n = nothing, nothing, here.sum()
+            if n > 1:
+                a, m = r[here] - r[here].mean(), mix[:, here] - mix[:, here].mean(1, keepdims=True)
+                own = np.full(len(rows), np.sqrt((a * a).sum() / (n - 1)) * ANNUAL)
+                squares = (m * m).sum(1)
+                risk = np.divide(w[:, i] * (a * m).sum(1), squares, out=nothing.copy(), where=squares != 0) * 100.0
+            yield np.arange(len(rows)), symbols[:, i], w[:, i], risk, own
+    return over_alike(returns, weights, facts, "symbol string, weight double, risk_pct double, own_volatility_pct double", keys)

@@ -146,3 +146,16 @@ def test_rounding_by_arithmetic_is_that_of_decimals(spark):
         both = df.select(_round(F.col("x") + 0.001 * 10.0 ** -places, places), F.round(F.col("x") + 0.001 * 10.0 ** -places, places)).collect()
         assert [repr(a) for a, _ in both] == [repr(b) for _, b in both]
     assert "FLOOR" in rounded(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mixes_of_the_same_symbols_are_worked_on_together():
+    from tapeline.operators import mixes
+    code = np.repeat([0, 1, 2, 3, -1, 5], [2, 1, 2, 1, 2, 2])
+    got = sorted((rows.tolist(), at.tolist()) for rows, at in mixes.alike(code, np.array([0, 1, 3, 0, 1, 3, 0, 1, 1, 2])))
+    assert got == [([[0, 1], [3, 4]], [0, 1]), ([[2], [5]], [3]), ([[8, 9]], [1, 2])]
+    rng = np.random.default_rng(1)
+    r = rng.normal(0, .02, (5, 40))
+    for i, row in enumerate(r):
+        path = np.cumprod(1 + row)
+        want = path[-1], row.std(ddof=1) * mixes.ANNUAL, (path / np.maximum.accumulate(path) - 1).min() * 100
+        assert [x[i] for x in mixes.paths(r)] == pytest.approx(want)
