@@ -12,6 +12,8 @@ from tapeline.functions.finance import annualise, bad_month, typical_month
 from tapeline.operators.prices import row_numbers, so_far, timeline
 from tapeline.operators.ranking import spearman
 from tapeline.operators.rolling import with_stddevs, with_sums
+from tapeline.session import cut_lineage
+
 
 def with_volatility(returns: DataFrame, methods: Mapping[str, int],
                     keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -113,25 +115,39 @@ def monthly_ranges(df: DataFrame, volatility: str = "volatility_pct") -> DataFra
 def top_performers(closes: DataFrame, period_rows: int) -> DataFrame:
     """Return over the last `period_rows` rows of each symbol's own prices with next month's range;
     symbols not listed long enough are left out. Order by return_pct for the ranking."""
-    own = closes.where(F.col("close").isNotNull())
-    ordered = timeline()
-    base = own.withColumn("_base", F.lag("close", period_rows).over(ordered))
-    base = base.withColumn("_prev", F.lag("close").over(ordered))
-    base = base.withColumn("_last", F.lead("day").over(ordered).isNull())
-    returns = (base.withColumn("r", F.try_divide(F.col("close"), F.col("_prev")) - 1.0)
-               .where(F.col("r").isNotNull()))
-    made = with_volatility(ewma_volatility(returns), {"vol": fixed.VOLATILITY_WINDOWS["3 months"]})
-    last = made.where(F.col("_last") & F.col("_base").isNotNull())
-    table = last.select("symbol",
-                        ((F.try_divide(F.col("close"), F.col("_base")) - 1.0) * 100.0).alias("return_pct"),
-                        F.coalesce("vol", "ewma").alias("volatility_pct"))
+    back = Window.partitionBy("symbol").orderBy(F.desc("day"))     # newest first: all windows share one sort
+    rows = closes.where(F.col("close").isNotNull()).select("symbol", "day", "close").withColumns({
+        "_base": F.lead("close", period_rows).over(back), "_prev": F.lead("close").over(back), "_last": F.row_number().over(back) == 1})
+    rows = rows.withColumn("r", F.try_divide(F.col("close"), F.col("_prev")) - 1.0).where(F.col("r").isNotNull())
+    rows = rows.withColumns({"_age": F.row_number().over(back) - 1, "_first": F.lead("day").over(back).isNull()})
+    newest = [F.max(F.when(F.col("_last"), F.col(c))).alias(c) for c in ("close", "_base")]
+    found = rows.groupBy("symbol").agg(*newest, last_ewma(F.col("r"), F.col("_age"), F.col("_first")).alias("_ewma"),
+                                       last_stddev(F.col("r"), F.col("_age"), fixed.VOLATILITY_WINDOWS["3 months"]).alias("_vol"))
+    table = found.where(F.col("_base").isNotNull()).select(
+        "symbol", ((F.try_divide(F.col("close"), F.col("_base")) - 1.0) * 100.0).alias("return_pct"), annualise(F.coalesce("_vol", "_ewma")).alias("volatility_pct"))
     return monthly_ranges(table)
 
 
+def last_ewma(r: Column, age: Column, first: Column, lam: float = fixed.EWMA_LAMBDA) -> Column:
+    """Aggregate: the last exponentially weighted deviation, of rows numbered back from the newest; `first` is the oldest."""
+    return F.sqrt(F.sum(F.when(first, 1.0).otherwise(1.0 - lam) * r * r * F.pow(F.lit(lam), age)))
+
+
+def last_stddev(r: Column, age: Column, rows: int) -> Column:
+    """Aggregate: the sample deviation of the newest `rows` returns, null if there are fewer. As in `with_stddevs`, noise
+    counts as zero."""
+    recent = F.when(age < rows, r)
+    total, squares = F.sum(recent), F.sum(recent * recent)
+    spread = squares - total * total / rows
+    return F.when(F.count(recent) == rows, F.sqrt(F.when(spread > squares * 1e-14, spread / (rows - 1)).otherwise(F.lit(0.0))))
+
+
 def best_and_worst(table: DataFrame, by: str = "return_pct", k: int = 5) -> DataFrame:
     """The k best and the k worst rows by one column, then symbol, with their place; missing values last.
-    Both ends are top-k reports of a set length."""
+    Both ends are top-k reports of a set length, of a table that is made once."""
+    ranked = cut_lineage(table)
+
     def end(order: Column, name: str) -> DataFrame:
-        few = table.orderBy(order, "symbol").limit(k)
+        few = ranked.orderBy(order, "symbol").limit(k)
         return few.withColumn("end", F.lit(name)).withColumn("place", F.row_number().over(Window.orderBy(order, "symbol")))
     return end(F.col(by).desc_nulls_last(), "best").unionByName(end(F.col(by).asc_nulls_last(), "worst"))

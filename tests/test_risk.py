@@ -207,3 +207,22 @@ def test_a_series_is_sent_once_per_block_and_blocks_are_few(spark, monkeypatch):
     monkeypatch.setattr(co, "HELD", len(rows) // 4)          # more values than a task may hold: five blocks
     assert co._dealt(table, [], 2).count() == 40 * 5
     assert found() == whole
+
+
+def test_top_performers_sort_each_series_once_and_agree_with_pandas(spark):
+    rng = np.random.default_rng(8)
+    series = {s: list(50 * np.cumprod(1 + rng.normal(0, .01 * (i + 1), 200))) for i, s in enumerate("ABCD")}
+    series["B"][40] = None
+    series["C"][60] = 0.0
+    series["D"] = [None] * 140 + series["D"][140:]
+    made = risk.top_performers(closes(spark, **series), 50)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+    got = {r.symbol: r for r in made.collect()}
+    assert set(got) == set("ABCD")
+    for s, row in got.items():
+        close = pd.Series(series[s], dtype=float).dropna()
+        r = close.pct_change().replace([np.inf, -np.inf], np.nan).dropna()
+        ewma = np.sqrt((r ** 2).ewm(alpha=.06, adjust=False).mean().iloc[-1])
+        assert row.return_pct == pytest.approx((close.iloc[-1] / close.iloc[-51] - 1) * 100)
+        assert row.volatility_pct == pytest.approx((ewma if s == "D" else r.iloc[-63:].std()) * np.sqrt(252) * 100)
