@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeline.functions import fixed
 from tapeline.operators.prices import daily_returns, row_numbers, so_far, timeline
-from tapeline.operators.rolling import with_sums
+from tapeline.operators.rolling import window_sums, with_sums
 
 
 def _next_row(flag: Column) -> Column:
@@ -117,29 +119,42 @@ def sweep(closes: DataFrame, windows: Sequence[int] = fixed.SWEEP_WINDOWS, skip_
           cost: float = fixed.SWITCH_COST) -> DataFrame:
     """Growth of every moving-average setting on the train and the test rows of each symbol.
 
-    The averages share their partial sums. All settings ride along each row as one array, so the whole sweep needs a single shuffle on
-    symbol; the array is only exploded for the final fold, which is already co-located.
+    One shuffle on symbol brings a series together; all settings are columns of one matrix there, so no row per day
+    and setting exists. The averages share their partial sums.
     """
     windows = [int(n) for n in windows]
-    sums = {f"_sum{n}": n for n in windows}
-    rows = with_sums(train_test(daily_returns(closes, first=0.0), skip_rows), "close", sums)
-    rows = rows.withColumn("_own", F.array(*[above(F.col("close"), F.col(f"_sum{n}") / n)
-                                             for n in windows])).drop(*sums)
-    none = F.array_repeat(F.lit(False), len(windows))
-    rows = rows.withColumn("_held", F.coalesce(F.lag("_own", 1).over(timeline()), none))
-    rows = rows.withColumn("_before", F.coalesce(F.lag("_held", 1).over(timeline()), none))
-    rows = rows.where(F.col("split").isNotNull())
-    settings = F.array(*[F.lit(n) for n in windows])
-    each = rows.select("symbol", "split", "r", F.explode(
-        F.arrays_zip(settings.alias("n"), F.col("_held").alias("held"),
-                     F.col("_before").alias("before"))).alias("s"))
-    result = (F.when(F.col("s.held"), F.col("r")).otherwise(F.lit(0.0))
-              - F.when(F.col("s.held") != F.col("s.before"), F.lit(float(cost)))
-              .otherwise(F.lit(0.0)))
-    by_split = each.groupBy("symbol", F.col("s.n").alias("ma_rows"))
-    train, test = F.col("split") == "train", F.col("split") == "test"
-    return by_split.agg(grown(F.when(train, result)).alias("train_100"),
-                        grown(F.when(test, result)).alias("test_100"))
+    kind = dict(closes.dtypes)["symbol"]
+
+    def one(series: pa.Table) -> pa.Table:
+        close = series.column("close").to_numpy()[np.argsort(series.column("day").to_numpy())]
+        train, test = _swept(close, windows, skip_rows, cost)
+        names = series.column("symbol").slice(0, 1).combine_chunks()
+        return pa.table({"symbol": names.take(pa.array(np.zeros(len(train), np.int64))), "ma_rows": pa.array(windows[:len(train)], pa.int32()),
+                         "train_100": pa.array(train, from_pandas=True), "test_100": pa.array(test, from_pandas=True)})
+
+    return closes.select("symbol", "day", F.col("close").cast("double").alias("close")).groupBy("symbol").applyInArrow(
+        one, f"symbol {kind}, ma_rows int, train_100 double, test_100 double")
+
+
+def _swept(close: np.ndarray, windows: Sequence[int], skip_rows: int, cost: float) -> tuple[np.ndarray, np.ndarray]:
+    """What 100 becomes by each setting on the train and the test rows of a series in order, as `train_test` has them; nan
+    without rows, and nothing if there are neither. A missing close is nan."""
+    n = len(close)
+    if n <= skip_rows:
+        return np.zeros(0), np.zeros(0)
+    with np.errstate(all="ignore"):
+        r = np.r_[0.0, np.where(close[:-1] == 0, np.nan, close[1:] / close[:-1]) - 1.0]
+        r[np.isnan(r)] = 0.0
+        # place 1 + i is row i; a rule acts on the row after, and is compared with the one before it
+        held = np.zeros((n + 1, len(windows)), bool)
+        for i, total in enumerate(window_sums(close, windows)):
+            average = total / windows[i]
+            held[1:, i] = close - average > np.abs(average) * 1e-12
+        held, before = held[:n], np.r_[np.zeros((1, len(windows)), bool), held[:n - 1]]
+        factor = 1.0 + (np.where(held, r[:, None], 0.0) - np.where(held != before, float(cost), 0.0))
+    cut = skip_rows + (n - skip_rows) * 2 // 3
+    made = [100.0 * np.prod(part, axis=0) if len(part) else np.full(len(windows), np.nan) for part in (factor[skip_rows:cut], factor[cut:])]
+    return made[0], made[1]
 
 
 def hold_by_split(closes: DataFrame, skip_rows: int = 200) -> DataFrame:

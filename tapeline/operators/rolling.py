@@ -9,8 +9,9 @@ is not full yet, or holds a null, is null.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeline.operators.prices import timeline
@@ -21,6 +22,24 @@ def _powers(rows: int) -> list[int]:
     return [1 << b for b in range(rows.bit_length() - 1, -1, -1) if rows >> b & 1]
 
 
+def window_sums(values: np.ndarray, sizes: Sequence[int]) -> Iterator[np.ndarray]:
+    """The same sums of one series inside a task, size by size; nan where a window is not full or holds a nan."""
+    def back(x: np.ndarray, rows: int) -> np.ndarray:
+        return np.r_[np.full(min(rows, len(x)), np.nan), x[:max(0, len(x) - rows)]]
+
+    sums = {1: values}
+    p = 1
+    while p < max(_powers(max(sizes))):
+        sums[2 * p] = sums[p] + back(sums[p], p)
+        p *= 2
+    for rows in sizes:
+        first, *rest = _powers(rows)
+        out, seen = sums[first], first
+        for size in rest:
+            out, seen = out + back(sums[size], seen), seen + size
+        yield out
+
+
 def _with_sums(df: DataFrame, totals: Mapping[str, tuple[Column, int]], keys: Sequence[str]) -> DataFrame:
     w = timeline(keys)
     values = {}

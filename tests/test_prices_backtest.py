@@ -133,3 +133,24 @@ def test_session_summary_settles_equal_times_by_id(spark):
     row = px.session_summary(trades).first()
     assert (row.first_price, row.last_price, row.trades, row.shares) == (8.0, 12.0, 3, 4.0)
     assert row.change_pct == pytest.approx(50) and not math.isnan(row.high)
+
+
+def test_sweep_makes_no_row_per_day_and_setting(spark):
+    rng = np.random.default_rng(5)
+    walk = lambda n: [float(x) for x in 100 * np.cumprod(1 + rng.normal(0, .02, n))]     # noqa: E731
+    gap, zero = walk(90), walk(90)
+    gap[50], zero[60] = None, 0.0
+    table = closes(spark, GAP=gap, ZERO=zero, FLAT=[5.0] * 90, ONE=walk(31), SHORT=walk(30), NONE=[None] * 40)
+    made = bt.sweep(table, [5, 12, 30], 30)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+    got = {(r.symbol, r.ma_rows): (r.train_100, r.test_100) for r in made.collect()}
+    want = {}
+    for n in (5, 12, 30):
+        for row in (bt.train_test(bt.backtest(table, n).withColumn("r", F.coalesce("r", F.lit(0.0))), 30).where("split IS NOT NULL")
+                    .withColumn("s", F.when(F.col("in_market"), F.col("r")).otherwise(0.0) - F.when(F.col("switched"), 0.001).otherwise(0.0))
+                    .groupBy("symbol").pivot("split", ["train", "test"]).agg(bt.grown(F.col("s"))).collect()):
+            want[row.symbol, n] = row.train, row.test
+    assert set(got) == set(want) and {s for s, _ in got} == {"GAP", "ZERO", "FLAT", "ONE", "NONE"}
+    for k, (train, test) in want.items():
+        assert got[k][0] == (None if train is None else pytest.approx(train)) and got[k][1] == pytest.approx(test)
