@@ -159,3 +159,30 @@ def test_mixes_of_the_same_symbols_are_worked_on_together():
         path = np.cumprod(1 + row)
         want = path[-1], row.std(ddof=1) * mixes.ANNUAL, (path / np.maximum.accumulate(path) - 1).min() * 100
         assert [x[i] for x in mixes.paths(r)] == pytest.approx(want)
+
+
+def test_plans_carry_one_number_per_month_and_match_pandas(spark, table):
+    money = [(1, 0, "A", 60.0), (1, 0, "C", 40.0), (1, 0, "FUND", 0.0), (1, 6, "A", 0.0), (1, 6, "C", 70.0), (1, 6, "FUND", 30.0), (1, 3, "A", 9.0),
+             (2, 0, "A", 10.0), (2, 0, "C", 90.0), (2, 6, "A", 50.0), (2, 6, "C", 50.0), (3, 0, "FUND", 5.0)]
+    plan = spark.createDataFrame(money, "portfolio_id int, month int, symbol string, value double")
+    made = outlook.plan_risk(closes(spark, **known(table)), plan, [0, 6], 60)
+    got = {(r.portfolio_id, r.month): r for r in made.collect()}
+    assert set(got) == {(1, 0), (1, 6), (2, 0), (2, 6)}
+    r = own_returns(table, ["A", "C"])
+    for (p, m), row in got.items():
+        w = pd.Series({s: v for q, k, s, v in money if (q, k) == (p, m) and s != "FUND" and v > 0})
+        mine = r[w.index].dropna(how="all")
+        mix = (mine * w).sum(axis=1) / (mine.notna() * w).sum(axis=1)
+        path = (1 + mix).cumprod()
+        assert row.days == len(mix) and row.grown_100 == pytest.approx(100 * path.iloc[-1])
+        assert row.volatility_pct == pytest.approx(mix.std() * np.sqrt(252) * 100)
+        if path.min() > 0:
+            assert row.biggest_drop_pct == pytest.approx((path / path.cummax() - 1).min() * 100)
+
+
+def test_portfolios_of_one_plan_are_worked_on_together():
+    members = pd.DataFrame({"symbol": list("ABAB"), "_plan0": [1.0, 3.0, 2.0, np.nan]})
+    book = bk.Book(np.array([1, 2]), np.array(["A", "B"]), np.ones((2, 2)), np.ones((2, 2)) / 2, np.zeros(2, bool), members,
+                   np.array([[0, 1], [2, 3]]), np.arange(3), np.array([[.1, .2, .3], [.0, np.nan, .1]]), None)
+    rows = {int(i): (g, int(d)) for at, _, grown, _, _, days in bk.plan_facts([0])(book) for i, g, d in zip(at, grown, days)}
+    assert rows == {0: (pytest.approx(100 * 1.025 * 1.2 * 1.15), 3), 1: (pytest.approx(100 * 1.1 * 1.2 * 1.3), 3)}
