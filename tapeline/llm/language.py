@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tapeline.llm.common import by_size, reliable
@@ -124,6 +125,15 @@ def sampled(labelled: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return labelled.filter("text is not null and lang is not null").filter(draw < F.element_at(share, F.col("lang")))
 
 
+def _columns(rows: pa.Table, langs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of rows (term, lang, n) in order, and of each row the places of its term and language, and n. Columns, not
+    a Python object per row: these rows are the most that the driver holds."""
+    terms = rows["term"].unique()
+    terms = terms.take(pc.sort_indices(terms))
+    at, lang = (pc.index_in(rows[c], value_set=v).to_numpy() for c, v in (("term", terms), ("lang", pa.array(langs, pa.string()))))
+    return terms.to_pylist(), at, lang, rows["n"].to_numpy()
+
+
 def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, longest: int = LONGEST,
           max_docs: int = MAX_DOCS) -> Model:
     """Model from rows (text, lang); rows with a null text or lang are passed over. No rows: no language.
@@ -140,20 +150,16 @@ def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_
     least = {r["size"]: r["least"] for r in fits.groupBy("size").agg(F.min("total").alias("least")).collect()}
     enough = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("size")) if least else F.lit(None)
     kept = totals.filter(F.col("total") >= enough).select("size", "term")
-    rows = all_counts.join(kept, ["size", "term"]).collect()          # bounded by the table's size
+    rows = all_counts.join(kept, ["size", "term"]).select("size", "term", "lang", "n").toArrow()      # bounded by the table's size
     mass = {(r["size"], r["lang"]): r["n"] for r in all_counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in mass})
-    tables: list[dict[str, int]] = [{} for _ in range(longest + 1)]
-    seen: list[list[tuple[int, int, int]]] = [[] for _ in range(longest + 1)]
-    for r in sorted(rows, key=lambda r: (r["size"], r["term"], r["lang"])):
-        at = tables[r["size"]].setdefault(r["term"], len(tables[r["size"]]))
-        seen[r["size"]].append((at, langs.index(r["lang"]), r["n"]))
-    weights = []
+    tables, weights = [], []
     for size in range(longest + 1):
-        n = np.full((len(tables[size]), len(langs)), 0.5)
-        for at, lang, k in seen[size]:
-            n[at, lang] += k
-        n /= np.array([mass.get((size, lang), 0) + 0.5 * max(1, len(tables[size])) for lang in langs])
+        terms, at, lang, seen = _columns(rows.filter(pc.equal(rows["size"], size)), langs)
+        tables.append({term: i for i, term in enumerate(terms)})
+        n = np.full((len(terms), len(langs)), 0.5)
+        n[at, lang] += seen
+        n /= np.array([mass.get((size, lang), 0) + 0.5 * max(1, len(terms)) for lang in langs])
         logs = np.log(n) if n.size else n
         weights.append(logs - logs.mean(1, keepdims=True) if n.size else logs)
     return Model(langs, tables, weights, longest)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -166,6 +167,22 @@ def test_long_runs_of_letters_are_read_to_their_end(spark):
     assert model.predict(run("abc", 64), {})[0] == "x"
 
 
+def test_a_model_is_made_without_an_object_per_row_on_the_driver(spark):
+    """20 000 words of four languages are 80 000 rows and more, which as rows take over 30 MB of Python."""
+    langs, words = ["de", "en", "es", "fr"], [f"{a}{b}{c}{d}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd" for d in "efghijklmnopqrstuvwx"]
+    labelled = spark.createDataFrame([(f"{' '.join(words)} {' '.join(words[::i + 1])}", lang) for i, lang in enumerate(langs)], "text string, lang string")
+    tracemalloc.start()
+    model = language.train(labelled, longest=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 15_000_000
+    assert model.langs == langs and list(model.tables[0]) == sorted(words)
+    n = np.array([[1.5 + (k % (i + 1) == 0) for i in range(4)] for k in range(len(words))])
+    logs = np.log(n / np.array([len(words) + len(words[::i + 1]) + 0.5 * len(words) for i in range(4)]))
+    order = [model.tables[0][w] for w in words]
+    assert np.allclose(model.weights[0][order], logs - logs.mean(1, keepdims=True))
+
+
 # ------------------------------------------------------------------ packing
 
 def _path():
