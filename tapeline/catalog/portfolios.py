@@ -13,6 +13,7 @@ from tapeline.operators import (alerts, currency as cur, dividends as dv, planni
                                 mixes, portfolio as pf, prices as px)
 from tapeline.operators.ranking import numbered
 from tapeline.plans import bot, health, outlook
+from tapeline.session import cut_lineage
 from tapeline.sources import accounts, market, reference
 
 AS_OF = "2001-08-01"
@@ -333,7 +334,7 @@ _PLAN = {
 
 
 def _plan(spark, sf):
-    held = v.holdings(spark, sf)
+    held = cut_lineage(v.holdings(spark, sf).select("portfolio_id", "symbol", "value"))      # read five times by the plan
     split = held.select("portfolio_id").distinct().select("portfolio_id", F.explode(F.array(
         F.struct(F.lit(FUND).alias("symbol"), F.lit(3.0).alias("weight")),
         F.struct(F.lit("FUND").alias("symbol"), F.lit(1.0).alias("weight")))).alias("s"))

@@ -20,6 +20,7 @@ from tapeline.operators.mixes import ANNUAL, paths
 from tapeline.session import cut_lineage
 
 VALUES = 500_000      # portfolios of the same symbols are worked on together while they have so few days between them
+MANY = 200            # blocks that keep the tasks busy; beyond that they may be larger
 
 
 @dataclass
@@ -148,16 +149,22 @@ def _walk(held: pd.DataFrame, known: pd.DataFrame, benchmarks: Sequence[str]) ->
 
 
 def books(closes: DataFrame, holdings: DataFrame, min_days: int = 200, benchmarks: Sequence[str] = (),
-          carry: Sequence[str] = (), fx_returns: DataFrame | None = None, keep: bool = False, block: int = 2000) -> Books:
+          carry: Sequence[str] = (), fx_returns: DataFrame | None = None, keep: bool = False, block: int = 2000,
+          crowded: int = 1) -> Books:
     """Holdings (portfolio_id, symbol, value) with the closes they need. Symbols with fewer than `min_days` closes
     are left out. `fx_returns` (day, r) is one row per day and goes to each block. `keep` writes the arrays once, for
-    several tables."""
+    several tables. A block holds `block` holdings; where there are more than `MANY` blocks and no more than `block` symbols
+    in all, up to `crowded` times as many: for facts of few rows, as portfolios of the same symbols then meet more often and
+    no block has more arrays than before."""
     counts = closes.groupBy("symbol").agg(F.count("close").alias("days"))
     usable = counts.where(F.col("days") >= min_days).select("symbol")
     held = holdings.select("portfolio_id", "symbol", "value", *carry)
     left_out = held.join(usable, "symbol", "left_anti")
     members = cut_lineage(held.join(usable, "symbol", "left_semi").select("portfolio_id", "symbol", "value", *carry))
-    blocks = max(1, -(-members.count() // block))
+    rows, symbols = members.agg(F.count(F.lit(1)), F.approx_count_distinct("symbol")).first()
+    blocks = max(1, -(-rows // block))
+    if symbols <= block:
+        blocks = max(min(blocks, MANY), -(-blocks // crowded))
     dealt = members.withColumn("_block", F.pmod(F.xxhash64("portfolio_id"), F.lit(blocks)))
     series = F.array_sort(F.collect_list(F.struct(F.unix_date("day").alias("d"), F.col("close").alias("c"))))
     arrays = closes.where(F.col("close").isNotNull()).join(usable, "symbol", "left_semi").groupBy(
@@ -310,16 +317,19 @@ def plan_facts(months: Sequence[int]) -> Facts:
     """month, what 100 became, volatility, worst drawdown and days of the mix planned for each month; members carry
     `_plan0`, `_plan1`, ...: the money of each month, null where it is not above zero."""
     def facts(book: Book) -> Iterator[tuple]:
-        known, r = ~np.isnan(book.r), np.nan_to_num(book.r, posinf=np.inf, neginf=-np.inf)
-        for i, month in enumerate(months):
-            w = np.nan_to_num(book.carried(f"_plan{i}"))
-            # the days of a mix follow from which symbols it has
-            kinds, kind = np.unique(w > 0, axis=0, return_inverse=True)
-            for k, some in enumerate(kinds):
-                here = known[some].any(0)
-                if here.any():
-                    at = np.flatnonzero(kind.ravel() == k)
-                    grown, volatility, drop = paths((w[at] @ r[:, here]) / (w[at] @ known[:, here]))
-                    yield (at, np.full(len(at), month), 100.0 * grown, _finite(volatility), _finite(drop),
-                           np.full(len(at), here.sum(), np.int64))
+        known, r, n = ~np.isnan(book.r), np.nan_to_num(book.r, posinf=np.inf, neginf=-np.inf), len(book.keys)
+        w = np.nan_to_num(np.concatenate([book.carried(f"_plan{i}") for i in range(len(months))]))
+        place, month = np.tile(book.each, len(months)), np.repeat(months, n)
+        # the days of a mix follow from which symbols it has, whatever the month
+        kinds, kind = np.unique(w > 0, axis=0, return_inverse=True)
+        for k, some in enumerate(kinds):
+            here = known[some].any(0)
+            days = int(here.sum())
+            if days:
+                of, step = np.flatnonzero(kind.ravel() == k), max(1, VALUES // days)
+                for at in (of[i:i + step] for i in range(0, len(of), step)):
+                    part = w[at][:, some]
+                    money = part.sum(1, keepdims=True) if known[some][:, here].all() else part @ known[some][:, here]
+                    grown, volatility, drop = paths(part @ r[some][:, here] / money)
+                    yield (place[at], month[at], 100.0 * grown, _finite(volatility), _finite(drop), np.full(len(at), days, np.int64))
     return facts

@@ -186,3 +186,30 @@ def test_portfolios_of_one_plan_are_worked_on_together():
                    np.array([[0, 1], [2, 3]]), np.arange(3), np.array([[.1, .2, .3], [.0, np.nan, .1]]), None)
     rows = {int(i): (g, int(d)) for at, _, grown, _, _, days in bk.plan_facts([0])(book) for i, g, d in zip(at, grown, days)}
     assert rows == {0: (pytest.approx(100 * 1.025 * 1.2 * 1.15), 3), 1: (pytest.approx(100 * 1.1 * 1.2 * 1.3), 3)}
+
+
+def test_all_months_of_alike_mixes_are_one_product(monkeypatch):
+    """Months with the same holdings cost one walk over the days, not one each."""
+    rng, months = np.random.default_rng(8), [0, 3, 6, 9, 12]
+    members = pd.DataFrame({"symbol": list("AB") * 3} | {f"_plan{i}": rng.uniform(1, 9, 6) for i in range(5)})
+    book = bk.Book(np.arange(3), np.array(["A", "B"]), np.ones((3, 2)), np.ones((3, 2)) / 2, np.zeros(2, bool), members,
+                   np.arange(6).reshape(3, 2), np.arange(7), rng.normal(0, .1, (2, 7)), None)
+    sizes, paths = [], bk.paths
+    monkeypatch.setattr(bk, "paths", lambda r: sizes.append(len(r)) or paths(r))
+    got = {(int(i), int(m)): g for at, month, grown, *_ in bk.plan_facts(months)(book) for i, m, g in zip(at, month, grown)}
+    assert sizes == [15] and len(got) == 15
+    for (i, m), grown in got.items():
+        w = members[f"_plan{months.index(m)}"].to_numpy()[2 * i:2 * i + 2]
+        assert grown == pytest.approx(100 * np.prod(1 + w @ book.r / w.sum()))
+
+
+def test_many_blocks_of_few_symbols_grow(spark, table, holdings):
+    many = spark.createDataFrame([(p + 40 * k, s, v) for k in range(12) for p, s, v in holdings], "portfolio_id int, symbol string, value double")
+    prices = closes(spark, **known(table))
+    rows = [bk.books(prices, many, 10, block=8, crowded=c) for c in (1, 10)]
+    blocks = [b.members.agg({"_block": "max"}).first()[0] + 1 if "_block" in b.members.columns else 0 for b in rows]
+    total = rows[0].members.count()
+    assert total > 8 * bk.MANY // 2 and blocks[1] <= min(bk.MANY, blocks[0])
+    risk = [sorted(map(tuple, b.facts(bk.effective_facts, "effective double").collect())) for b in rows]
+    assert len(risk[0]) and [x[0] for x in risk[0]] == [x[0] for x in risk[1]]
+    assert [x[1] for x in risk[0]] == pytest.approx([x[1] for x in risk[1]])
