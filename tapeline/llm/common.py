@@ -65,11 +65,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def by_size(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of Arrow batches with about `most` bytes in a binary column (a longer row is a piece)."""
+    """Pieces of Arrow batches with about `most` bytes in a binary column (a longer row is a piece; a null has none)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
         new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(new, np.r_[new[1:], len(part)]):
             yield batch.slice(int(a), int(b - a))

@@ -165,22 +165,25 @@ def train(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_
     return Model(langs, tables, weights, longest)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """`keep`, lang_pred, score for every row, from its whole text alone. No letter or null: und, 0."""
+def predict(docs: DataFrame, model: Model, keep: list[str], kept_text: str | None = None) -> DataFrame:
+    """`keep`, lang_pred, score for every row, from its whole text alone. No letter or null: und, 0.
+    `kept_text`: the column of `keep` that holds the text's bytes, which then travel to Python once and not twice."""
     shared = docs.sparkSession.sparkContext.broadcast(model)          # bounded, see `train`
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
+    at = len(keep) if kept_text is None else keep.index(kept_text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, np.ndarray] = {}
         own = shared.value
-        for b in by_size(batches, len(keep), 8_000_000):
-            made = [own.predict(t.decode(), memory) for t in b.column(len(keep)).to_pylist()]
+        for b in by_size(batches, at, 2_000_000):
+            made = [own.predict(t.decode() if t else "", memory) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:len(keep)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                 [*keep, "lang_pred", "score"])
 
-    text = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("__t")
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    text = [] if kept_text else [F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("__t")]
+    return docs.select(*keep, *text).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -198,6 +201,7 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents, columns unchanged, without those that have no language (no letter) or whose best
     language has a share below `least`."""
     model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
-    named = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", "text")
-    found = predict(named, model, ["__row"])
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")
+    named = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"), F.col("text").cast("string").cast("binary").alias("__text"))
+    found = predict(named, model, ["__row", "__text"], "__text")
+    text = F.col("__text").cast("string").cast(docs.schema["text"].dataType).alias("text")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*", text).select(*docs.columns)

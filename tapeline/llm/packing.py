@@ -13,7 +13,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -104,7 +104,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per Python worker, kept from task to task."""
+    """One per Python worker, kept from task to task; what it remembers of texts is dropped at the end of a task."""
     return Encoder(path)
 
 
@@ -114,7 +114,13 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end: int = 2) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(tokenizer).ids, np.array([end], "<u4").tobytes()
+        own, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        try:
+            yield from encoded(own.ids, last, batches)
+        finally:
+            own.known.clear()                       # else idle workers hold it while other steps run
+
+    def encoded(encode: Callable[[str], bytes], last: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, 1, 2_000_000):
             row, piece, start, size, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):

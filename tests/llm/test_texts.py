@@ -183,6 +183,24 @@ def test_a_model_is_made_without_an_object_per_row_on_the_driver(spark):
     assert np.allclose(model.weights[0][order], logs - logs.mean(1, keepdims=True))
 
 
+def test_a_text_travels_to_the_model_once(spark, monkeypatch):
+    """What goes to Python to choose the documents is their own size, and they come back as they were."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(
+        spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "the \0 häuser 😀\n und", None, None, 3)],
+                              "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    sent, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, *a, **k: sent.append(df) or plain(df, *a, **k))
+    kept = language.keep_identified(docs)
+    monkeypatch.undo()
+    own = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert sent[-1].toArrow().nbytes < 1.5 * own
+    assert kept.schema == docs.schema
+    before = {r["doc_id"]: r for r in docs.collect()}
+    after = {r["doc_id"]: r for r in kept.collect()}
+    assert {-1, -2}.isdisjoint(after) and -3 in after and len(after) > 0.9 * len(before)
+    assert all(before[k] == r for k, r in after.items())
+
+
 # ------------------------------------------------------------------ packing
 
 def _path():
@@ -202,6 +220,20 @@ def test_ids_are_those_of_the_tokenizers_library(spark):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_a_worker_does_not_hold_chunks_after_its_task(spark, monkeypatch):
+    """The task is run here, as a worker runs it: the encoder stays, what it learnt from texts does not."""
+    docs, made = spark.createDataFrame([(1, "some words of a text"), (2, None)], "doc_id bigint, text string"), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, *a, **k: made.append((df, run)) or plain(df, run, *a, **k))
+    packing.pieces(docs, _path())
+    (sent, run), own = made[0], packing.encoder(_path())
+    out = run(iter(sent.toArrow().combine_chunks().to_batches()))
+    assert [b.num_rows for b in out] == [2] and packing.encoder(_path()) is own and not own.known
+    own.ids("another text")
+    assert own.known
+    own.known.clear()
+
+
 def test_plan_uses_all_pieces_and_fills_exactly():
     rng = np.random.default_rng(2)
     for _ in range(60):
