@@ -35,6 +35,7 @@ WINDOW, ROUNDS = 20, 3
 BASE = 0x9E3779B97F4A7C15                       # odd: has an inverse modulo 2^64
 BACK = pow(BASE, -1, 1 << 64)
 FAR = 1 << 40                                   # a span that reaches the end of a document
+PART = 1 << 16                                  # windows whose anchors are looked up at a time
 
 
 class _Words(dict):
@@ -47,50 +48,61 @@ class _Words(dict):
         return value
 
 
-WORDS = _Words()                                # one per Python worker, kept from task to task
+WORDS = _Words()                                # one per Python worker, emptied when a task ends
 
 
 def _name(x: np.ndarray, y: np.ndarray, salt: int) -> np.ndarray:
     return mix(x * np.uint64(BASE) + mix(y + np.uint64(salt)))
 
 
-def _symbols(ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(round, name, lo, hi) of the symbols of each round; [lo, hi) are the words that decide them."""
+def _runs(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(name, lo, hi, document) of the runs of one word; whether a run is whole is decided by the words beside it."""
     n = len(ids)
-    lo, hi = np.arange(n), np.arange(1, n + 1)
-    yield 0, ids, lo, hi
-    # runs of one word; whether a run is whole is decided by the words beside it
     same = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
     first = np.flatnonzero(np.r_[True, ~same])
     last = np.r_[first[1:] - 1, n - 1]
     length = (last - first + 1).astype(np.uint64)
     name = np.where(length > 1, _name(ids[first], length, 1), ids[first])
+    del same, length
     inner_l, inner_r = np.zeros(len(first), bool), np.zeros(len(first), bool)
     inner_l[1:] = doc[first[1:]] == doc[last[:-1]]
     inner_r[:-1] = inner_l[1:]
     lo = np.where(inner_l, first - 1, first - FAR)
     hi = np.where(inner_r, last + 2, last + 1 + FAR)
-    of = doc[first]
+    return name, lo, hi, doc[first]
+
+
+def _paired(level: int, name: np.ndarray, lo: np.ndarray, hi: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The next round's (name, lo, hi, document)."""
+    right = (mix(name + np.uint64(level * 0x51ED27)) >> np.uint64(63)).astype(bool)
+    touch = of[1:] == of[:-1]
+    pair = ~right[:-1] & right[1:] & touch              # i and i + 1 become one
+    second = np.zeros(len(name), bool)
+    second[1:] = pair
+    begins = np.flatnonzero(~second)
+    paired = np.zeros(len(name), bool)
+    paired[:-1] = pair
+    paired = paired[begins]
+    after = np.minimum(begins + 1, len(name) - 1)
+    new_name = np.where(paired, _name(name[begins], name[after], level + 1), name[begins])
+    has_after = (after > begins) & (of[after] == of[begins])
+    alone_l, alone_r = ~paired & ~right[begins], ~paired & right[begins]
+    # a symbol left alone is decided by the one that it did not join
+    new_hi = np.where(paired, hi[after], np.where(alone_l, np.where(has_after, hi[after], hi[begins] + FAR), hi[begins]))
+    new_hi = np.maximum(new_hi, hi[begins])
+    del after, has_after
+    before = np.maximum(begins - 1, 0)
+    has_before = (before < begins) & (of[before] == of[begins])
+    new_lo = np.where(alone_r, np.where(has_before, np.minimum(lo[before], lo[begins]), lo[begins] - FAR), lo[begins])
+    return new_name, new_lo, new_hi, of[begins]
+
+
+def _symbols(ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(round, name, lo, hi) of the symbols of each round; [lo, hi) are the words that decide them."""
+    yield 0, ids, np.arange(len(ids)), np.arange(1, len(ids) + 1)
+    name, lo, hi, of = _runs(ids, doc)
     for level in range(1, ROUNDS + 1):
-        right = (mix(name + np.uint64(level * 0x51ED27)) >> np.uint64(63)).astype(bool)
-        touch = of[1:] == of[:-1]
-        pair = ~right[:-1] & right[1:] & touch              # i and i + 1 become one
-        second = np.zeros(len(name), bool)
-        second[1:] = pair
-        begins = np.flatnonzero(~second)
-        paired = np.zeros(len(name), bool)
-        paired[:-1] = pair
-        paired = paired[begins]
-        after = np.minimum(begins + 1, len(name) - 1)
-        before = np.maximum(begins - 1, 0)
-        has_after = (after > begins) & (of[after] == of[begins])
-        has_before = (before < begins) & (of[before] == of[begins])
-        alone_l, alone_r = ~paired & ~right[begins], ~paired & right[begins]
-        new_name = np.where(paired, _name(name[begins], name[after], level + 1), name[begins])
-        # a symbol left alone is decided by the one that it did not join
-        new_lo = np.where(alone_r, np.where(has_before, np.minimum(lo[before], lo[begins]), lo[begins] - FAR), lo[begins])
-        new_hi = np.where(paired, hi[after], np.where(alone_l, np.where(has_after, hi[after], hi[begins] + FAR), hi[begins]))
-        name, lo, hi, of = new_name, new_lo, np.maximum(new_hi, hi[begins]), of[begins]
+        name, lo, hi, of = _paired(level, name, lo, hi, of)
         yield level, name, lo, hi
 
 
@@ -126,20 +138,27 @@ def anchors(ids: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray,
     spell = lambda a, b: mix((total[b] - total[a]) * back[a])       # noqa: E731 - hash of the words [a, b)
     starts = np.flatnonzero(doc[:n - window + 1] == doc[window - 1:]) if n >= window else np.zeros(0, np.int64)
     hashes = spell(starts, starts + window)
+    rounds = list(_symbols(ids, doc))
     key, place, open_ = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
-    for level, name, lo, hi in reversed(list(_symbols(ids, doc))):
+    while rounds:
+        level, name, lo, hi = rounds.pop()                          # a round is let go once it is done
         fits = hi - lo <= window
         name, lo, hi = name[fits], lo[fits], hi[fits]
-        todo = np.flatnonzero(open_)
-        if not len(todo) or not len(lo):
+        left = np.flatnonzero(open_)
+        if not len(left) or not len(lo):
             continue
-        s = starts[todo]
-        a, b = np.searchsorted(lo, s), np.searchsorted(hi, s + window, "right")
-        some = b > a
-        todo, s, a, b = todo[some], s[some], a[some], b[some]
         own = _name(spell(lo, hi), name, 100 + level)
-        best = _least(own, a, b)
-        key[todo], place[todo], open_[todo] = own[best], lo[best], False
+        for at in range(0, len(left), PART):                        # each window is looked up by itself
+            todo = left[at:at + PART]
+            s = starts[todo]
+            a, b = np.searchsorted(lo, s), np.searchsorted(hi, s + window, "right")
+            some = b > a
+            if not some.any():
+                continue
+            todo, a, b = todo[some], a[some], b[some]
+            low = int(a.min())
+            best = _least(own[low:int(b.max())], a - low, b - low) + low
+            key[todo], place[todo], open_[todo] = own[best], lo[best], False
     if not len(starts):
         return key, starts, starts, starts, starts, hashes
     new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
@@ -156,6 +175,12 @@ HIT = "doc_id bigint, uid int, start int, mask int, key bigint, name bigint"
 def _find(window: int):
     """Documents to anchor rows; those that the batch has settled have no windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from found(batches)
+        finally:
+            WORDS.clear()                       # else idle workers hold them while other steps run
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WORDS
         for b in by_size(batches, 1, 3_000_000):
             texts = [t.split() for t in b.column(1).to_pylist()]

@@ -276,3 +276,16 @@ def test_the_stage_links_near_copies_by_their_fingerprints(spark, monkeypatch):
     assert copies == 12
     monkeypatch.setattr(simhash, "band_links", lambda signed: spark.createDataFrame([], "src bigint, dst bigint"))
     assert sorted(r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()) == [10 * i for i in range(12)]
+
+
+def test_a_task_of_repeats_holds_little_and_lets_words_go():
+    """2.9 MB of words, one piece of a batch: the arrays of its rounds are let go, and so are the words when the task ends."""
+    import tracemalloc
+    rng, words = random.Random(8), [f"{a}{b}{c}{d}" for a in "abcde" for b in "fghij" for c in "klmno" for d in "pqrst"]
+    texts = [" ".join(rng.choice(words) for _ in range(500)).encode() for _ in range(1160)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in repeats._find(20)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 50_000 and not repeats.WORDS and most < 200 * 500 * len(texts)
