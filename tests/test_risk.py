@@ -226,3 +226,23 @@ def test_top_performers_sort_each_series_once_and_agree_with_pandas(spark):
         ewma = np.sqrt((r ** 2).ewm(alpha=.06, adjust=False).mean().iloc[-1])
         assert row.return_pct == pytest.approx((close.iloc[-1] / close.iloc[-51] - 1) * 100)
         assert row.volatility_pct == pytest.approx((ewma if s == "D" else r.iloc[-63:].std()) * np.sqrt(252) * 100)
+
+
+def gapped(series, days, seed, share=0.8):
+    rng = np.random.default_rng(seed)
+    wide = pd.DataFrame(rng.normal(size=(days, series)), columns=[f"S{s:03d}" for s in range(series)])
+    return wide.mask(rng.random(wide.shape) > share)
+
+
+def vectors(wide, block_of=lambda at: 0, bi=0, bj=0):
+    """Rows as a task of two blocks gets them."""
+    rows = [(s, block_of(at), np.flatnonzero(wide[s].notna()).astype(np.int32) + 19_000, wide[s].dropna().to_numpy(), bi, bj)
+            for at, s in enumerate(wide)]
+    return pd.DataFrame(rows, columns=["symbol", "block", "days", "v", "bi", "bj"])
+
+
+@pytest.mark.parametrize("all_pairs", [co.correlation_pairs])
+def test_rows_of_all_pairs_come_in_runs_of_their_first_name(spark, all_pairs):
+    rows = all_pairs(returns(spark, gapped(60, 30, 11)), block=40).collect()         # two blocks, three products
+    assert len(rows) in (60 * 59 // 2, 60 * 61 // 2) and all(r.sym_a <= r.sym_b for r in rows)
+    assert sum(a.sym_a != b.sym_a for a, b in zip(rows, rows[1:])) < 4 * 60
