@@ -241,7 +241,7 @@ def vectors(wide, block_of=lambda at: 0, bi=0, bj=0):
     return pd.DataFrame(rows, columns=["symbol", "block", "days", "v", "bi", "bj"])
 
 
-@pytest.mark.parametrize("all_pairs", [co.correlation_pairs])
+@pytest.mark.parametrize("all_pairs", [co.correlation_pairs, co.covariance_pairs])
 def test_rows_of_all_pairs_come_in_runs_of_their_first_name(spark, all_pairs):
     rows = all_pairs(returns(spark, gapped(60, 30, 11)), block=40).collect()         # two blocks, three products
     assert len(rows) in (60 * 59 // 2, 60 * 61 // 2) and all(r.sym_a <= r.sym_b for r in rows)
