@@ -246,3 +246,36 @@ def test_rows_of_all_pairs_come_in_runs_of_their_first_name(spark, all_pairs):
     rows = all_pairs(returns(spark, gapped(60, 30, 11)), block=40).collect()         # two blocks, three products
     assert len(rows) in (60 * 59 // 2, 60 * 61 // 2) and all(r.sym_a <= r.sym_b for r in rows)
     assert sum(a.sym_a != b.sym_a for a, b in zip(rows, rows[1:])) < 4 * 60
+
+
+def test_bounds_hold_every_correlation_and_spare_most_products():
+    wide = gapped(90, 60, 13)
+    wide["S001"] = wide["S000"]                                       # alike on all days
+    wide["S002"] = 0.1                                                # no variance
+    wide["S003"] = wide["S004"] * 1e-9 + 1e6                          # little beside its level
+    wide.loc[:1, ["S005", "S006"]] = [[0.3, 0.3], [-0.4, 0.3]]
+    wide.loc[2:, "S005"] = np.nan                                     # two days
+    wide.loc[1:, "S006"] = np.nan                                     # one day
+    wide.loc[5, "S007"], wide.loc[6, "S008"] = 1e30, 1e-300           # one day outweighs all others
+    series = vectors(wide)
+    whole = next(co._meetings(series, 256, False, co._every))
+    calendar = co._Calendar(series["days"].to_list())
+    side = co._Side(whole.left, calendar)
+    low, high = co._bounds(side, side)
+    known = np.isfinite(whole.value)
+    assert known.sum() > 6000 and (low[known] <= whole.value[known]).all() and (whole.value[known] <= high[known]).all()
+    plain = np.isin(np.arange(90), [2, 3, 5, 6, 7, 8], invert=True)
+    assert (high - low)[np.ix_(plain, plain)].max() < 1e-3
+    pick, made, got = co._Ends(3), 0, []
+    for met in co._meetings(vectors(gapped(90, 60, 14), lambda at: at % 2, 0, 1), 9, False, pick):
+        made += met.value.size
+        got.append(pick(met))
+    want = gapped(90, 60, 14).corr().to_numpy()[::2, 1::2].ravel()
+    got = np.sort(pd.concat(got)["corr"])
+    np.testing.assert_allclose(np.r_[got[:3], got[-3:]], np.r_[np.sort(want)[:3], np.sort(want)[-3:]])
+    assert made < 0.25 * want.size
+
+
+def test_both_ends_come_from_one_run_over_the_pairs(spark):
+    plan = co.extreme_pairs(returns(spark, gapped(6, 20, 15)), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("MapInPandas") == 1
