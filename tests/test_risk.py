@@ -279,3 +279,17 @@ def test_bounds_hold_every_correlation_and_spare_most_products():
 def test_both_ends_come_from_one_run_over_the_pairs(spark):
     plan = co.extreme_pairs(returns(spark, gapped(6, 20, 15)), 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("above", [0.45, 0.0, -0.2])
+def test_only_series_that_may_be_over_the_number_are_measured(above):
+    wide = gapped(80, 120, 16)
+    wide["S003"] = wide["S002"] * 0.9 + wide["S003"].fillna(0) * 0.1
+    split = lambda at: at % 2
+    pick = co._Above(above)
+    mets = list(co._meetings(vectors(wide, split, 0, 1), 10, False, pick))
+    got = pd.concat([pick(met) for met in mets]).set_index(["sym_a", "sym_b"])["corr"]
+    corr = wide.corr()
+    want = {tuple(sorted((a, b))): corr.loc[a, b] for a in wide.columns[::2] for b in wide.columns[1::2] if corr.loc[a, b] > above}
+    assert got.to_dict() == pytest.approx(want) and len(got) > 0
+    assert sum(met.value.size for met in mets) <= (16 if above > 0.4 else 40 * 40)
