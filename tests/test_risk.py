@@ -293,3 +293,21 @@ def test_only_series_that_may_be_over_the_number_are_measured(above):
     want = {tuple(sorted((a, b))): corr.loc[a, b] for a in wide.columns[::2] for b in wide.columns[1::2] if corr.loc[a, b] > above}
     assert got.to_dict() == pytest.approx(want) and len(got) > 0
     assert sum(met.value.size for met in mets) <= (16 if above > 0.4 else 40 * 40)
+
+
+def test_sums_of_sectors_make_a_right_side_once_for_four_left_ones(spark, monkeypatch):
+    wide, made = gapped(96, 40, 17), []
+    matrix = co._Side.matrix
+    monkeypatch.setattr(co._Side, "matrix", lambda self, *a: (made.append(id(self)), matrix(self, *a))[1])
+    held = [met for met in co._meetings(vectors(wide, lambda at: at % 2, 0, 1), 6, False, co._every)]
+    assert len(held) == 8 * 8 and len(set(made)) <= 8 + 2 * 8
+    monkeypatch.undo()
+    named = {s: "abc"[at % 3] for at, s in enumerate(wide) if at % 7}
+    sectors = spark.createDataFrame(list(named.items()), "symbol string, sector string")
+    corr, want = wide.corr(), {True: [], False: []}
+    for a in named:
+        for b in named:
+            if a < b:
+                want[named[a] == named[b]].append(corr.loc[a, b])
+    got = {r.same_sector: (r.mean_corr, r.pairs) for r in co.sector_correlations(returns(spark, wide), sectors, 10).collect()}
+    assert got == {same: (pytest.approx(np.mean(found)), len(found)) for same, found in want.items()}
